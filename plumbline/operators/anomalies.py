@@ -13,8 +13,7 @@ from plumbline.errors import DetectionError, InsufficientData
 from plumbline.functions.columns import as_double, col, numeric_columns, require_columns
 from plumbline.operators.forest import SAMPLE_ROWS, TREES, fit_forest, score_column
 from plumbline.operators.keys import check_unique
-from plumbline.operators.quantiles import exact_quantiles
-from plumbline.operators.statistics import HISTOGRAM_VALUES
+from plumbline.operators.quantiles import Extent, exact_quantiles
 from plumbline.session import materialize
 
 # Limits of the detection and the labels of its outcome.
@@ -213,11 +212,8 @@ def detect(
 def _score_limit(scored: DataFrame, contamination: float) -> float:
     """The score below which the wanted share of scored rows lies."""
     value = F.col("__score")
-    n, distinct = scored.agg(F.count(value), F.approx_count_distinct(value)).first()
-    points = exact_quantiles(
-        scored, {"__score": value}, {"__score": n}, {"__score": distinct}, [contamination], HISTOGRAM_VALUES
-    )
-    return points.first()["points"][0]
+    extent = Extent(*scored.agg(F.count(value), F.min(value), F.max(value)).first())
+    return exact_quantiles(scored, {"score": value}, {"score": extent}, [contamination])["score"][0]
 
 
 def anomaly_rate(records: DataFrame, df: DataFrame) -> DataFrame:

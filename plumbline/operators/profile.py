@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions import parsing as P
-from plumbline.functions.columns import as_text, numeric_columns, string_columns
+from plumbline.functions.columns import as_text, col, groupable, numeric_columns, string_columns
 from plumbline.operators.counts import column_catalog, rank_within_column, value_counts
 
 # Limits of the profile and of the issues drawn from it.
@@ -17,8 +18,6 @@ NUMERIC_TEXT_SHARE = 0.90
 ID_SHARE = 0.95
 ID_MIN_ROWS = 10
 
-_SAMPLE_BUCKETS = 64
-
 
 def profile(df: DataFrame, distinct: str = "auto", samples: int = SAMPLE_VALUES) -> DataFrame:
     """One row per column.
@@ -26,7 +25,8 @@ def profile(df: DataFrame, distinct: str = "auto", samples: int = SAMPLE_VALUES)
     Columns: position, column_name, dtype, nullable (nulls were seen),
     row_count, null_count, null_rate (4 places), unique_count (null counts as a
     value), is_approx, number_share (share of a text column's values that read
-    as numbers), samples (up to ``samples`` distinct values, smallest first).
+    as numbers), samples (up to ``samples`` distinct values, smallest first; of
+    approximate columns the first ones a scan meets).
 
     ``distinct`` is "exact", "approx" or "auto". Auto counts exactly except for
     text columns of tables above 100,000 rows. Exact columns cost one shuffle
@@ -104,51 +104,35 @@ def _exact_profile(df: DataFrame, columns: list[str], samples: int) -> DataFrame
 
 
 def _sketched_profile(df: DataFrame, columns: list[str], samples: int) -> DataFrame:
-    """Bounded state per column: a distinct-count sketch, and the least value of each hash bucket."""
+    """One pass with a bounded distinct-count sketch per column; samples in scan order."""
+    texts = set(string_columns(df))
     types = {f.name: f.dataType for f in df.schema.fields}
     rows = []
     for name in columns:
-        text = as_text(name, types[name])
-        share = F.try_divide(F.count_if(P.is_number_text(text)), F.count(text))
+        value = groupable(name, types[name])
+        share = F.lit(None).cast("double")
+        if name in texts:
+            share = F.try_divide(F.count_if(P.is_number_text(value)), F.count(value))
         rows.append(
             F.struct(
                 F.lit(name).alias("column_name"),
                 F.count("*").alias("row_count"),
-                F.count_if(text.isNull()).alias("null_count"),
-                (F.approx_count_distinct(text) + F.max(text.isNull().cast("int"))).alias("unique_count"),
-                (share if type_is_text(types[name]) else F.lit(None).cast("double")).alias("number_share"),
+                (F.count("*") - F.count(value)).alias("null_count"),
+                (F.approx_count_distinct(value) + (F.count("*") > F.count(value)).cast("int")).alias("unique_count"),
+                F.lit(True).alias("is_approx"),
+                share.alias("number_share"),
+                F.lit(_first_values(df, name, types[name], samples)).cast("array<string>").alias("samples"),
             )
         )
-    measured = df.agg(F.array(*rows).alias("r")).select(F.inline("r"))
-    if samples:
-        cells = F.array(
-            *[F.struct(F.lit(c).alias("column_name"), as_text(c, types[c]).alias("value")) for c in columns]
-        )
-        least = (
-            df.select(F.inline(cells))
-            .where(F.col("value").isNotNull())
-            .groupBy("column_name", F.pmod(F.xxhash64("value"), F.lit(_SAMPLE_BUCKETS)).alias("bucket"))
-            .agg(F.min("value").alias("value"))
-        )
-        listed = least.groupBy("column_name").agg(
-            F.slice(F.array_sort(F.collect_list("value")), 1, samples).alias("samples")
-        )
-        measured = measured.join(listed, "column_name", "left")
-    else:
-        measured = measured.withColumn("samples", F.lit(None).cast("array<string>"))
-    return measured.select(
-        "column_name",
-        "row_count",
-        "null_count",
-        "unique_count",
-        F.lit(True).alias("is_approx"),
-        "number_share",
-        "samples",
-    )
+    return df.agg(F.array(*rows).alias("r")).select(F.inline("r"))
 
 
-def type_is_text(dtype) -> bool:
-    return dtype.typeName() == "string"
+def _first_values(df: DataFrame, name: str, dtype: T.DataType, n: int) -> list[str]:
+    """The first few non-null values that a scan meets, without repeats."""
+    if not n:
+        return []
+    found = df.where(col(name).isNotNull()).select(as_text(name, dtype)).take(n)
+    return list(dict.fromkeys(r[0] for r in found))
 
 
 def profile_issues(profiled: DataFrame) -> DataFrame:

@@ -1,156 +1,167 @@
-"""Exact quantiles without ever holding a column in one task."""
+"""Exact quantiles from a few bounded histograms, whatever the size of the table."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
-from math import ceil, floor, inf
+from math import floor, isfinite
+from sys import float_info
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from plumbline.session import small_table
 
-_GRID = 1000  # sketch points per pass
-_ACCURACY = 10_000  # the sketch misses a rank by at most count / _ACCURACY
-_PASSES = 8
+BUCKETS = 1024
+_SKETCH_ACCURACY = 10_000
+_MAX_PASSES = 60
+
+
+@dataclass(frozen=True)
+class Extent:
+    """How many values a column has and between which two they lie."""
+
+    count: int
+    low: float | None
+    high: float | None
 
 
 @dataclass
 class _Search:
-    """One wanted quantile. Its two neighbouring ranks lie between ``low`` and ``high``."""
+    """The value at one rank of one column, known to lie in [low, high] after ``below`` smaller values."""
 
     column: str
-    slot: int
     rank: int
-    last: int
-    weight: float
-    low: float = -inf
-    high: float = inf
+    low: float
+    high: float
+    count: int
     below: int = 0
+    zoom: tuple[float, float] | None = None
+    found: float | None = None
+
+    def settle(self) -> None:
+        place = self.rank - self.below
+        if self.low == self.high or place == 0:
+            self.found = self.low
+        elif place == self.count - 1:
+            self.found = self.high
 
-    def holds(self, value: Column) -> Column:
-        return value.between(self.low, self.high)
+    @property
+    def range(self) -> tuple:
+        return self.column, self.low, self.high, self.zoom or (self.low, self.high)
 
 
 def exact_quantiles(
     df: DataFrame,
     values: Mapping[str, Column],
-    counts: Mapping[str, int],
-    distinct: Mapping[str, int],
+    extents: Mapping[str, Extent],
     probs: Sequence[float],
-    limit: int,
-) -> DataFrame:
-    """Rows (column_name, points): linearly interpolated quantiles, in the order of ``probs``.
-
-    ``values`` maps names to double expressions free of NaN, ``counts`` and
-    ``distinct`` hold their non-null and (estimated) distinct counts. A column
-    with at most ``limit`` distinct values is counted per value and read off.
-    For a longer column each pass sketches the values between the current
-    bounds; the sketch's guaranteed rank error gives bounds several hundred
-    times closer, and a count proves them. Only bounds and counts reach the
-    driver.
+    buckets: int = BUCKETS,
+) -> dict[str, list[float | None]]:
+    """Linearly interpolated quantiles per column, in the order of ``probs``; None for empty columns.
+
+    ``values`` maps names to double expressions free of NaN. Each pass counts
+    the values between the current bounds in equal-width buckets and keeps the
+    least and greatest value of each; the bucket that holds the wanted rank
+    gives the next bounds. Tasks combine their counts before the shuffle, so a
+    pass moves some thousand rows however large or skewed the table is, and
+    later passes read only the blocks that can hold values between the bounds.
+    If one bucket holds most values, a sketch points the next pass to the
+    right place.
     """
-    searches = []
+    wanted, searches = {}, {}
     for name in values:
-        for slot, prob in enumerate(probs):
-            place = prob * max(counts[name] - 1, 0)
+        n, low, high = extents[name].count, extents[name].low, extents[name].high
+        for prob in probs if n else ():
+            place = prob * (n - 1)
             rank = floor(place)
-            searches.append(_Search(name, slot, rank, min(rank + 1, max(counts[name] - 1, 0)), place - rank))
+            pair = (rank, min(rank + 1, n - 1))
+            wanted[name, prob] = (*pair, place - rank)
+            for r in pair:
+                searches.setdefault((name, r), _Search(name, r, low, high, n)).settle()
 
-    pending = [s for s in searches if distinct[s.column] > limit]
-    inside = {id(s): counts[s.column] for s in pending}
-    for _ in range(_PASSES):
+    for _ in range(_MAX_PASSES):
+        pending = [s for s in searches.values() if s.found is None]
         if not pending:
             break
-        pending, inside = _narrow(df, values, pending, inside, limit)
-    return _read_off(df, values, searches)
-
-
-def _any_holds(values: Mapping[str, Column], searches: Sequence[_Search]) -> Column:
-    return reduce(lambda a, b: a | b, [s.holds(values[s.column]) for s in searches])
-
-
-def _narrow(df, values, pending, inside, limit):
-    """One pass of closer bounds; returns the searches that need another one."""
-    grid = [i / _GRID for i in range(_GRID + 1)]
-    ranges = sorted({(s.column, s.low, s.high) for s in pending})
-    sketches = [
-        F.percentile_approx(F.when(values[c].between(lo, hi), values[c]), grid, F.lit(_ACCURACY)).alias(f"r{i}")
-        for i, (c, lo, hi) in enumerate(ranges)
-    ]
-    source = df.where(_any_holds(values, pending))
-    points = dict(zip(ranges, source.agg(*sketches).first()))
-
-    proposed = []
-    for s in pending:
-        n = inside[id(s)]
-        share, slack = (s.rank - s.below) / n, 2.0 / _ACCURACY + 2.0 / n
-        left = floor((share - slack) * _GRID) - 1
-        right = ceil((share + slack) * _GRID) + 1
-        sketch = points[(s.column, s.low, s.high)]
-        proposed.append((sketch[left] if left >= 0 else s.low, sketch[right] if right <= _GRID else s.high))
-
-    proofs = []
-    for i, (s, (low, high)) in enumerate(zip(pending, proposed)):
-        value = F.when(s.holds(values[s.column]), values[s.column])
-        now = F.when(value.between(low, high), value)
-        proofs += [
-            F.count_if(value < low).alias(f"b{i}"),
-            F.count(now).alias(f"n{i}"),
-            F.approx_count_distinct(now).alias(f"d{i}"),
-        ]
-    row = source.agg(*proofs).first()
-
-    again, sizes = [], {}
-    for i, (s, bounds) in enumerate(zip(pending, proposed)):
-        below, n = s.below + row[f"b{i}"], row[f"n{i}"]
-        if not (below <= s.rank and s.last < below + n) or bounds == (s.low, s.high):
-            continue  # no closer bounds were proven: read off between the present ones
-        s.below, (s.low, s.high) = below, bounds
-        if row[f"d{i}"] > limit:
-            again.append(s)
-            sizes[id(s)] = n
-    return again, sizes
-
-
-def _read_off(df: DataFrame, values: Mapping[str, Column], searches: Sequence[_Search]) -> DataFrame:
-    """Count each value between the bounds and pick the wanted ranks from running totals."""
-    ranges = sorted({(s.column, s.low, s.high) for s in searches})
+        _narrow(df, values, pending, buckets)
+    else:
+        raise RuntimeError("quantile search did not settle")
+
+    def interpolate(name: str, prob: float) -> float | None:
+        if (name, prob) not in wanted:
+            return None
+        rank, after, weight = wanted[name, prob]
+        first, second = searches[name, rank].found, searches[name, after].found
+        return first + weight * (second - first) if weight else first
+
+    return {name: [interpolate(name, p) for p in probs] for name in values}
+
+
+def _bucket(value: Column, zoom: tuple[float, float], buckets: int) -> Column:
+    """A bucket number that never falls as the value grows: 0 below the zoom, then 1, 2, ..."""
+    low, high = max(zoom[0], -float_info.max), min(zoom[1], float_info.max)
+    if isfinite(high - low):
+        width = (high - low) / buckets
+        place = (value - F.lit(low)) / F.lit(width) if width else F.lit(0.0)
+    else:
+        width = high / buckets - low / buckets
+        place = value / F.lit(width) - F.lit(low / width)
+    inside = F.least(F.greatest(F.floor(place), F.lit(0)), F.lit(buckets - 1)).cast("int") + 1
+    return F.when(value < low, 0).when(value > high, buckets + 1).otherwise(inside)
+
+
+def _narrow(df: DataFrame, values: Mapping[str, Column], pending: Sequence[_Search], buckets: int) -> None:
+    ranges = sorted({s.range for s in pending})
     number = {r: i for i, r in enumerate(ranges)}
-    cells = F.array(
-        *[
-            F.struct(F.lit(i).alias("range"), F.when(values[c].between(lo, hi), values[c]).alias("value"))
-            for i, (c, lo, hi) in enumerate(ranges)
-        ]
-    )
-    counts = (
-        df.where(_any_holds(values, searches))
-        .select(F.inline(cells))
-        .where(F.col("value").isNotNull())
-        .groupBy("range", "value")
-        .agg(F.count("*").alias("n"))
-    )
-    targets = small_table(
-        df.sparkSession,
-        [
-            (number[(s.column, s.low, s.high)], s.column, s.slot, s.rank - s.below, s.last - s.below, s.weight)
-            for s in searches
-        ],
-        "range int, column_name string, slot int, rank bigint, last bigint, weight double",
-    )
-    running = Window.partitionBy("range").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    placed = counts.withColumn("upto", F.sum("n").over(running)).join(targets, "range")
-    near = placed.where((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("n") <= F.col("last")))
-    first = F.min("value")
-    after = F.min(F.when(F.col("upto") > F.col("last"), F.col("value")))
-    return (
-        near.groupBy("column_name", "slot", "weight")
-        .agg((first + F.col("weight") * (after - first)).alias("point"))
-        .groupBy("column_name")
-        .agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("slot", "point"))), lambda e: e["point"]).alias(
-                "points"
+    cells, inside = [], []
+    for i, (name, low, high, zoom) in enumerate(ranges):
+        value = values[name]
+        within = value.between(low, high)
+        inside.append(within)
+        cells.append(
+            F.when(
+                within,
+                F.struct(
+                    F.lit(i).alias("range"), _bucket(value, zoom, buckets).alias("bucket"), value.alias("value")
+                ),
             )
         )
+    source = df.where(reduce(lambda a, b: a | b, inside))
+    rows = (
+        source.select(F.inline(F.array(*cells)))
+        .where(F.col("range").isNotNull())
+        .groupBy("range", "bucket")
+        .agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+        .collect()
     )
+    histograms: dict[int, list] = {}
+    for row in sorted(rows, key=lambda r: (r["range"], r["bucket"])):
+        histograms.setdefault(row["range"], []).append(row)
+
+    stuck = []
+    for s in pending:
+        before, upto = s.count, s.below
+        for row in histograms[number[s.range]]:
+            if upto + row["n"] > s.rank:
+                s.below, s.count, s.low, s.high, s.zoom = upto, row["n"], row["low"], row["high"], None
+                break
+            upto += row["n"]
+        s.settle()
+        if s.found is None and s.count > before / 2:
+            stuck.append(s)
+    if stuck:
+        _point(source, values, stuck)
+
+
+def _point(source: DataFrame, values: Mapping[str, Column], stuck: Sequence[_Search]) -> None:
+    """Let a sketch say where, between its bounds, the rank of each search lies."""
+    slack = 2.0 / _SKETCH_ACCURACY
+    sketches = []
+    for i, s in enumerate(stuck):
+        value = values[s.column]
+        share = (s.rank - s.below) / s.count
+        around = [max(share - slack, 0.0), min(share + slack, 1.0)]
+        within = F.when(value.between(s.low, s.high), value)
+        sketches.append(F.percentile_approx(within, around, F.lit(_SKETCH_ACCURACY)).alias(f"s{i}"))
+    for s, points in zip(stuck, source.agg(*sketches).first()):
+        s.zoom = (points[0], points[1])

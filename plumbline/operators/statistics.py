@@ -9,16 +9,13 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.columns import as_double, col, numeric_columns, require_columns, type_name
 from plumbline.operators.counts import column_catalog, rank_within_column, value_counts
-from plumbline.operators.quantiles import exact_quantiles
+from plumbline.operators.quantiles import BUCKETS, Extent, exact_quantiles
 from plumbline.session import small_table
 
 # The reported quantiles and the number of most frequent values.
 QUARTILES = (0.25, 0.50, 0.75)
 TOP_VALUES = 5
 
-# Largest number of distinct values for which one task may hold a whole value histogram.
-HISTOGRAM_VALUES = 1_000_000
-
 NUMERIC_SCHEMA = (
     "position int, column_name string, dtype string, count bigint, null_count bigint, mean double, "
     "std double, min double, max double, p25 double, p50 double, p75 double"
@@ -30,15 +27,14 @@ def numeric_stats(
     df: DataFrame,
     columns: Sequence[str] | None = None,
     quantiles: str = "exact",
-    histogram_values: int = HISTOGRAM_VALUES,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """One row per numeric column: count, null_count, mean, std, min, max, p25, p50, p75.
 
     The standard deviation is the sample one, 0 for a single value. Quantiles
-    interpolate linearly. One fused pass measures every column, and its one
-    result row also says how many distinct values each column has, which
-    decides how ``exact_quantiles`` works. ``quantiles="approx"`` sketches them
-    in the same pass instead.
+    interpolate linearly. One fused pass measures every column; from its counts
+    and extremes ``exact_quantiles`` finds the quantiles. ``quantiles="approx"``
+    sketches them in the same pass instead.
     """
     columns = list(columns if columns is not None else numeric_columns(df))
     require_columns(df, columns)
@@ -50,49 +46,29 @@ def numeric_stats(
 
     measures = []
     for name, value in values.items():
-        spread = [F.percentile_approx(value, list(QUARTILES), F.lit(10_000)).alias("points")]
-        if quantiles == "exact":
-            spread = [F.approx_count_distinct(value).alias("distinct")]
-        measures.append(
-            F.struct(
-                F.count(col(name)).alias("count"),
-                (F.count("*") - F.count(col(name))).alias("null_count"),
-                F.count(value).alias("usable"),
-                F.avg(value).alias("mean"),
-                F.when(F.count(value) == 1, 0.0).otherwise(F.stddev_samp(value)).alias("std"),
-                F.min(value).alias("min"),
-                F.max(value).alias("max"),
-                *spread,
-            )
-        )
+        parts = [
+            F.count(col(name)).alias("count"),
+            (F.count("*") - F.count(col(name))).alias("null_count"),
+            F.count(value).alias("usable"),
+            F.avg(value).alias("mean"),
+            F.when(F.count(value) == 1, 0.0).otherwise(F.stddev_samp(value)).alias("std"),
+            F.min(value).alias("min"),
+            F.max(value).alias("max"),
+        ]
+        if quantiles == "approx":
+            parts.append(F.percentile_approx(value, list(QUARTILES), F.lit(10_000)).alias("points"))
+        measures.append(F.struct(*parts))
     measured = dict(zip(columns, df.agg(*[m.alias(f"m{i}") for i, m in enumerate(measures)]).first()))
+    if quantiles == "approx":
+        points = {c: measured[c]["points"] or [None] * len(QUARTILES) for c in columns}
+    else:
+        extents = {c: Extent(measured[c]["usable"], measured[c]["min"], measured[c]["max"]) for c in columns}
+        points = exact_quantiles(df, values, extents, QUARTILES, buckets)
     fields = ("count", "null_count", "mean", "std", "min", "max")
-    stats = small_table(
-        spark,
-        [
-            (i, c, type_name(types[c]), *[measured[c][f] for f in fields], None if quantiles == "exact" else measured[c]["points"])
-            for i, c in enumerate(columns)
-        ],
-        "position int, column_name string, dtype string, count bigint, null_count bigint, mean double, "
-        "std double, min double, max double, points array<double>",
-    )
-    if quantiles == "exact":
-        points = exact_quantiles(
-            df,
-            values,
-            {c: measured[c]["usable"] for c in columns},
-            {c: measured[c]["distinct"] for c in columns},
-            QUARTILES,
-            histogram_values,
-        )
-        stats = stats.drop("points").join(points, "column_name", "left")
-    return stats.select(
-        "position",
-        "column_name",
-        "dtype",
-        *fields,
-        *[F.get("points", F.lit(i)).alias(p) for i, p in enumerate(("p25", "p50", "p75"))],
-    )
+    rows = [
+        (i, c, type_name(types[c]), *[measured[c][f] for f in fields], *points[c]) for i, c in enumerate(columns)
+    ]
+    return small_table(spark, rows, NUMERIC_SCHEMA)
 
 
 def categorical_stats(df: DataFrame, columns: Sequence[str] | None = None, k: int = TOP_VALUES) -> DataFrame:

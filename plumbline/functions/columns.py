@@ -45,6 +45,10 @@ def is_numeric(dtype: T.DataType) -> bool:
     return isinstance(dtype, T.NumericType)
 
 
+def is_time(dtype: T.DataType) -> bool:
+    return isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType))
+
+
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if is_numeric(f.dataType)]
 
@@ -57,7 +61,7 @@ def time_columns(df: DataFrame) -> list[str]:
     """Date and timestamp columns, and text columns whose name contains a time word."""
     found = []
     for field in df.schema.fields:
-        if isinstance(field.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        if is_time(field.dataType):
             found.append(field.name)
         elif isinstance(field.dataType, T.StringType):
             lowered = field.name.lower()

@@ -9,12 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.errors import PlumblineError
-from plumbline.functions.columns import col
+from plumbline.functions.columns import as_text, col, is_numeric, is_time
 from plumbline.operators.keys import with_row_index
 
 
 def stack(frames: Sequence[DataFrame]) -> DataFrame:
-    """All rows of tables with the same set of columns, matched by name."""
+    """All rows of tables with the same set of columns, matched by name.
+
+    Numbers of different width, and dates with timestamps, widen. Other columns
+    whose types differ become text, so that no value is lost or refused.
+    """
+    for name in frames[0].columns:
+        types = [f.schema[name].dataType for f in frames]
+        if len(set(types)) > 1 and not (all(map(is_numeric, types)) or all(map(is_time, types))):
+            frames = [f.withColumn(name, as_text(name, f.schema[name].dataType)) for f in frames]
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 

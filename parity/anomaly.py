@@ -6,13 +6,13 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from parity.registry import query, table
+from parity.registry import query, spread_table, table
 from plumbline.operators import charts as ch
 from plumbline.operators.anomalies import DetectionSettings, anomaly_rate, detect
 from plumbline.operators.anomalies import zscore_records as z_records
 from plumbline.operators.forest import SAMPLE_ROWS, TREES, draw_samples
 from plumbline.operators.report import anomaly_table
-from plumbline.session import materialize, spread
+from plumbline.session import materialize
 
 LINE_KEY = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
 MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -65,20 +65,20 @@ def detection_by_zscore(spark, sf_dir):
 
 @query()
 def isolation_forest(spark, sf_dir):
-    events = spread(_events(spark, sf_dir))
+    events = spread_table(spark, sf_dir, "events")
     return detect(events, ["event_id"], ["value", "user_id"], DetectionSettings(use_z=False)).records
 
 
 @query()
 def ensemble_records(spark, sf_dir):
-    return detect(spread(_events(spark, sf_dir)), ["event_id"], ["value"]).records
+    return detect(spread_table(spark, sf_dir, "events"), ["event_id"], ["value"]).records
 
 
 @query()
 def contaminated_share(spark, sf_dir):
     """The wanted share of rows, whatever their scores are."""
     settings = DetectionSettings(contamination=0.02, use_z=False)
-    return detect(spread(_events(spark, sf_dir)), ["event_id"], ["value", "user_id"], settings).records
+    return detect(spread_table(spark, sf_dir, "events"), ["event_id"], ["value", "user_id"], settings).records
 
 
 @query(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parity.registry import query, table
+from parity.registry import query, spread_table, table
 from plumbline.functions import parsing as P
 from plumbline.functions.columns import col, string_columns
 from plumbline.operators import casts as C
@@ -23,7 +23,7 @@ def _as_text(df):
 
 def _part_texts(spark, sf_dir):
     """Part with every column as text and some null tokens, booleans and dates mixed in."""
-    part = table(spark, sf_dir, "part")
+    part = spread_table(spark, sf_dir, "part")
     return part.select(
         F.when(F.col("p_partkey") % 20 == 0, "N/A").otherwise(F.col("p_partkey").cast("string")).alias("key_text"),
         F.when(F.col("p_size") < 3, "x").otherwise(F.col("p_retailprice").cast("string")).alias("price_text"),
@@ -162,7 +162,7 @@ def _shown(profiled):
     )
 )
 def schema_profile(spark, sf_dir):
-    return _shown(profile(table(spark, sf_dir, "orders"), distinct="exact"))
+    return _shown(profile(spread_table(spark, sf_dir, "orders"), distinct="exact"))
 
 
 @query(
@@ -417,6 +417,6 @@ def correlation_nulls(spark, sf_dir):
 t(column_name, suggested_type) WHERE (SELECT count(*) FROM orders) > 0"""
 )
 def suggest_casts_orders(spark, sf_dir):
-    texts = _as_text(table(spark, sf_dir, "orders"))
+    texts = _as_text(spread_table(spark, sf_dir, "orders"))
     assert string_columns(texts) == texts.columns
     return C.suggestions(C.cast_rates(texts)).drop("position")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parity.registry import query, table
+from parity.registry import query, spread_table, table
 from plumbline.functions import text as tx
 from plumbline.operators import report as rp
 from plumbline.operators import scoring as sc
@@ -172,7 +172,7 @@ _WORDS = rf"CAST(len(list_filter(regexp_split_to_array({_CLEAN}, '\s+'), lambda
 
 @query(f"SELECT doc_id, {_WORDS} AS words FROM documents")
 def word_count(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", tx.word_count(F.col("text")).alias("words"))
+    return spread_table(spark, sf_dir, "documents").select("doc_id", tx.word_count(F.col("text")).alias("words"))
 
 
 @query(
@@ -185,7 +185,7 @@ SELECT page_id, CAST(k AS INTEGER) AS section_order,
   regexp_replace(CASE WHEN k = 0 THEN part WHEN cut > 0 THEN substr(part, cut + 1) ELSE '' END, '^\s+|\s+$', '', 'g') AS content FROM s"""
 )
 def sections(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select(
+    pages = spread_table(spark, sf_dir, "pages").select(
         "page_id", F.concat("url", F.lit("\n## One \n"), "html", F.lit("\n## Two")).alias("text")
     )
     return tx.sections(pages, ["page_id"], "text")
@@ -196,7 +196,7 @@ def sections(spark, sf_dir):
 )
 def missing_sections(spark, sf_dir):
     wanted = F.array(*[F.lit(s) for s in ("The", "eau", "sch", "nothing like it")])
-    return table(spark, sf_dir, "documents").select(
+    return spread_table(spark, sf_dir, "documents").select(
         "doc_id", F.array_join(tx.missing_sections(F.col("text"), wanted), ",").alias("missing")
     )
 
@@ -209,7 +209,7 @@ _RESPONSES = """CASE event_id % 4 WHEN 0 THEN '```json' || chr(10) || props || c
 SELECT event_id, CASE WHEN kind < 2 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k, kind >= 2 AS rejected FROM r"""
 )
 def model_json_objects(spark, sf_dir):
-    responses = table(spark, sf_dir, "events").selectExpr("event_id", f"{_RESPONSES.replace('chr(10)', 'char(10)')} AS content")
+    responses = spread_table(spark, sf_dir, "events").selectExpr("event_id", f"{_RESPONSES.replace('chr(10)', 'char(10)')} AS content")
     return tx.parse_json_object(responses, "content").select(
         "event_id",
         F.try_variant_get("payload", "$.k", "bigint").alias("k"),
@@ -242,7 +242,7 @@ def model_json_lists(spark, sf_dir):
 )
 def usage_metadata(spark, sf_dir):
     """Token counts from both provider layouts, from the fallback place, and from nowhere."""
-    events = table(spark, sf_dir, "events")
+    events = spread_table(spark, sf_dir, "events")
     name, a, b = F.col("event_type"), F.col("user_id").cast("string"), (F.col("event_id") + 1).cast("string")
 
     def layout(outer, model_key, usage_key, in_key, out_key):
@@ -262,7 +262,7 @@ def usage_metadata(spark, sf_dir):
 
 
 def _scored_runs(spark, sf_dir):
-    documents = table(spark, sf_dir, "documents")
+    documents = spread_table(spark, sf_dir, "documents")
     runs = documents.select(
         F.col("doc_id").alias("task_id"),
         (F.col("doc_id") % 11 != 0).alias("has_etl"),

@@ -67,12 +67,10 @@ def to_date(value: Column) -> Column:
         F.when(text.rlike(pattern), F.try_to_timestamp(text, F.lit(layout)).cast("date"))
         for pattern, layout in DATE_LAYOUTS
     ]
-    return F.coalesce(*tries)
+    return F.when(F.length(text) == 10, F.coalesce(*tries))
 
 
 def to_timestamp(value: Column) -> Column:
     text = F.trim(value)
-    return F.when(
-        text.rlike(TIMESTAMP_PATTERN) | text.rlike(DATE_LAYOUTS[0][0]),
-        text.try_cast("timestamp_ntz"),
-    )
+    reads = text.rlike(TIMESTAMP_PATTERN) | text.rlike(DATE_LAYOUTS[0][0])
+    return F.when((F.length(text) >= 10) & reads, text.try_cast("timestamp_ntz"))

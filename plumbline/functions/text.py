@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.columns import col
 
-# Markdown syntax that does not count as words, and the code-fence layouts.
+# White space, markdown syntax that does not count as words, and the code-fence layouts.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(
+    chr(c) for c in range(0x2000, 0x200B)
+)
+MARKUP = "#*`|_-"
 CODE_BLOCK_PATTERN = r"(?s)```.*?```"
-MARKUP_PATTERN = r"[#*`|_\-]"
 OPENING_FENCE_PATTERN = r"(?m)^```(?:json)?\s*"
 CLOSING_FENCE_PATTERN = r"(?m)\s*```\s*$"
 SECTION_BREAK = "\n## "
@@ -21,9 +24,10 @@ LEADING_SECTION = "Header"
 def word_count(text: Column) -> Column:
     """Words outside fenced code, with markdown syntax treated as space."""
     plain = F.regexp_replace(text, CODE_BLOCK_PATTERN, "")
-    plain = F.regexp_replace(plain, MARKUP_PATTERN, " ")
-    words = F.filter(F.split(plain, r"\s+"), lambda w: w != "")
-    return F.when(text.isNull(), F.lit(0)).otherwise(F.size(words)).cast("bigint")
+    separators = MARKUP + SPACES
+    apart = F.translate(plain, separators, " " * len(separators))
+    words = F.regexp_count(apart, F.lit("[^ ]+"))
+    return F.coalesce(words, F.lit(0)).cast("bigint")
 
 
 def sections(df: DataFrame, key_cols: Sequence[str], text_col: str) -> DataFrame:
@@ -48,7 +52,7 @@ def sections(df: DataFrame, key_cols: Sequence[str], text_col: str) -> DataFrame
 
 def strip(text: Column) -> Column:
     """Drop white space of every kind at both ends."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def missing_sections(content: Column, required: Column) -> Column:

@@ -159,6 +159,9 @@ def fit_forest(
         return out
 
     samples = draw_samples(df, key_cols, features, n_rows, pool_share, trees, psi, seed)
+    # Few rows but much work: keep the trees apart, or they would end up in one task.
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    samples = samples.repartition(min(trees, cores), "tree")
     nodes = samples.groupBy("tree").applyInPandas(grow, _NODE_SCHEMA).toPandas()
     grown = sorted(nodes["tree"].unique())
     at = (nodes["tree"].map({t: i for i, t in enumerate(grown)}).to_numpy(), nodes["node"].to_numpy())

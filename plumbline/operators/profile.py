@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -107,6 +109,7 @@ def _sketched_profile(df: DataFrame, columns: list[str], samples: int) -> DataFr
     """One pass with a bounded distinct-count sketch per column; samples in scan order."""
     texts = set(string_columns(df))
     types = {f.name: f.dataType for f in df.schema.fields}
+    first = _first_values(df, columns, types, samples)
     rows = []
     for name in columns:
         value = groupable(name, types[name])
@@ -121,18 +124,26 @@ def _sketched_profile(df: DataFrame, columns: list[str], samples: int) -> DataFr
                 (F.approx_count_distinct(value) + (F.count("*") > F.count(value)).cast("int")).alias("unique_count"),
                 F.lit(True).alias("is_approx"),
                 share.alias("number_share"),
-                F.lit(_first_values(df, name, types[name], samples)).cast("array<string>").alias("samples"),
+                F.lit(first[name]).cast("array<string>").alias("samples"),
             )
         )
     return df.agg(F.array(*rows).alias("r")).select(F.inline("r"))
 
 
-def _first_values(df: DataFrame, name: str, dtype: T.DataType, n: int) -> list[str]:
-    """The first few non-null values that a scan meets, without repeats."""
+def _first_values(df: DataFrame, columns: list[str], types: Mapping[str, T.DataType], n: int) -> dict[str, list[str]]:
+    """The first few non-null values of each column that a scan meets, without repeats.
+
+    The first rows serve most columns; one that is null there is looked up alone.
+    """
     if not n:
-        return []
-    found = df.where(col(name).isNotNull()).select(as_text(name, dtype)).take(n)
-    return list(dict.fromkeys(r[0] for r in found))
+        return {name: [] for name in columns}
+    head = df.select(*[as_text(c, types[c]) for c in columns]).take(n)
+    found = {name: [r[i] for r in head if r[i] is not None] for i, name in enumerate(columns)}
+    for name, values in found.items():
+        if not values and head:
+            alone = df.where(col(name).isNotNull()).select(as_text(name, types[name]))
+            found[name] = [r[0] for r in alone.take(n)]
+    return {name: list(dict.fromkeys(values)) for name, values in found.items()}
 
 
 def profile_issues(profiled: DataFrame) -> DataFrame:

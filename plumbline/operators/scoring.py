@@ -126,15 +126,20 @@ def score_runs(runs: DataFrame, expectations: DataFrame, pass_score: float = PAS
         ("analysis_score", "has_analysis", "Analysis result missing", analysis_checks, ANALYSIS_STEP),
         ("report_score", "has_report", "Report result missing", report_checks, REPORT_STEP),
     )
+    # Each check is worked out once, then read by the scores and by the list of failures.
+    checks = [check for _, _, _, part, _ in parts for check in part]
+    flags = {f"__fails{i}": F.coalesce(fails, F.lit(False)) for i, (fails, _, _) in enumerate(checks)}
+    joined = joined.withColumns(flags)
+    place = {id(check): c(f"__fails{i}") for i, check in enumerate(checks)}
     scores, failures = {}, []
-    for name, present, missing, checks, step in parts:
+    for name, present, missing, part, step in parts:
         lost = F.lit(0)
-        for fails, points, _ in checks:
-            lost = lost + F.when(fails, points).otherwise(0)
+        for check in part:
+            lost = lost + F.when(place[id(check)], check[1]).otherwise(0)
         scored = F.round(F.greatest(F.lit(0.0), F.lit(1.0) - lost * F.lit(step)), 4)
         scores[name] = F.when(c(present), scored).otherwise(0.0)
         failures.append(F.when(~c(present), F.lit(missing)))
-        failures += [F.when(c(present) & fails, message) for fails, _, message in checks]
+        failures += [F.when(c(present) & place[id(check)], check[2]) for check in part]
     return (
         joined.withColumns({**scores, "failures": F.array_compact(F.array(*failures))})
         .withColumn(

@@ -74,6 +74,13 @@ def ensemble_records(spark, sf_dir):
     return detect(spread_table(spark, sf_dir, "events"), ["event_id"], ["value"]).records
 
 
+@query(f"WITH {_Z} SELECT event_id, 'value' AS column_name, value FROM flagged WHERE is_anomaly")
+def ensemble_far_rows(spark, sf_dir):
+    """Of the ensemble's records, those that the z-score flags, alone or with the forest."""
+    records = detect(spread_table(spark, sf_dir, "events"), ["event_id"], ["value", "user_id"]).records
+    return records.where(F.col("method").isin("ensemble", "zscore")).select("event_id", "column_name", "value")
+
+
 @query()
 def contaminated_share(spark, sf_dir):
     """The wanted share of rows, whatever their scores are."""
@@ -130,6 +137,12 @@ def scatter_sampled(spark, sf_dir):
     return ch.scatter_data(events, "user_id", "value", ["event_id"], records, normal_share=0.1)
 
 
+@query(f"WITH {_Z} SELECT user_id AS x, value AS y, 'Anomaly' AS status FROM flagged WHERE is_anomaly")
+def scatter_sampled_anomalies(spark, sf_dir):
+    """Sampling the normal rows keeps every anomaly."""
+    return scatter_sampled(spark, sf_dir).where(F.col("status") == "Anomaly")
+
+
 @query(
     """WITH b AS (SELECT min(value) AS lo, (max(value) - min(value)) / 20 AS w FROM events)
 SELECT bin, round(lo + bin * w, 6) AS bin_start, round(lo + (bin + 1) * w, 6) AS bin_end, count

@@ -25,7 +25,7 @@ def query(sql: str | None = None):
         QUERIES[function.__name__] = run
         if sql is not None:
             ORACLES[function.__name__] = sql
-        return function
+        return run
 
     return register
 

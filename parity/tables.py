@@ -166,12 +166,13 @@ def sql_rollup(spark, sf_dir):
 
 @query(
     """SELECT user_id, event_id, row_number() OVER w AS visit, round(value - lag(value) OVER w, 4) AS change FROM events
-WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"""
+WINDOW w AS (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id)"""
 )
 def sql_window(spark, sf_dir):
+    """Visits of a user within a day: a busy user is split by day."""
     return _views(spark, sf_dir, "events").query(
         "SELECT user_id, event_id, CAST(row_number() OVER w AS bigint) AS visit, round(value - lag(value) OVER w, 4) AS change "
-        "FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)",
+        "FROM events WINDOW w AS (PARTITION BY user_id, to_date(ts) ORDER BY ts, event_id)",
         row_cap=None,
     )
 
@@ -205,11 +206,29 @@ def sql_cube_filter(spark, sf_dir):
 ON e.user_id = p.user_id AND e.ts >= p.ts WHERE e.event_type = 'error'"""
 )
 def sql_latest_before(spark, sf_dir):
-    """The latest purchase before each error of the same user: a running last value, no range join."""
+    """The latest purchase before each error of the same user, without a range join.
+
+    The last purchase within the day comes from a window per user and day, the
+    one of earlier days from a window over daily totals, so a busy user never
+    fills a window alone.
+    """
     return _views(spark, sf_dir, "events").query(
-        "SELECT event_id, purchase_id FROM (SELECT event_id, event_type, last(IF(event_type = 'purchase', event_id, NULL), true) "
-        "OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS purchase_id "
-        "FROM events) WHERE event_type = 'error'",
+        """
+        WITH dated AS (SELECT *, to_date(ts) AS day FROM events WHERE event_type IN ('purchase', 'error')),
+        daily AS (
+          SELECT user_id, day, max_by(event_id, CASE WHEN event_type = 'purchase' THEN ts END) AS last_id
+          FROM dated GROUP BY user_id, day),
+        earlier AS (
+          SELECT user_id, day, last(last_id, true) OVER (
+            PARTITION BY user_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before_id
+          FROM daily),
+        within AS (
+          SELECT event_id, event_type, user_id, day, last(CASE WHEN event_type = 'purchase' THEN event_id END, true) OVER (
+            PARTITION BY user_id, day ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS day_id
+          FROM dated)
+        SELECT event_id, coalesce(day_id, before_id) AS purchase_id
+        FROM within JOIN earlier USING (user_id, day) WHERE event_type = 'error'
+        """,
         row_cap=None,
     )
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 from math import isfinite
 
 from pyspark.sql import Column, DataFrame
@@ -64,14 +65,20 @@ class Moments:
         return self.n >= MIN_ROWS_FOR_Z and bool(self.sd) and isfinite(self.mean) and isfinite(self.sd)
 
 
-def column_moments(df: DataFrame, columns: Sequence[str]) -> dict[str, Moments]:
-    """Moments of all columns from one fused aggregate; NaN counts as missing."""
+def measure(df: DataFrame, columns: Sequence[str]) -> tuple[int, int, dict[str, Moments]]:
+    """Rows, rows that are complete in ``columns``, and the moments of each column, from one fused aggregate.
+
+    NaN counts as missing.
+    """
     types = {f.name: f.dataType for f in df.schema.fields}
-    parts = []
-    for i, c in enumerate(columns):
-        v = as_double(c, types[c])
-        parts.append(F.struct(F.count(v), F.avg(v), F.stddev_pop(v)).alias(f"m{i}"))
-    return {c: Moments(*m) for c, m in zip(columns, df.agg(*parts).first())}
+    values = {c: as_double(c, types[c]) for c in columns}
+    parts = [F.struct(F.count(v), F.avg(v), F.stddev_pop(v)).alias(f"m{i}") for i, v in enumerate(values.values())]
+    row = df.agg(F.count("*"), F.count_if(all_present(values.values())), *parts).first()
+    return row[0], row[1], {c: Moments(*m) for c, m in zip(columns, row[2:])}
+
+
+def all_present(values: Iterable[Column]) -> Column:
+    return reduce(lambda a, b: a & b, [v.isNotNull() for v in values])
 
 
 def zscore_column(df: DataFrame, moments: Mapping[str, Moments], threshold: float = Z_THRESHOLD) -> Column:
@@ -115,7 +122,7 @@ def zscore_records(
     """Rows flagged by z-score: keys, column_name, value, score (-1), method."""
     columns = list(columns or [c for c in numeric_columns(df) if c not in key_cols])
     require_columns(df, [*key_cols, *columns])
-    moments = column_moments(df, columns)
+    _, _, moments = measure(df, columns)
     flagged = df.where(far_from_mean(moments, threshold)).withColumn(
         "column_name", zscore_column(df, moments, threshold)
     )
@@ -156,10 +163,8 @@ def detect(
     if not columns:
         return Detection(empty_records(df, key_cols), FULL, 0)
     types = {f.name: f.dataType for f in df.schema.fields}
-    complete = F.lit(True)
-    for c in columns:
-        complete = complete & as_double(c, types[c]).isNotNull()
-    rows, usable = df.agg(F.count("*"), F.count_if(complete)).first()
+    complete = all_present(as_double(c, types[c]) for c in columns)
+    rows, usable, moments = measure(df, columns)
     for n in (rows, usable):
         if n < MIN_ROWS:
             raise InsufficientData(MIN_ROWS, n)
@@ -167,7 +172,7 @@ def detect(
         raise DetectionError("both detection methods are switched off")
 
     tier = FULL
-    moments = column_moments(df, columns) if settings.use_z else {}
+    moments = moments if settings.use_z else {}
     narrow = df.select(*[col(c) for c in dict.fromkeys([*key_cols, *columns])])
     scored = narrow.withColumn("__z", zscore_column(df, moments, settings.z_threshold))
     if settings.use_forest:

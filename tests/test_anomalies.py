@@ -144,6 +144,24 @@ def test_tree_leaves_hold_all_rows():
     assert float(expected_depth(256)) == pytest.approx(10.244770920119917)
 
 
+def test_scores_equal_a_walk_through_the_nodes(spark):
+    rng = np.random.default_rng(5)
+    points = rng.normal(size=(300, 3))
+    df = spark.createDataFrame(pd.DataFrame({"id": range(300), **{f"c{i}": points[:, i] for i in range(3)}}))
+    forest = fit_forest(df, ["id"], ["c0", "c1", "c2"], 300, trees=20, sample_rows=64)
+
+    def walk(tree, point):
+        node = 0
+        for _ in range(forest.levels):
+            node = 2 * node + (1 if point[forest.feature[tree, node]] < forest.split[tree, node] else 2)
+        return forest.depth[tree, node]
+
+    depths = [np.mean([walk(t, p) for t in range(20)]) for p in points]
+    expected = -(2.0 ** (-np.array(depths) / float(expected_depth(64))))
+    assert forest.score(points, block=7) == pytest.approx(expected)
+    assert (forest.depth[forest.depth > 0] >= 1).all()
+
+
 def test_forest_finds_most_injected_outliers(spark):
     rng = np.random.default_rng(3)
     x, y = rng.normal(0, 1, 3000), rng.normal(0, 1, 3000)

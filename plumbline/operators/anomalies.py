@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
 from math import isfinite
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +13,7 @@ from plumbline.errors import DetectionError, InsufficientData
 from plumbline.functions.columns import as_double, col, numeric_columns, require_columns
 from plumbline.operators.forest import SAMPLE_ROWS, TREES, fit_forest, score_column
 from plumbline.operators.keys import check_unique
+from plumbline.operators.measures import Moments, all_present, measure
 from plumbline.operators.quantiles import Extent, exact_quantiles
 from plumbline.session import materialize
 
@@ -52,33 +52,9 @@ class Detection:
     row_count: int
 
 
-@dataclass(frozen=True)
-class Moments:
-    """Count, mean and population deviation of one column."""
-
-    n: int
-    mean: float | None
-    sd: float | None
-
-    @property
-    def can_flag(self) -> bool:
-        return self.n >= MIN_ROWS_FOR_Z and bool(self.sd) and isfinite(self.mean) and isfinite(self.sd)
-
-
-def measure(df: DataFrame, columns: Sequence[str]) -> tuple[int, int, dict[str, Moments]]:
-    """Rows, rows that are complete in ``columns``, and the moments of each column, from one fused aggregate.
-
-    NaN counts as missing.
-    """
-    types = {f.name: f.dataType for f in df.schema.fields}
-    values = {c: as_double(c, types[c]) for c in columns}
-    parts = [F.struct(F.count(v), F.avg(v), F.stddev_pop(v)).alias(f"m{i}") for i, v in enumerate(values.values())]
-    row = df.agg(F.count("*"), F.count_if(all_present(values.values())), *parts).first()
-    return row[0], row[1], {c: Moments(*m) for c, m in zip(columns, row[2:])}
-
-
-def all_present(values: Iterable[Column]) -> Column:
-    return reduce(lambda a, b: a & b, [v.isNotNull() for v in values])
+def can_flag(m: Moments) -> bool:
+    """Enough values, and some spread."""
+    return m.n >= MIN_ROWS_FOR_Z and bool(m.sd) and isfinite(m.mean) and isfinite(m.sd)
 
 
 def zscore_column(df: DataFrame, moments: Mapping[str, Moments], threshold: float = Z_THRESHOLD) -> Column:
@@ -89,7 +65,7 @@ def zscore_column(df: DataFrame, moments: Mapping[str, Moments], threshold: floa
     types = {f.name: f.dataType for f in df.schema.fields}
     found = [F.lit(None).cast("string")]
     for name, m in moments.items():
-        if m.can_flag:
+        if can_flag(m):
             z = F.abs(as_double(name, types[name]) - F.lit(m.mean)) / F.lit(m.sd)
             found.append(F.when(z > float(threshold), F.lit(name)))
     return F.coalesce(*found)
@@ -103,7 +79,7 @@ def far_from_mean(moments: Mapping[str, Moments], threshold: float) -> Column:
     """
     tests = F.lit(False)
     for name, m in moments.items():
-        if m.can_flag:
+        if can_flag(m):
             reach = threshold * m.sd
             slack = 1e-9 * (abs(m.mean) + reach)
             tests = tests | (col(name) > m.mean + reach - slack) | (col(name) < m.mean - reach + slack)

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from plumbline.functions import parsing as P
 from plumbline.functions.columns import col, string_columns
+from plumbline.operators.measures import one_row_each
 from plumbline.session import small_table
 
 # Shares of parseable values from which a type is suggested.
@@ -60,7 +61,7 @@ def cast_rates(df: DataFrame) -> DataFrame:
                 F.count(P.to_timestamp(value)).alias("timestamps"),
             )
         )
-    return df.agg(F.array(*rows).alias("rates")).select(F.inline("rates"))
+    return one_row_each(df, rows)
 
 
 def _share(part: str):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.errors import PlumblineError
 from plumbline.functions.columns import as_double, numeric_columns, require_columns
+from plumbline.operators.measures import GROUP, measure, one_row_each
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -25,15 +26,11 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> D
         raise PlumblineError(f"a correlation matrix needs at least 2 numeric columns, got {len(columns)}")
     types = {f.name: f.dataType for f in df.schema.fields}
     values = {c: as_double(c, types[c]) for c in columns}
-    moments = df.agg(
-        F.count("*").alias("rows"),
-        F.array(*[_moments(v) for v in values.values()]).alias("columns"),
-    ).first()
-    rows = moments["rows"]
+    rows, _, moments = measure(df, columns)
     scaled, full = {}, {}
-    for name, m in zip(columns, moments["columns"]):
-        scaled[name] = (values[name] - F.lit(m["mean"])) / F.lit(m["sd"]) if m["sd"] else F.lit(0.0)
-        full[name] = m["n"] == rows
+    for name, m in moments.items():
+        scaled[name] = (values[name] - F.lit(m.mean)) / F.lit(m.sd) if m.sd else F.lit(0.0)
+        full[name] = m.n == rows
 
     pairs = []
     for i, a in enumerate(columns):
@@ -41,7 +38,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> D
             r = F.avg(scaled[a] * scaled[b]) if full[a] and full[b] else _pairwise(scaled[a], scaled[b])
             r = F.round(F.coalesce(r, F.lit(0.0)), 4)
             pairs.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), r.alias("correlation")))
-    upper = df.agg(F.array(*pairs).alias("pairs")).select(F.inline("pairs"))
+    upper = one_row_each(df, pairs, 5 * GROUP)
     mirror = F.array(
         F.struct("col_a", "col_b", "correlation"),
         F.struct(F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), "correlation"),
@@ -50,12 +47,6 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> D
     return upper.select(F.inline(both))
 
 
-def _moments(value: Column) -> Column:
-    return F.struct(
-        F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd")
-    )
-
-
 def _pairwise(a: Column, b: Column) -> Column:
     """Correlation over the rows where both values are present."""
     x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)

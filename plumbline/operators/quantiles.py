@@ -110,25 +110,35 @@ def _bucket(value: Column, zoom: tuple[float, float], buckets: int) -> Column:
     return F.when(value < low, 0).when(value > high, buckets + 1).otherwise(inside)
 
 
+def _between(value: Column, searches: Sequence[_Search]) -> Column:
+    bounds = sorted({(s.low, s.high) for s in searches})
+    return reduce(lambda a, b: a | b, [value.between(low, high) for low, high in bounds])
+
+
+def _by_column(searches: Sequence[_Search]) -> dict[str, list[_Search]]:
+    found: dict[str, list[_Search]] = {}
+    for s in searches:
+        found.setdefault(s.column, []).append(s)
+    return found
+
+
 def _narrow(df: DataFrame, values: Mapping[str, Column], pending: Sequence[_Search], buckets: int) -> None:
-    ranges = sorted({s.range for s in pending})
-    number = {r: i for i, r in enumerate(ranges)}
-    cells, inside = [], []
-    for i, (name, low, high, zoom) in enumerate(ranges):
-        value = values[name]
-        within = value.between(low, high)
-        inside.append(within)
-        cells.append(
+    number = {r: i for i, r in enumerate(sorted({s.range for s in pending}))}
+    branches = []
+    for name, searches in _by_column(pending).items():  # each branch reads one column and its own blocks
+        value = F.col("value")
+        cells = [
             F.when(
-                within,
-                F.struct(
-                    F.lit(i).alias("range"), _bucket(value, zoom, buckets).alias("bucket"), value.alias("value")
-                ),
+                value.between(low, high),
+                F.struct(F.lit(number[r]).alias("range"), _bucket(value, zoom, buckets).alias("bucket"), "value"),
             )
-        )
-    source = df.where(reduce(lambda a, b: a | b, inside))
+            for r in sorted({s.range for s in searches})
+            for _, low, high, zoom in [r]
+        ]
+        inside = df.where(_between(values[name], searches)).select(values[name].alias("value"))
+        branches.append(inside.select(F.inline(F.array(*cells))))
     rows = (
-        source.select(F.inline(F.array(*cells)))
+        reduce(lambda a, b: a.unionAll(b), branches)
         .where(F.col("range").isNotNull())
         .groupBy("range", "bucket")
         .agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
@@ -150,18 +160,18 @@ def _narrow(df: DataFrame, values: Mapping[str, Column], pending: Sequence[_Sear
         if s.found is None and s.count > before / 2:
             stuck.append(s)
     if stuck:
-        _point(source, values, stuck)
+        _point(df, values, stuck)
 
 
-def _point(source: DataFrame, values: Mapping[str, Column], stuck: Sequence[_Search]) -> None:
+def _point(df: DataFrame, values: Mapping[str, Column], stuck: Sequence[_Search]) -> None:
     """Let a sketch say where, between its bounds, the rank of each search lies."""
     slack = 2.0 / _SKETCH_ACCURACY
-    sketches = []
-    for i, s in enumerate(stuck):
-        value = values[s.column]
-        share = (s.rank - s.below) / s.count
-        around = [max(share - slack, 0.0), min(share + slack, 1.0)]
-        within = F.when(value.between(s.low, s.high), value)
-        sketches.append(F.percentile_approx(within, around, F.lit(_SKETCH_ACCURACY)).alias(f"s{i}"))
-    for s, points in zip(stuck, source.agg(*sketches).first()):
-        s.zoom = (points[0], points[1])
+    for name, searches in _by_column(stuck).items():
+        value, sketches = values[name], []
+        for i, s in enumerate(searches):
+            share = (s.rank - s.below) / s.count
+            around = [max(share - slack, 0.0), min(share + slack, 1.0)]
+            within = F.when(value.between(s.low, s.high), value)
+            sketches.append(F.percentile_approx(within, around, F.lit(_SKETCH_ACCURACY)).alias(f"s{i}"))
+        for s, points in zip(searches, df.where(_between(value, searches)).agg(*sketches).first()):
+            s.zoom = (points[0], points[1])

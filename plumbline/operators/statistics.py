@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.columns import as_double, col, numeric_columns, require_columns, type_name
 from plumbline.operators.counts import column_catalog, rank_within_column, value_counts
+from plumbline.operators.measures import groups
 from plumbline.operators.quantiles import BUCKETS, Extent, exact_quantiles
 from plumbline.session import small_table
 
@@ -32,7 +33,7 @@ def numeric_stats(
     """One row per numeric column: count, null_count, mean, std, min, max, p25, p50, p75.
 
     The standard deviation is the sample one, 0 for a single value. Quantiles
-    interpolate linearly. One fused pass measures every column; from its counts
+    interpolate linearly. One fused pass measures the columns; from its counts
     and extremes ``exact_quantiles`` finds the quantiles. ``quantiles="approx"``
     sketches them in the same pass instead.
     """
@@ -58,7 +59,8 @@ def numeric_stats(
         if quantiles == "approx":
             parts.append(F.percentile_approx(value, list(QUARTILES), F.lit(10_000)).alias("points"))
         measures.append(F.struct(*parts))
-    measured = dict(zip(columns, df.agg(*[m.alias(f"m{i}") for i, m in enumerate(measures)]).first()))
+    found = [m for group in groups(measures) for m in df.agg(*[m.alias(f"m{i}") for i, m in enumerate(group)]).first()]
+    measured = dict(zip(columns, found))
     if quantiles == "approx":
         points = {c: measured[c]["points"] or [None] * len(QUARTILES) for c in columns}
     else:

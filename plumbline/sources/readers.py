@@ -137,6 +137,7 @@ def read_postgres(spark: SparkSession, uri: str, options: Mapping[str, str] | No
 
 def read_source(spark: SparkSession, source: S.SourceSpec, keep_corrupt: bool = False) -> DataFrame:
     """Read a described source. Object stores need the matching Hadoop connector."""
+    path = S.hadoop_path(source.uri)
     if source.kind == S.POSTGRES:
         df = read_postgres(spark, source.uri, source.options)
         return df if source.row_cap is None else df.limit(source.row_cap)
@@ -144,11 +145,11 @@ def read_source(spark: SparkSession, source: S.SourceSpec, keep_corrupt: bool =
     if ending not in S.EXTENSIONS:
         if source.kind in (S.CSV, S.PARQUET):
             return _read(
-                spark, source.uri, source.kind, source.row_cap, NULL_TOKENS, "UTF-8", True, keep_corrupt,
+                spark, path, source.kind, source.row_cap, NULL_TOKENS, "UTF-8", True, keep_corrupt,
                 source.options,
             )
         raise UnsupportedFormat(ending or "<no extension>")
-    return read_file(spark, source.uri, source.row_cap, keep_corrupt=keep_corrupt, options=source.options)
+    return read_file(spark, path, source.row_cap, keep_corrupt=keep_corrupt, options=source.options)
 
 
 @dataclass(frozen=True)
@@ -159,12 +160,14 @@ class Loaded:
     status: DataFrame
 
 
-def load_with_status(spark: SparkSession, sources: Sequence[S.SourceSpec]) -> Loaded:
+def load_with_status(spark: SparkSession, sources: Sequence[S.SourceSpec], read_all: bool = False) -> Loaded:
     """Load every source on its own, so that a bad one does not lose the others.
 
     A source that fails is tried again as 5,000 rows ("simplified"); failing
     that it is left out ("degraded"). The status has one row per source:
-    source_id, uri, tier, row_count, corrupt_rows, warning.
+    source_id, uri, tier, row_count, corrupt_rows, warning. Parquet rows are
+    counted from file footers; ``read_all`` reads every value, so that damaged
+    data shows here and not later.
     """
     frames, status = {}, []
     for source in sources:
@@ -174,7 +177,7 @@ def load_with_status(spark: SparkSession, sources: Sequence[S.SourceSpec]) -> Lo
             try:
                 capped = S.SourceSpec(source.uri, source.kind, source.name, cap, source.options, source.source_id)
                 frame = read_source(spark, capped, keep_corrupt=True)
-                counts = _count(frame)
+                counts = _count(frame, read_all)
                 tier = attempt
                 break
             except (PlumblineError, PySparkException) as error:
@@ -192,9 +195,10 @@ def load_with_status(spark: SparkSession, sources: Sequence[S.SourceSpec]) -> Lo
     return Loaded(frames, table)
 
 
-def _count(frame: DataFrame) -> tuple[int, int]:
-    """Rows and corrupt rows. Every column is read, so unreadable data shows here and not later."""
-    corrupt = F.count(col(CORRUPT)) if CORRUPT in frame.columns else F.lit(0)
-    touched = [F.count(col(c)) for c in frame.columns if c != CORRUPT]
+def _count(frame: DataFrame, read_all: bool) -> tuple[int, int]:
+    """Rows and corrupt rows. Text formats are parsed in full to know which rows are corrupt."""
+    has_corrupt = CORRUPT in frame.columns
+    corrupt = F.count(col(CORRUPT)) if has_corrupt else F.lit(0)
+    touched = [F.count(col(c)) for c in frame.columns if c != CORRUPT] if read_all or has_corrupt else []
     row = frame.agg(F.count("*"), corrupt, *touched).first()
     return row[0], row[1]

@@ -51,6 +51,11 @@ def guess_kind(uri: str) -> str:
     return next((kind for ending, kind in KIND_BY_ENDING.items() if lowered.endswith(ending)), UNKNOWN)
 
 
+def hadoop_path(uri: str) -> str:
+    """The path as the Hadoop connectors name it: s3 is read through s3a."""
+    return "s3a://" + uri[5:] if uri.lower().startswith("s3://") else uri
+
+
 def extension(uri: str) -> str:
     return PurePosixPath(uri.lower()).suffix
 

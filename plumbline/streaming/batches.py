@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from plumbline.operators.anomalies import Moments, Z_THRESHOLD, far_from_mean, value_of, zscore_column
+from plumbline.operators.anomalies import Z_THRESHOLD, far_from_mean, value_of, zscore_column
+from plumbline.operators.measures import Moments
 from plumbline.operators.validate import QualityRules, validate
 
 

@@ -192,6 +192,14 @@ def test_stats_of_every_column(clean, rows):
     assert rows(compute_stats(clean.where("false"))) == []
 
 
+def test_wide_tables_are_measured_in_groups(spark, rows):
+    wide = spark.range(50).selectExpr(*[f"id * {k} AS c{k}" for k in range(1, 20)], "cast(id AS string) AS t")
+    got = rows(numeric_stats(wide), "position")
+    assert [r["p50"] for r in got] == [24.5 * k for k in range(1, 20)]
+    matrix = rows(correlation_matrix(wide))
+    assert len(matrix) == 19 * 19 and {r["correlation"] for r in matrix} == {1.0}
+
+
 def test_decimal_counts_as_numeric(spark, rows):
     assert rows(numeric_stats(spark.sql("SELECT CAST(id AS decimal(20, 2)) AS d FROM range(3)")))[0]["mean"] == 1.0
 

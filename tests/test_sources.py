@@ -137,6 +137,12 @@ def test_kind_from_uri():
         S.SourceSpec("   ")
 
 
+def test_object_store_paths():
+    assert S.hadoop_path("s3://bucket/a.parquet") == "s3a://bucket/a.parquet"
+    assert S.hadoop_path("/data/a.parquet") == "/data/a.parquet"
+    assert S.SourceSpec("s3://bucket/a.parquet").kind == "parquet"
+
+
 def test_postgres_uri():
     table = S.parse_postgres("postgresql://me:p%40ss@db.local:5433/shop::sales.orders")
     assert table.url == "jdbc:postgresql://db.local:5433/shop"

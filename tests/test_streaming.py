@@ -1,4 +1,4 @@
-from plumbline.operators.anomalies import measure
+from plumbline.operators.measures import measure
 from plumbline.operators.validate import QualityRules
 from plumbline.streaming.batches import check_batches, flag_batches
 

@@ -70,6 +70,12 @@ def test_first_column_over_the_threshold_is_reported(spark, rows):
     assert [(r["id"], r["column_name"]) for r in rows(zscore_records(df, ["id"]), "id")] == [(30, "a"), (31, "b")]
 
 
+def test_many_columns(spark, rows):
+    wide = spark.range(60).selectExpr("id", *[f"IF(id = {k}, 1e6, id * {k}) AS c{k}" for k in range(1, 20)])
+    got = rows(zscore_records(wide, ["id"]), "id")
+    assert [(r["id"], r["column_name"]) for r in got] == [(k, f"c{k}") for k in range(1, 20)]
+
+
 def test_stricter_threshold_never_flags_more(injected):
     counts = [zscore_records(injected, ["id"], threshold=t).count() for t in (1.0, 2.0, 3.0, 5.0)]
     assert counts == sorted(counts, reverse=True)

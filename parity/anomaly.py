@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from parity.registry import query, spread_table, table
+from parity.registry import query, table
 from plumbline.operators import charts as ch
 from plumbline.operators.anomalies import DetectionSettings, anomaly_rate, detect
 from plumbline.operators.anomalies import zscore_records as z_records
@@ -65,19 +65,19 @@ def detection_by_zscore(spark, sf_dir):
 
 @query()
 def isolation_forest(spark, sf_dir):
-    events = spread_table(spark, sf_dir, "events")
+    events = _events(spark, sf_dir)
     return detect(events, ["event_id"], ["value", "user_id"], DetectionSettings(use_z=False)).records
 
 
 @query()
 def ensemble_records(spark, sf_dir):
-    return detect(spread_table(spark, sf_dir, "events"), ["event_id"], ["value"]).records
+    return detect(_events(spark, sf_dir), ["event_id"], ["value"]).records
 
 
 @query(f"WITH {_Z} SELECT event_id, 'value' AS column_name, value FROM flagged WHERE is_anomaly")
 def ensemble_far_rows(spark, sf_dir):
     """Of the ensemble's records, those that the z-score flags, alone or with the forest."""
-    records = detect(spread_table(spark, sf_dir, "events"), ["event_id"], ["value", "user_id"]).records
+    records = detect(_events(spark, sf_dir), ["event_id"], ["value", "user_id"]).records
     return records.where(F.col("method").isin("ensemble", "zscore")).select("event_id", "column_name", "value")
 
 
@@ -85,7 +85,7 @@ def ensemble_far_rows(spark, sf_dir):
 def contaminated_share(spark, sf_dir):
     """The wanted share of rows, whatever their scores are."""
     settings = DetectionSettings(contamination=0.02, use_z=False)
-    return detect(spread_table(spark, sf_dir, "events"), ["event_id"], ["value", "user_id"], settings).records
+    return detect(_events(spark, sf_dir), ["event_id"], ["value", "user_id"], settings).records
 
 
 @query(

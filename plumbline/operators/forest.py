@@ -110,6 +110,7 @@ def draw_samples(
 def grow_tree(points: np.ndarray, levels: int, rng: np.random.Generator) -> list[tuple[int, int, float, float]]:
     """Nodes (node, feature, split, depth) of a complete tree with ``levels`` levels of splits."""
     nodes: list[tuple[int, int, float, float]] = []
+    leaf_depth = expected_depth(np.arange(len(points) + 1)).tolist()
     work = [(0, np.arange(len(points)), 0)]
     while work:
         node, rows, level = work.pop()
@@ -117,7 +118,7 @@ def grow_tree(points: np.ndarray, levels: int, rng: np.random.Generator) -> list
         low, high = part.min(axis=0), part.max(axis=0)
         varying = np.flatnonzero(high > low)
         if level >= levels or len(rows) <= 1 or not len(varying):
-            depth = level + float(expected_depth(len(rows)))
+            depth = level + leaf_depth[len(rows)]
             for _ in range(level, levels):
                 nodes.append((node, 0, np.inf, 0.0))
                 node = 2 * node + 1
@@ -159,10 +160,10 @@ def fit_forest(
         return out
 
     samples = draw_samples(df, key_cols, features, n_rows, pool_share, trees, psi, seed)
-    # Few rows but much work: keep the trees apart, or they would end up in one task.
+    # Few rows but much work: an own partitioning keeps the trees apart, which would else share one task.
     cores = df.sparkSession.sparkContext.defaultParallelism
-    samples = samples.repartition(min(trees, cores), "tree")
-    nodes = samples.groupBy("tree").applyInPandas(grow, _NODE_SCHEMA).toPandas()
+    spread = samples.withColumn("grove", F.pmod(F.col("tree"), F.lit(trees))).repartition(min(trees, cores), "grove")
+    nodes = spread.groupBy("grove").applyInPandas(grow, _NODE_SCHEMA).toPandas()
     grown = sorted(nodes["tree"].unique())
     at = (nodes["tree"].map({t: i for i, t in enumerate(grown)}).to_numpy(), nodes["node"].to_numpy())
     shape = (len(grown), 2 ** (levels + 1) - 1)

@@ -29,6 +29,11 @@ INT64, FLOAT64, BOOLEAN, DATE, DATETIME, UTF8, STRING = (
     "String",
 )
 
+RATES_SCHEMA = (
+    "position int, column_name string, non_null bigint, integers bigint, numbers bigint, booleans bigint, "
+    "blanks bigint, dates bigint, timestamps bigint"
+)
+
 
 def cast_rates(df: DataFrame) -> DataFrame:
     """One row per text column: counts of values that read as each type.
@@ -39,12 +44,7 @@ def cast_rates(df: DataFrame) -> DataFrame:
     """
     columns = string_columns(df)
     if not columns:
-        return small_table(
-        df.sparkSession,
-            [],
-            "position int, column_name string, non_null bigint, integers bigint, numbers bigint, "
-            "booleans bigint, blanks bigint, dates bigint, timestamps bigint",
-        )
+        return small_table(df.sparkSession, [], RATES_SCHEMA)
     rows = []
     for i, name in enumerate(columns):
         value = col(name)

@@ -32,10 +32,8 @@ def column_catalog(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row (column_index, column_name, dtype, is_numeric) per column of the schema."""
     types = {f.name: f.dataType for f in df.schema.fields}
     rows = [(i, c, type_name(types[c]), is_numeric(types[c])) for i, c in enumerate(columns)]
-    return small_table(
-        df.sparkSession,
-        rows, "column_index int, column_name string, dtype string, is_numeric boolean"
-    )
+    schema = "column_index int, column_name string, dtype string, is_numeric boolean"
+    return small_table(df.sparkSession, rows, schema)
 
 
 def rank_within_column(counts: DataFrame, *order: Column, k: int) -> DataFrame:

@@ -6,6 +6,7 @@ import os
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -88,7 +89,7 @@ def text_batches(batches, rows: int = 512, chars: int = 4_000_000):
         if not n:
             continue
         texts = batch.column("text")
-        lengths = np.asarray(pa.compute.binary_length(texts).fill_null(0))
+        lengths = np.asarray(pc.fill_null(pc.binary_length(texts), 0))
         ends = np.cumsum(lengths)
         while start < n:
             base = ends[start - 1] if start else 0

@@ -14,7 +14,6 @@ each block is broadcast and meets all texts in one pass that moves no text.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.llm.characters import END, fold
 from plumbline.llm.common import blocks_of, id_and_text, text_batches
 from plumbline.session import materialize
 
-#: Ends a text inside a batch; no character has this number.
-END = np.uint32(0xFFFFFFFF)
-_SPACE = np.uint32(32)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -48,33 +45,6 @@ class Lemma:
         return m - self.q + 1 - self.q * self.edits(m)
 
 
-@lru_cache(maxsize=1)
-def _fold() -> np.ndarray:
-    """Lower case and white space of the first 65,536 characters, one for one."""
-    table = np.arange(1 << 16, dtype=np.uint32)
-    for number in range(1 << 16):
-        character = chr(number)
-        if character.isspace():
-            table[number] = _SPACE
-        elif len(low := character.lower()) == 1:
-            table[number] = ord(low)
-    return table
-
-
-def fold(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The texts' characters in lower case, white space runs as one space, each text ended by END; and their old places."""
-    joined = np.frombuffer("\0".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-    low = joined < 1 << 16
-    folded = _fold()[np.where(low, joined, 0)] if low.all() else np.where(low, _fold()[np.where(low, joined, 0)], joined)
-    folded = folded.copy()
-    folded[np.cumsum([len(t) + 1 for t in texts]) - 1] = END
-    blank = folded == _SPACE
-    keep = np.ones(len(folded), bool)
-    keep[1:] = ~(blank[1:] & blank[:-1])
-    places = np.flatnonzero(keep)
-    return folded[places], places
-
-
 def gram_hashes(characters: np.ndarray, q: int) -> np.ndarray:
     """A 64-bit hash of every q-gram, joined from hashes of halves."""
     done, length, pending = characters.astype(np.uint64) * _MIX, 1, None

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import byte_bpe, exact_dedup
+from plumbline.llm import byte_bpe, chosen_path, decontaminate, exact_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,3 +48,13 @@ def op3_byte_bpe(spark, sf_dir):
 )
 def op4_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op6_chosen_path(spark, sf_dir):
+    return chosen_path.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op7_decontaminate(spark, sf_dir):
+    return decontaminate.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

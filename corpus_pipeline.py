@@ -10,21 +10,47 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import byte_bpe, exact_dedup
+from plumbline.llm import byte_bpe, chosen_path, decontaminate, exact_dedup, neighbour_quality
+from plumbline.llm.common import without_ids
+from plumbline.llm.queries import LEAST_QUALITY, training_labels
 from plumbline.session import materialize
 
 
+def good_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject; it learns from the labels that are not held out."""
+    model = neighbour_quality.train(docs, training_labels(spark, sf_dir))
+    return neighbour_quality.accepted(docs, model, LEAST_QUALITY)
+
+
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the smallest id stays."""
     return exact_dedup.exact_dedup(docs)
 
 
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents connected by a similarity of 0.8 or more of their five-word shingles the smallest id stays."""
+    return chosen_path.one_of_each(docs)
+
+
+def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of the benchmark table."""
+    passages = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontaminate.find_passages(docs, passages)
+    return without_ids(docs, materialize(found.select("doc_id").distinct()))
+
+
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Digests of the ids of every text and of what they decode to."""
     return byte_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-STAGES = [("exact dedup", without_copies), ("byte-level BPE", token_ids)]
+STAGES = [
+    ("quality classifier", good_texts),
+    ("exact dedup", without_copies),
+    ("n-gram Jaccard join", without_near_copies),
+    ("benchmark decontamination", without_benchmarks),
+    ("byte-level BPE", token_ids),
+]
 
 #: The classifier, the chosen paths and the byte-pair merges have no SQL.
 ORACLE_SQL = None

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plumbline.llm import byte_bpe, chosen_path, decontaminate, exact_dedup
+from plumbline.llm import byte_bpe, chosen_path, decontaminate, exact_dedup, neighbour_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,3 +59,28 @@ def op6_chosen_path(spark, sf_dir):
 @query()
 def op7_decontaminate(spark, sf_dir):
     return decontaminate.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels that models may learn from; a fifth of the ids is held out."""
+    return table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")))
+
+
+def held_out(doc_id):
+    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+
+
+#: Texts that score less are rejected.
+LEAST_QUALITY = 0.3
+
+
+@query()
+def op8_neighbour_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    scored = neighbour_quality.score(docs, neighbour_quality.train(docs, training_labels(spark, sf_dir)))
+    return scored.select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= LEAST_QUALITY).cast("int").alias("predicted"),
+    )

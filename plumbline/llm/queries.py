@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import byte_bpe, chosen_path, decontaminate, exact_dedup, neighbour_quality
+from plumbline.llm import byte_bpe, chosen_path, decontaminate, exact_dedup, neighbour_quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -84,3 +84,19 @@ def op8_neighbour_quality(spark, sf_dir):
         "score",
         (F.col("score") >= LEAST_QUALITY).cast("int").alias("predicted"),
     )
+
+
+@query()
+def op9_markov_secrets(spark, sf_dir):
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+    def count_of(kind):
+        return F.size(F.filter("findings", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("findings", lambda s: s["kind"] != "random")
+    return found.select(
+        "doc_id",
+        *map(count_of, secrets.KINDS),
+        F.sha2(secrets.as_text(base).cast("binary"), 256).alias("base_sha256"),
+        secrets.as_text(F.col("findings")).alias("spans"),
+    )

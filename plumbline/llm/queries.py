@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import byte_bpe, chosen_path, decontaminate, exact_dedup, neighbour_quality, secrets
+from plumbline.llm import byte_bpe, chosen_path, decontaminate, exact_dedup, neighbour_quality, personal_data, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -100,3 +100,19 @@ def op9_markov_secrets(spark, sf_dir):
         F.sha2(secrets.as_text(base).cast("binary"), 256).alias("base_sha256"),
         secrets.as_text(F.col("findings")).alias("spans"),
     )
+
+
+@query()
+def op5_boosted_pii(spark, sf_dir):
+    found = personal_data.find_personal_data(table(spark, sf_dir, "documents"))
+
+    def count_of(kind):
+        return F.size(F.filter("findings", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("findings", lambda s: s["kind"].isin(*personal_data.KINDS))
+    return found.select(
+        "doc_id",
+        *map(count_of, personal_data.KINDS),
+        F.sha2(secrets.as_text(base).cast("binary"), 256).alias("base_sha256"),
+        secrets.as_text(F.col("findings")).alias("spans"),
+    )

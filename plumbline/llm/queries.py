@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import byte_bpe, chosen_path, decontaminate, exact_dedup, neighbour_quality, personal_data, secrets
+from plumbline.llm import byte_bpe, chosen_path, decontaminate, exact_dedup, html_paths, neighbour_quality, personal_data, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -116,3 +116,8 @@ def op5_boosted_pii(spark, sf_dir):
         F.sha2(secrets.as_text(base).cast("binary"), 256).alias("base_sha256"),
         secrets.as_text(F.col("findings")).alias("spans"),
     )
+
+
+@query()
+def op1_html_paths(spark, sf_dir):
+    return html_paths.extract(table(spark, sf_dir, "pages"))

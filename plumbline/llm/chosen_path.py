@@ -32,11 +32,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.characters import mix, shingle_sets
-from plumbline.llm.common import id_and_text, maybe_in, text_batches
+from plumbline.llm.common import id_and_text, join_groups, maybe_in, text_batches, without_ids
 from plumbline.session import materialize
 
-#: Groups of copies with more than this share of all rows meet their members by a broadcast; so they are few.
-HOT_GROUPS = 1000
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -362,14 +360,6 @@ def components(edges: DataFrame) -> DataFrame:
         labels = moved.select("node", "label")
 
 
-def _with_group(rows: DataFrame, groups: DataFrame, key: str, size: str, hot_rows: int) -> DataFrame:
-    """Join rows with their group; the few groups with more than ``hot_rows`` rows are broadcast."""
-    hot = groups.where(F.col(size) > hot_rows).withColumn("__hot", F.lit(True))
-    first = rows.join(F.broadcast(hot), key, "left")
-    rest = first.where("__hot IS NULL").select(*rows.columns).join(groups.where(F.col(size) <= hot_rows), key)
-    return first.where("__hot").drop("__hot").unionByName(rest)
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", options: Paths = Paths()) -> DataFrame:
     """doc_id, class_id, copy_id, n_copies, n_links of every row of ``docs``.
 
@@ -436,13 +426,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = materialize(classes)
     names = classes.groupBy("root").agg(F.min("copy_id").alias("class_id"))
     groups = classes.join(names, "root").drop("root")
-    members = _with_group(rows.select("doc_id", "digest"), groups, "digest", "n_copies", max(2, docs.count() // HOT_GROUPS))
+    members = join_groups(rows.select("doc_id", "digest"), groups, "digest", "n_copies", docs.count())
     return members.select("doc_id", "class_id", "copy_id", "n_copies", "n_links")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", options: Paths = Paths()) -> DataFrame:
     """``docs`` with one row of every class of :func:`near_duplicates`, the one with the smallest id; all columns stay."""
-    from plumbline.llm.common import without_ids
-
     classes = near_duplicates(docs, id_col, text_col, options)
     return without_ids(docs, materialize(classes.where("doc_id <> class_id").select("doc_id").distinct()), id_col)

@@ -69,6 +69,22 @@ def without_ids(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> Dat
     return surely_not_in(docs, key, keys).unionByName(left.join(gone.alias("r"), same, "left_anti"))
 
 
+#: A group is hot if it has more than one row in so many; no more groups than that can be, however large the table.
+HOT_GROUPS = 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, how: str = "inner") -> DataFrame:
+    """Join rows with a row of their group. Hot groups, by their ``size`` and the ``total`` of rows, are broadcast.
+
+    The others meet their rows in a shuffle, in which no key has a large share.
+    """
+    hot_rows = max(2, total // HOT_GROUPS)
+    hot = groups.where(F.col(size) > hot_rows).withColumn("__hot", F.lit(True))
+    first = rows.join(F.broadcast(hot), key, "left")
+    rest = first.where("__hot IS NULL").select(*rows.columns).join(groups.where(F.col(size) <= hot_rows), key, how)
+    return first.where("__hot").drop("__hot").unionByName(rest)
+
+
 def blocks_of(items, limit: int, size) -> list[list]:
     """Consecutive blocks of ``items`` whose summed ``size`` stays below ``limit`` (single larger items stand alone)."""
     blocks, current, held = [], [], 0

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import byte_bpe, chosen_path, decontaminate, exact_dedup, html_paths, neighbour_quality, personal_data, secrets
+from plumbline.llm import byte_bpe, chosen_path, decontaminate, exact_dedup, html_paths, neighbour_quality, page_language, personal_data, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -121,3 +121,9 @@ def op5_boosted_pii(spark, sf_dir):
 @query()
 def op1_html_paths(spark, sf_dir):
     return html_paths.extract(table(spark, sf_dir, "pages"))
+
+
+@query()
+def op2_page_language(spark, sf_dir):
+    model = page_language.train(table(spark, sf_dir, "documents"))
+    return page_language.identify(table(spark, sf_dir, "pages"), model)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import byte_bpe, chosen_path, decontaminate, exact_dedup, html_paths, neighbour_quality, page_language, personal_data, secrets
+from plumbline.llm import byte_bpe, chosen_path, decontaminate, exact_dedup, html_paths, licenses, neighbour_quality, page_language, personal_data, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -127,3 +127,8 @@ def op1_html_paths(spark, sf_dir):
 def op2_page_language(spark, sf_dir):
     model = page_language.train(table(spark, sf_dir, "documents"))
     return page_language.identify(table(spark, sf_dir, "pages"), model)
+
+
+@query()
+def op10_license_dice(spark, sf_dir):
+    return licenses.find_licences(table(spark, sf_dir, "documents"))

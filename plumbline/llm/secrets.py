@@ -33,11 +33,13 @@ _CLASS = "[A-Za-z0-9+/_=-]"
 
 @dataclass(frozen=True)
 class Markov:
-    """``shortest`` token that is judged or learned from; least log-likelihood ratio of a finding; counts added to each pair."""
+    """``shortest`` token that is judged or learned from; least log-likelihood ratio of a finding; counts added to each
+    character; counts that a character's probability stands for in its pairs."""
 
     shortest: int = 16
     least_ratio: float = 10.0
     smoothing: float = 0.5
+    backing: float = 30.0
 
 
 def _spans(text: Column, matches: Column, pattern: str, good=None) -> Column:
@@ -70,7 +72,7 @@ def _matched(source: DataFrame, markov: Markov) -> DataFrame:
 
 
 def _pair_counts(source: DataFrame, markov: Markov) -> DataFrame:
-    """random (boolean), pair, n: the pairs of neighbouring characters in labelled tokens, summed in the tasks first."""
+    """random (boolean), pair, n: the pairs of neighbouring characters in different labelled tokens."""
     # A token is a sample of random strings if a base form has it as its value, else of identifiers.
     values = F.filter("values", lambda v: F.char_length(v) >= markov.shortest)
     named = F.concat(values, F.col("m_access"), F.col("m_hex"))
@@ -88,20 +90,30 @@ def _pair_counts(source: DataFrame, markov: Markov) -> DataFrame:
         )
         .where("size(s.tokens) > 0")
     )
-    pairs = F.flatten(F.transform("s.tokens", lambda t: F.transform(F.sequence(F.lit(1), F.char_length(t) - 1), lambda i: F.substring(t, i, 2))))
-    return both.select("s.random", F.explode(pairs).alias("pair")).groupBy("random", "pair").agg(F.count(F.lit(1)).alias("n"))
+    different = both.select("s.random", F.explode("s.tokens").alias("token")).distinct()
+    pairs = F.transform(F.sequence(F.lit(1), F.char_length("token") - 1), lambda i: F.substring("token", i, 2))
+    return different.select("random", F.explode(pairs).alias("pair")).groupBy("random", "pair").agg(F.count(F.lit(1)).alias("n"))
 
 
-def ratio_table(counts: Mapping[tuple[bool, str], int], smoothing: float) -> list[float]:
+def ratio_table(counts: Mapping[tuple[bool, str], int], markov: Markov) -> list[float]:
     """Log-likelihood ratio of every pair of ASCII characters, at 128 * first + second; 0 outside the alphabet.
 
-    Without samples of a class its model is uniform.
+    A pair's probability is backed by that of its second character, which is
+    backed by the uniform one; without samples of a class its model is uniform.
+    A token that is judged was itself counted as an identifier, so one count is
+    taken out of each identifier pair.
     """
+    counts = {(k, pair): n if k else n - 1 for (k, pair), n in counts.items()}
     ratios = [0.0] * (128 * 128)
+    single = {}
+    for k in (True, False):
+        n = {second: sum(counts.get((k, first + second), 0) for first in ALPHABET) for second in ALPHABET}
+        whole = sum(n.values()) + markov.smoothing * len(ALPHABET)
+        single[k] = {c: (n[c] + markov.smoothing) / whole for c in ALPHABET}
     for first in ALPHABET:
-        sums = {k: sum(counts.get((k, first + second), 0) for second in ALPHABET) + smoothing * len(ALPHABET) for k in (True, False)}
+        seen = {k: sum(counts.get((k, first + second), 0) for second in ALPHABET) for k in (True, False)}
         for second in ALPHABET:
-            odds = [(counts.get((k, first + second), 0) + smoothing) / sums[k] for k in (True, False)]
+            odds = [(counts.get((k, first + second), 0) + markov.backing * single[k][second]) / (seen[k] + markov.backing) for k in (True, False)]
             ratios[128 * ord(first) + ord(second)] = math.log(odds[0] / odds[1])
     return ratios
 
@@ -109,7 +121,7 @@ def ratio_table(counts: Mapping[tuple[bool, str], int], smoothing: float) -> lis
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", markov: Markov = Markov()) -> list[float]:
     """The ratio table of the tokens of all texts."""
     rows = _pair_counts(id_and_text(docs, id_col, text_col), markov).collect()  # at most 2 * 67 * 67 rows
-    return ratio_table({(r.random, r.pair): r.n for r in rows}, markov.smoothing)
+    return ratio_table({(r.random, r.pair): r.n for r in rows}, markov)
 
 
 def find_secrets(

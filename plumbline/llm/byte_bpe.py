@@ -79,7 +79,7 @@ class ByteBpe:
     generations of that many, so frequent ones survive).
     """
 
-    def __init__(self, path: str, pattern: str, remembered: int = 400_000):
+    def __init__(self, path: str, pattern: str, remembered: int = 150_000):
         from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
         one_thread()

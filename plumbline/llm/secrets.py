@@ -140,13 +140,12 @@ def find_secrets(
         found.withColumn("assign", _spans(F.col("text"), F.col("m_assign"), ASSIGN, lambda i: F.char_length(F.get("values", i)) >= ASSIGN_VALUE))
         .withColumn("access", _spans(F.col("text"), F.col("m_access"), ACCESS))
         .withColumn("hex", _spans(F.col("text"), F.col("m_hex"), HEX))
-        .withColumn("ratios", table)
     )
 
     def random_like(token: Column) -> Column:
         def add(total, i):
             place = F.ascii(F.substring(token, i, 1)) * 128 + F.ascii(F.substring(token, i + 1, 1))
-            return total + F.get("ratios", place)
+            return total + F.get(table, place)
 
         return F.aggregate(F.sequence(F.lit(1), F.char_length(token) - 1), F.lit(0.0), add) >= markov.least_ratio
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -11,8 +12,12 @@ from plumbline.operators import charts as ch
 from plumbline.operators.anomalies import DetectionSettings, anomaly_rate, detect
 from plumbline.operators.anomalies import zscore_records as z_records
 from plumbline.operators.forest import SAMPLE_ROWS, TREES, draw_samples
-from plumbline.operators.report import anomaly_table
-from plumbline.session import materialize
+from plumbline.operators.profile import profile
+from plumbline.operators.report import anomaly_table, meta_table, report_tables
+from plumbline.operators.statistics import compute_stats
+from plumbline.plans.ingest import describe
+from plumbline.session import checkpoint_folder, materialize
+from plumbline.sources.sinks import write_report_tables
 
 LINE_KEY = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
 MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -69,11 +74,50 @@ def isolation_forest(spark, sf_dir):
     return detect(events, ["event_id"], ["value", "user_id"], DetectionSettings(use_z=False)).records
 
 
+@query(
+    """WITH planted AS (SELECT event_id FROM events ORDER BY event_id LIMIT 3)
+SELECT event_id, 'isolation_forest' AS method, true AS scored_lowest, true AS in_range FROM planted"""
+)
+def forest_finds_planted(spark, sf_dir):
+    """Three rows moved far away get lower scores than 99.9 percent of all; every score lies in [-1, 0)."""
+    events = _events(spark, sf_dir).select("event_id", "value", "user_id")
+    planted = events.orderBy("event_id").limit(3).select("event_id", F.lit(True).alias("planted"))
+    moved = events.join(F.broadcast(planted), "event_id", "left").select(
+        "event_id",
+        F.when(F.col("planted"), F.lit(1e5)).otherwise(F.col("value")).alias("value"),
+        F.when(F.col("planted"), F.lit(-(10**7))).otherwise(F.col("user_id")).alias("user_id"),
+    )
+    settings = DetectionSettings(use_z=False, contamination=0.01)
+    records = materialize(detect(moved, ["event_id"], ["value", "user_id"], settings).records)
+    facts = records.agg(F.percentile("score", 0.1).alias("low"), F.min("score").alias("least"), F.max("score").alias("most"))
+    low, in_range = facts.select("low").scalar(), facts.select((F.col("least") >= -1) & (F.col("most") < 0)).scalar()
+    return records.join(F.broadcast(planted), "event_id").select(
+        "event_id", "method", (F.col("score") <= low).alias("scored_lowest"), in_range.alias("in_range")
+    )
+
+
 @query()
 def ensemble_records(spark, sf_dir):
     return detect(_events(spark, sf_dir), ["event_id"], ["value"]).records
 
 
+@query(f"WITH {_Z} SELECT event_id, is_anomaly AS by_z, true AS labels_agree FROM flagged")
+def ensemble_labels(spark, sf_dir):
+    """Every row: the ensemble's label says exactly which of the two methods flags it alone."""
+    events = _events(spark, sf_dir)
+    both = materialize(detect(events, ["event_id"], ["value", "user_id"]).records)
+    forest = materialize(detect(events, ["event_id"], ["value", "user_id"], DetectionSettings(use_z=False)).records)
+    joined = (
+        events.select("event_id")
+        .join(both.select("event_id", "method"), "event_id", "left")
+        .join(forest.select("event_id", F.lit(True).alias("by_forest")), "event_id", "left")
+    )
+    by_z = F.coalesce(F.col("method").isin("ensemble", "zscore"), F.lit(False))
+    by_forest = F.coalesce("by_forest", F.lit(False))
+    label = F.when(by_z & by_forest, "ensemble").when(by_forest, "isolation_forest").when(by_z, "zscore")
+    return joined.select("event_id", by_z.alias("by_z"), F.col("method").eqNullSafe(label).alias("labels_agree"))
+
+
 @query(f"WITH {_Z} SELECT event_id, 'value' AS column_name, value FROM flagged WHERE is_anomaly")
 def ensemble_far_rows(spark, sf_dir):
     """Of the ensemble's records, those that the z-score flags, alone or with the forest."""
@@ -81,11 +125,15 @@ def ensemble_far_rows(spark, sf_dir):
     return records.where(F.col("method").isin("ensemble", "zscore")).select("event_id", "column_name", "value")
 
 
-@query()
+@query("SELECT count(*) AS row_count, true AS within_share FROM events")
 def contaminated_share(spark, sf_dir):
-    """The wanted share of rows, whatever their scores are."""
+    """The wanted share of rows, whatever their scores are; scores that tie at the limit may keep a few out."""
     settings = DetectionSettings(contamination=0.02, use_z=False)
-    return detect(_events(spark, sf_dir), ["event_id"], ["value", "user_id"], settings).records
+    found = detect(_events(spark, sf_dir), ["event_id"], ["value", "user_id"], settings)
+    count = F.lit(found.row_count).cast("bigint")
+    return found.records.agg(F.count("*").alias("n")).select(
+        count.alias("row_count"), ((F.col("n") <= 0.02 * count + 1) & (F.col("n") >= 0.015 * count - 1)).alias("within_share")
+    )
 
 
 @query(
@@ -107,6 +155,27 @@ def report_anomalies(spark, sf_dir):
     return anomaly_table(z_records(_events(spark, sf_dir), ["event_id"], ["value"]), ["event_id"])
 
 
+@query(f"WITH {_Z} SELECT event_id, 'value' AS column_name, value, -1.0::DOUBLE AS score, 'zscore' AS method FROM flagged WHERE is_anomaly")
+def report_anomalies_all(spark, sf_dir):
+    """The report set written and read back: every anomaly, not a listing's first ones."""
+    events = _events(spark, sf_dir)
+    records = z_records(events, ["event_id"], ["value"])
+    profiled, issues = describe(events)
+    tables = report_tables(profiled, issues, compute_stats(events), records, ["event_id"])
+    paths = write_report_tables(tables, f"{checkpoint_folder(spark).rstrip('/')}/{uuid.uuid4().hex}-report", "parquet")
+    return spark.read.parquet(paths["anomalies"])
+
+
+@query(
+    f"""WITH {_Z} SELECT count(*) FILTER (WHERE is_anomaly) AS anomaly_count, count(*) AS row_count,
+  round(count(*) FILTER (WHERE is_anomaly) / count(*), 4) AS anomaly_rate FROM flagged"""
+)
+def report_meta(spark, sf_dir):
+    events = _events(spark, sf_dir)
+    records = z_records(events, ["event_id"], ["value"])
+    return meta_table(profile(events.select("event_id"), samples=0), records).drop("findings")
+
+
 @query(f"WITH {_Z} SELECT ts AS x, value AS y, is_anomaly FROM flagged")
 def timeseries_flagged(spark, sf_dir):
     events = _events(spark, sf_dir)
@@ -130,7 +199,10 @@ def scatter_flagged(spark, sf_dir):
     return ch.scatter_data(events, "user_id", "value", ["event_id"], z_records(events, ["event_id"], ["value"]))
 
 
-@query()
+@query(
+    f"""WITH {_Z} SELECT user_id AS x, value AS y, CASE WHEN is_anomaly THEN 'Anomaly' ELSE 'Normal' END AS status FROM flagged
+WHERE is_anomaly OR CAST('0x' || substr(md5('42|' || event_id), 1, 8) AS BIGINT) % 1000000 < 100000"""
+)
 def scatter_sampled(spark, sf_dir):
     events = _events(spark, sf_dir)
     records = z_records(events, ["event_id"], ["value"])
@@ -162,10 +234,10 @@ def bar_top15(spark, sf_dir):
     """WITH b AS (SELECT min(value) AS lo, (max(value) - min(value)) / 20 AS w FROM events)
 SELECT 'timeseries' AS chart, count(*) AS points FROM events UNION ALL SELECT 'scatter', count(*) FROM events
 UNION ALL SELECT 'histogram', count(DISTINCT least(floor((value - lo) / w), 19)) FROM events, b
-UNION ALL SELECT 'heatmap', 4 WHERE EXISTS (SELECT 1 FROM events)"""
+UNION ALL SELECT 'heatmap', 4 WHERE (SELECT count(DISTINCT value) > 1 AND count(DISTINCT user_id) > 1 FROM events)"""
 )
 def chosen_charts(spark, sf_dir):
-    events = _events(spark, sf_dir).select("event_id", "ts", "value", "user_id")
+    events = _events(spark, sf_dir)
     records = materialize(z_records(events, ["event_id"], ["value"]))
     charts = ch.auto_charts(events, ["event_id"], records)
     sizes = [d.agg(F.lit(name).alias("chart"), F.count("*").alias("points")) for name, d in charts.items()]

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parity.registry import query, spread_table, table
+from parity.registry import query, table
 from plumbline.functions import parsing as P
 from plumbline.functions.columns import col, string_columns
 from plumbline.operators import casts as C
+from plumbline.operators.anomalies import usable_rows
 from plumbline.operators.charts import heatmap_data
 from plumbline.operators.correlation import correlation_matrix
 from plumbline.operators.profile import profile, profile_issues
@@ -23,7 +24,7 @@ def _as_text(df):
 
 def _part_texts(spark, sf_dir):
     """Part with every column as text and some null tokens, booleans and dates mixed in."""
-    part = spread_table(spark, sf_dir, "part")
+    part = table(spark, sf_dir, "part")
     return part.select(
         F.when(F.col("p_partkey") % 20 == 0, "N/A").otherwise(F.col("p_partkey").cast("string")).alias("key_text"),
         F.when(F.col("p_size") < 3, "x").otherwise(F.col("p_retailprice").cast("string")).alias("price_text"),
@@ -120,13 +121,21 @@ def null_policies(spark, sf_dir):
     sparse = table(spark, sf_dir, "lineitem").selectExpr(
         "nullif(l_linenumber, 3) AS a", "nullif(cast(l_quantity AS bigint), 10) AS b"
     )
-    measured = [
-        sparse.agg(F.count("*").alias("all_rows")),
-        sparse.na.drop("any", subset=["a", "b"]).agg(F.count("*").alias("complete_rows")),
-        sparse.na.drop("all", subset=["a", "b"]).agg(F.count("*").alias("scored_rows")),
-    ]
-    filled = sparse.na.fill(0, ["a", "b"]).agg(F.sum(F.col("a") + F.col("b")).cast("bigint").alias("zero_filled_sum"))
-    return filled.select(*[m.scalar().alias(m.columns[0]) for m in measured], "zero_filled_sum")
+    whole, complete = usable_rows(sparse, ["a", "b"])
+    filled, any_value = usable_rows(sparse, ["a", "b"], fill_gaps=True)
+    counts = whole.agg(F.count("*").alias("all_rows"), F.count_if(complete).alias("complete_rows"))
+    return filled.agg(
+        F.count_if(any_value).alias("scored_rows"), F.sum(F.col("a") + F.col("b")).cast("bigint").alias("zero_filled_sum")
+    ).select(*[counts.select(c).scalar().alias(c) for c in counts.columns], "scored_rows", "zero_filled_sum")
+
+
+_LINEITEM_COLUMNS = {
+    **dict.fromkeys(["l_orderkey", "l_partkey", "l_suppkey"], "bigint"),
+    "l_linenumber": "int",
+    **dict.fromkeys(["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "double"),
+    **dict.fromkeys(["l_returnflag", "l_linestatus"], "string"),
+    "l_shipdate": "timestamp_ntz",
+}
 
 
 def _profile_sql(name: str, columns: dict[str, str]) -> str:
@@ -162,7 +171,7 @@ def _shown(profiled):
     )
 )
 def schema_profile(spark, sf_dir):
-    return _shown(profile(spread_table(spark, sf_dir, "orders"), distinct="exact"))
+    return _shown(profile(table(spark, sf_dir, "orders"), distinct="exact"))
 
 
 @query(
@@ -176,20 +185,32 @@ def schema_profile_nulls(spark, sf_dir):
     return _shown(profile(sparse, distinct="exact"))
 
 
-@query()
+@query(f"SELECT * EXCLUDE (unique_count) FROM ({_profile_sql('lineitem', _LINEITEM_COLUMNS)})")
 def schema_profile_sketched(spark, sf_dir):
-    return _shown(profile(table(spark, sf_dir, "lineitem"), distinct="approx"))
+    """All but the sketched counts, which ``sketched_distinct_counts`` holds against exact ones."""
+    return _shown(profile(table(spark, sf_dir, "lineitem"), distinct="approx")).drop("unique_count")
+
+
+@query(
+    """SELECT 'key_text' AS column_name, count(*) AS row_count, count(DISTINCT o_orderkey) AS unique_count,
+  count(*) > 10 AND count(DISTINCT o_orderkey) > 0.95 * count(*) AS is_likely_id FROM orders"""
+)
+def profile_ids(spark, sf_dir):
+    """A unique text column is exact and warned of by default, whatever the table's size."""
+    keys = profile(table(spark, sf_dir, "orders").selectExpr("concat('k', o_orderkey) AS key_text"))
+    warned = profile_issues(keys).where(F.col("message").contains("likely an ID")).agg(F.count("*") > 0)
+    return keys.select("column_name", "row_count", "unique_count", warned.scalar().alias("is_likely_id"))
 
 
 @query(
     " UNION ALL ".join(
         f"""SELECT '{c}' AS column_name, count(*) AS row_count, 0.0::DOUBLE AS null_rate, true AS is_approx, true AS is_close FROM lineitem"""
-        for c in ["l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate"]
+        for c in _LINEITEM_COLUMNS
     )
 )
 def sketched_distinct_counts(spark, sf_dir):
     """Sketched distinct counts next to exact ones: within 15 percent, three times the sketch's deviation."""
-    lines = spread_table(spark, sf_dir, "lineitem").drop("l_linenumber", "l_discount", "l_tax", "l_linestatus")
+    lines = table(spark, sf_dir, "lineitem")
     exact = profile(lines, distinct="exact", samples=0).select("column_name", F.col("unique_count").alias("exact"))
     sketched = profile(lines, distinct="approx", samples=0).join(exact, "column_name")
     close = F.abs(F.col("unique_count") - F.col("exact")) <= 0.15 * F.col("exact")
@@ -432,6 +453,6 @@ def correlation_nulls(spark, sf_dir):
 t(column_name, suggested_type) WHERE (SELECT count(*) FROM orders) > 0"""
 )
 def suggest_casts_orders(spark, sf_dir):
-    texts = _as_text(spread_table(spark, sf_dir, "orders"))
+    texts = _as_text(table(spark, sf_dir, "orders"))
     assert string_columns(texts) == texts.columns
     return C.suggestions(C.cast_rates(texts)).drop("position")

@@ -11,6 +11,7 @@ from parity.registry import query, table
 from plumbline.operators import merge as mg
 from plumbline.operators.counts import with_remainder
 from plumbline.operators.keys import with_row_index
+from plumbline.plans.ingest import ingest
 from plumbline.session import checkpoint_folder
 from plumbline.sources.encoding import detect_encodings
 from plumbline.sources.readers import load_with_status, read_file
@@ -233,6 +234,83 @@ def sql_latest_before(spark, sf_dir):
     )
 
 
+@query("SELECT count(*) AS lines, CAST(sum(l_orderkey) AS BIGINT) AS keys FROM lineitem")
+def sql_uncapped(spark, sf_dir):
+    """Without a cap of the caller a query has all its rows."""
+    lines = _views(spark, sf_dir, "lineitem").query("SELECT l_orderkey FROM lineitem")
+    return lines.agg(F.count("*").alias("lines"), F.sum("l_orderkey").alias("keys"))
+
+
+_BIG = "concat('1234567890123456', lpad(o_orderkey, 6, '0'))"
+
+
+@query("SELECT 'string' AS kind, count(*) AS n, min('1234567890123456' || lpad(CAST(o_orderkey AS VARCHAR), 6, '0')) AS first_value FROM orders")
+def csv_big_integers(spark, sf_dir):
+    """Integers beyond 64 bits stay text where a double would round them."""
+    path = _folder(spark, "big.csv")
+    table(spark, sf_dir, "orders").selectExpr(f"{_BIG} AS big", "o_orderkey").write.csv(path, header=True)
+    df = read_file(spark, path)
+    return df.agg(F.lit(dict(df.dtypes)["big"]).alias("kind"), F.count("big").alias("n"), F.min("big").alias("first_value"))
+
+
+@query("SELECT count(*) AS n, count(DISTINCT doc_id) AS ids, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents")
+def csv_quoted_breaks(spark, sf_dir):
+    """Texts with line breaks come back whole."""
+    path = _folder(spark, "texts.csv")
+    table(spark, sf_dir, "documents").select("doc_id", "text").write.csv(path, header=True, escape='"', quoteAll=True)
+    df = read_file(spark, path)
+    return df.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids"), F.sum(F.length("text")).alias("chars"))
+
+
+def _status(spark, **paths):
+    status = load_with_status(spark, [SourceSpec(p, source_id=n) for n, p in paths.items()]).status
+    return status.select("source_id", "tier", "row_count", F.col("warning").isNotNull().alias("warned"))
+
+
+@query("SELECT 'mixed' AS source_id, 'degraded' AS tier, CAST(count(*) * 0 AS BIGINT) AS row_count, count(*) > 0 AS warned FROM orders")
+def csv_mixed_headers(spark, sf_dir):
+    """Files of a folder with their columns in another order are refused, not shuffled."""
+    path, orders = _folder(spark, "mixed.csv"), table(spark, sf_dir, "orders")
+    orders.select("o_orderkey", "o_orderstatus").write.csv(path, header=True)
+    orders.select("o_orderstatus", "o_orderkey").write.csv(path, header=True, mode="append")
+    return _status(spark, mixed=path)
+
+
+@query(
+    """SELECT 'broken' AS source_id, 'degraded' AS tier, CAST(0 AS BIGINT) AS row_count, count(*) > 0 AS warned FROM labels
+UNION ALL SELECT 'whole', 'none', count(*), false FROM labels"""
+)
+def json_broken(spark, sf_dir):
+    """Lines that are no JSON make a load fail instead of becoming rows of nulls."""
+    broken, whole, labels = _folder(spark, "broken.jsonl"), _folder(spark, "whole.jsonl"), table(spark, sf_dir, "labels")
+    labels.write.json(whole)
+    labels.selectExpr("if(doc_id % 2 = 0, to_json(struct(*)), concat('{', doc_id)) AS value").write.text(broken)
+    return _status(spark, broken=broken, whole=whole)
+
+
+@query("SELECT s_suppkey, s_name, n_name FROM supplier s FULL JOIN (SELECT *, row_number() OVER (ORDER BY n_nationkey DESC) AS k FROM nation) n ON k = (SELECT count(*) FROM supplier x WHERE x.s_acctbal < s.s_acctbal OR (x.s_acctbal = s.s_acctbal AND x.s_suppkey < s.s_suppkey)) + 1")
+def merge_by_orders(spark, sf_dir):
+    """Tables with other columns side by side, each in the order stated for it."""
+    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal")
+    nation = table(spark, sf_dir, "nation").selectExpr("n_name", "-n_nationkey AS down")
+    merged = mg.merge([supplier, nation], [["s_acctbal", "s_suppkey"], ["down"]])
+    return merged.select("s_suppkey", "s_name", "n_name")
+
+
+@query(
+    """SELECT 'n_nationkey' AS column_name, 'bigint' AS dtype, 2 * count(*) AS row_count, count(DISTINCT n_nationkey) AS unique_count FROM nation
+UNION ALL SELECT 'n_name', 'string', 2 * count(*), count(DISTINCT n_name) FROM nation"""
+)
+def ingest_two_sources(spark, sf_dir):
+    """Two sources stacked, types mended, described."""
+    one, other = _folder(spark, "one.csv"), _folder(spark, "other.jsonl")
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    nation.write.csv(one, header=True)
+    nation.select("n_name", "n_nationkey").write.json(other)
+    got = ingest(spark, [SourceSpec(one, source_id="one"), SourceSpec(other, source_id="other")])
+    return got.profile.select("column_name", "dtype", "row_count", "unique_count")
+
+
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1000")
 def sql_row_cap(spark, sf_dir):
     return _views(spark, sf_dir, "orders").query(

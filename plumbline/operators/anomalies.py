@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 from math import isfinite
 
 from pyspark.sql import Column, DataFrame
@@ -21,37 +22,50 @@ from plumbline.session import materialize
 MIN_ROWS = 10
 MIN_ROWS_FOR_Z = 3
 Z_THRESHOLD = 3.0
-FULL_FIT_ROWS = 100_000
-FIT_SHARE = 0.10
 AUTO_SCORE = -0.5
 NO_SCORE = -1.0
 BOTH, BY_FOREST, BY_Z = "ensemble", "isolation_forest", "zscore"
-FULL, SIMPLIFIED = "none", "simplified"
 
 
 @dataclass(frozen=True)
 class DetectionSettings:
     contamination: float | str = "auto"
     z_threshold: float = Z_THRESHOLD
-    full_fit_rows: int = FULL_FIT_ROWS
-    fit_share: float = FIT_SHARE
     seed: int = 42
     use_forest: bool = True
     use_z: bool = True
     trees: int = TREES
     sample_rows: int = SAMPLE_ROWS
     keys_are_unique: bool = False
+    fill_gaps: bool = False
 
 
 @dataclass(frozen=True)
 class Detection:
-    """``records`` has one row per flagged row; ``tier`` is "simplified" if the fit was sampled."""
+    """``records`` has one row per flagged row.
+
+    The forest draws ``sample_rows`` rows per tree from the whole table, whatever its size.
+    """
 
     records: DataFrame
-    tier: str
     row_count: int
 
 
+def usable_rows(df: DataFrame, columns: Sequence[str], fill_gaps: bool = False) -> tuple[DataFrame, Column]:
+    """The table and the test of the rows that a forest can judge.
+
+    These are the rows that are complete in ``columns``; with ``fill_gaps``
+    those with any value there, and gaps count as 0.
+    """
+    types = {f.name: f.dataType for f in df.schema.fields}
+    values = {c: as_double(c, types[c]) for c in columns}
+    if not fill_gaps:
+        return df, all_present(values.values())
+    usable = reduce(lambda a, b: a | b, [v.isNotNull() for v in values.values()])
+    filled = df.withColumn("__usable", usable).withColumns({c: F.coalesce(values[c], F.lit(0.0)) for c in columns})
+    return filled, F.col("__usable")
+
+
 def can_flag(m: Moments) -> bool:
     """Enough values, and some spread."""
     return m.n >= MIN_ROWS_FOR_Z and bool(m.sd) and isfinite(m.mean) and isfinite(m.sd)
@@ -132,37 +146,37 @@ def detect(
     Records hold the keys, column_name (first column over the z threshold, else
     the first numeric one), its value, the forest score rounded to 4 places (-1
     for rows without one) and the method. The forest scores rows that are
-    complete in all ``columns``; z-scores look at every value.
+    complete in all ``columns`` (with ``fill_gaps`` those with any value, gaps
+    as 0); z-scores look at every value.
     """
     columns = list(columns if columns is not None else [c for c in numeric_columns(df) if c not in key_cols])
     require_columns(df, [*key_cols, *columns])
     if not columns:
-        return Detection(empty_records(df, key_cols), FULL, 0)
-    types = {f.name: f.dataType for f in df.schema.fields}
-    complete = all_present(as_double(c, types[c]) for c in columns)
+        return Detection(empty_records(df, key_cols), 0)
     rows, usable, moments = measure(df, columns)
+    if settings.fill_gaps:
+        judged, test = usable_rows(df, columns, fill_gaps=True)
+        usable = judged.where(test).count()
     for n in (rows, usable):
         if n < MIN_ROWS:
             raise InsufficientData(MIN_ROWS, n)
     if not settings.use_forest and not settings.use_z:
         raise DetectionError("both detection methods are switched off")
 
-    tier = FULL
     moments = moments if settings.use_z else {}
     narrow = df.select(*[col(c) for c in dict.fromkeys([*key_cols, *columns])])
-    scored = narrow.withColumn("__z", zscore_column(df, moments, settings.z_threshold))
+    narrow, complete = usable_rows(
+        narrow.withColumn("__z", zscore_column(df, moments, settings.z_threshold)), columns, settings.fill_gaps
+    )
+    scored = narrow
     if settings.use_forest:
         if not settings.keys_are_unique:
             check_unique(df, key_cols)
-        sampled = usable > settings.full_fit_rows
-        tier = SIMPLIFIED if sampled else FULL
-        share = settings.fit_share if sampled else 1.0
-        share = max(share, MIN_ROWS / usable)
         forest = fit_forest(
-            narrow.where(complete), key_cols, columns, usable, share,
+            narrow.where(complete), key_cols, columns, usable, 1.0,
             settings.trees, settings.sample_rows, settings.seed,
         )
-        scored = scored.withColumn("__score", score_column(df, forest, complete))
+        scored = scored.withColumn("__score", score_column(narrow, forest, complete))
         if settings.contamination == "auto":
             limit = AUTO_SCORE
         else:
@@ -187,7 +201,7 @@ def detect(
         F.round(F.coalesce("__score", F.lit(NO_SCORE)), 4).alias("score"),
         "method",
     )
-    return Detection(records, tier, rows)
+    return Detection(records, rows)
 
 
 def _score_limit(scored: DataFrame, contamination: float) -> float:

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from plumbline.functions import parsing as P
 from plumbline.functions.columns import col, string_columns
-from plumbline.operators.measures import one_row_each
+from plumbline.operators.measures import per_column
 from plumbline.session import small_table
 
 # Shares of parseable values from which a type is suggested.
@@ -18,6 +18,9 @@ INTEGER_SHARE = 0.90
 NUMBER_SHARE = 0.90
 DATE_SHARE = 0.80
 
+# Fixed value: the largest integer up to which a double holds every one.
+EXACT_INTEGER = 1 << 53
+
 # Names of the cast targets.
 INT64, FLOAT64, BOOLEAN, DATE, DATETIME, UTF8, STRING = (
     "Int64",
@@ -42,26 +45,31 @@ def cast_rates(df: DataFrame) -> DataFrame:
     blanks, dates, timestamps. Every value is looked at: a distributed table
     has no "first rows", so shares are over all non-null values.
     """
+    return _rates(df).drop("whole", "finite")
+
+
+def _rates(df: DataFrame) -> DataFrame:
+    """The counts of ``cast_rates`` and how many values convert to a 64-bit integer and to a finite number."""
     columns = string_columns(df)
     if not columns:
-        return small_table(df.sparkSession, [], RATES_SCHEMA)
-    rows = []
-    for i, name in enumerate(columns):
-        value = col(name)
-        rows.append(
-            F.struct(
-                F.lit(i).alias("position"),
-                F.lit(name).alias("column_name"),
-                F.count(value).alias("non_null"),
-                F.count_if(P.is_integer_text(value)).alias("integers"),
-                F.count_if(P.is_number_text(value)).alias("numbers"),
-                F.count_if(P.is_boolean_text(value)).alias("booleans"),
-                F.count_if(P.is_blank(value)).alias("blanks"),
-                F.count(P.to_date(value)).alias("dates"),
-                F.count(P.to_timestamp(value)).alias("timestamps"),
-            )
-        )
-    return one_row_each(df, rows)
+        return small_table(df.sparkSession, [], f"{RATES_SCHEMA}, whole bigint, finite bigint")
+    value = F.col("value")
+    number = P.to_number(value)
+    too_long = F.coalesce(F.abs(P.to_integer(value)) > EXACT_INTEGER, F.lit(True))
+    return per_column(
+        df,
+        columns,
+        {c: col(c) for c in columns},
+        F.count(value).alias("non_null"),
+        F.count_if(P.is_integer_text(value)).alias("integers"),
+        F.count_if(P.is_number_text(value)).alias("numbers"),
+        F.count_if(P.is_boolean_text(value)).alias("booleans"),
+        F.count_if(P.is_blank(value)).alias("blanks"),
+        F.count(P.to_date(value)).alias("dates"),
+        F.count(P.to_timestamp(value)).alias("timestamps"),
+        F.count(P.to_integer(value)).alias("whole"),
+        F.count_if((F.abs(number) < F.lit(float("inf"))) & ~(P.is_integer_text(value) & too_long)).alias("finite"),
+    )
 
 
 def _share(part: str):
@@ -94,17 +102,23 @@ def suggest_casts(df: DataFrame) -> dict[str, str]:
 
 
 def infer_casts(df: DataFrame) -> dict[str, str]:
-    """Casts that lose no value: every non-null text of the column reads as the type."""
+    """Casts that lose no value: every non-null text of the column converts to the type.
+
+    A text that only looks like a number counts for neither kind: integers
+    beyond 64 bits and texts like "--5" do not convert, numbers beyond a
+    double's range become infinite, and integers beyond 2**53 would be rounded
+    in a column of fractions.
+    """
     n = F.col("non_null")
     exact = (
-        F.when(F.col("integers") == n, INT64)
-        .when(F.col("numbers") == n, FLOAT64)
+        F.when(F.col("whole") == n, INT64)
+        .when(F.col("finite") == n, FLOAT64)
         .when((F.col("booleans") == n), BOOLEAN)
         .when(F.col("dates") == n, DATE)
         .when(F.col("timestamps") == n, DATETIME)
     )
     rows = (
-        cast_rates(df)
+        _rates(df)
         .where(n > 0)
         .select("column_name", exact.alias("target"))
         .where(F.col("target").isNotNull())

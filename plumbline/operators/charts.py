@@ -15,7 +15,6 @@ from plumbline.operators.counts import top_values
 # Chart limits and labels.
 HISTOGRAM_BINS = 20
 BAR_VALUES = 15
-HEATMAP_COLUMNS = 6
 MAX_CHARTS = 4
 ANOMALY, NORMAL = "Anomaly", "Normal"
 
@@ -63,17 +62,24 @@ def timeseries_data(
 
 
 def histogram_data(df: DataFrame, column: str, bins: int = HISTOGRAM_BINS) -> DataFrame:
-    """Non-empty bins of equal width: (bin, bin_start, bin_end, count); one bin if all values are equal."""
+    """Non-empty bins of equal width: (bin, bin_start, bin_end, count); one bin if all values are equal.
+
+    Infinite values have no bin of a width; they come as bins of their own, -1
+    and ``bins``, without another end.
+    """
     require_columns(df, [column])
     dtype = df.schema[column].dataType
     if not is_numeric(dtype):
         raise PlumblineError(f"column '{column}' is not numeric ({dtype.simpleString()})")
     value = as_double(column, dtype)
-    low, high = df.agg(F.min(value), F.max(value)).first()
+    finite = F.abs(value) < F.lit(float("inf"))
+    low, high = df.agg(F.min(F.when(finite, value)), F.max(F.when(finite, value))).first()
     width = (high - low) / bins if low is not None and high > low else 0.0
     place: Column = F.lit(0)
     if width > 0:
         place = F.least(F.floor((F.col("v") - F.lit(low)) / F.lit(width)), F.lit(bins - 1))
+    infinite = F.lit(float("inf"))
+    place = F.when(F.col("v") == infinite, bins).when(F.col("v") == -infinite, -1).otherwise(place)
     return (
         df.select(value.alias("v"))
         .where(F.col("v").isNotNull())
@@ -81,8 +87,8 @@ def histogram_data(df: DataFrame, column: str, bins: int = HISTOGRAM_BINS) -> Da
         .agg(F.count("*").alias("count"))
         .select(
             "bin",
-            (F.lit(low).cast("double") + F.col("bin") * F.lit(width)).alias("bin_start"),
-            (F.lit(low).cast("double") + (F.col("bin") + 1) * F.lit(width)).alias("bin_end"),
+            F.when(F.col("bin") == bins, infinite).when(F.col("bin") >= 0, F.lit(low).cast("double") + F.col("bin") * F.lit(width)).alias("bin_start"),
+            F.when(F.col("bin") == -1, -infinite).when(F.col("bin") < bins, F.lit(low).cast("double") + (F.col("bin") + 1) * F.lit(width)).alias("bin_end"),
             "count",
         )
     )
@@ -115,7 +121,8 @@ def scatter_data(
     require_columns(df, [x, y])
     marked = flag_rows(df.where(col(x).isNotNull() & col(y).isNotNull()), key_cols, records)
     if normal_share is not None:
-        draw = F.pmod(F.xxhash64(F.lit(seed), *[col(k) for k in key_cols or df.columns]), F.lit(1_000_000))
+        key = F.concat_ws("|", F.lit(str(seed)), *[col(k).cast("string") for k in key_cols or df.columns])
+        draw = F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("bigint") % 1_000_000
         marked = marked.where(F.col("is_anomaly") | (draw < int(normal_share * 1_000_000)))
     return marked.select(
         col(x).alias("x"), col(y).alias("y"), F.when(F.col("is_anomaly"), ANOMALY).otherwise(NORMAL).alias("status")
@@ -129,11 +136,13 @@ def auto_charts(
     max_charts: int = MAX_CHARTS,
     bucket: str | None = None,
     normal_share: float | None = None,
+    heatmap_columns: Sequence[str] | None = None,
 ) -> dict[str, DataFrame]:
     """The most telling charts of a table, by name: timeseries, scatter, histogram, heatmap.
 
     The histogram shows the column of the first anomaly record (in key order),
-    or the first numeric column.
+    or the first numeric column. The heat map shows all numeric columns unless
+    ``heatmap_columns`` names some.
     """
     numeric = [c for c in numeric_columns(df) if c not in key_cols] or numeric_columns(df)
     times = time_columns(df)
@@ -145,7 +154,7 @@ def auto_charts(
     if numeric and len(charts) < max_charts:
         charts["histogram"] = histogram_data(df, _first_flagged(key_cols, records, numeric))
     if len(numeric) >= 2 and len(charts) < max_charts:
-        charts["heatmap"] = heatmap_data(df, numeric[:HEATMAP_COLUMNS])
+        charts["heatmap"] = heatmap_data(df, heatmap_columns or numeric)
     return charts
 
 

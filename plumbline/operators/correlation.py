@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from plumbline.errors import PlumblineError
 from plumbline.functions.columns import as_double, numeric_columns, require_columns
-from plumbline.operators.measures import GROUP, measure, one_row_each
+from plumbline.operators.measures import measure
+from plumbline.session import small_table
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -26,19 +27,14 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> D
         raise PlumblineError(f"a correlation matrix needs at least 2 numeric columns, got {len(columns)}")
     types = {f.name: f.dataType for f in df.schema.fields}
     values = {c: as_double(c, types[c]) for c in columns}
-    rows, _, moments = measure(df, columns)
-    scaled, full = {}, {}
-    for name, m in moments.items():
-        scaled[name] = (values[name] - F.lit(m.mean)) / F.lit(m.sd) if m.sd else F.lit(0.0)
-        full[name] = m.n == rows
-
-    pairs = []
-    for i, a in enumerate(columns):
-        for b in columns[i:]:
-            r = F.avg(scaled[a] * scaled[b]) if full[a] and full[b] else _pairwise(scaled[a], scaled[b])
-            r = F.round(F.coalesce(r, F.lit(0.0)), 4)
-            pairs.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), r.alias("correlation")))
-    upper = one_row_each(df, pairs, 5 * GROUP)
+    _, _, moments = measure(df, columns)
+    scaled = {c: (values[c] - F.lit(m.mean)) / F.lit(m.sd) if m.sd else F.lit(0.0) for c, m in moments.items()}
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
+    # One short row per pair inside the task, summed there: one scan and one narrow aggregate for any number of columns.
+    cells = F.array(*[F.struct(F.lit(k).alias("pair"), scaled[a].alias("a"), scaled[b].alias("b")) for k, (a, b) in enumerate(pairs)])
+    sums = df.select(F.inline(cells)).groupBy("pair").agg(F.coalesce(_pairwise(F.col("a"), F.col("b")), F.lit(0.0)).alias("r"))
+    names = small_table(df.sparkSession, [(k, a, b) for k, (a, b) in enumerate(pairs)], "pair int, col_a string, col_b string")
+    upper = names.join(sums, "pair", "left").select("col_a", "col_b", F.round(F.coalesce("r", F.lit(0.0)), 4).alias("correlation"))
     mirror = F.array(
         F.struct("col_a", "col_b", "correlation"),
         F.struct(F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), "correlation"),

@@ -14,11 +14,12 @@ NULL_SHARE = 0.3
 NAMED_COLUMNS = 3
 
 
-def findings(stats: DataFrame, records: DataFrame, key_cols: Sequence[str]) -> DataFrame:
+def findings(stats: DataFrame, records: DataFrame, key_cols: Sequence[str], named_columns: int | None = NAMED_COLUMNS) -> DataFrame:
     """Rows (finding_order, finding): size, anomaly share, first anomaly, columns with many nulls.
 
     ``stats`` comes from ``compute_stats``, ``records`` from the anomaly
-    operators. The first anomaly is the one with the smallest key.
+    operators. The first anomaly is the one with the smallest key. The sentence
+    about nulls names ``named_columns`` columns (None: all).
     """
     count, nulls = F.col("count"), F.col("null_count")
     sizes = stats.agg(
@@ -39,7 +40,7 @@ def findings(stats: DataFrame, records: DataFrame, key_cols: Sequence[str]) -> D
     # Both results are one row each; the second one joins the first as a scalar.
     facts = sizes.withColumn("a", flagged.select(F.struct("anomalies", "first")).scalar())
     rows, found, first = F.col("rows"), F.col("a.anomalies"), F.col("a.first")
-    named = F.transform(F.slice("sparse", 1, NAMED_COLUMNS), lambda e: e["column_name"])
+    named = F.transform(F.slice("sparse", 1, named_columns) if named_columns else F.col("sparse"), lambda e: e["column_name"])
 
     # The sentence formats.
     sentences = [

@@ -1,34 +1,34 @@
-"""Aggregates over many columns, kept narrow enough to stay compiled."""
+"""Aggregates over many columns in one scan, however many there are."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
-from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import as_double
+from plumbline.session import small_table
 
-# Spark compiles an aggregate only up to about a hundred buffer fields. A wide
-# table is therefore measured in groups of columns. A columnar source reads
-# each column once either way.
-GROUP = 8
 
-Item = TypeVar("Item")
+def per_column(df: DataFrame, columns: Sequence[str], values: Mapping[str, Column], *measures: Column) -> DataFrame:
+    """One row (position, column_name, measures) per column; the measures are aggregates of ``value``.
 
-
-def groups(items: Sequence[Item], size: int = GROUP) -> Iterator[Sequence[Item]]:
-    for start in range(0, len(items), size):
-        yield items[start : start + size]
-
-
-def one_row_each(df: DataFrame, measures: Sequence[Column], size: int = GROUP) -> DataFrame:
-    """One row per measure; a measure is a struct of aggregates, all of the same shape."""
-    parts = [df.agg(F.array(*group).alias("m")).select(F.inline("m")) for group in groups(measures, size)]
-    return reduce(lambda a, b: a.unionAll(b), parts)
+    Every row is turned into one short row per column inside its task and
+    summed there by position, so that the table is read once, the aggregate
+    stays as narrow (and compiled) for a thousand columns as for one, and one
+    row per column and task is shuffled. ``values`` gives each column's value,
+    all of one type. One null cell per column is added, which no aggregate of
+    ``value`` counts, so that an empty table has its rows, too.
+    """
+    cells = F.array(*[F.struct(F.lit(i).alias("position"), values[c].alias("value")) for i, c in enumerate(columns)])
+    names = small_table(df.sparkSession, list(enumerate(columns)), "position int, column_name string")
+    rows = df.select(F.inline(cells))
+    empty = names.select("position", F.lit(None).cast(rows.schema["value"].dataType).alias("value"))
+    measured = rows.unionAll(empty).groupBy("position").agg(*measures)
+    return names.join(measured, "position").select("position", "column_name", *measured.columns[1:])
 
 
 @dataclass(frozen=True)
@@ -45,12 +45,21 @@ def all_present(values: Iterable[Column]) -> Column:
 
 
 def measure(df: DataFrame, columns: Sequence[str]) -> tuple[int, int, dict[str, Moments]]:
-    """Rows, rows that are complete in ``columns``, and the moments of each column. NaN counts as missing."""
+    """Rows, rows that are complete in ``columns``, and the moments of each column, in one scan. NaN counts as missing."""
     types = {f.name: f.dataType for f in df.schema.fields}
     values = {c: as_double(c, types[c]) for c in columns}
-    parts = [F.struct(F.count(v), F.avg(v), F.stddev_pop(v)).alias(f"m{i}") for i, v in enumerate(values.values())]
-    complete = F.count_if(all_present(values.values()))
-    first, *others = groups(parts)
-    row = df.agg(F.count("*"), complete, *first).first()
-    found = [*row[2:], *(m for group in others for m in df.agg(*group).first())]
-    return row[0], row[1], {c: Moments(*m) for c, m in zip(columns, found)}
+    complete = all_present(values.values())
+    # The last cell of a row is not a column: it counts the rows and says whether this one is complete.
+    cells = [F.struct(F.lit(i).alias("position"), v.alias("value")) for i, v in enumerate(values.values())]
+    cells.append(F.struct(F.lit(len(cells)).alias("position"), F.when(complete, 1.0).alias("value")))
+    value = F.col("value")
+    found = (
+        df.select(F.inline(F.array(*cells)))
+        .groupBy("position")
+        .agg(F.count("*").alias("n"), F.count(value).alias("present"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"))
+        .collect()
+    )
+    by_position = {r.position: r for r in found}
+    last = by_position.get(len(columns))
+    moments = {c: Moments(r.present, r.mean, r.sd) if (r := by_position.get(i)) else Moments(0, None, None) for i, c in enumerate(columns)}
+    return (last.n, last.present, moments) if last else (0, 0, moments)

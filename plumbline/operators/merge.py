@@ -56,10 +56,11 @@ def merge(
     spark: SparkSession | None = None,
     unique: bool = True,
 ) -> DataFrame:
-    """Stack tables with equal column sets; put others side by side.
+    """Stack tables with equal column sets; put others side by side, in the row orders given by ``orders``.
 
-    Nothing is dropped on failure: tables that cannot be merged raise. No
-    tables give an empty one.
+    Rows of a distributed table have no place of their own, so tables with
+    other columns raise without ``orders``, as do all that cannot be merged.
+    No tables give an empty one.
     """
     if not frames:
         session = spark or SparkSession.active()
@@ -69,8 +70,7 @@ def merge(
     if len({frozenset(f.columns) for f in frames}) == 1:
         return stack(frames)
     if orders is None:
-        orders = [f.columns for f in frames]
-        unique = False
+        raise PlumblineError("tables with different columns need `orders`, the columns that fix each table's row order")
     return side_by_side(frames, orders, unique).drop("row_index")
 
 

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.errors import PlumblineError
 from plumbline.functions import parsing as P
 from plumbline.functions.columns import as_text, col, groupable, numeric_columns, string_columns
 from plumbline.operators.counts import column_catalog, rank_within_column, value_counts
 
 # Limits of the profile and of the issues drawn from it.
-EXACT_TEXT_ROWS = 100_000
 SAMPLE_VALUES = 5
 HIGH_NULL_RATE = 0.50
 NUMERIC_TEXT_SHARE = 0.90
@@ -21,26 +21,24 @@ ID_SHARE = 0.95
 ID_MIN_ROWS = 10
 
 
-def profile(df: DataFrame, distinct: str = "auto", samples: int = SAMPLE_VALUES) -> DataFrame:
+def profile(df: DataFrame, distinct: str = "exact", samples: int = SAMPLE_VALUES) -> DataFrame:
     """One row per column.
 
     Columns: position, column_name, dtype, nullable (nulls were seen),
     row_count, null_count, null_rate (4 places), unique_count (null counts as a
     value), is_approx, number_share (share of a text column's values that read
-    as numbers), samples (up to ``samples`` distinct values, smallest first; of
-    approximate columns the first ones a scan meets).
+    as numbers), samples (up to ``samples`` distinct values, smallest first).
 
-    ``distinct`` is "exact", "approx" or "auto". Auto counts exactly except for
-    text columns of tables above 100,000 rows. Exact columns cost one shuffle
-    of their distinct values; approximate ones one bounded sketch per task.
+    ``distinct`` is "exact" (one shuffle of the distinct values), "approx" (one
+    bounded sketch per column and task, and a scan per sample) or "approx-text"
+    (sketches for text columns only). The choice is the caller's, whatever the
+    size of the table.
     """
     names = df.columns
-    if distinct == "approx":
-        rough = list(names)
-    elif distinct == "auto" and string_columns(df) and df.count() > EXACT_TEXT_ROWS:
-        rough = string_columns(df)
-    else:
-        rough = []
+    choices = {"exact": [], "approx": list(names), "approx-text": string_columns(df)}
+    if distinct not in choices:
+        raise PlumblineError(f"distinct must be one of {list(choices)}")
+    rough = choices[distinct]
     exact = [c for c in names if c not in rough]
     catalog = column_catalog(df, names)
     parts = []
@@ -106,10 +104,10 @@ def _exact_profile(df: DataFrame, columns: list[str], samples: int) -> DataFrame
 
 
 def _sketched_profile(df: DataFrame, columns: list[str], samples: int) -> DataFrame:
-    """One pass with a bounded distinct-count sketch per column; samples in scan order."""
+    """One pass with a bounded distinct-count sketch per column, and one per sample."""
     texts = set(string_columns(df))
     types = {f.name: f.dataType for f in df.schema.fields}
-    first = _first_values(df, columns, types, samples)
+    first = _smallest_values(df, columns, types, samples)
     rows = []
     for name in columns:
         value = groupable(name, types[name])
@@ -130,20 +128,29 @@ def _sketched_profile(df: DataFrame, columns: list[str], samples: int) -> DataFr
     return df.agg(F.array(*rows).alias("r")).select(F.inline("r"))
 
 
-def _first_values(df: DataFrame, columns: list[str], types: Mapping[str, T.DataType], n: int) -> dict[str, list[str]]:
-    """The first few non-null values of each column that a scan meets, without repeats.
-
-    The first rows serve most columns; one that is null there is looked up alone.
-    """
-    if not n:
-        return {name: [] for name in columns}
-    head = df.select(*[as_text(c, types[c]) for c in columns]).take(n)
-    found = {name: [r[i] for r in head if r[i] is not None] for i, name in enumerate(columns)}
-    for name, values in found.items():
-        if not values and head:
-            alone = df.where(col(name).isNotNull()).select(as_text(name, types[name]))
-            found[name] = [r[0] for r in alone.take(n)]
-    return {name: list(dict.fromkeys(values)) for name, values in found.items()}
+def _smallest_values(df: DataFrame, columns: list[str], types: Mapping[str, T.DataType], n: int) -> dict[str, list[str]]:
+    """The ``n`` smallest distinct values of each column as text: each scan finds every column's next one."""
+    found: dict[str, list[str]] = {name: [] for name in columns}
+    numeric = set(numeric_columns(df))
+    last: dict[str, object] = {}
+    open_columns = list(columns)
+    for _ in range(n):
+        if not open_columns:
+            break
+        smallest = []
+        for name in open_columns:
+            text = as_text(name, types[name])
+            value = col(name) if name in numeric else text
+            later = value > F.lit(last[name]) if name in last else value.isNotNull()
+            smallest.append(F.min(F.when(later, F.struct(value.alias("v"), text.alias("t")))).alias(f"m{len(smallest)}"))
+        row = df.agg(*smallest).first()
+        for name, value in zip(list(open_columns), row):
+            if value is None:
+                open_columns.remove(name)
+            else:
+                last[name] = value["v"]
+                found[name].append(value["t"])
+    return found
 
 
 def profile_issues(profiled: DataFrame) -> DataFrame:

@@ -34,6 +34,21 @@ def overview_table(profiled: DataFrame, issues: DataFrame, sources: Sequence[str
     )
 
 
+def meta_table(profiled: DataFrame, records: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """One row: anomaly_count, row_count, anomaly_rate (4 places) and the findings as an array in their order."""
+    rows = profiled.agg(F.coalesce(F.max("row_count"), F.lit(0)).alias("n")).scalar()
+    told = F.array().cast("array<string>")
+    if found is not None:
+        listed = found.agg(F.transform(F.array_sort(F.collect_list(F.struct("finding_order", "finding"))), lambda f: f["finding"]).alias("f"))
+        told = listed.scalar()
+    return records.agg(F.count("*").alias("anomaly_count")).select(
+        "anomaly_count",
+        rows.alias("row_count"),
+        F.round(F.coalesce(F.try_divide(F.col("anomaly_count"), rows), F.lit(0.0)), 4).alias("anomaly_rate"),
+        told.alias("findings"),
+    )
+
+
 def schema_table(profiled: DataFrame) -> DataFrame:
     return profiled.select(
         "position",
@@ -118,16 +133,29 @@ def report_tables(
     usage: DataFrame | None = None,
     errors: DataFrame | None = None,
     sources: Sequence[str] = (),
+    listings: bool = False,
 ) -> dict[str, DataFrame]:
-    """All report tables that the given results allow."""
+    """All report tables that the given results allow, whole and with plain values.
+
+    ``listings`` adds the formatted and shortened tables that a reader is shown.
+    """
     tables = {
         "overview": overview_table(profiled, issues, sources),
-        "schema": schema_table(profiled),
+        "meta": meta_table(profiled, records, found),
+        "schema": profiled,
         "quality": quality_table(issues),
-        "numeric_stats": numeric_table(stats),
-        "categorical_stats": categorical_table(stats),
-        "anomalies": anomaly_table(records, key_cols),
+        "stats": stats,
+        "anomalies": records,
     }
+    if listings:
+        tables |= {
+            "schema_listing": schema_table(profiled),
+            "numeric_listing": numeric_table(stats),
+            "categorical_listing": categorical_table(stats),
+            "anomaly_listing": anomaly_table(records, key_cols),
+        }
+        if errors is not None:
+            tables["error_listing"] = error_table(errors)
     if found is not None:
         tables["findings"] = found
     for name, data in (charts or {}).items():
@@ -136,5 +164,5 @@ def report_tables(
         tables["cost_by_agent"] = costs_by(usage, "agent_id")
         tables["cost_by_model"] = costs_by(usage, "model")
     if errors is not None:
-        tables["errors"] = error_table(errors)
+        tables["errors"] = errors
     return tables

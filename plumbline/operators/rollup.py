@@ -18,13 +18,22 @@ def _costs(usage: DataFrame) -> DataFrame:
 
 
 def run_rollup(
-    runs: DataFrame, issues: DataFrame, anomalies: DataFrame, usage: DataFrame, errors: DataFrame
+    runs: DataFrame,
+    issues: DataFrame,
+    anomalies: DataFrame,
+    usage: DataFrame,
+    errors: DataFrame,
+    charts: DataFrame | None = None,
+    found: DataFrame | None = None,
+    by_agent: bool = False,
 ) -> DataFrame:
     """Every run with its counts of issues, anomalies and errors and its usage totals.
 
     ``runs`` has task_id, status, row_count and further columns, which are
     kept. Each log is summed per task before it is joined, so a task that
-    produced much of a log meets the join as one row.
+    produced much of a log meets the join as one row. With ``by_agent``
+    ``cost_by_agent`` maps agents to their cost. ``charts`` (task_id) adds chart_count, ``found``
+    (task_id, finding_order, finding) adds key_findings in their order.
     """
     issue_counts = issues.groupBy("task_id").agg(
         F.count_if(F.col("severity") == "error").alias("validation_error_count"),
@@ -32,8 +41,17 @@ def run_rollup(
     )
     anomaly_counts = anomalies.groupBy("task_id").agg(F.count("*").alias("anomaly_count"))
     error_counts = errors.groupBy("task_id").agg(F.count("*").alias("error_count"))
+    parts = [issue_counts, anomaly_counts, error_counts, _costs(usage)]
+    if by_agent:
+        spent = usage.groupBy("task_id", "agent_id").agg(F.round(F.sum("cost_usd"), 6).alias("cost")).groupBy("task_id")
+        parts.append(spent.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("agent_id", "cost")))).alias("cost_by_agent")))
+    if charts is not None:
+        parts.append(charts.groupBy("task_id").agg(F.count("*").alias("chart_count")))
+    if found is not None:
+        told = F.transform(F.array_sort(F.collect_list(F.struct("finding_order", "finding"))), lambda f: f["finding"])
+        parts.append(found.groupBy("task_id").agg(told.alias("key_findings")))
     joined = runs
-    for part in (issue_counts, anomaly_counts, error_counts, _costs(usage)):
+    for part in parts:
         joined = joined.join(part, "task_id", "left")
     counts = (
         "validation_error_count",
@@ -45,7 +63,7 @@ def run_rollup(
     )
     rate = F.coalesce(F.try_divide(F.col("anomaly_count"), F.col("row_count")), F.lit(0.0))
     return (
-        joined.fillna(0, list(counts))
+        joined.fillna(0, [*counts, *(["chart_count"] if charts is not None else [])])
         .withColumn("total_cost_usd", F.round(F.coalesce("total_cost_usd", F.lit(0.0)), 6))
         .withColumn("anomaly_rate", F.round(rate, 4))
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.columns import as_double, col, numeric_columns, require_columns, type_name
 from plumbline.operators.counts import column_catalog, rank_within_column, value_counts
-from plumbline.operators.measures import groups
+from plumbline.operators.measures import per_column
 from plumbline.operators.quantiles import BUCKETS, Extent, exact_quantiles
 from plumbline.session import small_table
 
@@ -45,22 +45,20 @@ def numeric_stats(
     types = {f.name: f.dataType for f in df.schema.fields}
     values = {c: as_double(c, types[c]) for c in columns}
 
-    measures = []
-    for name, value in values.items():
-        parts = [
-            F.count(col(name)).alias("count"),
-            (F.count("*") - F.count(col(name))).alias("null_count"),
-            F.count(value).alias("usable"),
-            F.avg(value).alias("mean"),
-            F.when(F.count(value) == 1, 0.0).otherwise(F.stddev_samp(value)).alias("std"),
-            F.min(value).alias("min"),
-            F.max(value).alias("max"),
-        ]
-        if quantiles == "approx":
-            parts.append(F.percentile_approx(value, list(QUARTILES), F.lit(10_000)).alias("points"))
-        measures.append(F.struct(*parts))
-    found = [m for group in groups(measures) for m in df.agg(*[m.alias(f"m{i}") for i, m in enumerate(group)]).first()]
-    measured = dict(zip(columns, found))
+    cells = {c: F.struct(col(c).isNotNull().alias("there"), v.alias("v")) for c, v in values.items()}
+    v = F.col("value.v")
+    measures = [
+        F.count_if("value.there").alias("count"),
+        F.count_if(~F.col("value.there")).alias("null_count"),
+        F.count(v).alias("usable"),
+        F.avg(v).alias("mean"),
+        F.when(F.count(v) == 1, 0.0).otherwise(F.stddev_samp(v)).alias("std"),
+        F.min(v).alias("min"),
+        F.max(v).alias("max"),
+    ]
+    if quantiles == "approx":
+        measures.append(F.percentile_approx(v, list(QUARTILES), F.lit(10_000)).alias("points"))
+    measured = {r["column_name"]: r for r in per_column(df, columns, cells, *measures).collect()}
     if quantiles == "approx":
         points = {c: measured[c]["points"] or [None] * len(QUARTILES) for c in columns}
     else:

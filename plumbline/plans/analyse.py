@@ -14,9 +14,9 @@ from plumbline.operators.findings import findings
 from plumbline.operators.statistics import compute_stats
 from plumbline.session import materialize
 
-# Charts of an analysis without anomalies, and its tier.
+# Charts of an analysis without anomalies, and the tiers.
 CHARTS_WITHOUT_DETECTION = 2
-DEGRADED = "degraded"
+FULL, DEGRADED = "none", "degraded"
 
 
 @dataclass(frozen=True)
@@ -44,7 +44,7 @@ def analyse(
     warning = None
     try:
         found = detect(df, key_cols, settings=settings)
-        records, tier, max_charts = materialize(found.records), found.tier, MAX_CHARTS
+        records, tier, max_charts = materialize(found.records), FULL, MAX_CHARTS
     except InsufficientData as error:
         records, tier, max_charts = empty_records(df, key_cols), DEGRADED, CHARTS_WITHOUT_DETECTION
         warning = str(error)

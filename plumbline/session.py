@@ -63,6 +63,18 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(df: DataFrame) -> None:
+    """Delete the copy behind a frame that ``materialize`` returned; nothing may read it any more."""
+    spark = df.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    folders = {file.rsplit("/", 1)[0] for file in df.inputFiles()}
+    for folder in folders:
+        if not folder.rsplit("/", 1)[-1].startswith("table-"):
+            raise ValueError(f"{folder} is no intermediate copy")
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A few driver-side rows as a local relation, whose size the optimizer knows."""
     if not rows:
@@ -72,15 +84,6 @@ def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
     return spark.createDataFrame(pa.table(columns), parsed)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Share the rows of a file scan that has fewer splits than the session has cores.
-
-    Large tables come with enough splits and pass unchanged.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 _shipped: set[str] = set()
 
 

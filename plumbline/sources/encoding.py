@@ -3,52 +3,61 @@
 from __future__ import annotations
 
 import codecs
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
 from plumbline.functions.columns import col
 
-# How much of a file is looked at, the byte-order marks, and the fallback.
-HEAD_BYTES = 4096
+# The byte-order marks, and the fallback.
 BYTE_ORDER_MARKS = (
     (b"\xef\xbb\xbf", "utf-8-sig"),
     (b"\xff\xfe", "utf-16-le"),
     (b"\xfe\xff", "utf-16-be"),
 )
 PLAIN, FALLBACK = "utf-8", "latin-1"
+BLOCK_BYTES = 1 << 20
 
 
-def encoding_of(head: bytes) -> str:
-    """The encoding that the first bytes of a file suggest."""
-    for mark, name in BYTE_ORDER_MARKS:
-        if head.startswith(mark):
-            return name
+def encoding_of(blocks: Iterable[bytes]) -> str:
+    """The encoding of a file, given as blocks: its byte-order mark, UTF-8 if all of it is, else Latin-1."""
+    decoder, first = codecs.getincrementaldecoder("utf-8")(), True
     try:
-        # A character cut off at the end of the head is no reason against UTF-8.
-        codecs.getincrementaldecoder("utf-8")().decode(head)
+        for block in blocks:
+            if first:
+                for mark, name in BYTE_ORDER_MARKS:
+                    if block.startswith(mark):
+                        return name
+                first = False
+            decoder.decode(block)
+        decoder.decode(b"", final=True)
     except UnicodeDecodeError:
         return FALLBACK
     return PLAIN
 
 
 def detect_encodings(paths: DataFrame, path_col: str = "path") -> DataFrame:
-    """(path, encoding) for a table of local or object-store paths; unreadable files get latin-1."""
+    """(path, encoding, error) for a table of paths as the file systems of Arrow know them.
+
+    Every file is read whole, in blocks. One that cannot be read has no encoding but an error.
+    """
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"path": batch["path"], "encoding": [_probe(p) for p in batch["path"]]})
+            found = [_probe(p) for p in batch["path"]]
+            yield pd.DataFrame({"path": batch["path"], "encoding": [f[0] for f in found], "error": [f[1] for f in found]})
 
-    return paths.select(col(path_col).cast("string").alias("path")).mapInPandas(probe, "path string, encoding string")
+    schema = "path string, encoding string, error string"
+    return paths.select(col(path_col).cast("string").alias("path")).mapInPandas(probe, schema)
 
 
-def _probe(path: str) -> str:
+def _probe(path: str) -> tuple[str | None, str | None]:
     from pyarrow import fs
 
     try:
         system, place = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
         with system.open_input_stream(place, compression=None) as stream:
-            return encoding_of(stream.read(HEAD_BYTES))
-    except OSError:
-        return FALLBACK
+            return encoding_of(iter(lambda: stream.read(BLOCK_BYTES), b"")), None
+    except OSError as error:
+        return None, str(error)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
+
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,9 +21,8 @@ from plumbline.sources import spec as S
 
 CORRUPT = "_corrupt_record"
 
-# Row cap of the fallback load, and the tiers a load can end in.
-FALLBACK_ROWS = 5_000
-FULL, SIMPLIFIED, DEGRADED = "none", "simplified", "degraded"
+# The tiers a load can end in.
+FULL, DEGRADED = "none", "degraded"
 
 
 def supported_extensions() -> list[str]:
@@ -62,8 +63,8 @@ def _read(spark, path, kind, row_cap, null_tokens, encoding, infer_types, keep_c
             df = read_delimited(
                 spark, path, separator, null_tokens, encoding, infer_types, keep_corrupt, options
             )
-    except PySparkException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
+    except (PySparkException, Py4JJavaError) as error:
+        if isinstance(error, PySparkException) and error.getCondition() == "PATH_NOT_FOUND":
             raise SourceNotFound(path) from error
         raise LoadError(f"cannot read '{path}': {error}") from error
     return df if row_cap is None else df.limit(row_cap)
@@ -82,10 +83,18 @@ def read_delimited(
     """Read delimited text with a header line.
 
     Values arrive as text, null tokens become null, and then each column gets
-    the narrowest type that all its values fit, which costs one pass.
+    the narrowest type that all its values fit, which costs one pass. All files
+    of a folder need the same header; another one is an error, found in that
+    pass (or in the first query without ``infer_types``). Values with line
+    breaks are recognised by lines with an odd number of quotes; such sources
+    are read whole file by file, others split. Say ``multiLine`` in ``options``
+    to save that look.
     """
+    options = dict(options or {})
+    if not any(name.lower() == "multiline" for name in options):
+        options["multiLine"] = _has_open_quotes(spark, path, encoding)
     reader = spark.read.options(
-        header=True, sep=separator, mode="PERMISSIVE", encoding=encoding, escape='"', **(options or {})
+        header=True, sep=separator, mode="PERMISSIVE", encoding=encoding, escape='"', enforceSchema=False, **options
     )
     names = reader.csv(path).columns
     if not names:
@@ -102,22 +111,42 @@ def read_delimited(
     return df
 
 
+def _has_open_quotes(spark: SparkSession, path: str, encoding: str) -> bool:
+    """Whether a line holds an odd number of quotes, so that a value goes on in the next line."""
+    if encoding.upper().replace("-", "") not in ("UTF8", "USASCII", "ISO88591", "LATIN1"):
+        return True
+    value = F.col("value")
+    odd = (F.length(value) - F.length(F.replace(value, F.lit('"'), F.lit("")))) % 2 == 1
+    return not spark.read.text(path).where(odd).isEmpty()
+
+
 def read_json(
     spark: SparkSession, path: str, keep_corrupt: bool = False, options: Mapping[str, str] | None = None
 ) -> DataFrame:
-    """Read JSON lines, an array of objects, or one object; the first character tells which."""
-    lines = spark.read.text(path)
-    first = lines.where(F.trim("value") != "").select(F.substring(F.ltrim("value"), 1, 1)).first()
+    """Read JSON lines, an array of objects, or one object.
+
+    Text that is no JSON is an error, unless ``keep_corrupt`` asks for it as
+    ``_corrupt_record``. Lines are tried first (an array on one line is a
+    line, too) and can be split; an array or object over several lines is one
+    task per file, and its file must hold nothing else.
+    """
+    first = spark.read.text(path).where(F.trim("value") != "").select(F.substring(F.ltrim("value"), 1, 1)).first()
     if first is None:
         raise LoadError(f"file is empty: {path}")
     if first[0] not in "[{":
         raise LoadError(f"JSON root must be an array or an object: {path}")
+    # Finding the schema parses everything, and names the corrupt column only if something is no JSON.
     reader = spark.read.options(mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, **(options or {}))
-    layouts = (True,) if first[0] == "[" else (False, True)
-    for multi_line in layouts:
-        df = reader.json(path, multiLine=multi_line)
-        if df.columns and df.columns != [CORRUPT]:
-            return df if keep_corrupt else df.drop(CORRUPT)
+    lines = reader.json(path)
+    if lines.columns and CORRUPT not in lines.columns:
+        return lines
+    has_records = lines.columns not in ([], [CORRUPT])
+    if first[0] == "[" or not has_records:  # else some lines are objects and others are broken
+        whole = reader.json(path, multiLine=True)
+        if whole.columns and CORRUPT not in whole.columns:
+            return whole
+    if keep_corrupt and has_records:
+        return lines
     raise LoadError(f"JSON cannot be parsed: {path}")
 
 
@@ -163,29 +192,23 @@ class Loaded:
 def load_with_status(spark: SparkSession, sources: Sequence[S.SourceSpec], read_all: bool = False) -> Loaded:
     """Load every source on its own, so that a bad one does not lose the others.
 
-    A source that fails is tried again as 5,000 rows ("simplified"); failing
-    that it is left out ("degraded"). The status has one row per source:
-    source_id, uri, tier, row_count, corrupt_rows, warning. Parquet rows are
-    counted from file footers; ``read_all`` reads every value, so that damaged
-    data shows here and not later.
+    A source that cannot be read whole has no frame; its tier is "degraded" and
+    its warning says why. The status has one row per source: source_id, uri,
+    tier, row_count, corrupt_rows, warning (also for cut or filled rows of a
+    delimited text). Parquet rows are counted from file footers; ``read_all``
+    reads every value, so that damaged data shows here and not later.
     """
     frames, status = {}, []
     for source in sources:
         tier, warning, counts = FULL, None, (0, 0)
-        frame = None
-        for attempt, cap in ((FULL, source.row_cap), (SIMPLIFIED, FALLBACK_ROWS)):
-            try:
-                capped = S.SourceSpec(source.uri, source.kind, source.name, cap, source.options, source.source_id)
-                frame = read_source(spark, capped, keep_corrupt=True)
-                counts = _count(frame, read_all)
-                tier = attempt
-                break
-            except (PlumblineError, PySparkException) as error:
-                frame, warning = None, str(error)
-        if frame is None:
-            tier = DEGRADED
-        else:
+        try:
+            frame = read_source(spark, source, keep_corrupt=source.kind != S.JSON)
+            counts = _count(frame, read_all)
+            if counts[1]:
+                warning = f"{counts[1]} rows do not fit the header"
             frames[source.source_id] = frame.drop(CORRUPT)
+        except (PlumblineError, PySparkException, Py4JJavaError) as error:
+            tier, warning = DEGRADED, str(error)
         status.append((source.source_id, source.uri, tier, *counts, warning))
     table = small_table(
         spark,

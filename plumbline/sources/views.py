@@ -11,20 +11,28 @@ from plumbline.errors import QueryError
 from plumbline.sources.readers import read_source
 from plumbline.sources.spec import SourceSpec
 
-# Fixed value: the most rows a query returns unless the caller says otherwise.
-DEFAULT_ROW_CAP = 500_000
+# Fixed value: the most rows that ``rows`` brings to the driver unless the caller says otherwise.
+DRIVER_ROWS = 10_000
 
 
 class SqlViews:
-    """Registered sources as temporary views of one session."""
+    """Registered sources as temporary views of one session.
 
-    def __init__(self, spark: SparkSession, row_cap: int | None = DEFAULT_ROW_CAP):
+    Queries return all their rows; ``row_cap`` cuts them where a caller asks for it.
+    """
+
+    def __init__(self, spark: SparkSession, row_cap: int | None = None):
         self.spark = spark
         self.row_cap = row_cap
         self._uris: dict[str, str] = {}
 
     def register(self, source: SourceSpec) -> str:
-        """Make a source a view; nothing but its schema is read. Returns the view's name."""
+        """Make a source a view and return the view's name.
+
+        A Parquet source costs its footers. Text sources without types of their
+        own are read once to find these (CSV, TSV, JSON), and every query parses
+        the text again; register a written copy where that matters.
+        """
         return self.register_frame(source.view_name, read_source(self.spark, source), source.uri)
 
     def register_frame(self, name: str, df: DataFrame, uri: str = "") -> str:
@@ -41,12 +49,15 @@ class SqlViews:
             raise QueryError(f"query failed: {error}") from error
         return df if cap is None else df.limit(cap)
 
-    def rows(self, sql: str) -> list[tuple[Any, ...]]:
-        """All rows as tuples, for small results."""
+    def rows(self, sql: str, most: int = DRIVER_ROWS) -> list[tuple[Any, ...]]:
+        """All rows as tuples, for small results; a result of more than ``most`` rows is an error."""
         try:
-            return [tuple(r) for r in self.spark.sql(sql).collect()]
+            found = [tuple(r) for r in self.spark.sql(sql).limit(most + 1).collect()]
         except PySparkException as error:
             raise QueryError(f"query failed: {error}") from error
+        if len(found) > most:
+            raise QueryError(f"the result has more than {most} rows; use query() instead")
+        return found
 
     def sample(self, view: str, n: int = 5) -> DataFrame:
         return self._table(view).limit(n)

@@ -115,10 +115,12 @@ def test_contamination_sets_the_share(spark):
     assert detect(df, ["id"], settings=settings).records.count() == pytest.approx(20, abs=3)
 
 
-def test_sampled_fit_is_reported(normal):
-    assert detect(normal, ["id"]).tier == "none"
-    sampled = detect(normal, ["id"], settings=DetectionSettings(full_fit_rows=20, fit_share=0.5))
-    assert sampled.tier == "simplified"
+def test_gaps_can_count_as_zero(spark, rows):
+    df = spark.createDataFrame([(i, 1.0 + i % 3, 2.0 + i % 2) for i in range(60)] + [(60, None, 2.0), (61, None, None)], "id long, x double, y double")
+    settings = DetectionSettings(use_z=False, contamination=0.99)
+    scored = {r["id"] for r in rows(detect(df, ["id"], settings=settings).records)}
+    filled = {r["id"] for r in rows(detect(df, ["id"], settings=DetectionSettings(use_z=False, contamination=0.99, fill_gaps=True)).records)}
+    assert 60 not in scored and 60 in filled and 61 not in filled
 
 
 def test_rows_with_gaps_have_no_score_but_can_be_far(spark, rows):

@@ -1,10 +1,12 @@
 import pytest
 
 from plumbline.errors import PlumblineError
+from plumbline.operators.casts import cast_rates
 from plumbline.operators.correlation import correlation_matrix
 from plumbline.operators.profile import profile, profile_issues
 from plumbline.operators.statistics import categorical_stats, compute_stats, numeric_stats
 from plumbline.operators.validate import QualityRules, duplicate_counts, quick_validate, validate
+from pyspark.sql import functions as F
 
 
 @pytest.fixture
@@ -54,11 +56,26 @@ def test_approximate_profile(clean, rows):
     assert set(got["region"]["samples"]) <= {"north", "south", "east", "west"}
 
 
-def test_profile_switches_by_itself(spark, rows):
-    many = spark.range(100_001).selectExpr("id", "cast(id % 7 AS string) AS word")
-    got = by_column(rows(profile(many)))
-    assert not got["id"]["is_approx"] and got["id"]["unique_count"] == 100_001
-    assert got["word"]["is_approx"] and got["word"]["unique_count"] == 7
+@pytest.mark.parametrize("n", [100_000, 100_001])
+def test_profile_does_not_depend_on_size(spark, rows, n):
+    many = spark.range(n).selectExpr("id", "concat('k', id) AS key", "cast(id % 7 AS string) AS word")
+    profiled = profile(many)
+    got = by_column(rows(profiled))
+    assert got["key"]["unique_count"] == n and got["word"]["unique_count"] == 7 and not any(g["is_approx"] for g in got.values())
+    assert any("likely an ID" in r["message"] for r in rows(profile_issues(profiled)))
+
+
+def test_samples_of_sketched_columns_are_the_smallest_values(spark, rows):
+    df = spark.sql("SELECT IF(id < 4, NULL, concat('v', id % 6)) AS w, id % 3 AS n FROM range(50)")
+    got = by_column(rows(profile(df, "approx")))
+    assert got["w"]["samples"] == ["v0", "v1", "v2", "v3", "v4"] and got["n"]["samples"] == ["0", "1", "2"]
+
+
+def test_two_hundred_columns_are_measured_in_one_scan(spark):
+    wide = spark.range(30).select(*[(F.col("id") * k).cast("string").alias(f"c{k}") for k in range(200)])
+    plan = cast_rates(wide)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (0, 30") == 1
+    assert cast_rates(wide).where("integers = 30").count() == 200
 
 
 def test_nested_types_have_a_profile(spark, rows):

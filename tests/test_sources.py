@@ -118,11 +118,14 @@ def test_encodings(spark, write, rows):
         write("c.txt", b"\xfe\xff\x00h"): "utf-16-be",
         write("d.txt", "grüße"): "utf-8",
         write("e.txt", "grüße".encode("latin-1")): "latin-1",
-        "/nowhere/f.txt": "latin-1",
+        write("f.txt", b"a" * 5000 + b"\xfc"): "latin-1",
+        "/nowhere/f.txt": None,
     }
-    found = detect_encodings(spark.createDataFrame([(p,) for p in paths], "path string"))
-    assert {r["path"]: r["encoding"] for r in rows(found)} == paths
-    assert encoding_of(("a" * 4095 + "ü").encode()[:4096]) == "utf-8"
+    found = rows(detect_encodings(spark.createDataFrame([(p,) for p in paths], "path string")))
+    assert {r["path"]: r["encoding"] for r in found} == paths
+    assert [r["path"] for r in found if r["error"]] == ["/nowhere/f.txt"]
+    assert encoding_of([("a" * 4095 + "ü").encode()[:4096], ("ü".encode())[1:]]) == "utf-8"
+    assert encoding_of([b"cut \xc3"]) == "latin-1"
 
 
 def test_kind_from_uri():
@@ -161,9 +164,38 @@ def test_load_with_status(spark, write, rows):
     assert list(loaded.frames) == ["good"] and loaded.frames["good"].columns == ["a", "b"]
     status = {r["source_id"]: r for r in rows(loaded.status)}
     assert (status["good"]["tier"], status["good"]["row_count"], status["good"]["corrupt_rows"]) == ("none", 2, 1)
+    assert "1 rows" in status["good"]["warning"]
     assert status["bad"]["tier"] == "degraded" and "not found" in status["bad"]["warning"]
 
 
+def test_integers_beyond_64_bits_and_odd_numbers_stay_text(spark, write, rows):
+    df = read_file(spark, write("big.csv", "a,b,c\n12345678901234567890,--5,1e999\n1,2,3\n"))
+    assert [t for _, t in df.dtypes] == ["string", "string", "string"]
+    assert rows(df, "b")[0]["b"] == "--5" and df.where("a IS NULL").count() == 0
+
+
+def test_quoted_line_breaks(spark, write, rows):
+    df = read_file(spark, write("q.csv", 'k,t\n1,"line one\nline two"\n2,"say ""hi"""\n'))
+    assert rows(df, "k") == [{"k": 1, "t": "line one\nline two"}, {"k": 2, "t": 'say "hi"'}]
+
+
+def test_files_with_other_headers_raise(spark, tmp_path):
+    folder = tmp_path / "mixed.csv"
+    folder.mkdir()
+    (folder / "1.csv").write_text("a,b\n1,x\n")
+    (folder / "2.csv").write_text("b,a\ny,2\n")
+    with pytest.raises(LoadError):
+        read_file(spark, str(folder))
+
+
+def test_half_broken_json_raises(spark, write):
+    path = write("half.jsonl", '{"a": 1}\n{"a": \n')
+    with pytest.raises(LoadError):
+        read_file(spark, path)
+    kept = read_file(spark, path, keep_corrupt=True)
+    assert [r._corrupt_record for r in kept.collect()].count(None) == 1
+
+
 SALES = "date,revenue,units,region\n2024-01-01,1000.5,10,north\n2024-01-02,900,9,south\n2024-01-03,1100,11,north\n2024-01-04,1200,12,east\n2024-01-05,1250,13,west\n"
 
 
@@ -175,6 +207,9 @@ def test_sql_views(spark, write):
     assert views.query("SELECT * FROM sales").count() == 3
     assert views.query("SELECT * FROM sales", row_cap=None).count() == 5
     assert views.query("SELECT * FROM sales LIMIT 2").count() == 2
+    assert SqlViews(spark).query("SELECT * FROM range(600000)").count() == 600_000
+    with pytest.raises(QueryError):
+        views.rows("SELECT * FROM sales", most=4)
     assert views.sample("sales", 2).count() == 2
     assert views.row_count("sales") == 5
     assert views.column_names("sales") == ["date", "revenue", "units", "region"]

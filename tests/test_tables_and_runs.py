@@ -1,9 +1,10 @@
 import json
 import math
+from pathlib import Path
 
 import pytest
 
-from plumbline.errors import DuplicateKeys, MissingColumns
+from plumbline.errors import DuplicateKeys, LoadError, MissingColumns, PlumblineError
 from plumbline.functions import columns as cl
 from plumbline.functions import text as tx
 from plumbline.operators import merge as mg
@@ -15,7 +16,7 @@ from plumbline.operators.anomalies import zscore_records
 from plumbline.operators.keys import check_unique, with_row_index
 from plumbline.operators.statistics import compute_stats
 from plumbline.plans.ingest import describe, ingest
-from plumbline.session import materialize, spread
+from plumbline.session import materialize, release
 from plumbline.sources.sinks import write_report_tables
 from plumbline.sources.spec import SourceSpec
 from pyspark.sql import functions as F
@@ -68,7 +69,9 @@ def test_merge(spark, rows):
     c = spark.createDataFrame([(9, True), (8, False), (7, True)], "id int, w boolean")
     got = rows(mg.side_by_side([a, c], [["id"], ["id"]]), "row_index")
     assert [(r["id"], r["v"], r["id_1"], r["w"]) for r in got] == [(1, "x", 7, True), (2, "y", 8, False), (None, None, 9, True)]
-    assert mg.merge([a, c]).count() == 3
+    assert mg.merge([a, c], [["id"], ["id"]]).count() == 3
+    with pytest.raises(PlumblineError):
+        mg.merge([a, c])
 
 
 def test_references(spark, rows):
@@ -262,15 +265,19 @@ def test_report_tables(spark, tmp_path, log, rows):
     profiled, issues = describe(df)
     records = zscore_records(df, ["id"], ["v"])
     errors = spark.createDataFrame([("etl", 1, "LoadError", "m" * 90, "degraded")], "agent_id string, attempt int, error_type string, message string, recovery_tier string")
-    tables = rp.report_tables(profiled, issues, compute_stats(df), records, ["id"], usage=log, errors=errors, sources=["a", "b"])
+    tables = rp.report_tables(profiled, issues, compute_stats(df), records, ["id"], usage=log, errors=errors, sources=["a", "b"], listings=True)
     assert rows(tables["overview"]) == [
         {"row_count": 40, "column_count": 3, "sources": "a, b", "validation_errors": 0, "validation_warnings": 2}
     ]
-    assert [r["null_rate"] for r in rows(tables["schema"], "position")] == ["0.0%", "0.0%", "75.0%"]
-    assert rows(tables["anomalies"])[0]["score"] == "-1.0000" and rows(tables["anomalies"])[0]["not_shown"] == 0
-    assert rows(tables["numeric_stats"], "position")[0]["median"] == "19.50"
-    assert rows(tables["categorical_stats"])[0]["top_values"] == "k2, k3, k0"
-    assert rows(tables["errors"])[0]["error"] == "LoadError: " + "m" * 80 + "..."
+    assert [r["null_rate"] for r in rows(tables["schema_listing"], "position")] == ["0.0%", "0.0%", "75.0%"]
+    assert [r["null_rate"] for r in rows(tables["schema"], "position")] == [0.0, 0.0, 0.75]
+    assert rows(tables["anomaly_listing"])[0]["score"] == "-1.0000" and rows(tables["anomaly_listing"])[0]["not_shown"] == 0
+    assert rows(tables["anomalies"])[0]["score"] == -1.0 and rows(tables["meta"])[0]["anomaly_rate"] == 0.025
+    assert rows(tables["numeric_listing"], "position")[0]["median"] == "19.50"
+    assert rows(tables["stats"], "position")[0]["p25"] == 9.75
+    assert rows(tables["categorical_listing"])[0]["top_values"] == "k2, k3, k0"
+    assert rows(tables["error_listing"])[0]["error"] == "LoadError: " + "m" * 80 + "..."
+    assert rows(tables["errors"])[0]["message"] == "m" * 90
     assert [r["agent_id"] for r in rows(tables["cost_by_agent"])] == ["planner", "etl"]
     paths = write_report_tables(tables, str(tmp_path / "out"))
     assert set(paths) == set(tables) and spark.read.json(paths["overview"]).count() == 1
@@ -286,7 +293,9 @@ def test_ingest(spark, tmp_path, rows):
     (tmp_path / "a.csv").write_text("id,price,flag\n1,10,yes\n2,N/A,no\n3,30,yes\n")
     (tmp_path / "b.csv").write_text("price,id,flag\n40,4,no\nbad,5,no\n")
     sources = [SourceSpec(str(tmp_path / n), source_id=n) for n in ("a.csv", "b.csv", "gone.csv")]
-    got = ingest(spark, sources)
+    with pytest.raises(LoadError):
+        ingest(spark, sources)
+    got = ingest(spark, sources, on_error="skip")
     assert got.data.count() == 5 and dict(got.data.dtypes)["id"] == "bigint"
     assert [r["tier"] for r in rows(got.status, "source_id")] == ["none", "none", "degraded"]
     assert got.profile.count() == 3
@@ -299,7 +308,21 @@ def test_materialized_data_is_kept_in_the_shared_folder(spark):
     assert stored.agg(F.sum("v")).first() == stored.agg(F.sum("v")).first()
 
 
-def test_spread(spark):
-    assert spread(spark.range(100).coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    wide = spark.range(100).repartition(9)
-    assert spread(wide) is wide
+def test_copies_can_be_released(spark):
+    stored = materialize(spark.range(10))
+    folder = stored.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0]
+    assert Path(folder).exists()
+    release(stored)
+    assert not Path(folder).exists()
+    with pytest.raises(ValueError):
+        release(spark.read.parquet("/root/testdata/sf0.001/nation.parquet"))
+
+
+def test_run_record_with_all_its_parts(spark, log, rows):
+    runs = spark.createDataFrame([("t", 10), ("u", 0)], "task_id string, row_count int")
+    none = spark.createDataFrame([], "task_id string, severity string")
+    charts = spark.createDataFrame([("t",), ("t",)], "task_id string")
+    found = spark.createDataFrame([("t", 1, "b"), ("t", 0, "a")], "task_id string, finding_order int, finding string")
+    got = {r["task_id"]: r for r in rows(ru.run_rollup(runs, none, none, log, none, charts, found, by_agent=True))}
+    assert got["t"]["chart_count"] == 2 and got["t"]["key_findings"] == ["a", "b"] and set(got["t"]["cost_by_agent"]) == {"planner", "etl"}
+    assert got["u"]["chart_count"] == 0 and got["u"]["key_findings"] is None

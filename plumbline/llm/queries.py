@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import byte_bpe, chosen_path, decontaminate, exact_dedup, html_paths, licenses, neighbour_quality, page_language, personal_data, secrets
+from plumbline.llm import byte_bpe, chosen_path, decontaminate, exact_dedup, html_paths, licenses, neighbour_quality, oracles, page_language, personal_data, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,22 +36,12 @@ def op3_byte_bpe(spark, sf_dir):
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
-@query(
-    r"""
-    WITH hashed AS (
-        SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
-        FROM documents
-    ), groups AS (
-        SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM hashed GROUP BY text_sha256
-    )
-    SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM hashed JOIN groups USING (text_sha256)
-    """
-)
+@query(oracles.EXACT_GROUPS)
 def op4_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
-@query()
+@query(oracles.NEAR_DUPLICATES)
 def op6_chosen_path(spark, sf_dir):
     return chosen_path.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -86,7 +76,7 @@ def op8_neighbour_quality(spark, sf_dir):
     )
 
 
-@query()
+@query(oracles.SECRETS)
 def op9_markov_secrets(spark, sf_dir):
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
 

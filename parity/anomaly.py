@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from parity.registry import query, table
 from plumbline.operators import charts as ch
-from plumbline.operators.anomalies import DetectionSettings, anomaly_rate, detect
+from plumbline.operators.anomalies import DetectionSettings, anomaly_rate, detect, zscore_flag
 from plumbline.operators.anomalies import zscore_records as z_records
 from plumbline.operators.forest import SAMPLE_ROWS, TREES, draw_samples
 from plumbline.operators.profile import profile
@@ -179,7 +179,7 @@ def report_meta(spark, sf_dir):
 @query(f"WITH {_Z} SELECT ts AS x, value AS y, is_anomaly FROM flagged")
 def timeseries_flagged(spark, sf_dir):
     events = _events(spark, sf_dir)
-    return ch.timeseries_data(events, "ts", "value", ["event_id"], z_records(events, ["event_id"], ["value"]))
+    return ch.timeseries_data(events, "ts", "value", flag=zscore_flag(events, ["value"]))
 
 
 @query(
@@ -196,7 +196,7 @@ def timeseries_daily(spark, sf_dir):
 @query(f"WITH {_Z} SELECT user_id AS x, value AS y, CASE WHEN is_anomaly THEN 'Anomaly' ELSE 'Normal' END AS status FROM flagged")
 def scatter_flagged(spark, sf_dir):
     events = _events(spark, sf_dir)
-    return ch.scatter_data(events, "user_id", "value", ["event_id"], z_records(events, ["event_id"], ["value"]))
+    return ch.scatter_data(events, "user_id", "value", flag=zscore_flag(events, ["value"]))
 
 
 @query(

@@ -125,6 +125,12 @@ def zscore_records(
     )
 
 
+def zscore_flag(df: DataFrame, columns: Sequence[str], threshold: float = Z_THRESHOLD) -> Column:
+    """Whether a row is far from the mean in any of the columns, as a column for any later scan of ``df``."""
+    require_columns(df, columns)
+    return zscore_column(df, measure(df, columns)[2], threshold).isNotNull()
+
+
 def empty_records(df: DataFrame, key_cols: Sequence[str]) -> DataFrame:
     return df.where(F.lit(False)).select(
         *[col(k) for k in key_cols],

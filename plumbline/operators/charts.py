@@ -39,15 +39,20 @@ def timeseries_data(
     key_cols: Sequence[str] = (),
     records: DataFrame | None = None,
     bucket: str | None = None,
+    flag: Column | None = None,
 ) -> DataFrame:
     """Points (x, y, is_anomaly); an anomaly without y is not marked.
 
+    ``flag`` marks anomalies in the same scan; without it the rows whose keys
+    are among ``records`` are marked, which joins the table with them.
+
     With ``bucket`` (a unit of ``date_trunc`` such as "day") the normal points
     become one mean per period, so the result is bounded by the time span, and
     every anomaly is kept as it is.
     """
     require_columns(df, [x, y])
-    marked = flag_rows(df, key_cols, records).select(
+    flagged = flag_rows(df, key_cols, records) if flag is None else df.withColumn("is_anomaly", flag)
+    marked = flagged.select(
         col(x).alias("x"), col(y).alias("y"), (F.col("is_anomaly") & col(y).isNotNull()).alias("is_anomaly")
     )
     if bucket is None:
@@ -112,14 +117,16 @@ def scatter_data(
     records: DataFrame | None = None,
     normal_share: float | None = None,
     seed: int = 42,
+    flag: Column | None = None,
 ) -> DataFrame:
-    """Points (x, y, status) where both values are present.
+    """Points (x, y, status) where both values are present; ``flag`` as in ``timeseries_data``.
 
     With ``normal_share`` all anomalies stay and normal rows are drawn by a
     hash of their key, which gives the same points for any partitioning.
     """
     require_columns(df, [x, y])
-    marked = flag_rows(df.where(col(x).isNotNull() & col(y).isNotNull()), key_cols, records)
+    there = df.where(col(x).isNotNull() & col(y).isNotNull())
+    marked = flag_rows(there, key_cols, records) if flag is None else there.withColumn("is_anomaly", flag)
     if normal_share is not None:
         key = F.concat_ws("|", F.lit(str(seed)), *[col(k).cast("string") for k in key_cols or df.columns])
         draw = F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("bigint") % 1_000_000

@@ -33,8 +33,8 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 class Lemma:
     """q-gram length, edits allowed per passage character, shortest passage that is searched (in characters)."""
 
-    q: int = 10
-    edit_rate: float = 0.07
+    q: int = 8
+    edit_rate: float = 0.10
     min_chars: int = 30
 
     def edits(self, m: int) -> int:

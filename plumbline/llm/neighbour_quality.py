@@ -168,9 +168,9 @@ def train(
     counted = source.join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi").mapInArrow(
         _count_rows(space), T.StructType([T.StructField("doc_id", source.schema["doc_id"].dataType), T.StructField("counts", T.BinaryType())])
     )
-    # Bounded: 2 * per_class rows of slots numbers (more only if ids repeat).
-    rows = counted.join(F.broadcast(sample), "doc_id").orderBy("doc_id").dropDuplicates(["doc_id"]).toArrow()
-    rows = rows.sort_by("doc_id")
+    # Bounded: 2 * per_class rows of slots numbers .
+    once = counted.groupBy("doc_id").agg(F.min("counts").alias("counts"))  # an id with several texts counts once
+    rows = once.join(F.broadcast(sample), "doc_id").toArrow().sort_by("doc_id")
     n = len(rows)
     if not n:
         zero = np.zeros((0, space.dimensions), np.float32)

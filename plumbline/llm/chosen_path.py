@@ -28,11 +28,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.characters import mix, shingle_sets
-from plumbline.llm.common import id_and_text, join_groups, maybe_in, text_batches, without_ids
+from plumbline.llm.common import Copies, id_and_text, join_groups, maybe_in, text_batches, without_ids
 from plumbline.session import materialize
 
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -118,11 +118,10 @@ def _full_sets(options: Paths):
             sets = shingle_sets(batch.column("text").to_pylist(), options.words)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                     pa.array([s.tobytes() for s in sets], pa.binary()),
                 ],
-                ["doc_id", "digest", "shingles"],
+                ["digest", "shingles"],
             )
 
     return run
@@ -138,9 +137,10 @@ def _first_step(options: Paths, first: int, last: int):
             if not batch.num_rows:
                 continue
             tokens, nodes = _matrix(batch.column("tokens"), options.width), np.asarray(batch.column("node"))
+            sizes = np.asarray(batch.column("size"))
             for number in range(first, last):
                 rows, paths = chosen(tokens, np.full(len(nodes), number << 56, np.int64), options.threshold)
-                yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(nodes[rows])], ["path", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(nodes[rows]), pa.array(sizes[rows])], ["path", "node", "size"])
 
     return run
 
@@ -152,8 +152,10 @@ def _next_step(options: Paths):
                 continue
             tokens, nodes = _matrix(batch.column("tokens"), options.width), np.asarray(batch.column("node"))
             rows, paths = chosen(tokens, np.asarray(batch.column("path")), options.threshold)
-            above = np.asarray(batch.column("n"))[rows]
-            yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(nodes[rows]), pa.array(above)], ["path", "node", "above"])
+            above, sizes = (np.asarray(batch.column(c))[rows] for c in ("n", "size"))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(paths), pa.array(nodes[rows]), pa.array(sizes), pa.array(above)], ["path", "node", "size", "above"]
+            )
 
     return run
 
@@ -184,7 +186,8 @@ def _shared_leaves(table: pa.Table, leaf: int) -> tuple[np.ndarray, np.ndarray]:
     """For all pairs of a bucket: whether they share an earlier bucket, and how many they share in all."""
     lists = table["leaves"].combine_chunks()
     values, owners = np.asarray(lists.flatten()), np.repeat(np.arange(len(table)), np.asarray(pc.list_value_length(lists)))
-    names, columns, counts = np.unique(values, return_inverse=True, return_counts=True)
+    names, first, columns, counts = np.unique(values, return_index=True, return_inverse=True, return_counts=True)
+    alike = np.asarray(table["alike"].combine_chunks().flatten())[first].astype(np.float32)
     common = np.flatnonzero(counts > 1)
     place = np.full(len(names), -1)
     place[common] = np.arange(len(common))
@@ -192,7 +195,7 @@ def _shared_leaves(table: pa.Table, leaf: int) -> tuple[np.ndarray, np.ndarray]:
     held = np.zeros((len(table), len(common)), np.float32)
     held[owners[inside], place[columns[inside]]] = 1
     earlier = held[:, names[common] < leaf]
-    return earlier @ earlier.T > 0, held @ held.T
+    return earlier @ earlier.T > 0, (held * alike[common]) @ held.T
 
 
 def _own_pairs(table: pa.Table) -> np.ndarray:
@@ -227,7 +230,7 @@ def _candidates(options: Paths):
             like &= ~_shared_leaves(table, table["leaf"][0].as_py())[0]
             rows = np.flatnonzero(like.any(axis=0) | like.any(axis=1))
             if len(rows):
-                yield from table.take(pa.array(rows)).select(["leaf", "low", "high", "block", "node", "leaves", "doc_id", "digest"]).to_batches()
+                yield from table.take(pa.array(rows)).select(["leaf", "low", "high", "block", "leaves", "alike", "node", "doc_id", "digest"]).to_batches()
 
     return run
 
@@ -299,20 +302,35 @@ def _buckets(frontier: DataFrame) -> DataFrame:
     return frontier.join(sizes, "path")
 
 
-def _leaves(nodes: DataFrame, options: Paths, first: int, last: int) -> DataFrame:
-    """leaf, node, n of the runs first..last-1."""
+def _near_in_size(rows: DataFrame, options: Paths) -> DataFrame:
+    """Rows of which another set of the bucket has a size that allows the threshold.
+
+    Only the next smaller and the next larger set need a look. Buckets of more
+    than ``leaf`` sets, which are not bounded, pass as they are.
+    """
+    small = rows.where(F.col("n") <= options.leaf)
+    by_size = Window.partitionBy("path").orderBy("size", "node")
+    smaller, larger = F.lag("size").over(by_size), F.lead("size").over(by_size)
+    near = small.withColumn(
+        "near", (smaller >= options.threshold * F.col("size")) | (F.col("size") >= options.threshold * larger)
+    )
+    return near.where("near").drop("near").unionByName(rows.where(F.col("n") > options.leaf))
+
+
+def _leaves(nodes: DataFrame, options: Paths, first: int, last: int, copy: Copies) -> DataFrame:
+    """leaf, node, n of the runs first..last-1, without rows that no set of their bucket is near in size."""
     total = nodes.count()
-    frontier = nodes.select("node", "tokens").mapInArrow(_first_step(options, first, last), "path long, node long")
+    frontier = nodes.select("node", "size", "tokens").mapInArrow(_first_step(options, first, last), "path long, node long, size int")
     frontier, done = frontier.withColumn("above", F.lit(total).cast("long")), []
     for step in range(options.depth):
-        rows = materialize(_buckets(frontier))
+        rows = copy(_buckets(frontier))
         whole = (F.col("n") <= options.leaf) | (F.col("n") >= options.alike * F.col("above")) & F.lit(step > 0) | F.lit(step == options.depth - 1)
-        done.append(rows.where(whole).select(F.col("path").alias("leaf"), "node", "n"))
-        large = rows.where(~whole).select("path", "node", "n")
+        done.append(_near_in_size(rows.where(whole), options).select(F.col("path").alias("leaf"), "node", "n"))
+        large = rows.where(~whole).select("path", "node", "size", "n")
         if large.isEmpty():
             break
-        frontier = large.join(nodes.select("node", "tokens"), "node").select("path", "node", "n", "tokens").mapInArrow(
-            _next_step(options), "path long, node long, above long"
+        frontier = large.join(_of_nodes(nodes.select("node", "tokens"), large), "node").select("path", "node", "size", "n", "tokens").mapInArrow(
+            _next_step(options), "path long, node long, size int, above long"
         )
     result = done[0]
     for other in done[1:]:
@@ -320,6 +338,22 @@ def _leaves(nodes: DataFrame, options: Paths, first: int, last: int) -> DataFram
     return result
 
 
+def _of_nodes(nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """The nodes that may be in ``rows``; the others' tokens need not move for a join."""
+    return maybe_in(nodes, F.xxhash64("node"), rows.select(F.xxhash64("node").alias("key")))
+
+
+def _different(leaves: DataFrame) -> DataFrame:
+    """One bucket of those with the same sets: leaf, node, n, and how many are ``alike``.
+
+    Sets that belong together meet in most runs, so this is most buckets.
+    """
+    marks = [F.sum(F.xxhash64(F.lit(k), "node").cast("decimal(20,0)")).alias(f"mark{k}") for k in (1, 2)]
+    buckets = leaves.groupBy("leaf").agg(F.count(F.lit(1)).alias("members"), *marks)
+    kept = buckets.groupBy("members", "mark1", "mark2").agg(F.min("leaf").alias("leaf"), F.count(F.lit(1)).alias("alike"))
+    return leaves.join(kept.select("leaf", "alike"), "leaf")
+
+
 def _in_blocks(leaves: DataFrame, options: Paths) -> DataFrame:
     """One row for every pair of blocks of a bucket that a node's block is in; one for small buckets."""
     blocks = F.ceil(F.col("n") / options.block).cast("int")
@@ -334,16 +368,17 @@ def _by_bucket(rows: DataFrame) -> DataFrame:
     return rows.repartition("leaf", "low", "high").sortWithinPartitions("leaf", "low", "high", "node")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, copy: Copies | None = None) -> DataFrame:
     """node, root: the smallest node that each node of ``edges`` (node, root) is connected with.
 
     Every round takes the smallest label among neighbours and then the label's
     own label; rounds end when nothing changes. Each is written to the shared folder.
     """
-    ways = materialize(
+    copy = copy or Copies()
+    ways = copy(
         edges.where("node <> root").select("node", F.col("root").alias("other")).union(edges.where("node <> root").select("root", "node"))
     )
-    labels = materialize(ways.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("label")))
+    labels = copy(ways.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("label")))
     while True:
         near = (
             ways.join(labels.select(F.col("node").alias("other"), "label"), "other")
@@ -352,7 +387,7 @@ def components(edges: DataFrame) -> DataFrame:
         )
         stepped = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("new"))
         jump = labels.select(F.col("node").alias("new"), F.col("label").alias("further"))
-        moved = materialize(
+        moved = copy(
             stepped.join(jump, "new", "left").select("node", F.col("label").alias("old"), F.least("new", F.coalesce("further", "new")).alias("label"))
         )
         if moved.where("label <> old").isEmpty():
@@ -382,31 +417,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copies = materialize(
         rows.groupBy("digest").agg(F.min("node").alias("node"), F.min("doc_id").alias("copy_id"), F.count(F.lit(1)).alias("n_copies"))
     )
-    one_each = copies.select("node").join(rows.where("size > 0"), "node")
-    nodes = materialize(one_each.select("node", "doc_id", "digest", "size", "tokens"))
+    copy = Copies()  # deleted once the classes are written
+    # All sets but the further copies, whose tokens need not move to be left out.
+    total = docs.count()
+    chief = copies.where("n_copies > 1").select("digest", "n_copies", F.col("node").alias("chief"))
+    further = join_groups(rows.select("digest", "node"), chief, "digest", "n_copies", total).where("node <> chief")
+    further = further.select(F.col("node").alias("doc_id"))
+    nodes = without_ids(rows.where("size > 0"), copy(further), "node").select("node", "doc_id", "digest", "size", "tokens")
 
     leaves, first, last = None, 0, options.runs
     while True:
-        more = _leaves(nodes, options, first, last)
+        more = _leaves(nodes, options, first, last, copy)
         leaves = more if leaves is None else leaves.unionByName(more)
-        leaves_of = leaves.groupBy("node").agg(F.sort_array(F.collect_list("leaf")).alias("leaves"))
-        company = leaves_of.join(nodes, "node")
-        near = materialize(
-            _by_bucket(_in_blocks(leaves, options).join(company, "node"))
-            .select("leaf", "low", "high", "block", "node", "leaves", "doc_id", "digest", "size", "tokens")
-            .mapInArrow(
-                _candidates(options),
-                f"leaf long, low int, high int, block int, node long, leaves array<long>, doc_id {kind}, digest binary",
-            )
+        different = copy(_different(leaves))
+        listed = different.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("leaf", "alike"))).alias("l"))
+        listed = listed.select("node", F.col("l.leaf").alias("leaves"), F.col("l.alike").alias("alike"))
+        company = listed.join(_of_nodes(nodes, different), "node")
+        place = "leaf long, low int, high int, block int, leaves array<long>, alike array<long>, node long"
+        near = copy(
+            _by_bucket(_in_blocks(different, options).join(company, "node"))
+            .select("leaf", "low", "high", "block", "leaves", "alike", "node", "doc_id", "digest", "size", "tokens")
+            .mapInArrow(_candidates(options), f"{place}, doc_id {kind}, digest binary")
         )
-        wanted = near.select("doc_id", "digest", "node").distinct()
-        texts = maybe_in(source, F.xxhash64("doc_id"), wanted.select(F.xxhash64("doc_id").alias("key")))
-        full = texts.mapInArrow(_full_sets(options), f"doc_id {kind}, digest binary, shingles binary")
-        full = full.select("digest", "shingles").join(wanted.select("digest", "node"), "digest").select("node", "shingles")
-        full = full.groupBy("node").agg(F.first("shingles").alias("shingles"))
-        found = materialize(
-            _by_bucket(near.drop("doc_id", "digest").join(full, "node"))
-            .select("leaf", "low", "high", "block", "node", "leaves", "shingles")
+        # Equal digests are equal sets, so the first of them serves.
+        texts = maybe_in(source, F.xxhash64("doc_id"), near.select(F.xxhash64("doc_id").alias("key")))
+        full = texts.mapInArrow(_full_sets(options), "digest binary, shingles binary")
+        full = full.groupBy("digest").agg(F.first("shingles").alias("shingles"))
+        found = copy(
+            _by_bucket(near.drop("doc_id").join(full, "digest"))
+            .select("leaf", "low", "high", "block", "leaves", "alike", "node", "shingles")
             .mapInArrow(_links(options), "node long, root long, links long, once long, twice long")
         )
         sums = found.agg(F.sum("links"), F.sum("once"), F.sum("twice")).first()
@@ -416,7 +455,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         first, last = last, last * 2
 
-    roots = components(found.select("node", "root"))
+    roots = components(found.select("node", "root"), copy)
     counted = found.groupBy("node").agg(F.sum("links").alias("n_links"))
     classes = (
         copies.join(roots, "node", "left")
@@ -424,9 +463,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select("digest", "copy_id", "n_copies", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     )
     classes = materialize(classes)
+    copy.release()
     names = classes.groupBy("root").agg(F.min("copy_id").alias("class_id"))
     groups = classes.join(names, "root").drop("root")
-    members = join_groups(rows.select("doc_id", "digest"), groups, "digest", "n_copies", docs.count())
+    members = join_groups(rows.select("doc_id", "digest"), groups, "digest", "n_copies", total)
     return members.select("doc_id", "class_id", "copy_id", "n_copies", "n_links")
 
 

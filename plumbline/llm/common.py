@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.session import ship_package
+from plumbline.session import materialize, release, ship_package
 
 
 def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -29,6 +29,22 @@ def plain_text(column: Column) -> Column:
     return F.regexp_replace(column, r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+", " ")
 
 
+class Copies:
+    """Writes frames into the shared folder and deletes them when their results stand on their own."""
+
+    def __init__(self):
+        self.frames: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.frames.append(materialize(df))
+        return self.frames[-1]
+
+    def release(self) -> None:
+        for frame in self.frames:
+            release(frame)
+        self.frames = []
+
+
 #: Bits of the broadcast filter of a set of keys. It is fixed: 64 bits to a row, so a million rows at most,
 #: however many keys there are; more keys let more rows pass to the exact join behind it.
 FILTER_BITS = 1 << 26

@@ -32,7 +32,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split()
 )
-ASIDE = frozenset("nav header footer aside form menu button select option dialog fieldset head figcaption".split())
+ASIDE = frozenset("nav header footer aside form menu button select option dialog fieldset head".split())
+#: Of RAW, those that a slash at the end of their start tag closes (the others are raw text up to their end tag).
+EMPTY_IF_CLOSED = frozenset("svg math object canvas".split())
 #: A start tag of the first closes an open element of the second.
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -51,7 +53,7 @@ _DECLARED = re.compile(
     re.I,
 )
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|![^>]*(?:>|\Z)|\?[^>]*(?:>|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z))", re.S)
-_NAMED = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _HEADING = re.compile(r"/h[1-6](?:/|\Z)")
 _WHITE = re.compile(r"\s+")
 _PUNCTUATION = re.compile(r"[.,;:!?…、。，！？؟；]")
@@ -76,12 +78,20 @@ class Run:
     linked: int
 
 
-def _declared(attributes: str) -> bool:
-    for name, *values in _NAMED.findall(attributes):
-        value, name = "".join(values), name.lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
+def _declared(attributes: str, ids: bool) -> bool:
+    """Whether an element's own attributes name it side matter; its id only counts with ``ids``."""
+    seen = set()
+    for name, *values in _ATTRIBUTE.findall(attributes):
+        name = name.lower()
+        if name in seen:  # the first of equal names counts
+            continue
+        seen.add(name)
+        value = html.unescape("".join(values))
+        if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true":
+            return True
+        if name == "style" and "display:none" in _WHITE.sub("", value).lower():
             return True
-        if name in ("class", "id", "role") and _DECLARED.search(value):
+        if (name in ("class", "role") or name == "id" and ids) and _DECLARED.search(value):
             return True
     return False
 
@@ -89,6 +99,9 @@ def _declared(attributes: str) -> bool:
 def text_runs(page: str) -> list[Run]:
     """The page's blocks in order, without declared side matter.
 
+    Side matter is declared by an element's tag or by its class, role, hidden,
+    aria-hidden or style; by its id only outside the declared article, where
+    ids name regions of the page, and never a heading's.
     Markup may be broken: open elements end with the page, end tags without a
     start are skipped, and paragraphs and list items close as HTML has it.
     """
@@ -110,6 +123,9 @@ def text_runs(page: str) -> list[Run]:
         flush()
         del stack[depth:]
 
+    def within() -> bool:
+        return any(s[0] in ("article", "main") for s in stack)
+
     while True:
         tag = _TAG.search(page, place)
         chunk = page[place : tag.start() if tag else len(page)]
@@ -141,7 +157,7 @@ def text_runs(page: str) -> list[Run]:
             parts.append("\n")
             continue
         if name in INLINE:
-            if _declared(tag.group(3)):  # an inline element that declares itself as side matter is cut out
+            if _declared(tag.group(3), not within()):  # an inline element that declares itself as side matter is cut out
                 close = re.compile(rf"</{name}\s*>", re.I).search(page, place)
                 place = close.end() if close else place
             elif name == "a":
@@ -151,6 +167,8 @@ def text_runs(page: str) -> list[Run]:
             if name == "hr":
                 flush()
             continue
+        if name in EMPTY_IF_CLOSED and tag.group(3).endswith("/"):
+            continue
         if name in RAW:
             close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, place)
             place = close.end() if close else len(page)
@@ -168,8 +186,9 @@ def text_runs(page: str) -> list[Run]:
         if name == "body":  # an unclosed head ends here
             pop_to(1 if stack and stack[0][0] == "html" else 0)
             inner = False
-        within = any(s[0] in ("article", "main") for s in stack)
-        side = name in ASIDE and not (name == "header" and within) or name not in ("html", "body", "article", "main") and _declared(tag.group(3))
+        ids = not within() and not _HEADING.fullmatch(f"/{name}")  # ids of parts and headings are their titles
+        side = name in ASIDE and not (name == "header" and within())
+        side = side or name not in ("html", "body", "article", "main") and _declared(tag.group(3), ids)
         stack.append((name, number, inner or side))
     flush()
     return runs

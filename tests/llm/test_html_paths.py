@@ -62,3 +62,23 @@ def test_hard_cases_and_empty_table(table, nothing):
     got = sorted(((r.page_id, r.url, r.n_chars, len(r.text)) for r in H.extract(table(rows, "page_id int, url string, html string")).collect()), key=repr)
     assert got == sorted([(1, None, 0, 0), (1, "u", 0, 0), (None, "u", 1, 1), (2, "u", 2_199_999, 2_199_999), (3, "u", 4, 4)], key=repr)
     assert H.extract(table([], "page_id int, url string, html string")).count() == 0
+
+
+@pytest.mark.parametrize(
+    "part, kept",
+    [
+        ('<p>See <a href="/wiki/hidden-figures">the film</a>, now.</p>', "See the film, now."), ('<p title="the hidden valley">A valley, far.</p>', "A valley, far."),
+        ('<p><a href="/x?id=comment-5">The thread</a>, again.</p>', "The thread, again."), ('<p data-class="ad" data-id="menu">Real, text.</p>', "Real, text."),
+        ('<section id="side-effects"><p>Rare, mild.</p></section>', "Rare, mild."), ('<h2 id="related-work">Related work</h2>', "Related work"),
+        ('<div id="search-algorithms"><p>Trees, heaps.</p></div>', "Trees, heaps."), ('<p>A <span id="legal-history">long</span>, story.</p>', "A long, story."),
+        ("<figure><img src=a><figcaption>A boat, at sea.</figcaption></figure>", "A boat, at sea."), ("<p>One <svg/>two <math />three <object data='x'/>four, five.</p>", "One two three four, five."),
+    ],
+)
+def test_nothing_is_taken_for_side_matter_by_accident(part, kept):
+    page = f"<body><article><h1>T</h1><p>Some text, and more of it.</p>{part}<p>The end, at last.</p></article><p>Beside.</p>"
+    assert H.main_blocks(page) == ["T", "Some text, and more of it.", kept, "The end, at last."]
+
+
+@pytest.mark.parametrize("part", ['<p class="share">x, y</p>', "<p hidden=''>x, y</p>", "<p STYLE='display: NONE'>x, y</p>", '<p aria-hidden="true">x, y</p>', "<p role=dialog>x, y</p>", "<svg><text>x</text></svg>"])
+def test_declared_side_matter_stays_out(part):
+    assert H.main_blocks(f"<body><article><p>Some text, and more.</p>{part}<p>The end, at last.</p></article>") == ["Some text, and more.", "The end, at last."]

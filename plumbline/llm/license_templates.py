@@ -64,3 +64,11 @@ def templates() -> list[tuple[str, str]]:
         made += [(licence, s.format(n)) for s in SENTENCES[:-1] for n in names]
         made.append((licence, SENTENCES[-1].format(licence)))
     return made
+
+
+def phrases() -> dict[str, tuple[str, ...]]:
+    """Of each template that declares a licence by its name: the name, which tells it from its like."""
+    return {
+        s.format(n): (f"{s.format('').split()[-1]} {n}" if " " not in n else n.removeprefix("the "),)
+        for s in SENTENCES[:-1] for names in NAMES.values() for n in names
+    } | {SENTENCES[-1].format(licence): (f"Identifier: {licence}",) for licence in NAMES}

@@ -1,8 +1,13 @@
 """Licence scans: Dice coefficient over word bigrams against licence templates.
 
-Words are runs of letters and digits in lower case. A text is cut into clauses
-(at line ends and after . ! ? ; before white space); any run of neighbouring
-clauses may be a licence. Two bags of bigrams of sizes a and b have a Dice
+Words are runs of letters and digits in lower case. Any run of words may be a
+licence; only runs that start and end with a bigram of the template need a
+look, as others gain by being cut. Of overlapping runs at or above the
+threshold the best is taken first. A template that declares a licence by its
+name only fits a run that holds the whole name, so that a run cut before
+"version 1.1" does not pass for version 2.0. (A bare ``Scanner`` looks at runs
+of whole clauses instead, cut at line ends and after . ! ? ; before white
+space.) Two bags of bigrams of sizes a and b have a Dice
 coefficient of t or more only if a lies between t / (2 - t) * b and
 (2 - t) / t * b, so a template is compared only with runs within those bounds,
 and only in texts that hold enough of its bigrams at all.
@@ -22,7 +27,7 @@ from pyspark.sql import types as T
 
 from plumbline.llm.characters import END, SPACE, mix, word_hashes
 from plumbline.llm.common import id_and_text, text_batches
-from plumbline.llm.license_templates import templates
+from plumbline.llm.license_templates import phrases, templates
 
 
 @lru_cache(maxsize=1)
@@ -66,18 +71,24 @@ class Template:
     bag: dict
     size: int
     needed: int
+    whole: tuple = ()
 
 
 class Scanner:
-    """All templates, and the sorted bigrams of any of them."""
+    """All templates, and the sorted bigrams of any of them.
 
-    def __init__(self, named_texts: list[tuple[str, str]], threshold: float):
-        self.threshold, self.templates = threshold, []
+    ``anywhere`` lets runs start and end at any word; ``phrases`` gives the
+    words of a template (by its text) that a run must then hold unbroken.
+    """
+
+    def __init__(self, named_texts: list[tuple[str, str]], threshold: float, anywhere: bool = False, phrases: dict | None = None):
+        self.threshold, self.templates, self.anywhere = threshold, [], anywhere
         for licence, text in named_texts:
             bag = Counter(_pairs(clause_words([text])[0]).tolist())
             size = sum(bag.values())
             if size:
-                self.templates.append(Template(licence, bag, size, int(np.ceil(threshold * size / (2 - threshold) - 1e-9))))
+                whole = {g for phrase in (phrases or {}).get(text, ()) for g in _pairs(clause_words([phrase])[0]).tolist()}
+                self.templates.append(Template(licence, bag, size, int(np.ceil(threshold * size / (2 - threshold) - 1e-9)), tuple(sorted(whole))))
         self.every = np.unique(np.array([g for t in self.templates for g in t.bag], np.uint64))
         self.table = np.zeros(1 << 20, bool)
         self.table[(self.every >> np.uint64(44)).astype(np.int64)] = True
@@ -88,7 +99,7 @@ class Scanner:
                 self.holding.setdefault(gram, []).append(k)
 
     def scan(self, texts: list[str]) -> list[tuple]:
-        """(text number, licence, dice, start, end) of the best run of each licence in each text."""
+        """(text number, licence, dice, start, end) of the best run of each licence in each text; ``anywhere``, of every run."""
         hashes, text, clause, first, last = clause_words(texts)
         pairs = _pairs(hashes)
         if not len(pairs) or not self.templates:
@@ -103,9 +114,91 @@ class Scanner:
         for number in np.flatnonzero(counts >= self.fewest).tolist():
             a, b = int(bounds[number]), int(bounds[number + 1])
             own = likely[(likely >= a) & (likely < b)]
-            found += ((number, *hit) for hit in self._of_text(pairs, clause, first, last, a, b, own))
+            if self.anywhere:
+                found += ((number, licence, dice, int(first[p]), int(last[q])) for licence, dice, p, q in self._runs(pairs, own))
+            else:
+                found += ((number, *hit) for hit in self._of_text(pairs, clause, first, last, a, b, own))
         return found
 
+    def _runs(self, pairs: np.ndarray, hits: np.ndarray) -> list[tuple]:
+        """licence, dice, first and last word of every run, the best first wherever some overlap; by place."""
+        grams = pairs[hits]
+        kinds, inverse, counts = np.unique(grams, return_inverse=True, return_counts=True)
+        shared: Counter = Counter()
+        holders: dict[int, list[int]] = {}
+        for kind, (gram, n) in enumerate(zip(kinds.tolist(), counts.tolist())):
+            for k in self.holding[gram]:
+                shared[k] += min(n, self.templates[k].bag[gram])
+                holders.setdefault(k, []).append(kind)
+        order = np.argsort(inverse, kind="stable")
+        begins = np.cumsum(counts) - counts
+        parts = []
+        for k, n in shared.items():
+            template = self.templates[k]
+            if n < template.needed or not all(gram in kinds for gram in template.whole):
+                continue
+            own = np.sort(np.concatenate([order[begins[x] : begins[x] + counts[x]] for x in holders[k]]))
+            parts += [(k, *columns) for columns in self._of_template(template, hits[own], grams[own])]
+        if not parts:
+            return []
+        dice, start, end, both = (np.concatenate([p[c] for p in parts]) for c in (1, 2, 3, 4))
+        which = np.repeat([p[0] for p in parts], [len(p[1]) for p in parts])
+        names = sorted({t.licence for t in self.templates})
+        rank = np.array([names.index(t.licence) for t in self.templates])[which]
+        found = []
+        # Runs compete only within their cluster of overlapping ones.
+        by_start = np.argsort(start, kind="stable")
+        reach = np.maximum.accumulate(end[by_start])
+        for cluster in np.split(by_start, np.flatnonzero(start[by_start][1:] > reach[:-1]) + 1):
+            cluster = cluster[np.lexsort((rank[cluster], start[cluster], -both[cluster], -dice[cluster]))]
+            while len(cluster):
+                one = cluster[0]
+                found.append((int(start[one]), int(end[one]), names[rank[one]], float(dice[one])))
+                cluster = cluster[(end[cluster] < start[one]) | (start[cluster] > end[one])]
+        return [(licence, value, p, q) for p, q, licence, value in sorted(found)]
+
+    def _of_template(self, template: Template, places: np.ndarray, grams: np.ndarray):
+        """dice, first word, last word, shared bigrams of all runs at or above the threshold, in pieces of bounded size.
+
+        ``places`` are those of the template's bigrams. A run is given by its
+        first and its last; between them, a bigram counts as often as the
+        template has it.
+        """
+        t, n = self.threshold, len(places)
+        most = int(np.floor((2 - t) / t * template.size + 1e-9))
+        ahead = template.needed - 1  # a run from a place holds at least so many more
+        firsts = np.arange(max(n - ahead, 0))
+        firsts = firsts[places[firsts + ahead] - places[firsts] < most]
+        if not len(firsts):
+            return
+        # The place where the bigram before last within the template's number of them stands: beyond it, one more does not count.
+        previous = np.full(n, -1)
+        seen: dict[int, list[int]] = {}
+        for h, gram in enumerate(grams.tolist()):
+            at = seen.setdefault(gram, [])
+            if len(at) >= template.bag[gram]:
+                previous[h] = at[-template.bag[gram]]
+            at.append(h)
+        lasts = np.searchsorted(places, places[firsts] + most) - 1
+        # From each place on, the first one by which all of the phrases' bigrams were seen.
+        complete = firsts.copy()
+        for gram in template.whole:
+            at = np.append(seen.get(gram, []), n).astype(np.int64)
+            complete = np.maximum(complete, at[np.searchsorted(at, firsts)])
+        band = int((lasts - firsts).max()) + 1
+        step = max(1, 1_000_000 // band)
+        for a in range(0, len(firsts), step):
+            rows = firsts[a : a + step, None]
+            ends = rows + np.arange(band)
+            inside = ends <= lasts[a : a + step, None]
+            ends = np.minimum(ends, n - 1)
+            both = np.cumsum(inside & (previous[ends] < rows), axis=1)
+            size = places[ends] - places[rows] + 1
+            dice = 2 * both / (size + template.size)
+            x, y = np.nonzero(inside & (ends >= complete[a : a + step, None]) & (dice >= t - 1e-9))
+            if len(x):
+                yield dice[x, y], places[rows[x, 0]], places[ends[x, y]] + 1, both[x, y]
+
     def _of_text(self, pairs, clause, first, last, a: int, b: int, hits: np.ndarray):
         grams = pairs[hits].tolist()
         shared: Counter = Counter()
@@ -153,7 +246,7 @@ class Scanner:
 
 @lru_cache(maxsize=4)
 def _scanner(threshold: float) -> Scanner:
-    return Scanner(templates(), threshold)
+    return Scanner(templates(), threshold, True, phrases())
 
 
 def find_licences(
@@ -162,23 +255,32 @@ def find_licences(
     text_col: str = "text",
     threshold: float = 0.85,
     named_texts: list[tuple[str, str]] | None = None,
+    every: bool = False,
 ) -> DataFrame:
     """doc_id, licence, dice, start, end: the best run of every licence that a text holds; start and end in code points.
 
-    Where the best runs of two licences overlap, only the better one is given.
+    Runs of words that overlap compete: the best is taken first, of equally
+    good ones the one that shares more, then the first, then by name; what
+    overlaps a taken one is left out. With ``every``, all runs taken are
+    given, otherwise the best of each licence among them, then the first.
 
     ``named_texts`` are (licence, text) pairs instead of the built-in
-    templates; templates of fewer than two words match nothing. Of equally
-    good runs the first is given, then the shorter. Null and empty texts hold
+    templates; templates of fewer than two words match nothing. Null and empty texts hold
     none and do not appear; repeated rows are each reported.
     """
     source = id_and_text(docs, id_col, text_col)
     own = named_texts
 
     def run(batches):
-        scanner = _scanner(threshold) if own is None else Scanner(own, threshold)
+        scanner = _scanner(threshold) if own is None else Scanner(own, threshold, True)
         for batch in text_batches(batches, chars=1_000_000):
             rows = scanner.scan(batch.column("text").to_pylist())
+            if not every:
+                best: dict[tuple, tuple] = {}
+                for row in rows:
+                    if row[:2] not in best or row[2] > best[row[:2]][2]:
+                        best[row[:2]] = row
+                rows = list(best.values())
             if rows:
                 yield pa.RecordBatch.from_arrays(
                     [

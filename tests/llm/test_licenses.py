@@ -72,3 +72,61 @@ def test_hard_cases(hard, nothing, table):
 def test_own_templates_and_templates_without_words(table):
     rows = L.find_licences(table([(1, "do what you like with it")]), named_texts=[("own", "Do what you like with it!"), ("none", ""), ("one", "word")]).collect()
     assert [(r.licence, r.dice) for r in rows] == [("own", 1.0)]
+
+
+def best_of_words(text, named, t):
+    """Best Dice coefficient of any run of words, per licence."""
+    own, best = words(text), {}
+    for licence, template in named:
+        other = bag(words(template))
+        for i in range(len(own)):
+            for j in range(i + 2, len(own) + 1):
+                mine = bag(own[i:j])
+                dice = 2 * sum((mine & other).values()) / (sum(mine.values()) + sum(other.values()))
+                if dice >= t - 1e-9:
+                    best[licence] = max(best.get(licence, 0), dice)
+    return best
+
+
+def test_runs_of_words_equal_brute_force():
+    rng = random.Random(5)
+    named = [("A", "alpha beta gamma delta alpha beta epsilon"), ("B", "one two three four"), ("B", "one two five six seven eight")]
+    scanner = L.Scanner(named, 0.7, True)
+    vocabulary = "alpha beta gamma delta epsilon one two three four five six seven eight noise".split()
+    for _ in range(300):
+        parts = [" ".join(rng.sample(vocabulary, 3)) if rng.random() < 0.5 else rng.choice([t for _, t in named]) for _ in range(4)]
+        text = rng.choice([". ", "\n", " "]).join(parts)
+        want, found = best_of_words(text, named, 0.7), scanner.scan([text])
+        assert max((x[2] for x in found), default=0) == max(want.values(), default=0), text
+        assert all(own[2] <= want[own[1]] + 1e-9 for own in found)
+        # Runs do not overlap, and no licence is left where no run stands.
+        assert all(x[4] <= y[3] for x, y in zip(found, found[1:])), text
+        rest, at = [], 0
+        for x in found:
+            rest.append(text[at : x[3]])
+            at = x[4]
+        assert not any(best_of_words(part, named, 0.7) for part in [*rest, text[at:]]), text
+
+
+def test_statement_inside_a_clause(table):
+    texts = ["This file is licensed under the MIT License.", "Copyright 2020 Jane Doe, released under the MIT License", "all code here is distributed under the Apache License, Version 2.0 and more of that"]
+    got = {r.doc_id: (r.licence, r.dice, texts[r.doc_id][r.start : r.end]) for r in L.find_licences(table(list(enumerate(texts)))).collect()}
+    assert got == {0: ("MIT", 1.0, "licensed under the MIT License"), 1: ("MIT", 1.0, "released under the MIT License"), 2: ("Apache-2.0", 1.0, "distributed under the Apache License, Version 2.0")}
+
+
+def test_every_run_is_given(table):
+    text = "Released under the MIT License, some words, licensed under the ISC License; again released under the MIT License"
+    rows = L.find_licences(table([(1, text)]), every=True).collect()
+    assert [(r.licence, text[r.start : r.end]) for r in rows] == [("MIT", "Released under the MIT License"), ("ISC", "licensed under the ISC License"), ("MIT", "released under the MIT License")]
+
+
+def test_licence_whose_best_run_is_taken_stands_elsewhere(table):
+    named = [("A", "a b c d e f g h"), ("B", "b c d e f g x")]
+    text = "a b c d e f g h. Other words: b c d e f g y"
+    got = L.find_licences(table([(1, text)]), threshold=0.7, named_texts=named).collect()
+    assert {(r.licence, r.start > 0) for r in got} == {("A", False), ("B", True)}
+
+
+def test_a_cut_name_is_not_another_licence(table):
+    texts = ["Licensed under the BSD 4-Clause License", "This project is licensed under the Apache License, Version 1.1", "This work is licensed under the GNU General Public License"]
+    assert L.find_licences(table(list(enumerate(texts)))).collect() == []

@@ -3,7 +3,7 @@ import re
 from collections import Counter
 
 from plumbline.llm import licenses as L
-from plumbline.llm.license_templates import TEXTS, templates
+from plumbline.llm.license_templates import TEXTS, phrases, templates
 
 
 def words(text):
@@ -130,3 +130,38 @@ def test_licence_whose_best_run_is_taken_stands_elsewhere(table):
 def test_a_cut_name_is_not_another_licence(table):
     texts = ["Licensed under the BSD 4-Clause License", "This project is licensed under the Apache License, Version 1.1", "This work is licensed under the GNU General Public License"]
     assert L.find_licences(table(list(enumerate(texts)))).collect() == []
+
+
+FOUNDATION = "as published by the Free Software Foundation"
+GNU = """This {2} is free software{3} you can redistribute it and/or modify
+it under the terms of the GNU {0}General Public License {1}
+
+This {2} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU {0}General Public License for more details.
+
+You should have received a copy of the GNU {0}General Public License along with this {2}"""
+
+
+def test_notices_and_sentences_have_their_own_names(table):
+    later = FOUNDATION + "; either version {} of the License, or (at your option) any later version."
+    address = "; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA."
+    link = ".  If not, see <http://www.gnu.org/licenses/>."
+    texts = [
+        ("GPL-2.0-or-later", GNU.format("", later.format(2), "program", ";") + address), ("GPL-2.0-or-later", GNU.format("", later.format(2), "program", ":") + link),
+        ("GPL-3.0-or-later", GNU.format("", later.format(3), "program", ":") + link), ("GPL-2.0", GNU.format("", "version 2 " + FOUNDATION + ".", "program", ";") + link),
+        ("GPL-3.0", GNU.format("", FOUNDATION + ", version 3 of the License.", "program", ":") + link), ("LGPL-2.1-or-later", GNU.format("Lesser ", later.format(2.1), "library", ";") + address),
+        ("LGPL-3.0-or-later", GNU.format("Lesser ", later.format(3), "program", ":") + link), ("AGPL-3.0-or-later", GNU.format("Affero ", later.format(3), "program", ":") + link),
+        ("AGPL-3.0", GNU.format("Affero ", FOUNDATION + ", version 3 of the License.", "program", ":") + link),
+        ("BSD-3-Clause", TEXTS["BSD-2-Clause"].replace("THIS SOFTWARE IS PROVIDED BY", "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\nTHIS SOFTWARE IS PROVIDED BY", 1)),
+        ("BSD-2-Clause", TEXTS["BSD-2-Clause"]),
+        *((f"CC-{code}-4.0", f"This work is licensed under a Creative Commons Attribution{words} 4.0 International License") for code, words in (("BY", ""), ("BY-SA", "-ShareAlike"), ("BY-NC", "-NonCommercial"), ("BY-ND", "-NoDerivatives"), ("BY-NC-SA", "-NonCommercial-ShareAlike"), ("BY-NC-ND", "-NonCommercial-NoDerivatives"))),
+    ]
+    got = L.find_licences(table([(n, f"# Copyright 2020 Jane Doe\n\n{text}\n\nimport os\n") for n, (_, text) in enumerate(texts)]), every=True).collect()
+    assert sorted((r.doc_id, r.licence) for r in got) == [(n, licence) for n, (licence, _) in enumerate(texts)]
+    assert all(r.dice > 0.95 for r in got)
+
+
+def test_every_licence_with_a_name_has_templates_of_its_own():
+    scanner = L.Scanner(templates(), 0.85, True, phrases())
+    for licence, text in templates():
+        assert {h[1] for h in scanner.scan([f"words before it\n{text}\nwords after"])} == {licence}, text

@@ -12,8 +12,10 @@ A pair belongs to the first bucket that it shares, so no pair is counted twice
 and none is written: buckets give counts and a few edges per set. Buckets are
 first compared by their tokens, with a margin; only sets that have a partner
 there are fetched and compared exactly. Runs are repeated until the estimated
-share of links found reaches the target (links seen in one or two buckets tell
-how many were seen in none).
+share of links found reaches the target (links seen in one or two runs tell how
+many were seen in none). Pairs that share frequent tokens only meet deep down
+and more seldom, and families give many easy links; so the target holds for
+each depth, and for links of families and others, on their own.
 
 Sets that are equal are one class from the start, whatever the number of
 copies; only one of them takes part.
@@ -36,6 +38,9 @@ from plumbline.llm.common import Copies, id_and_text, join_groups, maybe_in, tex
 from plumbline.session import materialize
 
 _STEP = np.uint64(0xD6E8FEB86659FD93)
+#: A path is its run's number above so many bits of a hash.
+_RUN_BITS = 48
+_MOST_RUNS = 1 << (63 - _RUN_BITS)
 
 
 @dataclass(frozen=True)
@@ -45,7 +50,8 @@ class Paths:
     ``leaf`` sets are compared by brute force, in blocks of ``block``; a path
     has ``depth`` steps at most, and a bucket is not split where one step keeps
     ``alike`` of it together. ``margin`` is how far below the threshold the
-    tokens' estimate may lie: 5 standard deviations.
+    tokens' estimate may lie: 5 standard deviations. Links between sets that
+    both have more than ``family`` in a bucket are estimated apart.
     """
 
     threshold: float = 0.8
@@ -58,6 +64,7 @@ class Paths:
     depth: int = 6
     alike: float = 0.4
     margin: float = 0.18
+    family: int = 16
 
 
 # --- in tasks -----------------------------------------------------------------------------------
@@ -85,8 +92,8 @@ def chosen(tokens: np.ndarray, paths: np.ndarray, threshold: float) -> tuple[np.
     draws = mix(named * _STEP ^ paths.astype(np.uint64)[:, None])
     limit = np.uint64(min(1.0, 1 / (threshold * width)) * float(1 << 63) * 2 - 2048)
     rows, columns = np.nonzero(draws < limit)
-    run = paths[rows] >> np.int64(56)
-    new = (run << np.int64(56)) | (mix(draws[rows, columns] + _STEP) >> np.uint64(8)).astype(np.int64)
+    run = paths[rows] >> np.int64(_RUN_BITS)
+    new = (run << np.int64(_RUN_BITS)) | (mix(draws[rows, columns] + _STEP) >> np.uint64(64 - _RUN_BITS)).astype(np.int64)
     return rows, new
 
 
@@ -139,7 +146,7 @@ def _first_step(options: Paths, first: int, last: int):
             tokens, nodes = _matrix(batch.column("tokens"), options.width), np.asarray(batch.column("node"))
             sizes = np.asarray(batch.column("size"))
             for number in range(first, last):
-                rows, paths = chosen(tokens, np.full(len(nodes), number << 56, np.int64), options.threshold)
+                rows, paths = chosen(tokens, np.full(len(nodes), number << _RUN_BITS, np.int64), options.threshold)
                 yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(nodes[rows]), pa.array(sizes[rows])], ["path", "node", "size"])
 
     return run
@@ -182,20 +189,35 @@ def groups_in(batches, keys: list[str]):
         yield pa.Table.from_batches(held)
 
 
-def _shared_leaves(table: pa.Table, leaf: int) -> tuple[np.ndarray, np.ndarray]:
-    """For all pairs of a bucket: whether they share an earlier bucket, and how many they share in all."""
+def _held(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets that several rows are in, where each stands first in the rows' lists, and which rows are in which."""
     lists = table["leaves"].combine_chunks()
     values, owners = np.asarray(lists.flatten()), np.repeat(np.arange(len(table)), np.asarray(pc.list_value_length(lists)))
     names, first, columns, counts = np.unique(values, return_index=True, return_inverse=True, return_counts=True)
-    alike = np.asarray(table["alike"].combine_chunks().flatten())[first].astype(np.float32)
     common = np.flatnonzero(counts > 1)
     place = np.full(len(names), -1)
     place[common] = np.arange(len(common))
     inside = place[columns] >= 0
     held = np.zeros((len(table), len(common)), np.float32)
     held[owners[inside], place[columns[inside]]] = 1
-    earlier = held[:, names[common] < leaf]
-    return earlier @ earlier.T > 0, (held * alike[common]) @ held.T
+    return names[common], first[common], held
+
+
+def _earlier(names: np.ndarray, held: np.ndarray, leaf: int) -> np.ndarray:
+    """For all pairs of a bucket: whether they share an earlier one."""
+    earlier = held[:, names < leaf]
+    return earlier @ earlier.T > 0
+
+
+def _runs_met(table: pa.Table, first: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """For all pairs: in how many runs they share a bucket, in however many of a run."""
+    lists = pc.take(table["runs"].combine_chunks().flatten(), pa.array(first))
+    runs, columns = np.asarray(lists.flatten()), np.repeat(np.arange(len(first)), np.asarray(pc.list_value_length(lists)))
+    met = np.zeros((len(held), len(held)), np.int32)
+    for run in np.unique(runs):
+        own = held[:, columns[runs == run]]
+        met += own @ own.T > 0
+    return met
 
 
 def _own_pairs(table: pa.Table) -> np.ndarray:
@@ -227,10 +249,11 @@ def _candidates(options: Paths):
             like = (agree >= least) & _own_pairs(table) & (size[:, None] >= options.threshold * size) & (size >= options.threshold * size[:, None])
             if not like.any():
                 continue
-            like &= ~_shared_leaves(table, table["leaf"][0].as_py())[0]
+            names, _, held = _held(table)
+            like &= ~_earlier(names, held, table["leaf"][0].as_py())
             rows = np.flatnonzero(like.any(axis=0) | like.any(axis=1))
             if len(rows):
-                yield from table.take(pa.array(rows)).select(["leaf", "low", "high", "block", "leaves", "alike", "node", "doc_id", "digest"]).to_batches()
+                yield from table.take(pa.array(rows)).select(["leaf", "low", "high", "block", "depth", "leaves", "runs", "node", "doc_id", "digest"]).to_batches()
 
     return run
 
@@ -266,6 +289,15 @@ def _roots(links: np.ndarray) -> np.ndarray:
         labels = new
 
 
+#: Pairs, and those met in one and in two runs, of few links and of families.
+_SEEN = [f"{of}_{how}" for of in ("few", "family") for how in ("pairs", "once", "twice")]
+
+
+def reached(pairs: int, once: int, twice: int, recall: float) -> bool:
+    """Whether the share of pairs found reaches the target, by Chao's estimate of those met in no run."""
+    return pairs >= recall * (pairs + once * (once - 1) / (2 * (twice + 1)))
+
+
 def _links(options: Paths):
     def run(batches):
         for table in groups_in(batches, ["leaf", "low", "high"]):
@@ -279,16 +311,22 @@ def _links(options: Paths):
             linked = (both * (1 + options.threshold) >= options.threshold * (size[:, None] + size) - 1e-9) & _own_pairs(table)
             if not linked.any():
                 continue
-            earlier, shared = _shared_leaves(table, table["leaf"][0].as_py())
-            linked &= ~earlier
+            names, first, held = _held(table)
+            linked &= ~_earlier(names, held, table["leaf"][0].as_py())
             nodes, roots = np.asarray(table["node"]), _roots(linked)
             counts = linked.sum(axis=0) + linked.sum(axis=1)
-            once, twice = (linked & (shared == 1)).sum(axis=1), (linked & (shared == 2)).sum(axis=1)
             rows = np.flatnonzero(counts)
+            met = _runs_met(table, first, held)
+            family = linked & (np.minimum(counts[:, None], counts) > options.family)
+            # Pairs stand in the row of their first set.
+            seen = [(of & how).sum(axis=1) for of in (linked & ~family, family) for how in (True, met == 1, met == 2)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes[rows]), pa.array(nodes[roots[rows]]), *(pa.array(x[rows].astype(np.int64)) for x in (counts, once, twice))],
-                ["node", "root", "links", "once", "twice"],
-            )
+                [
+                    pa.array(nodes[rows]), pa.array(nodes[roots[rows]]), pa.array(np.full(len(rows), table["depth"][0].as_py(), np.int32)),
+                    *(pa.array(x[rows].astype(np.int64)) for x in (counts, *seen)),
+                ],
+                ["node", "root", "depth", "links", *_SEEN],
+            )
 
     return run
 
@@ -318,14 +356,14 @@ def _near_in_size(rows: DataFrame, options: Paths) -> DataFrame:
 
 
 def _leaves(nodes: DataFrame, options: Paths, first: int, last: int, copy: Copies) -> DataFrame:
-    """leaf, node, n of the runs first..last-1, without rows that no set of their bucket is near in size."""
+    """leaf, node, n, depth of the runs first..last-1, without rows that no set of their bucket is near in size."""
     total = nodes.count()
     frontier = nodes.select("node", "size", "tokens").mapInArrow(_first_step(options, first, last), "path long, node long, size int")
     frontier, done = frontier.withColumn("above", F.lit(total).cast("long")), []
     for step in range(options.depth):
         rows = copy(_buckets(frontier))
         whole = (F.col("n") <= options.leaf) | (F.col("n") >= options.alike * F.col("above")) & F.lit(step > 0) | F.lit(step == options.depth - 1)
-        done.append(_near_in_size(rows.where(whole), options).select(F.col("path").alias("leaf"), "node", "n"))
+        done.append(_near_in_size(rows.where(whole), options).select(F.col("path").alias("leaf"), "node", "n", F.lit(step).alias("depth")))
         large = rows.where(~whole).select("path", "node", "size", "n")
         if large.isEmpty():
             break
@@ -344,14 +382,15 @@ def _of_nodes(nodes: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def _different(leaves: DataFrame) -> DataFrame:
-    """One bucket of those with the same sets: leaf, node, n, and how many are ``alike``.
+    """One bucket of those with the same sets: leaf, node, n, depth, and the ``runs`` that have it.
 
     Sets that belong together meet in most runs, so this is most buckets.
     """
     marks = [F.sum(F.xxhash64(F.lit(k), "node").cast("decimal(20,0)")).alias(f"mark{k}") for k in (1, 2)]
     buckets = leaves.groupBy("leaf").agg(F.count(F.lit(1)).alias("members"), *marks)
-    kept = buckets.groupBy("members", "mark1", "mark2").agg(F.min("leaf").alias("leaf"), F.count(F.lit(1)).alias("alike"))
-    return leaves.join(kept.select("leaf", "alike"), "leaf")
+    runs = F.collect_set(F.shiftright("leaf", _RUN_BITS).cast("int")).alias("runs")
+    kept = buckets.groupBy("members", "mark1", "mark2").agg(F.min("leaf").alias("leaf"), runs)
+    return leaves.join(kept.select("leaf", "runs"), "leaf")
 
 
 def _in_blocks(leaves: DataFrame, options: Paths) -> DataFrame:
@@ -360,7 +399,7 @@ def _in_blocks(leaves: DataFrame, options: Paths) -> DataFrame:
     cut = leaves.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     return cut.withColumn("other", other).select(
-        "leaf", "node", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
+        "leaf", "node", "block", "depth", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
     )
 
 
@@ -430,13 +469,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         more = _leaves(nodes, options, first, last, copy)
         leaves = more if leaves is None else leaves.unionByName(more)
         different = copy(_different(leaves))
-        listed = different.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("leaf", "alike"))).alias("l"))
-        listed = listed.select("node", F.col("l.leaf").alias("leaves"), F.col("l.alike").alias("alike"))
+        listed = different.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("leaf", "runs"))).alias("l"))
+        listed = listed.select("node", F.col("l.leaf").alias("leaves"), F.col("l.runs").alias("runs"))
         company = listed.join(_of_nodes(nodes, different), "node")
-        place = "leaf long, low int, high int, block int, leaves array<long>, alike array<long>, node long"
+        place = "leaf long, low int, high int, block int, depth int, leaves array<long>, runs array<array<int>>, node long"
         near = copy(
             _by_bucket(_in_blocks(different, options).join(company, "node"))
-            .select("leaf", "low", "high", "block", "leaves", "alike", "node", "doc_id", "digest", "size", "tokens")
+            .select("leaf", "low", "high", "block", "depth", "leaves", "runs", "node", "doc_id", "digest", "size", "tokens")
             .mapInArrow(_candidates(options), f"{place}, doc_id {kind}, digest binary")
         )
         # Equal digests are equal sets, so the first of them serves.
@@ -445,15 +484,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         full = full.groupBy("digest").agg(F.first("shingles").alias("shingles"))
         found = copy(
             _by_bucket(near.drop("doc_id").join(full, "digest"))
-            .select("leaf", "low", "high", "block", "leaves", "alike", "node", "shingles")
-            .mapInArrow(_links(options), "node long, root long, links long, once long, twice long")
+            .select("leaf", "low", "high", "block", "depth", "leaves", "runs", "node", "shingles")
+            .mapInArrow(_links(options), f"node long, root long, depth int, links long, {', '.join(f'{c} long' for c in _SEEN)}")
         )
-        sums = found.agg(F.sum("links"), F.sum("once"), F.sum("twice")).first()
-        links, once, twice = (int(x or 0) for x in sums)
-        missed = once * (once - 1) / (2 * (twice + 1))
-        if links / 2 >= options.recall * (links / 2 + missed):
+        strata = found.groupBy("depth").agg(*(F.sum(c).alias(c) for c in _SEEN)).collect()
+        if all(reached(*row[k : k + 3], options.recall) for row in strata for k in (1, 4)):
             break
-        first, last = last, last * 2
+        if last == _MOST_RUNS:
+            raise RuntimeError(f"{last} runs do not reach a recall of {options.recall}")
+        first, last = last, min(last * 2, _MOST_RUNS)
 
     roots = components(found.select("node", "root"), copy)
     counted = found.groupBy("node").agg(F.sum("links").alias("n_links"))

@@ -104,3 +104,39 @@ def test_components_of_a_long_chain(spark):
 def test_shingles_of_short_texts(words):
     one, two, none, three = shingle_sets(["A b", "a  B\n", " ", "a c"], words)
     assert np.array_equal(one, two) and len(none) == 0 and not np.array_equal(one, three)
+
+
+def frequent_lines(seed, pairs, pool=60, lines=20, words=30):
+    """Pairs of documents made of lines that many documents have; the second has another line in the place of one."""
+    rng, rows = random.Random(seed), []
+    texts = [" ".join(f"l{k}w{i}" for i in range(words)) for k in range(pool)]
+    for _ in range(pairs):
+        chosen = sorted(rng.sample(range(pool), lines))
+        other = chosen[:]
+        other[rng.randrange(lines)] = rng.choice([k for k in range(pool) if k not in chosen])
+        rows += [" ".join(texts[k] for k in own) for own in (chosen, other)]
+    return rows
+
+
+def test_deep_pairs_beside_a_large_family(table):
+    """The easy links of the family do not hide those that are missed deep down."""
+    rows = list(enumerate(frequent_lines(4, 150) + [t for _, t in families(2, 1, 120, edits=6)]))
+    options = C.Paths(leaf=4, runs=4, family=8)
+    assert got(C.near_duplicates(table(rows), options=options)) == brute(rows)
+
+
+def test_estimate_counts_runs_not_buckets():
+    import pyarrow as pa
+
+    table = pa.table({"leaves": [[1, 2, 3], [1, 2, 3], [3]], "runs": pa.array([[[0], [0], [0, 4]], [[0], [0], [0, 4]], [[0, 4]]], pa.list_(pa.list_(pa.int32())))})
+    names, first, held = C._held(table)
+    assert C._runs_met(table, first, held).tolist() == [[2, 2, 2]] * 3
+    assert C._earlier(names, held, 3).tolist() == [[True, True, False], [True, True, False], [False, False, False]]
+    assert C.reached(1000, 20, 60, 0.995) and not C.reached(1000, 160, 266, 0.995)
+
+
+def test_run_numbers_beyond_a_byte():
+    tokens = C.min_tokens([np.arange(50, dtype=np.uint64)], 128)
+    for number in (0, 127, 160, C._MOST_RUNS - 1):
+        _, paths = C.chosen(np.repeat(tokens, 20, axis=0), np.full(20, number << C._RUN_BITS, np.int64), 0.8)
+        assert (paths >> C._RUN_BITS == number).all() and (paths >= 0).all()

@@ -101,17 +101,21 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     return first.where("__hot").drop("__hot").unionByName(rest)
 
 
-def blocks_of(items, limit: int, size) -> list[list]:
-    """Consecutive blocks of ``items`` whose summed ``size`` stays below ``limit`` (single larger items stand alone)."""
-    blocks, current, held = [], [], 0
+def blocks_of(items, limit: int, size):
+    """Consecutive blocks of ``items`` whose summed ``size`` stays below ``limit`` (single larger items stand alone), and whether each is the last.
+
+    No more than a block and one item of ``items`` is held.
+    """
+    current, held = [], 0
     for item in items:
         n = size(item)
         if current and held + n > limit:
-            blocks.append(current)
+            yield current, False
             current, held = [], 0
         current.append(item)
         held += n
-    return [*blocks, current] if current else blocks
+    if current:
+        yield current, True
 
 
 def text_batches(batches, rows: int = 512, chars: int = 4_000_000):

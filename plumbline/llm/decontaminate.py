@@ -222,10 +222,10 @@ def find_passages(
 
     found = []
     blocks = blocks_of(((r.i, r.t) for r in items.toLocalIterator()), block_chars, lambda item: len(item[1]))
-    for block in blocks:
+    for block, last in blocks:  # a block's result is written before the next is read
         index = spark.sparkContext.broadcast(PassageIndex(block, lemma))
         result = source.mapInArrow(searcher(index), schema)
-        found.append(materialize(result) if len(blocks) > 1 else result)
+        found.append(materialize(result) if found or not last else result)
     if not found:
         return spark.createDataFrame([], schema)
     result = found[0]

@@ -76,3 +76,13 @@ def test_hash_of_all_lengths_tells_grams_apart():
     for q in range(1, 14):
         hashes = D.gram_hashes(np.arange(100, dtype=np.uint32), q)
         assert len(hashes) == 101 - q == len(set(hashes.tolist()))
+
+
+def test_blocks_are_read_one_by_one():
+    from plumbline.llm.common import blocks_of
+
+    read = []
+    blocks = blocks_of((read.append(k) or k for k in range(10)), 3, lambda _: 1)
+    assert next(blocks) == ([0, 1, 2], False) and read == [0, 1, 2, 3]
+    assert list(blocks) == [([3, 4, 5], False), ([6, 7, 8], False), ([9], True)]
+    assert list(blocks_of([], 3, len)) == []

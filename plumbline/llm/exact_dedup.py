@@ -288,23 +288,3 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def _digest(plain):
     return F.unhex(F.sha2(plain.cast("binary"), 256))
-
-
-def _arrow_type(kind: T.DataType) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(kind)
-
-
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the rows whose text an earlier id has; all columns stay.
-
-    Rows that repeat id and text come once.
-    """
-    decided = exact_groups(docs, id_col, text_col, **options).where("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("copies"))
-    own = F.sha2(plain_text(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).cast("binary"), 256)
-    left, right = docs.withColumn("__sha", own).alias("l"), decided.alias("r")
-    same = F.col(f"l.`{id_col}`").eqNullSafe(F.col("r.doc_id")) & (F.col("l.__sha") == F.col("r.text_sha256"))
-    once = left.join(right.where("copies = 1"), same, "left_semi").drop("__sha")
-    again = left.join(right.where("copies > 1"), same, "left_semi").dropDuplicates([id_col, "__sha"]).drop("__sha")
-    return once.unionByName(again)

@@ -89,3 +89,13 @@ def test_dedup_keeps_columns_and_one_row_each(hard):
 def test_empty_table(nothing):
     assert E.exact_groups(nothing).count() == 0
     assert E.exact_dedup(nothing).count() == 0
+
+
+def test_nothing_is_defined_twice():
+    import ast
+    import inspect
+
+    from plumbline.llm import exact_dedup
+
+    names = [x.name for x in ast.parse(inspect.getsource(exact_dedup)).body if isinstance(x, (ast.FunctionDef, ast.ClassDef))]
+    assert len(names) == len(set(names))

@@ -225,32 +225,35 @@ def exact_groups(
     # Suspects' texts: a filter of fixed size picks them in the scan, equal texts are counted
     # inside each task first, and grouping by the text itself is the comparison of the bytes.
     texts = maybe_in(hashed, F.xxhash64("sha"), suspects.select(F.xxhash64("sha").alias("key"))).select("doc_id", "sha", "plain")
-    groups = materialize(
+    counted = materialize(
         texts.groupBy("sha", "plain")
         .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .where("group_size > 1")
         .withColumn("text_key", F.xxhash64("plain"))
         .drop("plain")
     )
+    groups = counted.where("group_size > 1")
+    # Digests that different texts have, be they repeated or not; there is none unless SHA-256 is broken.
+    shared = counted.groupBy("sha").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sha")
+    clash = not shared.isEmpty()
 
     # Members: hot groups are few by definition and are broadcast; the others meet their members in a shuffle.
     hot_rows = max(rows // HOT_GROUPS, 2)
-    clashing = groups.groupBy("sha").agg(F.count(F.lit(1)).alias("n"), F.max("group_size").alias("most"))
-    single = groups.join(clashing.where("n = 1").select("sha"), "sha", "left_semi").drop("text_key")
+    single = groups.drop("text_key")
+    if clash:
+        single = single.join(shared, "sha", "left_anti")
     hot = single.where(F.col("group_size") > hot_rows).withColumn("hot", F.lit(True))
     cold = single.where(F.col("group_size") <= hot_rows)
     by_hot = suspects.join(F.broadcast(hot), "sha", "left")
     members = by_hot.where("hot").drop("hot").unionByName(
         by_hot.where("hot is null").select("doc_id", "sha").join(cold, "sha", "left")
     )
-    # Different texts under one digest: their members are found by the text.
-    shared = clashing.where("n > 1").select("sha", F.lit(True).alias("shared"))
-    members = members.join(F.broadcast(shared), "sha", "left").where("shared is null").drop("shared").unionByName(
-        texts.withColumn("text_key", F.xxhash64("plain")).drop("plain")
-        .join(F.broadcast(shared), "sha")
-        .join(groups, ["sha", "text_key"], "left")
-        .select("doc_id", "sha", "keep_id", "group_size")
-    )
+    if clash:  # their members are found by the text
+        members = members.join(shared, "sha", "left_anti").unionByName(
+            texts.withColumn("text_key", F.xxhash64("plain")).drop("plain")
+            .join(shared, "sha", "left_semi")
+            .join(groups, ["sha", "text_key"], "left")
+            .select("doc_id", "sha", "keep_id", "group_size")
+        )
     alone = marked.where(~F.col("suspect")).select("doc_id", "sha", F.lit(None).cast(id_type).alias("keep_id"), F.lit(None).cast("long").alias("group_size"))
     size = F.coalesce("group_size", F.lit(1).cast("long"))
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))

@@ -8,7 +8,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import byte_bpe, chosen_path, decontaminate, exact_dedup, html_paths, licenses, neighbour_quality, oracles, page_language, personal_data, secrets
+from plumbline.llm import (
+    byte_bpe,
+    chosen_path,
+    decontaminate,
+    exact_dedup,
+    html_paths,
+    lexical,
+    licenses,
+    negatives,
+    neighbour_quality,
+    oracles,
+    page_language,
+    personal_data,
+    secrets,
+    simhash,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -122,3 +137,23 @@ def op2_page_language(spark, sf_dir):
 @query()
 def op10_license_dice(spark, sf_dir):
     return licenses.find_licences(table(spark, sf_dir, "documents"), every=True)
+
+
+@query(oracles.RANKED_SEARCH)
+def op11_block_max(spark, sf_dir):
+    index = lexical.build_index(table(spark, sf_dir, "documents"))
+    ranked = lexical.search(index, table(spark, sf_dir, "benchmark"))
+    index.release()
+    return ranked
+
+
+@query()
+def op12_covering_simhash(spark, sf_dir):
+    return simhash.near_copies(table(spark, sf_dir, "documents"))
+
+
+@query(oracles.HARD_NEGATIVES)
+def op13_tree_negatives(spark, sf_dir):
+    vectors, vec_id = table(spark, sf_dir, "embeddings"), F.col("vec_id")
+    moved = F.when(vec_id % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors.withColumn("label", moved), vec_id % 100 == 0)

@@ -12,7 +12,7 @@ SF_DIR = "/root/testdata/sf0.001"
 
 
 def test_registered():
-    assert {f"op{n}" for n in range(1, 11)} == {name.split("_")[0] for name in QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {name.split("_")[0] for name in QUERIES}
     assert {"pipeline", *QUERIES} <= set(queries()) and set(ORACLES) <= set(oracle_sql())
 
 

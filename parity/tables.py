@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from parity.registry import query, table
 from plumbline.operators import merge as mg
+from plumbline.operators.asof import asof_join
 from plumbline.operators.counts import with_remainder
 from plumbline.operators.keys import with_row_index
 from plumbline.plans.ingest import ingest
@@ -219,31 +220,11 @@ def sql_cube_filter(spark, sf_dir):
 ON e.user_id = p.user_id AND e.ts >= p.ts WHERE e.event_type = 'error'"""
 )
 def sql_latest_before(spark, sf_dir):
-    """The latest purchase before each error of the same user, without a range join.
-
-    The last purchase within the day comes from a window per user and day, the
-    one of earlier days from a window over daily totals, so a busy user never
-    fills a window alone.
-    """
-    return _views(spark, sf_dir, "events").query(
-        """
-        WITH dated AS (SELECT *, to_date(ts) AS day FROM events WHERE event_type IN ('purchase', 'error')),
-        daily AS (
-          SELECT user_id, day, max_by(event_id, CASE WHEN event_type = 'purchase' THEN ts END) AS last_id
-          FROM dated GROUP BY user_id, day),
-        earlier AS (
-          SELECT user_id, day, last(last_id, true) OVER (
-            PARTITION BY user_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before_id
-          FROM daily),
-        within AS (
-          SELECT event_id, event_type, user_id, day, last(CASE WHEN event_type = 'purchase' THEN event_id END, true) OVER (
-            PARTITION BY user_id, day ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS day_id
-          FROM dated)
-        SELECT event_id, coalesce(day_id, before_id) AS purchase_id
-        FROM within JOIN earlier USING (user_id, day) WHERE event_type = 'error'
-        """,
-        row_cap=None,
-    )
+    """The latest purchase before each error of the same user, by the as-of join over two SQL views."""
+    views = _views(spark, sf_dir, "events")
+    errors = views.query("SELECT event_id, user_id, ts FROM events WHERE event_type = 'error'", row_cap=None)
+    purchases = views.query("SELECT user_id, ts, event_id AS purchase_id FROM events WHERE event_type = 'purchase'", row_cap=None)
+    return asof_join(errors, purchases, ["user_id"], "ts", ["purchase_id"]).select("event_id", "purchase_id")
 
 
 @query("SELECT count(*) AS lines, CAST(sum(l_orderkey) AS BIGINT) AS keys FROM lineitem")

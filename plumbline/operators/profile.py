@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.errors import PlumblineError
 from plumbline.functions import parsing as P
-from plumbline.functions.columns import as_text, col, groupable, numeric_columns, string_columns
+from plumbline.functions.columns import as_text, col, numeric_columns, string_columns
 from plumbline.operators.counts import column_catalog, rank_within_column, value_counts
+from plumbline.operators.sketches import ColumnState, collect_states, merge_states
+from plumbline.operators.states import merged_states
+from plumbline.session import small_table
 
 # Limits of the profile and of the issues drawn from it.
 SAMPLE_VALUES = 5
@@ -30,9 +31,9 @@ def profile(df: DataFrame, distinct: str = "exact", samples: int = SAMPLE_VALUES
     as numbers), samples (up to ``samples`` distinct values, smallest first).
 
     ``distinct`` is "exact" (one shuffle of the distinct values), "approx" (one
-    bounded sketch per column and task, and a scan per sample) or "approx-text"
-    (sketches for text columns only). The choice is the caller's, whatever the
-    size of the table.
+    scan when it is called, in which every task keeps a sketch and a few values
+    per column) or "approx-text" (that for text columns only). The choice is
+    the caller's, whatever the size of the table.
     """
     names = df.columns
     choices = {"exact": [], "approx": list(names), "approx-text": string_columns(df)}
@@ -104,53 +105,39 @@ def _exact_profile(df: DataFrame, columns: list[str], samples: int) -> DataFrame
 
 
 def _sketched_profile(df: DataFrame, columns: list[str], samples: int) -> DataFrame:
-    """One pass with a bounded distinct-count sketch per column, and one per sample."""
-    texts = set(string_columns(df))
+    """One scan: every task keeps one bounded state per column, and these are merged."""
     types = {f.name: f.dataType for f in df.schema.fields}
-    first = _smallest_values(df, columns, types, samples)
+    numeric = set(numeric_columns(df))
+    texts = frozenset(i for i, c in enumerate(columns) if c in set(string_columns(df)))
+    inputs = []
+    for i, name in enumerate(columns):
+        value = col(name) if name in numeric else as_text(name, types[name])
+        if isinstance(types[name], (T.FloatType, T.DoubleType)):
+            value = value + F.lit(0.0).cast(types[name])  # -0.0 becomes 0.0
+        inputs.append((value if samples else F.when(value.isNotNull(), True)).alias(f"v{i}"))
+        inputs.append(F.xxhash64(value).alias(f"h{i}"))
+        if i in texts:
+            inputs.append(P.is_number_text(value).alias(f"n{i}"))
+    found = merged_states(df.select(*inputs), collect_states(len(columns), texts, samples), merge_states)
+    states = [ColumnState.unpack(found[i]) if i in found else ColumnState(samples) for i in range(len(columns))]
+    shown = _as_shown(df.sparkSession, [s.smallest for s in states], [types[c] if c in numeric else T.StringType() for c in columns])
     rows = []
-    for name in columns:
-        value = groupable(name, types[name])
-        share = F.lit(None).cast("double")
-        if name in texts:
-            share = F.try_divide(F.count_if(P.is_number_text(value)), F.count(value))
-        rows.append(
-            F.struct(
-                F.lit(name).alias("column_name"),
-                F.count("*").alias("row_count"),
-                (F.count("*") - F.count(value)).alias("null_count"),
-                (F.approx_count_distinct(value) + (F.count("*") > F.count(value)).cast("int")).alias("unique_count"),
-                F.lit(True).alias("is_approx"),
-                share.alias("number_share"),
-                F.lit(first[name]).cast("array<string>").alias("samples"),
-            )
-        )
-    return df.agg(F.array(*rows).alias("r")).select(F.inline("r"))
+    for i, (name, s) in enumerate(zip(columns, states)):
+        present = s.rows - s.nulls
+        share = s.numbers / present if i in texts and present else None
+        rows.append((name, s.rows, s.nulls, round(s.registers.estimate()) + (s.nulls > 0), True, share, shown[i]))
+    schema = (
+        "column_name string, row_count bigint, null_count bigint, unique_count bigint, is_approx boolean, "
+        "number_share double, samples array<string>"
+    )
+    return small_table(df.sparkSession, rows, schema)
 
 
-def _smallest_values(df: DataFrame, columns: list[str], types: Mapping[str, T.DataType], n: int) -> dict[str, list[str]]:
-    """The ``n`` smallest distinct values of each column as text: each scan finds every column's next one."""
-    found: dict[str, list[str]] = {name: [] for name in columns}
-    numeric = set(numeric_columns(df))
-    last: dict[str, object] = {}
-    open_columns = list(columns)
-    for _ in range(n):
-        if not open_columns:
-            break
-        smallest = []
-        for name in open_columns:
-            text = as_text(name, types[name])
-            value = col(name) if name in numeric else text
-            later = value > F.lit(last[name]) if name in last else value.isNotNull()
-            smallest.append(F.min(F.when(later, F.struct(value.alias("v"), text.alias("t")))).alias(f"m{len(smallest)}"))
-        row = df.agg(*smallest).first()
-        for name, value in zip(list(open_columns), row):
-            if value is None:
-                open_columns.remove(name)
-            else:
-                last[name] = value["v"]
-                found[name].append(value["t"])
-    return found
+def _as_shown(spark: SparkSession, values: list[list], types: list[T.DataType]) -> list[list[str]]:
+    """A few values of each column in the text form of Spark."""
+    schema = T.StructType([T.StructField(f"s{i}", T.ArrayType(kind)) for i, kind in enumerate(types)])
+    frame = spark.createDataFrame([tuple(values)], schema)
+    return list(frame.select(*[F.transform(f"s{i}", lambda x: x.cast("string")).alias(f"s{i}") for i in range(len(types))]).first())
 
 
 def profile_issues(profiled: DataFrame) -> DataFrame:

@@ -123,23 +123,19 @@ def _by_column(searches: Sequence[_Search]) -> dict[str, list[_Search]]:
 
 
 def _narrow(df: DataFrame, values: Mapping[str, Column], pending: Sequence[_Search], buckets: int) -> None:
-    number = {r: i for i, r in enumerate(sorted({s.range for s in pending}))}
-    branches = []
-    for name, searches in _by_column(pending).items():  # each branch reads one column and its own blocks
-        value = F.col("value")
-        cells = [
-            F.when(
-                value.between(low, high),
-                F.struct(F.lit(number[r]).alias("range"), _bucket(value, zoom, buckets).alias("bucket"), "value"),
-            )
-            for r in sorted({s.range for s in searches})
-            for _, low, high, zoom in [r]
-        ]
-        inside = df.where(_between(values[name], searches)).select(values[name].alias("value"))
-        branches.append(inside.select(F.inline(F.array(*cells))))
+    """One scan for all columns: histograms keyed (range, bucket) of the values between the bounds."""
+    ranges = sorted({s.range for s in pending})
+    number = {r: i for i, r in enumerate(ranges)}
+    cells = []
+    for name, low, high, zoom in ranges:
+        value = values[name]
+        cell = F.struct(F.lit(number[name, low, high, zoom]).alias("range"), _bucket(value, zoom, buckets).alias("bucket"), value.alias("value"))
+        cells.append(F.when(value.between(low, high), cell))
+    # The scan is told of every column's bounds, so that blocks which hold none of the values are skipped.
+    inside = reduce(lambda a, b: a | b, [_between(values[name], searches) for name, searches in _by_column(pending).items()])
     rows = (
-        reduce(lambda a, b: a.unionAll(b), branches)
-        .where(F.col("range").isNotNull())
+        df.where(inside)
+        .select(F.inline(F.array_compact(F.array(*cells))))
         .groupBy("range", "bucket")
         .agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
         .collect()
@@ -164,14 +160,14 @@ def _narrow(df: DataFrame, values: Mapping[str, Column], pending: Sequence[_Sear
 
 
 def _point(df: DataFrame, values: Mapping[str, Column], stuck: Sequence[_Search]) -> None:
-    """Let a sketch say where, between its bounds, the rank of each search lies."""
+    """Let sketches say where, between its bounds, the rank of each search lies; one scan for all columns."""
     slack = 2.0 / _SKETCH_ACCURACY
-    for name, searches in _by_column(stuck).items():
-        value, sketches = values[name], []
-        for i, s in enumerate(searches):
-            share = (s.rank - s.below) / s.count
-            around = [max(share - slack, 0.0), min(share + slack, 1.0)]
-            within = F.when(value.between(s.low, s.high), value)
-            sketches.append(F.percentile_approx(within, around, F.lit(_SKETCH_ACCURACY)).alias(f"s{i}"))
-        for s, points in zip(searches, df.where(_between(value, searches)).agg(*sketches).first()):
-            s.zoom = (points[0], points[1])
+    sketches = []
+    for i, s in enumerate(stuck):
+        value, share = values[s.column], (s.rank - s.below) / s.count
+        around = [max(share - slack, 0.0), min(share + slack, 1.0)]
+        within = F.when(value.between(s.low, s.high), value)
+        sketches.append(F.percentile_approx(within, around, F.lit(_SKETCH_ACCURACY)).alias(f"s{i}"))
+    inside = reduce(lambda a, b: a | b, [_between(values[name], searches) for name, searches in _by_column(stuck).items()])
+    for s, points in zip(stuck, df.where(inside).agg(*sketches).first()):
+        s.zoom = (points[0], points[1])

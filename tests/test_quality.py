@@ -237,3 +237,89 @@ def test_correlation(spark, rows):
         correlation_matrix(df, ["x"])
     with pytest.raises(ValueError):
         correlation_matrix(df, ["x", "gone"])
+
+
+def test_two_hundred_columns_correlate_without_more_rows(spark, monkeypatch):
+    """Every column in one scan: what leaves a task is one state, not a row per pair."""
+    import numpy as np
+
+    from plumbline.operators import correlation as module
+
+    rng = np.random.default_rng(3)
+    values = rng.normal(size=(400, 200))
+    values[:, 1] += values[:, 0]
+    values[rng.random(values.shape) < 0.1] = np.nan
+    values[:, 7] = 5.0
+    frame = spark.createDataFrame([tuple(map(float, r)) for r in values], ", ".join(f"c{i} double" for i in range(200)))
+    seen = []
+    real = module.merged_states
+    monkeypatch.setattr(module, "merged_states", lambda rows, *rest: seen.append(rows) or real(rows, *rest))
+    got = {(r.col_a, r.col_b): r.correlation for r in correlation_matrix(frame).collect()}
+    assert len(got) == 200 * 200 and len(seen) == 1
+    assert "Generate" not in seen[0]._jdf.queryExecution().executedPlan().toString()
+    for a, b in ((0, 1), (3, 50), (7, 8), (199, 0), (4, 4)):
+        both = ~np.isnan(values[:, a]) & ~np.isnan(values[:, b])
+        x, y = values[both, a], values[both, b]
+        want = 0.0 if 7 in (a, b) else np.corrcoef(x, y)[0, 1]
+        assert abs(got[f"c{a}", f"c{b}"] - want) < 6e-5
+
+
+def test_correlation_of_empty_columns(spark, rows):
+    frame = spark.createDataFrame([(None, 1.0), (None, 2.0)], "a double, b double")
+    assert [r["correlation"] for r in rows(correlation_matrix(frame), "col_a", "col_b")] == [0.0, 0.0, 0.0, 1.0]
+    assert {r["correlation"] for r in rows(correlation_matrix(frame.where("b > 5")))} == {0.0}
+
+
+def test_forty_columns_take_four_scans_at_most(spark, monkeypatch):
+    """One scan measures the columns, every pass of the quantile search is one for all of them."""
+    import numpy as np
+
+    from plumbline.operators import quantiles as module
+
+    rng = np.random.default_rng(4)
+    values = np.column_stack([rng.normal(size=5000), rng.lognormal(0, 3, 5000), rng.integers(0, 4, 5000), *rng.normal(size=(37, 5000))])
+    frame = spark.createDataFrame([tuple(map(float, r)) for r in values], ", ".join(f"c{i} double" for i in range(40)))
+    scans = []
+    for name in ("_narrow", "_point"):
+        real = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *a, real=real, name=name: scans.append(name) or real(*a))
+    got = {r.column_name: (r.p25, r.p50, r.p75) for r in numeric_stats(frame).collect()}
+    for i in range(40):
+        assert np.allclose(got[f"c{i}"], np.quantile(values[:, i], (0.25, 0.5, 0.75)), rtol=1e-12, atol=0)
+    assert 1 + len(scans) <= 4, scans
+
+
+def test_distinct_sketch_is_close_at_every_size():
+    import numpy as np
+
+    from plumbline.operators.sketches import Registers
+
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 10, 1000, 6000, 12_000, 50_000, 400_000):
+        sketch = Registers()
+        hashes = rng.integers(-(1 << 63), (1 << 63) - 1, n)
+        for part in np.array_split(np.r_[hashes, hashes], 7):
+            sketch.add(part)
+        assert abs(sketch.estimate() - n) <= 0.08 * n
+
+
+def test_sketched_profile_is_one_scan(spark, monkeypatch):
+    """The table is read once, and what tasks give does not grow with it."""
+    from plumbline.operators import profile as module
+
+    seen = []
+    real = module.merged_states
+    monkeypatch.setattr(module, "merged_states", lambda rows, *rest: seen.append(rows) or real(rows, *rest))
+    frame = spark.range(0, 30_000, 1, 6).selectExpr(
+        "id", "concat('t', id % 7000) AS t", "if(id % 3 = 0, null, cast(id as double) / 4) AS d", "cast(id % 5 as decimal(9,2)) AS m",
+        "if(id % 2 = 0, double('nan'), -0.0D) AS z", "id % 2 = 0 AS b", "array(id % 3) AS a", "cast(null as string) AS none", "cast(id as string) AS n",
+    )
+    got = {r.column_name: r for r in module.profile(frame, distinct="approx").collect()}
+    assert len(seen) == 1
+    assert list(got["id"].samples) == ["0", "1", "2", "3", "4"] and list(got["t"].samples) == ["t0", "t1", "t10", "t100", "t1000"]
+    assert list(got["d"].samples) == ["0.25", "0.5", "1.0", "1.25", "1.75"] and list(got["m"].samples) == ["0.00", "1.00", "2.00", "3.00", "4.00"]
+    assert list(got["z"].samples) == ["0.0", "NaN"] and list(got["b"].samples) == ["false", "true"]
+    assert list(got["a"].samples) == ['{"v":[0]}', '{"v":[1]}', '{"v":[2]}'] and list(got["none"].samples) == []
+    assert (got["none"].null_count, got["none"].unique_count, got["none"].number_share) == (30_000, 1, None)
+    assert (got["n"].number_share, got["t"].number_share, got["z"].unique_count, got["b"].unique_count) == (1.0, 0.0, 2, 2)
+    assert got["d"].null_count == 10_000 and abs(got["t"].unique_count - 7000) < 560

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from math import floor, isfinite
 from sys import float_info
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.states import merged_states
+
 BUCKETS = 1024
 _SKETCH_ACCURACY = 10_000
 _MAX_PASSES = 60
@@ -62,8 +66,8 @@ def exact_quantiles(
     ``values`` maps names to double expressions free of NaN. Each pass counts
     the values between the current bounds in equal-width buckets and keeps the
     least and greatest value of each; the bucket that holds the wanted rank
-    gives the next bounds. Tasks combine their counts before the shuffle, so a
-    pass moves some thousand rows however large or skewed the table is, and
+    gives the next bounds. A pass is one scan for all columns, in which every
+    task keeps one histogram per range, however large or skewed the table is;
     later passes read only the blocks that can hold values between the bounds.
     If one bucket holds most values, a sketch points the next pass to the
     right place.
@@ -97,17 +101,48 @@ def exact_quantiles(
     return {name: [interpolate(name, p) for p in probs] for name in values}
 
 
-def _bucket(value: Column, zoom: tuple[float, float], buckets: int) -> Column:
-    """A bucket number that never falls as the value grows: 0 below the zoom, then 1, 2, ..."""
+def _buckets(values: np.ndarray, zoom: tuple[float, float], buckets: int) -> np.ndarray:
+    """Bucket numbers that never fall as the value grows: 0 below the zoom, then 1, 2, ..."""
     low, high = max(zoom[0], -float_info.max), min(zoom[1], float_info.max)
-    if isfinite(high - low):
-        width = (high - low) / buckets
-        place = (value - F.lit(low)) / F.lit(width) if width else F.lit(0.0)
-    else:
-        width = high / buckets - low / buckets
-        place = value / F.lit(width) - F.lit(low / width)
-    inside = F.least(F.greatest(F.floor(place), F.lit(0)), F.lit(buckets - 1)).cast("int") + 1
-    return F.when(value < low, 0).when(value > high, buckets + 1).otherwise(inside)
+    with np.errstate(all="ignore"):
+        if isfinite(high - low):
+            width = (high - low) / buckets
+            place = (values - low) / width if width else np.zeros(len(values))
+        else:
+            width = high / buckets - low / buckets
+            place = values / width - low / width
+    inside = np.clip(np.floor(place), 0, buckets - 1).astype(np.int64) + 1
+    return np.where(values < low, 0, np.where(values > high, buckets + 1, inside))
+
+
+def _histograms(ranges: Sequence[tuple], columns: Sequence[str], buckets: int):
+    """A task's counts, least and greatest values per bucket, for every range."""
+    own: dict[int, list[int]] = {}
+    for r, (name, *_) in enumerate(ranges):
+        own.setdefault(columns.index(name), []).append(r)
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> dict[int, bytes]:
+        found = np.zeros((len(ranges), 3, buckets + 2))
+        found[:, 1], found[:, 2] = np.inf, -np.inf
+        for batch in batches:
+            for i, numbers in own.items():
+                values = batch.column(i).to_numpy(zero_copy_only=False)
+                for r in numbers:
+                    _, low, high, zoom = ranges[r]
+                    inside = values[(values >= low) & (values <= high)]
+                    if len(inside):
+                        place = _buckets(inside, zoom, buckets)
+                        found[r, 0] += np.bincount(place, minlength=buckets + 2)
+                        np.minimum.at(found[r, 1], place, inside)
+                        np.maximum.at(found[r, 2], place, inside)
+        return {r: found[r].tobytes() for r in range(len(ranges)) if found[r, 0].any()}
+
+    return collect
+
+
+def _summed(states: list[bytes]) -> bytes:
+    found = np.array([np.frombuffer(s).reshape(3, -1) for s in states])
+    return np.array([found[:, 0].sum(axis=0), found[:, 1].min(axis=0), found[:, 2].max(axis=0)]).tobytes()
 
 
 def _between(value: Column, searches: Sequence[_Search]) -> Column:
@@ -126,32 +161,24 @@ def _narrow(df: DataFrame, values: Mapping[str, Column], pending: Sequence[_Sear
     """One scan for all columns: histograms keyed (range, bucket) of the values between the bounds."""
     ranges = sorted({s.range for s in pending})
     number = {r: i for i, r in enumerate(ranges)}
-    cells = []
-    for name, low, high, zoom in ranges:
-        value = values[name]
-        cell = F.struct(F.lit(number[name, low, high, zoom]).alias("range"), _bucket(value, zoom, buckets).alias("bucket"), value.alias("value"))
-        cells.append(F.when(value.between(low, high), cell))
+    columns = list(_by_column(pending))
     # The scan is told of every column's bounds, so that blocks which hold none of the values are skipped.
     inside = reduce(lambda a, b: a | b, [_between(values[name], searches) for name, searches in _by_column(pending).items()])
-    rows = (
-        df.where(inside)
-        .select(F.inline(F.array_compact(F.array(*cells))))
-        .groupBy("range", "bucket")
-        .agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
-        .collect()
-    )
-    histograms: dict[int, list] = {}
-    for row in sorted(rows, key=lambda r: (r["range"], r["bucket"])):
-        histograms.setdefault(row["range"], []).append(row)
+    rows = df.where(inside).select(*[values[name].alias(f"v{i}") for i, name in enumerate(columns)])
+    histograms: dict[int, list[tuple]] = {}
+    for r, state in merged_states(rows, _histograms(ranges, columns, buckets), _summed).items():
+        counts, lows, highs = np.frombuffer(state).reshape(3, -1)
+        full = np.flatnonzero(counts)
+        histograms[r] = list(zip(counts[full].astype(np.int64).tolist(), lows[full].tolist(), highs[full].tolist()))
 
     stuck = []
     for s in pending:
         before, upto = s.count, s.below
-        for row in histograms[number[s.range]]:
-            if upto + row["n"] > s.rank:
-                s.below, s.count, s.low, s.high, s.zoom = upto, row["n"], row["low"], row["high"], None
+        for n, low, high in histograms[number[s.range]]:
+            if upto + n > s.rank:
+                s.below, s.count, s.low, s.high, s.zoom = upto, n, low, high, None
                 break
-            upto += row["n"]
+            upto += n
         s.settle()
         if s.found is None and s.count > before / 2:
             stuck.append(s)

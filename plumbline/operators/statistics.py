@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.columns import as_double, col, numeric_columns, require_columns, type_name
+from plumbline.functions.columns import as_double, as_text, col, numeric_columns, require_columns, type_name
 from plumbline.operators.counts import column_catalog, rank_within_column, value_counts
+from plumbline.operators.heavy import frequent_texts
 from plumbline.operators.measures import per_column
 from plumbline.operators.quantiles import BUCKETS, Extent, exact_quantiles
 from plumbline.session import small_table
@@ -21,6 +22,7 @@ NUMERIC_SCHEMA = (
     "position int, column_name string, dtype string, count bigint, null_count bigint, mean double, "
     "std double, min double, max double, p25 double, p50 double, p75 double"
 )
+CATEGORICAL_SCHEMA = "position int, column_name string, dtype string, count bigint, null_count bigint, top_values array<string>"
 STATS_SCHEMA = NUMERIC_SCHEMA + ", top_values array<string>"
 
 
@@ -74,13 +76,36 @@ def numeric_stats(
 def categorical_stats(df: DataFrame, columns: Sequence[str] | None = None, k: int = TOP_VALUES) -> DataFrame:
     """One row per non-numeric column: count, null_count and the ``k`` most frequent values.
 
-    Equal counts are ordered by value.
+    Equal counts are ordered by value. Columns whose first values bounded
+    summaries can prove (see ``frequent_texts``) are settled by one scan or two
+    when this is called; only the values of others are all counted. An empty
+    table gives no rows.
     """
     numeric = set(numeric_columns(df))
     columns = list(columns if columns is not None else [c for c in df.columns if c not in numeric])
-    schema = "position int, column_name string, dtype string, count bigint, null_count bigint, top_values array<string>"
     if not columns:
-        return small_table(df.sparkSession, [], schema)
+        return small_table(df.sparkSession, [], CATEGORICAL_SCHEMA)
+    require_columns(df, columns)
+    types = {f.name: f.dataType for f in df.schema.fields}
+    found = frequent_texts(df, [as_text(c, types[c]) for c in columns], k)
+    rows = [
+        (i, c, type_name(types[c]), one.rows - one.nulls, one.nulls, [v for v, _ in one.first])
+        for i, (c, one) in enumerate(zip(columns, found))
+        if one.first is not None and one.rows
+    ]
+    settled = small_table(df.sparkSession, rows, CATEGORICAL_SCHEMA)
+    rest = [c for c, one in zip(columns, found) if one.first is None]
+    if not rest:
+        return settled
+    counted = _counted_categories(df, rest, k)
+    place: Column = F.lit(None).cast("int")
+    for i, name in enumerate(columns):
+        place = F.when(F.col("column_name") == name, i).otherwise(place)
+    return settled.unionByName(counted.withColumn("position", place))
+
+
+def _counted_categories(df: DataFrame, columns: Sequence[str], k: int) -> DataFrame:
+    """The same with every value counted."""
     counts = value_counts(df, columns)
     value, n = F.col("value"), F.col("n")
     totals = counts.groupBy("column_index").agg(

@@ -42,6 +42,9 @@ def test_zscore_reaches_the_scan(spark):
     assert "ReadSchema: struct<event_id:bigint,value:double>" in plan
 
 
-def test_top_values_are_limited_before_the_shuffle(spark):
-    plan = queries()["categorical_top5"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+def test_every_value_counted_is_limited_before_the_shuffle(spark):
+    from plumbline.operators.statistics import _counted_categories
+
+    events = spark.read.parquet(f"{SF_DIR}/events.parquet")
+    plan = _counted_categories(events, ["event_type", "props"], 5)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan

@@ -11,11 +11,13 @@ Those are compared whole too, in pairs of blocks of bounded size.
 A pair belongs to the first bucket that it shares, so no pair is counted twice
 and none is written: buckets give counts and a few edges per set. Buckets are
 first compared by their tokens, with a margin; only sets that have a partner
-there are fetched and compared exactly. Runs are repeated until the estimated
+there are fetched and compared exactly. Runs are added until the estimated
 share of links found reaches the target (links seen in one or two runs tell how
 many were seen in none). Pairs that share frequent tokens only meet deep down
 and more seldom, and families give many easy links; so the target holds for
-each depth, and for links of families and others, on their own.
+each depth, and for links of families and others, on their own. A depth that
+has reached it is closed: its buckets are not compared again, and further runs
+bring none for it.
 
 Sets that are equal are one class from the start, whatever the number of
 copies; only one of them takes part.
@@ -25,16 +27,17 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.characters import mix, shingle_sets
-from plumbline.llm.common import Copies, id_and_text, join_groups, maybe_in, text_batches, without_ids
+from plumbline.llm.common import Copies, id_and_text, join_groups, maybe_in, text_batches, text_mark, without_ids, without_rows
 from plumbline.session import materialize
 
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -112,8 +115,9 @@ def _sets(options: Paths):
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                     pa.array([len(s) for s in sets], pa.int32()),
                     pa.array(tokens, pa.binary()),
+                    batch.column("mark"),
                 ],
-                ["doc_id", "digest", "size", "tokens"],
+                ["doc_id", "digest", "size", "tokens", "mark"],
             )
 
     return run
@@ -446,15 +450,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty and blank texts are copies of each other and have no links. Ids may
     repeat or be null; a null id names a class only if all its rows have none.
     """
+    found = _classes(docs, id_col, text_col, options, F.lit(None).cast("binary"))
+    return found.select("doc_id", "class_id", "copy_id", "n_copies", "n_links")
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, options: Paths, mark: Column) -> DataFrame:
+    """The columns of :func:`near_duplicates`, the row's ``mark`` (of its text), and the ``head`` of its class: its first row."""
     source = id_and_text(docs, id_col, text_col)
     kind = source.schema["doc_id"].dataType.simpleString()
     rows = materialize(
-        source.mapInArrow(_sets(options), f"doc_id {kind}, digest binary, size int, tokens binary").withColumn(
-            "node", F.monotonically_increasing_id()
-        )
+        source.withColumn("mark", mark)
+        .mapInArrow(_sets(options), f"doc_id {kind}, digest binary, size int, tokens binary, mark binary")
+        .withColumn("node", F.monotonically_increasing_id())
     )
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")).alias("head")
     copies = materialize(
-        rows.groupBy("digest").agg(F.min("node").alias("node"), F.min("doc_id").alias("copy_id"), F.count(F.lit(1)).alias("n_copies"))
+        rows.groupBy("digest").agg(F.min("node").alias("node"), F.min("doc_id").alias("copy_id"), first, F.count(F.lit(1)).alias("n_copies"))
     )
     copy = Copies()  # deleted once the classes are written
     # All sets but the further copies, whose tokens need not move to be left out.
@@ -465,16 +476,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = without_ids(rows.where("size > 0"), copy(further), "node").select("node", "doc_id", "digest", "size", "tokens")
 
     leaves, first, last = None, 0, options.runs
+    closed, results = [], []
     while True:
-        more = _leaves(nodes, options, first, last, copy)
-        leaves = more if leaves is None else leaves.unionByName(more)
+        more = _leaves(nodes, options, first, last, copy).where(~F.col("depth").isin(closed))
+        leaves = copy(more) if leaves is None else leaves.unionByName(copy(more))
         different = copy(_different(leaves))
         listed = different.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("leaf", "runs"))).alias("l"))
         listed = listed.select("node", F.col("l.leaf").alias("leaves"), F.col("l.runs").alias("runs"))
-        company = listed.join(_of_nodes(nodes, different), "node")
+        # A pair belongs to the first bucket it shares, and new buckets come after the old, so closed depths keep their pairs.
+        compared = different.where(~F.col("depth").isin(closed))
+        company = listed.join(_of_nodes(nodes, compared), "node")
         place = "leaf long, low int, high int, block int, depth int, leaves array<long>, runs array<array<int>>, node long"
         near = copy(
-            _by_bucket(_in_blocks(different, options).join(company, "node"))
+            _by_bucket(_in_blocks(compared, options).join(company, "node"))
             .select("leaf", "low", "high", "block", "depth", "leaves", "runs", "node", "doc_id", "digest", "size", "tokens")
             .mapInArrow(_candidates(options), f"{place}, doc_id {kind}, digest binary")
         )
@@ -488,28 +502,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .mapInArrow(_links(options), f"node long, root long, depth int, links long, {', '.join(f'{c} long' for c in _SEEN)}")
         )
         strata = found.groupBy("depth").agg(*(F.sum(c).alias(c) for c in _SEEN)).collect()
-        if all(reached(*row[k : k + 3], options.recall) for row in strata for k in (1, 4)):
+        open_ = {row.depth for row in strata if not all(reached(*row[k : k + 3], options.recall) for k in (1, 4))}
+        results.append(found.where(~F.col("depth").isin(list(open_))))
+        if not open_:
             break
         if last == _MOST_RUNS:
             raise RuntimeError(f"{last} runs do not reach a recall of {options.recall}")
+        closed = [d for d in range(options.depth) if d not in open_]
         first, last = last, min(last * 2, _MOST_RUNS)
+    found = reduce(DataFrame.unionByName, results)
 
     roots = components(found.select("node", "root"), copy)
     counted = found.groupBy("node").agg(F.sum("links").alias("n_links"))
     classes = (
         copies.join(roots, "node", "left")
         .join(counted, "node", "left")
-        .select("digest", "copy_id", "n_copies", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+        .select("digest", "copy_id", "head", "n_copies", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     )
     classes = materialize(classes)
     copy.release()
-    names = classes.groupBy("root").agg(F.min("copy_id").alias("class_id"))
-    groups = classes.join(names, "root").drop("root")
-    members = join_groups(rows.select("doc_id", "digest"), groups, "digest", "n_copies", total)
-    return members.select("doc_id", "class_id", "copy_id", "n_copies", "n_links")
+    names = classes.groupBy("root").agg(F.min("copy_id").alias("class_id"), F.min("head").alias("head"))
+    groups = classes.drop("head").join(names, "root").drop("root")
+    return join_groups(rows.select("doc_id", "mark", "digest"), groups, "digest", "n_copies", total)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", options: Paths = Paths()) -> DataFrame:
-    """``docs`` with one row of every class of :func:`near_duplicates`, the one with the smallest id; all columns stay."""
-    classes = near_duplicates(docs, id_col, text_col, options)
-    return without_ids(docs, materialize(classes.where("doc_id <> class_id").select("doc_id").distinct()), id_col)
+    """``docs`` with one row of every class of :func:`near_duplicates`, the one with the smallest id; all columns stay.
+
+    Of rows with that id the one whose text's digest is smallest stays, and a
+    row without an id only if its class has no other. Rows that repeat id and
+    text are one document and stay or go together. Null, empty and blank texts
+    are one class. An empty table gives an empty result.
+    """
+    found = _classes(docs, id_col, text_col, options, text_mark(F.col("text")))
+    same = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("mark") == F.col("head.mark"))
+    return without_rows(docs, materialize(found.where(~same).select("doc_id", "mark").distinct()), id_col, text_col)

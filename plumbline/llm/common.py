@@ -14,6 +14,25 @@ from pyspark.sql import functions as F
 from plumbline.session import materialize, release, ship_package
 
 
+def place_of(df: DataFrame, name: str) -> int:
+    """Where a column stands: the one of this very name, else the only one of this name in any letter case."""
+    same = [k for k, c in enumerate(df.columns) if c == name] or [k for k, c in enumerate(df.columns) if c.lower() == name.lower()]
+    if len(same) != 1:
+        raise ValueError(f"{len(same)} columns are called {name}")
+    return same[0]
+
+
+def positioned(df: DataFrame) -> DataFrame:
+    """``df`` with its columns called c0, c1, ..., so that none of its names can clash with an inner one."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+
+
+def picked(df: DataFrame, **names: str) -> DataFrame:
+    """Only the columns named, each under its keyword."""
+    places = {new: place_of(df, name) for new, name in names.items()}
+    return positioned(df).select(*[F.col(f"c{k}").alias(new) for new, k in places.items()])
+
+
 def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text, as ``doc_id`` and ``text``; a null text is empty.
 
@@ -21,7 +40,12 @@ def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     no operator can clash with it.
     """
     ship_package(df.sparkSession)
-    return df.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    return picked(df, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
+
+
+def text_mark(text: Column) -> Column:
+    """What tells a text from others, null and empty being one."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
 
 
 def plain_text(column: Column) -> Column:
@@ -77,12 +101,27 @@ def surely_not_in(df: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
     return _with_bit(df, key, keys).where(~F.col("__in")).drop("__in")
 
 
-def without_ids(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` without the ids in ``gone`` (column ``doc_id``), moving no text of the rows that surely stay."""
-    key, keys = F.xxhash64(F.col(f"`{id_col}`")), gone.select(F.xxhash64("doc_id").alias("key"))
-    left = maybe_in(docs, key, keys).alias("l")
-    same = F.col(f"l.`{id_col}`").eqNullSafe(F.col("r.doc_id"))
-    return surely_not_in(docs, key, keys).unionByName(left.join(gone.alias("r"), same, "left_anti"))
+def without_ids(rows: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """``rows`` (an inner table) without the ids in ``gone`` (column ``doc_id``), moving nothing of the rows that surely stay."""
+    key, keys = F.xxhash64(F.col(id_col)), gone.select(F.xxhash64("doc_id").alias("key"))
+    left = maybe_in(rows, key, keys).alias("l")
+    same = F.col(f"l.{id_col}").eqNullSafe(F.col("r.doc_id"))
+    return surely_not_in(rows, key, keys).unionByName(left.join(gone.alias("r"), same, "left_anti"))
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark=text_mark) -> DataFrame:
+    """``docs`` without the rows whose id (null or not) and text are in ``gone`` (columns ``doc_id`` and ``mark``).
+
+    Other rows that share only the id, or only the text, stay, and so do all
+    columns under their names, whatever these are. Only rows whose id may be in
+    ``gone`` are compared; the others' texts are not moved.
+    """
+    rows, own, text = positioned(docs), f"c{place_of(docs, id_col)}", f"c{place_of(docs, text_col)}"
+    key, keys = F.xxhash64(own), gone.select(F.xxhash64("doc_id").alias("key"))
+    left = maybe_in(rows, key, keys).withColumn("__mark", mark(F.col(text))).alias("l")
+    same = F.col(f"l.{own}").eqNullSafe(F.col("r.doc_id")) & (F.col("l.__mark") == F.col("r.mark"))
+    kept = left.join(gone.alias("r"), same, "left_anti").drop("__mark")
+    return surely_not_in(rows, key, keys).unionByName(kept).toDF(*docs.columns)
 
 
 #: A group is hot if it has more than one row in so many; no more groups than that can be, however large the table.

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm.characters import END, fold
-from plumbline.llm.common import blocks_of, id_and_text, text_batches
+from plumbline.llm.common import blocks_of, id_and_text, picked, text_batches
 from plumbline.session import materialize
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -201,7 +201,7 @@ def find_passages(
     """
     source = id_and_text(docs, id_col, text_col)
     spark = source.sparkSession
-    items = passages.select(F.col(f"`{item_col}`").alias("i"), F.col(f"`{passage_col}`").alias("t")).where("t IS NOT NULL")
+    items = picked(passages, i=item_col, t=passage_col).where("t IS NOT NULL")
     id_field = T.StructField("doc_id", source.schema["doc_id"].dataType)
     item_field = T.StructField("item_id", items.schema["i"].dataType)
     schema = T.StructType([id_field, item_field, *(T.StructField(n, T.LongType()) for n in ("start", "end", "edits", "shared_grams"))])

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import id_and_text, maybe_in, plain_text, surely_not_in
+from plumbline.llm.common import id_and_text, maybe_in, place_of, plain_text, positioned, surely_not_in, without_rows
 from plumbline.session import materialize
 
 #: Most rows that a hot group may have before its members are matched by a
@@ -275,18 +275,22 @@ def _arrow_type(kind: T.DataType) -> pa.DataType:
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the rows whose text an earlier id has; all columns stay.
 
-    Rows that repeat id and text come once.
+    Null and empty texts are equal. A row without an id goes where a row with
+    one has its text. Rows that repeat id and text (or have no id and one text)
+    come once; rows with one id and different texts are judged each. An empty
+    table gives an empty result.
     """
     decided = materialize(exact_groups(docs, id_col, text_col, **options).select("doc_id", "text_sha256", "kept"))
-    own = _digest(plain_text(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
-    dropped = decided.where(~F.col("kept"))
-    repeated = decided.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1")
-    touched = dropped.select("doc_id").union(repeated.select("doc_id")).select(F.xxhash64("doc_id").alias("key"))
-    key = F.xxhash64(F.col(f"`{id_col}`"))
-    maybe = maybe_in(docs, key, touched).withColumn("__sha", F.lower(F.hex(own)))
-    same = F.col(f"l.`{id_col}`").eqNullSafe(F.col("r.doc_id")) & (F.col("l.__sha") == F.col("r.text_sha256"))
-    left = maybe.alias("l").join(dropped.alias("r"), same, "left_anti").dropDuplicates([id_col, "__sha"]).drop("__sha")
-    return surely_not_in(docs, key, touched).unionByName(left)
+
+    def mark(text):
+        return F.lower(F.hex(_digest(plain_text(F.coalesce(text, F.lit(""))))))
+
+    left = without_rows(docs, decided.where(~F.col("kept")).select("doc_id", F.col("text_sha256").alias("mark")), id_col, text_col, mark)
+    repeated = decided.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1").select(F.xxhash64("doc_id").alias("key"))
+    rows, own, text = positioned(left), f"c{place_of(left, id_col)}", f"c{place_of(left, text_col)}"
+    key = F.xxhash64(own)
+    once = maybe_in(rows, key, repeated).withColumn("__mark", mark(F.col(text))).dropDuplicates([own, "__mark"]).drop("__mark")
+    return surely_not_in(rows, key, repeated).unionByName(once).toDF(*docs.columns)
 
 
 def _digest(plain):

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import text_batches
+from plumbline.llm.common import picked, text_batches
 from plumbline.session import ship_package
 
 # Elements by their role in HTML.
@@ -265,9 +265,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     urls may be null or repeat. Each page is judged by itself.
     """
     ship_package(pages.sparkSession)
-    source = pages.select(
-        F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.coalesce(F.col(f"`{html_col}`"), F.lit("")).alias("text")
-    )
+    source = picked(pages, page_id=id_col, url=url_col, text=html_col).withColumn("text", F.coalesce("text", F.lit("")))
 
     def run(batches):
         for batch in text_batches(batches):

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import blocks_of, one_thread
+from plumbline.llm.common import blocks_of, one_thread, picked
 from plumbline.llm.exact_dedup import _arrow_type
 from plumbline.session import materialize, ship_package, small_table
 
@@ -259,6 +259,8 @@ def hard_negatives(
     ship_package(spark)
     vector, broken = F.col(f"`{vector_col}`"), lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     whole = F.transform(vector.cast("array<double>"), lambda x: F.floor(F.lit(options.scale) * x).cast("long"))
+    # Under their own names, as ``anchors`` speaks of the id; other columns, of whatever name, are left behind.
+    vectors = picked(vectors, **{c: c for c in (id_col, label_col, vector_col)})
     rows = vectors.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("label"), whole.alias("vector"), anchors.alias("is_anchor"), F.exists(vector, broken).alias("broken"))
     rows = rows.where("id IS NOT NULL AND label IS NOT NULL AND vector IS NOT NULL AND NOT broken").drop("broken")
     types = {f.name: f.dataType for f in rows.schema}

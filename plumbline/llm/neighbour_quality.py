@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm.characters import END, fold, mix, word_hashes
-from plumbline.llm.common import id_and_text, one_thread, text_batches
+from plumbline.llm.common import id_and_text, one_thread, picked, place_of, positioned, text_batches
 from plumbline.session import ship_package
 
 
@@ -155,7 +155,8 @@ def train(
     one_thread()
     source = id_and_text(docs, id_col, text_col)
     agreed = (
-        labels.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label_col}`").cast("double").alias("label"))
+        picked(labels, doc_id=id_col, label=label_col)
+        .select("doc_id", F.col("label").cast("double").alias("label"))
         .where("doc_id IS NOT NULL AND label IS NOT NULL")
         .groupBy("doc_id")
         .agg(F.avg("label").alias("label"))
@@ -230,7 +231,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def accepted(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text scores ``least`` or more, each judged by its own text; all columns stay."""
+    """The rows of ``docs`` whose text scores ``least`` or more, each judged by its own text; all columns stay.
+
+    Null, empty and blank texts get the model's prior, whatever their id; rows
+    that repeat are judged alike. An empty table gives an empty result.
+    """
     ship_package(docs.sparkSession)
     quality = scorer(docs.sparkSession, model)
-    return docs.where(quality(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))) >= least)
+    text = F.coalesce(f"c{place_of(docs, text_col)}", F.lit(""))
+    return positioned(docs).where(quality(text) >= least).toDF(*docs.columns)

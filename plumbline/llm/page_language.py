@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm.characters import END, fold, mix
-from plumbline.llm.common import id_and_text, join_groups, text_batches
+from plumbline.llm.common import join_groups, picked, text_batches
 from plumbline.llm.html_paths import main_blocks
 from plumbline.session import materialize, ship_package
 
@@ -80,7 +80,7 @@ def _counted(slots: int):
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fusion: Fusion = Fusion()) -> TextModel:
     """The text model of the languages in ``lang_col``; rows without a language or a text are not used."""
     ship_package(docs.sparkSession)
-    rows = docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text")).where(
+    rows = picked(docs, i=id_col, lang=lang_col, text=text_col).where(
         "lang IS NOT NULL AND lang <> '' AND text <> ''"
     )
     lowest = Window.partitionBy("lang").orderBy(F.xxhash64("i"), "i")
@@ -160,9 +160,7 @@ def identify(
     count each time. Without languages in the model lang and score are null.
     """
     ship_package(pages.sparkSession)
-    source = pages.select(
-        F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.coalesce(F.col(f"`{html_col}`"), F.lit("")).alias("text")
-    )
+    source = picked(pages, page_id=id_col, url=url_col, text=html_col).withColumn("text", F.coalesce("text", F.lit("")))
     size = len(model.languages)
     if not size:
         return source.selectExpr(

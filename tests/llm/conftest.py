@@ -1,7 +1,7 @@
 import pytest
 
 #: Columns that the operators use themselves; tables may have them too.
-CLASHING = "key string, node int, digest string, size int, tokens string, page string, findings string, score string, start int, label string, word int"
+CLASHING = "key string, node int, digest string, size int, tokens string, page string, findings string, score string, start int, label string, word int, __in string, __word int, __slot int, __sha string, __mark string, __hot string, c0 string, mark string, DOC_ID string, Text string"
 
 
 @pytest.fixture

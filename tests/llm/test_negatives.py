@@ -35,8 +35,8 @@ def got(df):
 
 def table_of(spark, rows, vector="array<float>"):
     """With columns whose names clash with inner ones."""
-    schema = f"vec_id bigint, label int, embedding {vector}, id string, vector string, is_anchor string, broken int, anchor int, place int, rank int, score int"
-    return spark.createDataFrame([(*r, *[None] * 8) for r in rows], schema)
+    schema = f"vec_id bigint, label int, embedding {vector}, id string, vector string, is_anchor string, broken int, anchor int, place int, rank int, score int, LABEL int, c0 int"
+    return spark.createDataFrame([(*r, *[None] * 10) for r in rows], schema)
 
 
 def points(rng, n, width, spread=1.0):

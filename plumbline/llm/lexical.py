@@ -40,6 +40,8 @@ from plumbline.session import materialize, release, small_table
 #: ASCII letters in lower case and digits stand for themselves, other ASCII for a gap; bytes beyond ASCII belong to words.
 _FOLD = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)).lower()
 _PIECE = 1 << 22
+#: Segments that one task searches, on average; it keeps its best over all of them.
+SEGMENTS_PER_TASK = 4
 
 
 @dataclass(frozen=True)
@@ -409,7 +411,9 @@ def _answer(index: Index, block: list[tuple], item_type: str, doc_type: T.DataTy
     queries = [[(numbers[t], weights[numbers[t]] * c) for t, c in Counter(terms).items() if numbers[t] in weights] for _, terms in block]
     columns = ["segment", "number", "df", "lasts", "tops", "ends", "data", "parts", "ids"]
     heads = index.rows.where("term IS NULL").withColumn("number", F.lit(-1))
-    rows = heads.select(*columns).unionByName(lists.select(*columns)).repartition("segment").sortWithinPartitions("segment", "number")
+    # A task searches a few segments, whatever their number and the size of a shuffle partition.
+    tasks = -(-heads.count() // SEGMENTS_PER_TASK) or 1
+    rows = heads.select(*columns).unionByName(lists.select(*columns)).repartition(tasks, "segment").sortWithinPartitions("segment", "number")
     best = rows.mapInArrow(_search(queries, k, index.block, _arrow_type(doc_type)), f"number int, score long, doc_id {doc_type.simpleString()}")
     by_score = Window.partitionBy("number").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
     ranked = best.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)

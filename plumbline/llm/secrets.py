@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import id_and_text
+from plumbline.session import materialize
 
 # The base forms, in the order in which kinds are listed.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -42,21 +43,81 @@ class Markov:
     backing: float = 30.0
 
 
-def _spans(text: Column, matches: Column, pattern: str, good=None) -> Column:
-    """Start and end of every match in code points, from the lengths of the pieces between the matches."""
-    pieces = F.split(text, F.lit(pattern), -1)
-    empty = F.array().cast("array<struct<start:int,end:int>>")
+#: Matches that are folded together. Arrays grow by copying, so long ones are made of short ones.
+_CHUNK = 64
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once; a column inside a function of array items is computed for every item."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _chunks(items: Column) -> Column:
+    """``items`` (an array that is not empty) in arrays of at most ``_CHUNK``."""
+    last = F.floor((F.size(items) - 1) / _CHUNK).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda c: F.slice(items, c * _CHUNK + 1, _CHUNK))
+
+
+def _spans(text: Column, matches: Column, pattern: str, good: Column | None = None) -> Column:
+    """Start and end of every match (that is ``good``) in code points, from the lengths of the pieces between the matches.
 
-    def step(done, i):
-        start = done["at"] + F.char_length(F.get(pieces, i))
-        end = start + F.char_length(F.get(matches, i))
+    The text is split once and lengths are summed chunk by chunk, so the time
+    is in proportion to the text for any number of matches that a text holds.
+    """
+    empty = F.array().cast("array<struct<start:int,end:int>>")
+    pieces = F.slice(F.split(text, F.lit(pattern), -1), 1, F.size(matches))
+    steps = F.zip_with(pieces, matches, lambda p, m: F.struct(F.char_length(p).alias("gap"), F.char_length(m).alias("length")))
+    kept = good if good is not None else F.transform(matches, lambda m: F.lit(True))
+    steps = F.zip_with(steps, kept, lambda s, g: F.struct(s["gap"].alias("gap"), s["length"].alias("length"), g.alias("good")))
+
+    def step(done, x):
+        start = done["at"] + x["gap"]
+        end = start + x["length"]
         one = F.concat(done["spans"], F.array(F.struct(start.alias("start"), end.alias("end"))))
-        return F.struct(end.alias("at"), (one if good is None else F.when(good(i), one).otherwise(done["spans"])).alias("spans"))
+        return F.struct(end.alias("at"), F.when(x["good"], one).otherwise(done["spans"]).alias("spans"))
+
+    def walk(chunk):
+        return F.aggregate(chunk, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step)
+
+    def begins(walked):
+        before = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("list"))
+        return F.aggregate(
+            walked,
+            before,
+            lambda a, x: F.struct((a["at"] + x["at"]).alias("at"), F.concat(a["list"], F.array(a["at"])).alias("list")),
+            lambda a: a["list"],
+        )
+
+    def moved(walked, at):
+        return F.transform(walked["spans"], lambda s: F.struct((s["start"] + at).alias("start"), (s["end"] + at).alias("end")))
+
+    def joined(walked):
+        return F.flatten(F.zip_with(walked, begins(walked), moved))
+
+    found = _let(steps, lambda s: _let(F.transform(_chunks(s), walk), joined))
+    return F.when(F.size(matches) > 0, found).otherwise(empty)
 
-    walked = F.aggregate(
-        F.sequence(F.lit(0), F.size(matches) - 1), F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda done: done["spans"]
+
+def _apart(spans: Column, others: Column) -> Column:
+    """The ``spans`` that touch none of ``others``, both in order: each chunk meets only what lies between its ends."""
+
+    def near(chunk):
+        first, last = F.element_at(chunk, 1), F.element_at(chunk, -1)
+        return F.filter(others, lambda o: (o["start"] < last["end"]) & (o["end"] > first["start"]))
+
+    def free(chunk):
+        return _let(near(chunk), lambda n: F.filter(chunk, lambda c: ~F.exists(n, lambda o: (o["start"] < c["end"]) & (o["end"] > c["start"]))))
+
+    parted = _let(spans, lambda s: F.flatten(F.transform(_chunks(s), free)))
+    return F.when((F.size(spans) > 0) & (F.size(others) > 0), parted).otherwise(spans)
+
+
+def _pairs(token: Column) -> Column:
+    """The pairs of neighbouring characters, from one split of the token."""
+    return _let(
+        F.split(token, "(?!^)(?!$)"),
+        lambda c: F.zip_with(F.slice(c, 1, F.size(c) - 1), F.slice(c, 2, F.size(c) - 1), lambda a, b: F.concat(a, b)),
     )
-    return F.when(F.size(matches) > 0, walked).otherwise(empty)
 
 
 def _long_token(markov: Markov) -> str:
@@ -72,27 +133,39 @@ def _matched(source: DataFrame, markov: Markov) -> DataFrame:
 
 
 def _pair_counts(source: DataFrame, markov: Markov) -> DataFrame:
-    """random (boolean), pair, n: the pairs of neighbouring characters in different labelled tokens."""
-    # A token is a sample of random strings if a base form has it as its value, else of identifiers.
+    """random (boolean), pair, n: the pairs of neighbouring characters in different labelled tokens.
+
+    A token is a sample of random strings if a base form has it as its value,
+    else of identifiers, unless it contains such a value of its text or lies
+    in one. Both have ``shortest`` characters or more, so they share the first
+    so many of the shorter, and meet in a join by these.
+    """
     values = F.filter("values", lambda v: F.char_length(v) >= markov.shortest)
-    named = F.concat(values, F.col("m_access"), F.col("m_hex"))
-    plain = F.filter("tokens", lambda t: ~F.exists(F.col("named"), lambda v: F.contains(t, v) | F.contains(v, t)))
-    both = (
-        _matched(source, markov)
-        .withColumn("named", F.array_distinct(named))
-        .select(
-            F.explode(
-                F.array(
-                    F.struct(F.lit(True).alias("random"), F.col("named").alias("tokens")),
-                    F.struct(F.lit(False).alias("random"), plain.alias("tokens")),
-                )
-            ).alias("s")
-        )
-        .where("size(s.tokens) > 0")
-    )
-    different = both.select("s.random", F.explode("s.tokens").alias("token")).distinct()
-    pairs = F.transform(F.sequence(F.lit(1), F.char_length("token") - 1), lambda i: F.substring("token", i, 2))
-    return different.select("random", F.explode(pairs).alias("pair")).groupBy("random", "pair").agg(F.count(F.lit(1)).alias("n"))
+    kinds = {"value": F.array_distinct(F.concat(values, "m_access", "m_hex")), "token": F.array_distinct("tokens")}
+    listed = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("strings")) for k, v in kinds.items()])
+    numbered = _matched(source, markov).withColumn("row", F.monotonically_increasing_id())
+    found = numbered.select("row", F.explode(listed).alias("s"))
+    strings = materialize(found.select("row", "s.kind", F.explode("s.strings").alias("string")))
+    value = strings.where("kind = 'value'").select("row", F.col("string").alias("value"))
+    # A token with a base form of its own contains a value; the others are looked up.
+    token = strings.where((F.col("kind") == "token") & ~F.col("string").rlike(HEX) & ~F.col("string").rlike(ACCESS))
+    token = token.select("row", F.col("string").alias("token"))
+
+    def grams(column):
+        places = F.sequence(F.lit(0), F.char_length(column) - markov.shortest)
+        return F.explode(F.array_distinct(F.transform(places, lambda i: F.substring(column, i + 1, F.lit(markov.shortest))))).alias("gram")
+
+    def head(column):
+        return F.substring(column, 1, markov.shortest).alias("gram")
+
+    rows_with_both = value.select("row").distinct()
+    asked = token.join(rows_with_both, "row", "left_semi")
+    inside = asked.select("row", "token", grams("token")).join(value.select("row", "value", head("value")), ["row", "gram"]).where(F.contains("token", "value"))
+    around = asked.select("row", "token", head("token")).join(value.select("row", "value", grams("value")), ["row", "gram"]).where(F.contains("value", "token"))
+    named = inside.select("row", "token").union(around.select("row", "token")).distinct()
+    plain = token.join(named, ["row", "token"], "left_anti")
+    both = value.select(F.lit(True).alias("random"), F.col("value").alias("token")).union(plain.select(F.lit(False), "token"))
+    return both.distinct().select("random", F.explode(_pairs(F.col("token"))).alias("pair")).groupBy("random", "pair").agg(F.count(F.lit(1)).alias("n"))
 
 
 def ratio_table(counts: Mapping[tuple[bool, str], int], markov: Markov) -> list[float]:
@@ -136,25 +209,20 @@ def find_secrets(
     source = id_and_text(docs, id_col, text_col)
     table = F.from_json(F.lit(json.dumps(ratios if ratios is not None else train(docs, id_col, text_col, markov))), "array<double>")
     found = _matched(source, markov)
+    long_enough = F.transform("values", lambda v: F.char_length(v) >= ASSIGN_VALUE)
     found = (
-        found.withColumn("assign", _spans(F.col("text"), F.col("m_assign"), ASSIGN, lambda i: F.char_length(F.get("values", i)) >= ASSIGN_VALUE))
+        found.withColumn("assign", _spans(F.col("text"), F.col("m_assign"), ASSIGN, long_enough))
         .withColumn("access", _spans(F.col("text"), F.col("m_access"), ACCESS))
         .withColumn("hex", _spans(F.col("text"), F.col("m_hex"), HEX))
     )
 
     def random_like(token: Column) -> Column:
-        def add(total, i):
-            place = F.ascii(F.substring(token, i, 1)) * 128 + F.ascii(F.substring(token, i + 1, 1))
-            return total + F.get(table, place)
-
-        return F.aggregate(F.sequence(F.lit(1), F.char_length(token) - 1), F.lit(0.0), add) >= markov.least_ratio
+        # A token holds every hexadecimal run and access key that it touches, so these are seen in the token itself.
+        ratio = F.aggregate(_pairs(token), F.lit(0.0), lambda total, pair: total + F.get(table, F.ascii(pair) * 128 + F.ascii(F.substring(pair, 2, 1))))
+        return ~token.rlike(HEX) & ~token.rlike(ACCESS) & (ratio >= markov.least_ratio)
 
-    judged = found.withColumn("random_like", F.transform("tokens", random_like))
-    judged = judged.withColumn("random", _spans(F.col("text"), F.col("tokens"), _long_token(markov), lambda i: F.get("random_like", i)))
-    base = F.concat("assign", "access", "hex")
-    judged = judged.withColumn(
-        "random", F.filter("random", lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"])))
-    )
+    judged = found.withColumn("random", _spans(F.col("text"), F.col("tokens"), _long_token(markov), F.transform("tokens", random_like)))
+    judged = judged.withColumn("random", _apart(F.col("random"), F.col("assign")))
 
     def numbered(n: int, kind: str) -> Column:
         return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), F.lit(n).alias("kind"), s["end"].alias("end")))

@@ -71,3 +71,60 @@ def test_no_samples_judge_nothing(table, nothing):
 def test_plan_has_no_python(table):
     plan = S.find_secrets(table([(1, "x")]), ratios=[0.0] * 128 * 128)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def plain_pairs(texts):
+    """Counts of pairs as the docstring says them, all tokens against all values."""
+    samples = set()
+    for text in texts:
+        tokens = set(re.findall(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}", text))
+        values = {m.group(2) for m in ASSIGN.finditer(text) if len(m.group(2)) >= 16}
+        values |= {m.group() for p in (r"AKIA[A-Z0-9]{14,}", r"[0-9a-f]{16,}") for m in re.finditer(p, text)}
+        samples |= {(True, v) for v in values}
+        samples |= {(False, t) for t in tokens if not any(v in t or t in v for v in values)}
+    counts = {}
+    for label, token in samples:
+        for k in range(len(token) - 1):
+            counts[label, token[k : k + 2]] = counts.get((label, token[k : k + 2]), 0) + 1
+    return counts
+
+
+def test_tokens_and_values_of_a_text_meet(table):
+    rng = random.Random(9)
+    pieces = ["token=", "secret: ", " ", ".", "\n", "AKIA", "ABCDEF0123456789", "0123456789abcdef", "plainwordsoflength", "otherWordsOfLength", "more-of_it", "ABCDEF0123456789XY"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(12))) for _ in range(300)]
+    got = S._pair_counts(S.id_and_text(table(list(enumerate(texts)))), S.Markov()).collect()
+    assert {(r.random, r.pair): r.n for r in got} == plain_pairs(texts)
+
+
+def test_findings_apart_from_base_ones(table):
+    """Random tokens beside, inside and across assignments, more than a chunk of them."""
+    rng = random.Random(10)
+    _, draw = samples()
+    for n in (3, 400):
+        parts = [rng.choice([f"token='{draw(20)}'", draw(24), f"my_secret_{draw(8)}={draw(18)}", "0123456789abcdef" * 2, "é", f"api_key: {draw(11)}"]) for _ in range(n)]
+        text = " ".join(parts)
+        (row,) = S.find_secrets(table([(1, text)]), ratios=[1.0] * 128 * 128).collect()
+        fixed = base(text)
+        tokens = [m.span() for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}", text)]
+        free = [("random", a, b) for a, b in tokens if not any(x < b and y > a for _, x, y in fixed)]
+        want = sorted([*fixed, *free], key=lambda f: (f[1], S.KINDS.index(f[0])))
+        assert [tuple(f) for f in row.findings] == want and (free or n == 3)
+
+
+def test_long_texts_take_time_in_proportion(table):
+    """A megabyte of tokens in one text, and one token of that length."""
+    import time
+
+    _, draw = samples()
+
+    def seconds(text):
+        begin = time.time()
+        S.find_secrets(table([(1, text)], extra=False), ratios=[0.0] * 128 * 128).collect()
+        return time.time() - begin
+
+    tokens = [draw(16) for _ in range(60_000)]
+    seconds(" ".join(tokens[:100]))
+    short, long = seconds(" ".join(tokens[:30_000])), seconds(" ".join(tokens))
+    assert long < 30 and long < 3 * short + 2
+    assert seconds("".join(tokens)) < 20

@@ -193,6 +193,35 @@ def timeseries_daily(spark, sf_dir):
     return data.withColumn("y", F.round("y", 4))
 
 
+@query(
+    f"""WITH {_Z}, n AS (SELECT ts AS x, value AS y, epoch_us(ts) AS t FROM flagged WHERE NOT is_anomaly),
+s AS (SELECT min(t) AS lo, (max(t) - min(t)) // 60 + 1 AS width FROM n), b AS (SELECT x, y, (t - lo) // width AS bucket FROM n, s),
+e AS (SELECT bucket, min(x) AS first, max(x) AS last, min(y) AS low, max(y) AS high FROM b GROUP BY bucket),
+c AS (SELECT bucket, first, last, low, high, min(y) FILTER (WHERE x = first) AS first_y, max(y) FILTER (WHERE x = last) AS last_y,
+  min(x) FILTER (WHERE y = low) AS low_x, min(x) FILTER (WHERE y = high) AS high_x FROM b JOIN e USING (bucket) GROUP BY ALL),
+p AS (SELECT bucket, first AS x, first_y AS y FROM c UNION SELECT bucket, last, last_y FROM c UNION SELECT bucket, low_x, low FROM c UNION SELECT bucket, high_x, high FROM c)
+SELECT x, y, false AS is_anomaly FROM p UNION ALL SELECT ts, value, true FROM flagged WHERE is_anomaly"""
+)
+def timeseries_bounded(spark, sf_dir):
+    """At most 240 normal points with the peaks of 60 periods, and every anomaly."""
+    events = _events(spark, sf_dir)
+    return ch.timeseries_bounded(events, "ts", "value", max_points=60, flag=zscore_flag(events, ["value"]))
+
+
+@query(
+    f"""WITH {_Z}, n AS (SELECT user_id::DOUBLE AS x, value AS y FROM flagged WHERE NOT is_anomaly),
+s AS (SELECT min(x) AS x0, max(x) / 20 - min(x) / 20 AS dx, min(y) AS y0, max(y) / 20 - min(y) / 20 AS dy FROM n)
+SELECT round(x0 + (i + 0.5) * dx, 6) AS x, round(y0 + (j + 0.5) * dy, 6) AS y, count(*) AS n, 'Normal' AS status
+FROM (SELECT least(floor((x - x0) / dx), 19) AS i, least(floor((y - y0) / dy), 19) AS j, x0, y0, dx, dy FROM n, s) GROUP BY i, j, x0, y0, dx, dy
+UNION ALL SELECT round(user_id, 6), round(value, 6), 1, 'Anomaly' FROM flagged WHERE is_anomaly"""
+)
+def scatter_density(spark, sf_dir):
+    """Normal points counted in a grid of 20 by 20 cells, and every anomaly."""
+    events = _events(spark, sf_dir)
+    data = ch.scatter_grid(events, "user_id", "value", cells=20, flag=zscore_flag(events, ["value"]))
+    return data.withColumns({c: F.round(c, 6) for c in ("x", "y")})
+
+
 @query(f"WITH {_Z} SELECT user_id AS x, value AS y, CASE WHEN is_anomaly THEN 'Anomaly' ELSE 'Normal' END AS status FROM flagged")
 def scatter_flagged(spark, sf_dir):
     events = _events(spark, sf_dir)

@@ -397,3 +397,38 @@ def list_reference_check(spark, sf_dir):
 def top_with_remainder(spark, sf_dir):
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
     return with_remainder(customer, [F.desc("c_acctbal"), F.col("c_custkey")], 10)
+
+
+@query(
+    """SELECT row_index, o_orderkey, label, s_suppkey, label_1 FROM (
+  SELECT row_number() OVER (ORDER BY o_orderkey * 7919 % 10007, o_orderkey) - 1 AS row_index, o_orderkey, 'o' || o_orderkey AS label FROM orders)
+FULL JOIN (SELECT row_number() OVER (ORDER BY s_suppkey * 31 % 97, s_suppkey) - 1 AS row_index, s_suppkey, 's' || s_suppkey AS label_1 FROM supplier) USING (row_index)"""
+)
+def merge_file_order(spark, sf_dir):
+    """Two written files side by side, row by row as they stand; their values are in no order."""
+
+    def write(frame, name):
+        path = _folder(spark, name)
+        frame.write.csv(path, header=True)
+        return read_file(spark, path)
+
+    orders = table(spark, sf_dir, "orders").orderBy(F.expr("o_orderkey * 7919 % 10007"), "o_orderkey")
+    supplier = table(spark, sf_dir, "supplier").orderBy(F.expr("s_suppkey * 31 % 97"), "s_suppkey")
+    left = write(orders.selectExpr("o_orderkey", "concat('o', o_orderkey) AS label"), "left.csv")
+    right = write(supplier.selectExpr("s_suppkey", "concat('s', s_suppkey) AS label"), "right.csv")
+    return mg.side_by_side([left, right])
+
+
+@query(
+    r"""SELECT doc_id, regexp_replace(replace(left(text, 300), chr(92), '/'), '[^\x09-\x{FF}]', '?', 'g') AS head FROM documents WHERE trim(left(text, 300)) <> ''"""
+)
+def mixed_encodings(spark, sf_dir):
+    """A folder of UTF-8, UTF-16 and Latin-1 files, loaded as one table."""
+    path = _folder(spark, "mixed.csv")
+    heads = table(spark, sf_dir, "documents").selectExpr(
+        "doc_id", "regexp_replace(replace(left(text, 300), chr(92), '/'), '[^\\\\x09-\\\\x{FF}]', '?') AS head"
+    ).where("trim(head) <> ''")
+    for k, name in enumerate(("UTF-8", "UTF-16", "ISO-8859-1")):
+        part = heads.where(F.col("doc_id") % 3 == k)
+        part.write.csv(path, header=True, encoding=name, mode="append", escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return read_file(spark, path, encoding="auto").select("doc_id", "head")

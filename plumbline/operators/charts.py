@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,11 +12,14 @@ from plumbline.errors import PlumblineError
 from plumbline.functions.columns import as_double, col, is_numeric, numeric_columns, require_columns, time_columns
 from plumbline.operators.correlation import correlation_matrix
 from plumbline.operators.counts import top_values
+from plumbline.session import materialize
 
 # Chart limits and labels.
 HISTOGRAM_BINS = 20
 BAR_VALUES = 15
 MAX_CHARTS = 4
+MAX_POINTS = 1000
+GRID_CELLS = 40
 ANOMALY, NORMAL = "Anomaly", "Normal"
 
 
@@ -66,6 +70,89 @@ def timeseries_data(
     return line.unionByName(points)
 
 
+def timeseries_bounded(
+    df: DataFrame,
+    x: str,
+    y: str,
+    key_cols: Sequence[str] = (),
+    records: DataFrame | None = None,
+    max_points: int = MAX_POINTS,
+    flag: Column | None = None,
+) -> DataFrame:
+    """Points (x, y, is_anomaly) of a line of bounded length: at most 4 ``max_points`` normal points, and every anomaly.
+
+    The time span of the normal points is cut into ``max_points`` equal
+    buckets. Of each bucket's points the first, the last, the lowest and the
+    highest stay as they are, so peaks are kept; of equal ones the earliest
+    (of equal times the lowest first and the highest last). Points without x or
+    y are left out; texts count as times if they read as such. Three scans, and
+    only sums by bucket are shuffled.
+    """
+    require_columns(df, [x, y])
+    flagged = flag_rows(df, key_cols, records) if flag is None else df.withColumn("is_anomaly", flag)
+    time = col(x).try_cast("timestamp_ntz")
+    points = flagged.select(time.alias("x"), as_double(y, df.schema[y].dataType).alias("y"), "is_anomaly").where("x IS NOT NULL AND y IS NOT NULL")
+    micros = F.unix_micros(F.col("x").cast("timestamp"))
+    normal = points.where(~F.col("is_anomaly"))
+    low, high = normal.agg(F.min(micros), F.max(micros)).first()
+    if low is None:
+        return points
+    width = (high - low) // max_points + 1
+    placed = normal.select("x", "y", F.floor((micros - F.lit(low)) / F.lit(width)).alias("bucket"))
+    ends = placed.groupBy("bucket").agg(F.min("x").alias("first"), F.max("x").alias("last"), F.min("y").alias("low"), F.max("y").alias("high"))
+    at = F.col("x"), F.col("y")
+    picked = (
+        placed.join(F.broadcast(ends), "bucket")  # ``max_points`` rows at most
+        .groupBy("bucket")
+        .agg(
+            *[F.first(c, ignorenulls=True).alias(c) for c in ("first", "last", "low", "high")],
+            F.min(F.when(at[0] == F.col("first"), at[1])).alias("first_y"),
+            F.max(F.when(at[0] == F.col("last"), at[1])).alias("last_y"),
+            F.min(F.when(at[1] == F.col("low"), at[0])).alias("low_x"),
+            F.min(F.when(at[1] == F.col("high"), at[0])).alias("high_x"),
+        )
+    )
+    ways = (("first", "first_y"), ("last", "last_y"), ("low_x", "low"), ("high_x", "high"))
+    corners = F.array_distinct(F.array(*[F.struct(F.col(a).alias("x"), F.col(b).alias("y")) for a, b in ways]))
+    line = picked.select(F.inline(corners)).withColumn("is_anomaly", F.lit(False))
+    return line.unionByName(points.where("is_anomaly"))
+
+
+def scatter_grid(
+    df: DataFrame,
+    x: str,
+    y: str,
+    key_cols: Sequence[str] = (),
+    records: DataFrame | None = None,
+    cells: int = GRID_CELLS,
+    flag: Column | None = None,
+) -> DataFrame:
+    """(x, y, n, status) of bounded size: how many normal points each cell of a grid holds, at its middle, and every anomaly.
+
+    The grid has ``cells`` by ``cells`` cells between the least and the
+    greatest finite values of the normal points. Points that are not finite
+    stay out of it. An anomaly is a point of its own, with n 1.
+    """
+    require_columns(df, [x, y])
+    flagged = flag_rows(df, key_cols, records) if flag is None else df.withColumn("is_anomaly", flag)
+    values = [as_double(c, df.schema[c].dataType).alias(n) for c, n in ((x, "x"), (y, "y"))]
+    points = flagged.select(*values, "is_anomaly").where("x IS NOT NULL AND y IS NOT NULL")
+    finite = reduce(lambda a, b: a & b, [F.abs(c) < float("inf") for c in ("x", "y")])
+    normal = points.where(~F.col("is_anomaly") & finite)
+    least_x, most_x, least_y, most_y = normal.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    anomalies = points.where("is_anomaly").select("x", "y", F.lit(1).cast("bigint").alias("n"), F.lit(ANOMALY).alias("status"))
+    if least_x is None:
+        return anomalies
+    places, middles = [], []
+    for name, low, high in (("x", least_x, most_x), ("y", least_y, most_y)):
+        width = high / cells - low / cells
+        place = F.least(F.floor((F.col(name) - F.lit(low)) / F.lit(width)), F.lit(cells - 1)) if width > 0 else F.lit(0)
+        places.append(place.cast("int").alias(f"at_{name}"))
+        middles.append((F.lit(low) + (F.col(f"at_{name}") + (0.5 if width > 0 else 0.0)) * F.lit(width)).alias(name))
+    counted = normal.select(*places).groupBy("at_x", "at_y").agg(F.count("*").alias("n"))
+    return counted.select(*middles, "n", F.lit(NORMAL).alias("status")).unionByName(anomalies)
+
+
 def histogram_data(df: DataFrame, column: str, bins: int = HISTOGRAM_BINS) -> DataFrame:
     """Non-empty bins of equal width: (bin, bin_start, bin_end, count); one bin if all values are equal.
 
@@ -144,20 +231,35 @@ def auto_charts(
     bucket: str | None = None,
     normal_share: float | None = None,
     heatmap_columns: Sequence[str] | None = None,
+    max_points: int | None = None,
 ) -> dict[str, DataFrame]:
     """The most telling charts of a table, by name: timeseries, scatter, histogram, heatmap.
 
     The histogram shows the column of the first anomaly record (in key order),
     or the first numeric column. The heat map shows all numeric columns unless
-    ``heatmap_columns`` names some.
+    ``heatmap_columns`` names some. With ``max_points`` the time series and the
+    scatter plot are of bounded size, as ``timeseries_bounded`` and
+    ``scatter_grid`` give them. The records are joined with the table once;
+    the charts read a copy of the columns they show.
     """
     numeric = [c for c in numeric_columns(df) if c not in key_cols] or numeric_columns(df)
     times = time_columns(df)
     charts: dict[str, DataFrame] = {}
+    shown, flag = df, F.lit(False)
+    if records is not None and numeric and (times or len(numeric) >= 2):
+        narrow = df.select(*[col(c) for c in dict.fromkeys([*key_cols, *times[:1], *numeric[:2]])])
+        marked = flag_rows(narrow, key_cols, records).withColumnRenamed("is_anomaly", "__is_anomaly")
+        shown, flag = materialize(marked), F.col("__is_anomaly")
     if times and numeric:
-        charts["timeseries"] = timeseries_data(df, times[0], numeric[0], key_cols, records, bucket)
+        if max_points is None:
+            charts["timeseries"] = timeseries_data(shown, times[0], numeric[0], key_cols, bucket=bucket, flag=flag)
+        else:
+            charts["timeseries"] = timeseries_bounded(shown, times[0], numeric[0], max_points=max_points, flag=flag)
     if len(numeric) >= 2 and len(charts) < max_charts:
-        charts["scatter"] = scatter_data(df, numeric[0], numeric[1], key_cols, records, normal_share)
+        if max_points is None:
+            charts["scatter"] = scatter_data(shown, numeric[0], numeric[1], key_cols, normal_share=normal_share, flag=flag)
+        else:
+            charts["scatter"] = scatter_grid(shown, numeric[0], numeric[1], cells=max(1, int(max_points**0.5)), flag=flag)
     if numeric and len(charts) < max_charts:
         charts["histogram"] = histogram_data(df, _first_flagged(key_cols, records, numeric))
     if len(numeric) >= 2 and len(charts) < max_charts:

@@ -4,21 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.errors import DuplicateKeys
-from plumbline.functions.columns import col, require_columns
-from plumbline.session import materialize
+from plumbline.errors import DuplicateKeys, PlumblineError
+from plumbline.functions.columns import col, groupable, require_columns
+from plumbline.session import materialize, small_table
 
 _POSITION_BITS = (1 << 33) - 1  # monotonically_increasing_id keeps the place within a partition here
 
 
 def check_unique(df: DataFrame, key_cols: Sequence[str]) -> None:
-    """Raise unless the key columns identify every row."""
+    """Raise unless the key columns identify every row.
+
+    Eight bytes of hash per row are counted; only rows whose hash repeats are
+    compared key by key.
+    """
     require_columns(df, key_cols)
-    twice = df.groupBy(*[col(k) for k in key_cols]).agg(F.count("*").alias("n")).where("n > 1")
-    if twice.limit(1).count():
+    types = {f.name: f.dataType for f in df.schema.fields}
+    keys = df.select(*[groupable(k, types[k]).alias(f"k{i}") for i, k in enumerate(key_cols)])
+    names = keys.columns
+    hashed = keys.withColumn("__hash", F.xxhash64(*names))
+    again = hashed.groupBy("__hash").agg(F.count("*").alias("n")).where("n > 1").select("__hash")
+    if again.isEmpty():
+        return
+    twice = hashed.join(again, "__hash", "left_semi").groupBy(*names).agg(F.count("*").alias("n")).where("n > 1")
+    if not twice.isEmpty():
         raise DuplicateKeys(f"columns {list(key_cols)} do not identify rows")
 
 
@@ -51,10 +63,37 @@ def with_row_index(
     )
     stored = materialize(placed)
     sizes = stored.groupBy("__part").agg(F.count("*").alias("n")).orderBy("__part").collect()
-    starts, total = {}, 0
+    starts, total = [], 0
     for row in sizes:  # one row per partition
-        starts[row["__part"]] = total
+        starts.append((row["__part"], total))
+        total += row["n"]
+    begins = small_table(df.sparkSession, starts, "__part int, __begin bigint")
+    placed = stored.join(F.broadcast(begins), "__part")
+    return placed.withColumn(name, F.col("__begin") + F.col("__place")).drop("__part", "__place", "__begin")
+
+
+def with_file_order(df: DataFrame, name: str = "row_index") -> DataFrame:
+    """Add 0-based positions in the order of the files ``df`` is read from: by path, then by place in the file.
+
+    ``df`` may have been projected and filtered since it was read, but not
+    joined or grouped. Tasks read the rows of a block of a file in their order;
+    so one pass writes every row with its file, its block and its place, and a
+    small table of what each block's rows begin with turns these into positions.
+    Files are ordered by the text of their path.
+    """
+    if name in df.columns:
+        raise PlumblineError(f"column {name} is there already")
+    block = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block")]
+    try:
+        located = df.select(*[col(c) for c in df.columns], *block)
+    except AnalysisException as error:
+        raise PlumblineError("rows have an order of their own only where they come straight from files") from error
+    stored = materialize(located.withColumn("__place", F.monotonically_increasing_id()))
+    blocks = stored.groupBy("__file", "__block").agg(F.count("*").alias("n"), F.min("__place").alias("first")).orderBy("__file", "__block")
+    starts, total = [], 0
+    for row in blocks.toLocalIterator():  # one row per block of a file
+        starts.append((row["__file"], row["__block"], total - row["first"]))
         total += row["n"]
-    last = max(starts, default=0)
-    offsets = F.array(*[F.lit(starts.get(i, 0)).cast("bigint") for i in range(last + 1)])
-    return stored.withColumn(name, F.get(offsets, F.col("__part")) + F.col("__place")).drop("__part", "__place")
+    shifts = small_table(df.sparkSession, starts, "__file string, __block bigint, __shift bigint")
+    placed = stored.join(shifts, ["__file", "__block"])
+    return placed.select(*[col(c) for c in df.columns], (F.col("__place") + F.col("__shift")).alias(name))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.errors import PlumblineError
 from plumbline.functions.columns import as_text, col, is_numeric, is_time
-from plumbline.operators.keys import with_row_index
+from plumbline.operators.keys import with_file_order, with_row_index
 
 
 def stack(frames: Sequence[DataFrame]) -> DataFrame:
@@ -26,18 +26,22 @@ def stack(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
-def side_by_side(frames: Sequence[DataFrame], orders: Sequence[Sequence[str]], unique: bool = True) -> DataFrame:
+def side_by_side(
+    frames: Sequence[DataFrame], orders: Sequence[Sequence[str] | None] | None = None, unique: bool = True
+) -> DataFrame:
     """Row i of every table on one line; shorter tables are padded with nulls.
 
-    ``orders`` gives each table the columns that fix its row order. A column
-    name that already exists gets the number of its table as a suffix.
+    ``orders`` gives each table the columns that fix its row order; a table
+    without (None) has its rows in the order of its files. A column name that
+    already exists gets the number of its table as a suffix.
     """
+    orders = [None] * len(frames) if orders is None else orders
     if len(orders) != len(frames):
         raise PlumblineError("side-by-side merging needs the order columns of every table")
     taken: set[str] = set()
     merged = None
     for number, (frame, order) in enumerate(zip(frames, orders)):
-        indexed = with_row_index(frame, order, "__row", unique)
+        indexed = with_file_order(frame, "__row") if order is None else with_row_index(frame, order, "__row", unique)
         renamed = []
         for name in frame.columns:
             new = name if name not in taken else f"{name}_{number}"
@@ -52,15 +56,15 @@ def side_by_side(frames: Sequence[DataFrame], orders: Sequence[Sequence[str]], u
 
 def merge(
     frames: Sequence[DataFrame],
-    orders: Sequence[Sequence[str]] | None = None,
+    orders: Sequence[Sequence[str] | None] | None = None,
     spark: SparkSession | None = None,
     unique: bool = True,
 ) -> DataFrame:
     """Stack tables with equal column sets; put others side by side, in the row orders given by ``orders``.
 
-    Rows of a distributed table have no place of their own, so tables with
-    other columns raise without ``orders``, as do all that cannot be merged.
-    No tables give an empty one.
+    Without ``orders`` the rows of files stand in the order of the files. Other
+    tables have none, so with other columns they raise, as do all that cannot
+    be merged. No tables give an empty one.
     """
     if not frames:
         session = spark or SparkSession.active()
@@ -69,8 +73,6 @@ def merge(
         return frames[0]
     if len({frozenset(f.columns) for f in frames}) == 1:
         return stack(frames)
-    if orders is None:
-        raise PlumblineError("tables with different columns need `orders`, the columns that fix each table's row order")
     return side_by_side(frames, orders, unique).drop("row_index")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 from plumbline.errors import InsufficientData
 from plumbline.operators.anomalies import DetectionSettings, detect, empty_records
-from plumbline.operators.charts import MAX_CHARTS, auto_charts
+from plumbline.operators.charts import MAX_CHARTS, MAX_POINTS, auto_charts
 from plumbline.operators.findings import findings
 from plumbline.operators.statistics import compute_stats
 from plumbline.session import materialize
@@ -35,9 +35,12 @@ def analyse(
     settings: DetectionSettings = DetectionSettings(),
     bucket: str | None = None,
     normal_share: float | None = None,
+    max_points: int | None = MAX_POINTS,
 ) -> Analysed:
     """Analyse a table. With too few rows for detection the statistics still come.
 
+    Chart data is bounded by ``max_points`` unless that is None, ``bucket`` or ``normal_share`` is given.
+
     Anomaly records are written once, since charts and findings read them again.
     """
     stats = compute_stats(df)
@@ -48,5 +51,6 @@ def analyse(
     except InsufficientData as error:
         records, tier, max_charts = empty_records(df, key_cols), DEGRADED, CHARTS_WITHOUT_DETECTION
         warning = str(error)
-    charts = auto_charts(df, key_cols, records, max_charts, bucket, normal_share)
+    points = max_points if bucket is None and normal_share is None else None
+    charts = auto_charts(df, key_cols, records, max_charts, bucket, normal_share, max_points=points)
     return Analysed(stats, records, charts, findings(stats, records, key_cols), tier, warning)

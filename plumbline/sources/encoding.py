@@ -6,7 +6,8 @@ import codecs
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from plumbline.functions.columns import col
 
@@ -52,6 +53,27 @@ def detect_encodings(paths: DataFrame, path_col: str = "path") -> DataFrame:
     return paths.select(col(path_col).cast("string").alias("path")).mapInPandas(probe, schema)
 
 
+def file_encodings(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(path, encoding) of every file that Spark finds under ``path``, by its own readers.
+
+    Lines come as the bytes they are. A file is UTF-16 if its first line begins
+    with that byte-order mark, UTF-8 if all its lines are, else Latin-1. Large files are
+    read by many tasks; empty ones do not appear.
+    """
+    raw = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.is_valid_utf8("value").alias("plain"),
+        F.when(F.col("_metadata.file_block_start") == 0, F.struct(F.monotonically_increasing_id(), F.substring(F.col("value").cast("binary"), 1, 2))).alias("head"),
+    )
+    marks = {mark: name for mark, name in BYTE_ORDER_MARKS if len(mark) == 2}
+    first = F.hex(F.col("head.col2"))
+    name = F.when(F.col("plain"), PLAIN)
+    for mark, wide in marks.items():
+        name = F.when(first == mark.hex().upper(), wide).otherwise(name)
+    found = raw.groupBy("path").agg(F.bool_and("plain").alias("plain"), F.min("head").alias("head"))
+    return found.select("path", F.coalesce(name, F.lit(FALLBACK)).alias("encoding"))
+
+
 def _probe(path: str) -> tuple[str | None, str | None]:
     from pyarrow import fs
 

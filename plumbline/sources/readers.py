@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from urllib.parse import unquote
 
 from py4j.protocol import Py4JJavaError
 
@@ -18,8 +21,13 @@ from plumbline.functions.parsing import NULL_TOKENS, blank_to_null
 from plumbline.operators.casts import apply_casts, infer_casts
 from plumbline.session import small_table
 from plumbline.sources import spec as S
+from plumbline.sources.encoding import file_encodings
 
 CORRUPT = "_corrupt_record"
+AUTO = "auto"
+
+# The names that Spark's readers have for the encodings found.
+SPARK_NAMES = {"utf-8": "UTF-8", "utf-16-le": "UTF-16", "utf-16-be": "UTF-16", "latin-1": "ISO-8859-1"}
 
 # The tiers a load can end in.
 FULL, DEGRADED = "none", "degraded"
@@ -42,6 +50,7 @@ def read_file(
     """Read one file or folder; the reader follows the extension.
 
     Rows are those of the file; bad CSV rows are cut or filled with nulls.
+    ``encoding`` holds for delimited text; "auto" finds that of every file.
     ``row_cap`` takes any so many rows. ``keep_corrupt`` adds the raw text of
     bad rows as ``_corrupt_record``.
     """
@@ -72,7 +81,7 @@ def _read(spark, path, kind, row_cap, null_tokens, encoding, infer_types, keep_c
 
 def read_delimited(
     spark: SparkSession,
-    path: str,
+    path: str | list[str],
     separator: str = ",",
     null_tokens: Sequence[str] = NULL_TOKENS,
     encoding: str = "UTF-8",
@@ -88,9 +97,14 @@ def read_delimited(
     pass (or in the first query without ``infer_types``). Values with line
     breaks are recognised by lines with an odd number of quotes; such sources
     are read whole file by file, others split. Say ``multiLine`` in ``options``
-    to save that look.
+    to save that look. The ``encoding`` "auto" is found for every file
+    (``file_encodings``), in one more pass; files of one encoding are read
+    together.
     """
     options = dict(options or {})
+    if encoding.lower() == AUTO:
+        df = _read_by_encoding(spark, path, separator, null_tokens, keep_corrupt, options)
+        return apply_casts(df, infer_casts(df.drop(CORRUPT))) if infer_types else df
     if not any(name.lower() == "multiline" for name in options):
         options["multiLine"] = _has_open_quotes(spark, path, encoding)
     reader = spark.read.options(
@@ -111,6 +125,26 @@ def read_delimited(
     return df
 
 
+def _read_by_encoding(spark, path, separator, null_tokens, keep_corrupt, options) -> DataFrame:
+    """All values as text, of files whose encodings may differ; the headers may not."""
+    groups: dict[str, list[str]] = {}
+    for row in file_encodings(spark, path).toLocalIterator():  # the driver lists the files of a read anyway
+        groups.setdefault(row["encoding"], []).append(_literal_path(row["path"]))
+    if not groups:
+        raise LoadError(f"file is empty: {path}")
+    parts = []
+    for name, files in sorted(groups.items()):
+        parts.append(read_delimited(spark, sorted(files), separator, null_tokens, SPARK_NAMES[name], False, keep_corrupt, options))
+    if len({frozenset(p.columns) for p in parts}) > 1:
+        raise LoadError(f"files of {path} have different headers: {sorted({','.join(p.columns) for p in parts})}")
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _literal_path(uri: str) -> str:
+    """A path as Spark names it, in the form that its readers take: without escapes, and no character a pattern."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", unquote(uri))
+
+
 def _has_open_quotes(spark: SparkSession, path: str, encoding: str) -> bool:
     """Whether a line holds an odd number of quotes, so that a value goes on in the next line."""
     if encoding.upper().replace("-", "") not in ("UTF8", "USASCII", "ISO88591", "LATIN1"):

@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.errors import DetectionError, DuplicateKeys, InsufficientData, PlumblineError
 from plumbline.operators import charts
@@ -268,3 +269,35 @@ def test_analysis_of_a_short_table(spark):
     result = analyse(frame(spark, [1.0, 2.0, 3.0], [1.0, 2.0, 4.0]), ["id"])
     assert result.tier == "degraded" and "10 rows" in result.warning
     assert result.records.count() == 0 and len(result.charts) == 2
+
+
+def test_bounded_time_series_keep_peaks_and_anomalies(spark):
+    frame = spark.range(10_000).selectExpr(
+        "id", "timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, 0, 0, id) AS at", "IF(id = 7777, 50.0, IF(id % 4000 = 5, 999.0, sin(id))) AS v", "id % 4000 = 5 AS odd"
+    )
+    got = charts.timeseries_bounded(frame, "at", "v", max_points=25, flag=F.col("odd")).collect()
+    normal = [r for r in got if not r.is_anomaly]
+    assert len(normal) <= 100 and len(set(normal)) == len(normal) and max(r.y for r in normal) == 50.0
+    assert sorted(r.y for r in got if r.is_anomaly) == [999.0] * 3
+    assert min(r.x for r in normal).isoformat() == "2024-01-01T00:00:00" and max(r.x for r in normal).isoformat() == "2024-01-07T22:39:00"
+
+
+def test_bounded_charts_of_odd_tables(spark):
+    schema = "id long, day string, v double"
+    none = spark.createDataFrame([], schema)
+    assert charts.timeseries_bounded(none, "day", "v").count() == 0 and charts.scatter_grid(none, "id", "v").count() == 0
+    few = spark.createDataFrame([(1, "2024-01-05", 2.0), (2, "no day", 3.0), (3, None, 1.0), (4, "2024-01-05", None), (5, "2024-01-05", 2.0)], schema)
+    assert [tuple(r)[1:] for r in charts.timeseries_bounded(few, "day", "v").collect()] == [(2.0, False)]
+    constant = spark.createDataFrame([(3, None, 1.0), (3, None, 1.0), (3, None, float("inf"))], schema)
+    assert [tuple(r) for r in charts.scatter_grid(constant, "id", "v").collect()] == [(3.0, 1.0, 2, "Normal")]
+
+
+def test_automatic_charts_are_bounded_and_join_once(spark):
+    frame = spark.range(3000).selectExpr("id", "date'2024-01-01' + cast(id % 900 as int) AS day", "cast(id % 17 as double) AS a", "cast(id % 29 as double) AS b")
+    records = frame.where("id IN (5, 2999)").selectExpr("id", "'a' AS column_name")
+    got = charts.auto_charts(frame, ["id"], records, max_points=49)
+    assert got["timeseries"].count() <= 4 * 49 + 2 and got["scatter"].where("status = 'Normal'").count() <= 49
+    assert got["timeseries"].where("is_anomaly").count() == 2 and got["scatter"].where("status = 'Anomaly'").count() == 2
+    for name in ("timeseries", "scatter"):
+        plan = got[name]._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "id#" not in plan.split("FileScan")[-1]

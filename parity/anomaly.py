@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from parity.registry import query, table
 from plumbline.operators import charts as ch
-from plumbline.operators.anomalies import DetectionSettings, anomaly_rate, detect, zscore_flag
+from plumbline.operators.anomalies import DetectionSettings, anomaly_rate, detect, detect_in_order, zscore_flag
 from plumbline.operators.anomalies import zscore_records as z_records
 from plumbline.operators.forest import SAMPLE_ROWS, TREES, draw_samples
 from plumbline.operators.profile import profile
@@ -17,6 +17,7 @@ from plumbline.operators.report import anomaly_table, meta_table, report_tables
 from plumbline.operators.statistics import compute_stats
 from plumbline.plans.ingest import describe
 from plumbline.session import checkpoint_folder, materialize
+from plumbline.sources.readers import read_file
 from plumbline.sources.sinks import write_report_tables
 
 LINE_KEY = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
@@ -271,3 +272,25 @@ def chosen_charts(spark, sf_dir):
     charts = ch.auto_charts(events, ["event_id"], records)
     sizes = [d.agg(F.lit(name).alias("chart"), F.count("*").alias("points")) for name, d in charts.items()]
     return reduce(lambda a, b: a.unionByName(b), sizes)
+
+
+@query(
+    f"""WITH {_Z}, placed AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) - 1 AS row_index FROM flagged)
+SELECT row_index, 'value' AS column_name, value, 'zscore' AS method FROM placed WHERE is_anomaly"""
+)
+def records_in_row_order(spark, sf_dir):
+    """Anomalies with the positions of their rows, ascending; rows are told apart by position alone."""
+    events = table(spark, sf_dir, "events").select("ts", "event_id", "value")
+    settings = DetectionSettings(use_forest=False)
+    return detect_in_order(events, ["ts", "event_id"], ["value"], settings).records.select("row_index", "column_name", "value", "method")
+
+
+@query(
+    f"""WITH {_Z} SELECT event_id AS row_index, 'value' AS column_name, value, 'zscore' AS method FROM flagged WHERE is_anomaly"""
+)
+def records_in_file_order(spark, sf_dir):
+    """The same for rows in the order of a written file (of event ids from 0)."""
+    path = f"{checkpoint_folder(spark).rstrip('/')}/{uuid.uuid4().hex}-events.jsonl"
+    table(spark, sf_dir, "events").select("event_id", "value").orderBy("event_id").write.json(path)
+    settings = DetectionSettings(use_forest=False)
+    return detect_in_order(read_file(spark, path), None, ["value"], settings).records.select("row_index", "column_name", "value", "method")

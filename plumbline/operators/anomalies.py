@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 from math import isfinite
 
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from plumbline.errors import DetectionError, InsufficientData
 from plumbline.functions.columns import as_double, col, numeric_columns, require_columns
 from plumbline.operators.forest import SAMPLE_ROWS, TREES, fit_forest, score_column
-from plumbline.operators.keys import check_unique
+from plumbline.operators.keys import check_unique, with_file_order, with_row_index
 from plumbline.operators.measures import Moments, all_present, measure
 from plumbline.operators.quantiles import Extent, exact_quantiles
 from plumbline.session import materialize
@@ -210,6 +210,25 @@ def detect(
     return Detection(records, rows)
 
 
+def detect_in_order(
+    df: DataFrame,
+    order_by: Sequence[str] | None = None,
+    columns: Sequence[str] | None = None,
+    settings: DetectionSettings = DetectionSettings(),
+    name: str = "row_index",
+) -> Detection:
+    """As ``detect``, with the position of each row as its key, and the records sorted by it.
+
+    Positions are 0-based, in the order of ``order_by``, or, without it, of the
+    files that ``df`` is read from. So no key columns are needed and the
+    check for unique keys is saved. The sort is by ranges of positions; only records are moved.
+    """
+    placed = with_file_order(df, name) if order_by is None else with_row_index(df, order_by, name, unique=False)
+    chosen = list(columns if columns is not None else numeric_columns(df))
+    found = detect(placed, [name], chosen, replace(settings, keys_are_unique=True))
+    return Detection(found.records.orderBy(col(name)), found.row_count)
+
+
 def _score_limit(scored: DataFrame, contamination: float) -> float:
     """The score below which the wanted share of scored rows lies."""
     value = F.col("__score")

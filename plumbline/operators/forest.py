@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -19,7 +20,7 @@ from plumbline.functions.columns import col
 TREES = 100
 SAMPLE_ROWS = 256
 
-_NODE_SCHEMA = "tree int, node int, feature int, split double, depth double"
+_TREE_SCHEMA = "tree int, feature binary, value binary, left binary"
 _HASH_RANGE = float(1 << 53)
 
 
@@ -33,16 +34,18 @@ def expected_depth(rows) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Forest:
-    """Complete binary trees, one per row; node i has the children 2i+1 and 2i+2.
+    """Trees as flat arrays of the nodes they have; ``roots`` says where each begins.
 
-    A node that stopped early sends every point left down to the last level,
-    where ``depth`` holds the path length of each slot.
+    An inner node holds its feature and its split, and its left child stands
+    at ``left``, the right one behind it. A leaf holds its path length as
+    ``value`` and is its own ``left``.
     """
 
     features: tuple[str, ...]
-    feature: np.ndarray
-    split: np.ndarray
-    depth: np.ndarray
+    node_feature: np.ndarray
+    value: np.ndarray
+    left: np.ndarray
+    roots: np.ndarray
     levels: int
     sample_rows: int
 
@@ -53,18 +56,42 @@ class Forest:
             part = np.ascontiguousarray(points[start : start + block])
             flat, base = part.ravel(), np.arange(len(part)) * part.shape[1]
             total = np.zeros(len(part))
-            for feature, split, depth in zip(self.feature, self.split, self.depth):
-                node = np.zeros(len(part), dtype=np.intp)
+            for root in self.roots:
+                node = np.full(len(part), root, dtype=np.intp)
                 for _ in range(self.levels):
-                    right = flat.take(base + feature.take(node)) >= split.take(node)
-                    node *= 2
-                    node += 1
-                    node += right
-                total += depth.take(node)
-            mean = total / len(self.feature)
+                    child = self.left.take(node)
+                    right = flat.take(base + self.node_feature.take(node)) >= self.value.take(node)
+                    node = child + (right & (child > node))
+                total += self.value.take(node)
+            mean = total / len(self.roots)
             out[start : start + block] = -np.exp2(-mean / max(float(expected_depth(self.sample_rows)), 1e-12))
         return out
 
+    @cached_property
+    def complete(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Feature, split and path length of complete trees, whose node i has the children 2i+1 and 2i+2.
+
+        A node that stopped early sends every point left down to the last level.
+        For looking into small forests: it has a slot for every node that could be.
+        """
+        shape = (len(self.roots), 2 ** (self.levels + 1) - 1)
+        feature, split, depth = np.zeros(shape, dtype=np.intp), np.full(shape, np.inf), np.zeros(shape)
+        for tree, root in enumerate(self.roots):
+            work = [(0, int(root), 0)]
+            while work:
+                slot, node, level = work.pop()
+                child = int(self.left[node])
+                if child > node:
+                    feature[tree, slot], split[tree, slot] = self.node_feature[node], self.value[node]
+                    work += [(2 * slot + 1, child, level + 1), (2 * slot + 2, child + 1, level + 1)]
+                else:
+                    depth[tree, 2 ** (self.levels - level) * (slot + 1) - 1] = self.value[node]
+        return feature, split, depth
+
+    feature = property(lambda self: self.complete[0])
+    split = property(lambda self: self.complete[1])
+    depth = property(lambda self: self.complete[2])
+
 
 def _unit_hash(*parts: Column) -> Column:
     """A repeatable pseudo-random number in [0, 1) that depends on the values only."""
@@ -108,7 +135,10 @@ def draw_samples(
 
 
 def grow_tree(points: np.ndarray, levels: int, rng: np.random.Generator) -> list[tuple[int, int, float, float]]:
-    """Nodes (node, feature, split, depth) of a complete tree with ``levels`` levels of splits."""
+    """Nodes (node, feature, split, depth) of a tree of at most ``levels`` levels of splits, parents first.
+
+    Node i has the children 2i+1 and 2i+2; a leaf has an infinite split and its path length as depth.
+    """
     nodes: list[tuple[int, int, float, float]] = []
     leaf_depth = expected_depth(np.arange(len(points) + 1)).tolist()
     work = [(0, np.arange(len(points)), 0)]
@@ -118,11 +148,7 @@ def grow_tree(points: np.ndarray, levels: int, rng: np.random.Generator) -> list
         low, high = part.min(axis=0), part.max(axis=0)
         varying = np.flatnonzero(high > low)
         if level >= levels or len(rows) <= 1 or not len(varying):
-            depth = level + leaf_depth[len(rows)]
-            for _ in range(level, levels):
-                nodes.append((node, 0, np.inf, 0.0))
-                node = 2 * node + 1
-            nodes.append((node, 0, np.inf, depth))
+            nodes.append((node, 0, np.inf, level + leaf_depth[len(rows)]))
             continue
         feature = int(rng.choice(varying))
         split = float(rng.uniform(low[feature], high[feature]))
@@ -133,6 +159,16 @@ def grow_tree(points: np.ndarray, levels: int, rng: np.random.Generator) -> list
     return nodes
 
 
+def _packed(nodes: list[tuple[int, int, float, float]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Feature, value and left child of the nodes as a forest has them, level by level."""
+    ordered = sorted(nodes)
+    place = {node: k for k, (node, *_) in enumerate(ordered)}
+    feature = np.array([f for _, f, _, _ in ordered], np.int32)
+    value = np.array([d if s == np.inf else s for _, _, s, d in ordered])
+    left = np.array([place.get(2 * n + 1, k) for k, (n, *_) in enumerate(ordered)], np.int32)
+    return feature, value, left
+
+
 def fit_forest(
     df: DataFrame,
     key_cols: Sequence[str],
@@ -145,31 +181,29 @@ def fit_forest(
 ) -> Forest:
     """Grow all trees as one grouped job. ``df`` must have no null or NaN in ``features``.
 
-    What comes back is a few thousand nodes per tree at most, whatever the table's size.
+    What comes back is at most 2 ``sample_rows`` nodes of 16 bytes per tree, whatever the table's size.
     """
     psi = min(sample_rows, max(n_rows, 1))
     levels = int(np.ceil(np.log2(max(psi, 2))))
     names = [f"f{i}" for i in range(len(features))]
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("place")
-        tree = int(pdf["tree"].iloc[0])
-        nodes = grow_tree(pdf[names].to_numpy(dtype=float), levels, np.random.default_rng([seed, tree]))
-        out = pd.DataFrame(nodes, columns=["node", "feature", "split", "depth"])
-        out.insert(0, "tree", tree)
-        return out
+        grown = []
+        for tree, rows in pdf.sort_values(["tree", "place"]).groupby("tree"):
+            nodes = grow_tree(rows[names].to_numpy(dtype=float), levels, np.random.default_rng([seed, int(tree)]))
+            grown.append((tree, *[part.tobytes() for part in _packed(nodes)]))
+        return pd.DataFrame(grown, columns=["tree", "feature", "value", "left"])
 
     samples = draw_samples(df, key_cols, features, n_rows, pool_share, trees, psi, seed)
     # Few rows but much work: an own partitioning keeps the trees apart, which would else share one task.
     cores = df.sparkSession.sparkContext.defaultParallelism
     spread = samples.withColumn("grove", F.pmod(F.col("tree"), F.lit(trees))).repartition(min(trees, cores), "grove")
-    nodes = spread.groupBy("grove").applyInPandas(grow, _NODE_SCHEMA).toPandas()
-    grown = sorted(nodes["tree"].unique())
-    at = (nodes["tree"].map({t: i for i, t in enumerate(grown)}).to_numpy(), nodes["node"].to_numpy())
-    shape = (len(grown), 2 ** (levels + 1) - 1)
-    feature, split, depth = np.zeros(shape, dtype=np.intp), np.full(shape, np.inf), np.zeros(shape)
-    feature[at], split[at], depth[at] = nodes["feature"], nodes["split"], nodes["depth"]
-    return Forest(tuple(features), feature, split, depth, levels, psi)
+    packed = spread.groupBy("grove").applyInPandas(grow, _TREE_SCHEMA).toLocalIterator()
+    grown = sorted((r.tree, *(np.frombuffer(part, kind) for part, kind in ((r.feature, np.int32), (r.value, float), (r.left, np.int32)))) for r in packed)
+    roots = np.cumsum([0, *[len(t[1]) for t in grown]])[:-1] if grown else np.zeros(0, int)
+    feature, value, left = (np.concatenate([t[k] for t in grown]) if grown else np.zeros(0) for k in (1, 2, 3))
+    left = left + np.repeat(roots, [len(t[1]) for t in grown]).astype(np.int32) if grown else left
+    return Forest(tuple(features), feature, value, left, roots, levels, psi)
 
 
 def score_column(df: DataFrame, forest: Forest, present: Column) -> Column:

@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 
 from plumbline.errors import DetectionError, DuplicateKeys, InsufficientData, PlumblineError
 from plumbline.operators import charts
-from plumbline.operators.anomalies import DetectionSettings, anomaly_rate, detect, zscore_records
+from plumbline.operators.anomalies import DetectionSettings, anomaly_rate, detect, detect_in_order, zscore_records
 from plumbline.operators.findings import findings
-from plumbline.operators.forest import draw_samples, expected_depth, fit_forest, grow_tree
+from plumbline.operators.forest import _packed, draw_samples, expected_depth, fit_forest, grow_tree
 from plumbline.operators.statistics import compute_stats
 from plumbline.plans.analyse import analyse
 
@@ -301,3 +301,26 @@ def test_automatic_charts_are_bounded_and_join_once(spark):
     for name in ("timeseries", "scatter"):
         plan = got[name]._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" not in plan and "id#" not in plan.split("FileScan")[-1]
+
+
+def test_large_samples_make_small_forests():
+    """A tree of 65,536 rows has 16 bytes for each node it has, so 100 of them fit a driver of 1.5 GB."""
+    points = np.random.default_rng(3).normal(size=(1 << 16, 2))
+    feature, value, left = _packed(grow_tree(points, 16, np.random.default_rng(1)))
+    assert len(feature) <= 2 << 16 and 100 * (feature.nbytes + value.nbytes + left.nbytes) < 250e6
+    inner = left > np.arange(len(left))
+    assert set(left[inner]) | set(left[inner] + 1) | {0} == set(range(len(left)))
+
+
+def test_records_in_row_order(spark):
+    frame = spark.range(0, 2000, 1, 5).selectExpr("1999 - id AS back", "IF(id % 500 = 3, 900.0, sin(id)) AS v", "IF(id % 2 = 0, 'x', 'y') AS t")
+    got = detect_in_order(frame, ["back"], ["v"], DetectionSettings(use_forest=False))
+    assert [r.row_index for r in got.records.collect()] == [496, 996, 1496, 1996] and got.row_count == 2000
+    both = detect_in_order(frame, ["back"], ["v"]).records
+    positions = [r.row_index for r in both.collect()]
+    assert positions == sorted(positions) and {496, 996, 1496, 1996} <= set(positions)
+    assert both.columns == ["row_index", "column_name", "value", "score", "method"]
+    ties = detect_in_order(frame, ["t"], ["v"], DetectionSettings(use_forest=False)).records
+    assert ties.count() == 4 and ties.agg(F.count_distinct("row_index")).first()[0] == 4
+    with pytest.raises(PlumblineError):
+        detect_in_order(frame)

@@ -50,8 +50,10 @@ _MOST_RUNS = 1 << (63 - _RUN_BITS)
 class Paths:
     """``threshold`` of the join; shingle ``words``; MinHash tokens; first number of runs; recall to reach.
 
-    ``leaf`` sets are compared by brute force, in blocks of ``block``; a path
-    has ``depth`` steps at most, and a bucket is not split where one step keeps
+    ``leaf`` sets are compared by brute force; larger buckets that stay together
+    in pairs of blocks of about ``block`` sets and ``block_shingles`` shingles
+    (a bound of memory, 2 MB of tokens and 32 MB of shingles); a path has
+    ``depth`` steps at most, and a bucket is not split where one step keeps
     ``alike`` of it together. ``margin`` is how far below the threshold the
     tokens' estimate may lie: 5 standard deviations. Links between sets that
     both have more than ``family`` in a bucket are estimated apart.
@@ -63,7 +65,8 @@ class Paths:
     runs: int = 10
     recall: float = 0.995
     leaf: int = 256
-    block: int = 512
+    block: int = 2048
+    block_shingles: int = 1 << 22
     depth: int = 6
     alike: float = 0.4
     margin: float = 0.18
@@ -207,30 +210,37 @@ def _held(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return names[common], first[common], held
 
 
-def _earlier(names: np.ndarray, held: np.ndarray, leaf: int) -> np.ndarray:
-    """For all pairs of a bucket: whether they share an earlier one."""
+def _earlier(names: np.ndarray, held: np.ndarray, leaf: int, a: int = 0, b: int | None = None) -> np.ndarray:
+    """For rows a..b-1 with all others: whether they share an earlier bucket."""
     earlier = held[:, names < leaf]
-    return earlier @ earlier.T > 0
+    return earlier[a:b] @ earlier.T > 0
 
 
-def _runs_met(table: pa.Table, first: np.ndarray, held: np.ndarray) -> np.ndarray:
-    """For all pairs: in how many runs they share a bucket, in however many of a run."""
+def _runs_met(table: pa.Table, first: np.ndarray, held: np.ndarray, a: int = 0, b: int | None = None) -> np.ndarray:
+    """For rows a..b-1 with all others: in how many runs they share a bucket, in however many of a run."""
     lists = pc.take(table["runs"].combine_chunks().flatten(), pa.array(first))
     runs, columns = np.asarray(lists.flatten()), np.repeat(np.arange(len(first)), np.asarray(pc.list_value_length(lists)))
-    met = np.zeros((len(held), len(held)), np.int32)
+    met = np.zeros((len(held[a:b]), len(held)), np.int32)
     for run in np.unique(runs):
         own = held[:, columns[runs == run]]
-        met += own @ own.T > 0
+        met += own[a:b] @ own.T > 0
     return met
 
 
-def _own_pairs(table: pa.Table) -> np.ndarray:
-    """The pairs that this group of rows compares: all, or those between its two blocks."""
-    n = len(table)
-    pairs = np.triu(np.ones((n, n), bool), 1)
+#: Rows of a bucket that are compared with all others at once.
+_TILE = 256
+
+
+def _tiles(n: int):
+    return ((a, min(a + _TILE, n)) for a in range(0, n, _TILE))
+
+
+def _own_pairs(table: pa.Table, a: int, b: int) -> np.ndarray:
+    """Of the pairs of rows a..b-1 with later ones those that this group compares: all, or those between its two blocks."""
+    pairs = np.arange(len(table))[None, :] > np.arange(a, b)[:, None]
     if table["low"][0].as_py() != table["high"][0].as_py():
         block = np.asarray(table["block"])
-        pairs &= block[:, None] != block
+        pairs &= block[a:b, None] != block
     return pairs
 
 
@@ -242,51 +252,69 @@ def _candidates(options: Paths):
             n = len(table)
             if n < 2:
                 continue
-            tokens = _matrix(table["tokens"].combine_chunks(), options.width)
-            if n <= 64:
-                agree = (tokens[:, None, :] == tokens[None, :, :]).sum(axis=2)
-            else:
-                agree = np.zeros((n, n), np.uint16)
-                for i in range(options.width):
-                    agree += tokens[:, i, None] == tokens[None, :, i]
+            tokens = np.ascontiguousarray(_matrix(table["tokens"].combine_chunks(), options.width).T)
             size = np.asarray(table["size"]).astype(np.float64)
-            like = (agree >= least) & _own_pairs(table) & (size[:, None] >= options.threshold * size) & (size >= options.threshold * size[:, None])
-            if not like.any():
-                continue
-            names, _, held = _held(table)
-            like &= ~_earlier(names, held, table["leaf"][0].as_py())
-            rows = np.flatnonzero(like.any(axis=0) | like.any(axis=1))
+            found, near = None, np.zeros(n, bool)
+            for a, b in _tiles(n):
+                if n <= 64:
+                    agree = (tokens[:, :, None] == tokens[:, None, :]).sum(axis=0)
+                else:
+                    agree = np.zeros((b - a, n), np.uint16)
+                    for own in tokens:
+                        agree += own[a:b, None] == own
+                fit = (size[a:b, None] >= options.threshold * size) & (size >= options.threshold * size[a:b, None])
+                like = (agree >= least) & _own_pairs(table, a, b) & fit
+                if not like.any():
+                    continue
+                found = found or _held(table)
+                like &= ~_earlier(found[0], found[2], table["leaf"][0].as_py(), a, b)
+                near[a:b] |= like.any(axis=1)
+                near |= like.any(axis=0)
+            rows = np.flatnonzero(near)
             if len(rows):
                 yield from table.take(pa.array(rows)).select(["leaf", "low", "high", "block", "depth", "leaves", "runs", "node", "doc_id", "digest"]).to_batches()
 
     return run
 
 
-def overlaps(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
-    """Sizes of all pairwise intersections, by products of blocks of the incidence matrix."""
-    n = len(sets)
-    values, owners = np.concatenate(sets), np.repeat(np.arange(n), [len(s) for s in sets])
-    _, inverse, counts = np.unique(values, return_inverse=True, return_counts=True)
-    place = np.cumsum(counts > 1) - 1
-    inside = counts[inverse] > 1
-    rows, places = owners[inside], place[inverse[inside]]
-    order = np.argsort(places, kind="stable")
-    rows, places = rows[order], places[order]
-    total = np.zeros((n, n), np.float32)
-    for first in range(0, int(places[-1]) + 1 if len(places) else 0, columns):
-        a, b = np.searchsorted(places, [first, first + columns])
-        held = np.zeros((n, columns), np.float32)
-        held[rows[a:b], places[a:b] - first] = 1
-        total += held @ held.T
-    return total.astype(np.int64)
+class Overlaps:
+    """Sizes of the intersections of sets, by products of blocks of their incidence matrix."""
+
+    def __init__(self, sets: list[np.ndarray], columns: int | None = None):
+        self.n = len(sets)
+        values, owners = np.concatenate(sets), np.repeat(np.arange(self.n), [len(s) for s in sets])
+        _, inverse, counts = np.unique(values, return_inverse=True, return_counts=True)
+        place = np.cumsum(counts > 1) - 1
+        inside = counts[inverse] > 1
+        rows, places = owners[inside], place[inverse[inside]]
+        order = np.argsort(places, kind="stable")
+        self.rows, self.places = rows[order], places[order]
+        self.columns = columns or (4096 if self.n <= 1024 else 1024)
+
+    def of(self, a: int, b: int) -> np.ndarray:
+        """Those of sets a..b-1 with all."""
+        total = np.zeros((b - a, self.n), np.float32)
+        for first in range(0, int(self.places[-1]) + 1 if len(self.places) else 0, self.columns):
+            x, y = np.searchsorted(self.places, [first, first + self.columns])
+            held = np.zeros((self.n, self.columns), np.float32)
+            held[self.rows[x:y], self.places[x:y] - first] = 1
+            total += held[a:b] @ held.T
+        return total.astype(np.int64)
+
+
+def overlaps(sets: list[np.ndarray], columns: int | None = None) -> np.ndarray:
+    """Those of all with all."""
+    return Overlaps(sets, columns).of(0, len(sets))
 
 
 def _roots(links: np.ndarray) -> np.ndarray:
     """The smallest row that each row is connected with."""
     linked, labels = links | links.T, np.arange(len(links))
     while True:
-        near = np.where(linked, labels[None, :], len(labels)).min(axis=1)
-        new = np.minimum(labels, near)
+        new = labels.copy()
+        for a, b in _tiles(len(links)):
+            near = np.where(linked[a:b], labels[None, :], len(labels)).min(axis=1)
+            new[a:b] = np.minimum(labels[a:b], near)
         new = new[new]
         if np.array_equal(new, labels):
             return labels
@@ -310,20 +338,25 @@ def _links(options: Paths):
                 continue
             sets = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
             size = np.array([len(s) for s in sets])
-            both = overlaps(sets)
-            # both / (a + b - both) >= t, without a division
-            linked = (both * (1 + options.threshold) >= options.threshold * (size[:, None] + size) - 1e-9) & _own_pairs(table)
+            overlaps, linked = Overlaps(sets), np.zeros((n, n), bool)
+            for a, b in _tiles(n):
+                # both / (a + b - both) >= t, without a division
+                enough = overlaps.of(a, b) * (1 + options.threshold) >= options.threshold * (size[a:b, None] + size) - 1e-9
+                linked[a:b] = enough & _own_pairs(table, a, b)
             if not linked.any():
                 continue
             names, first, held = _held(table)
-            linked &= ~_earlier(names, held, table["leaf"][0].as_py())
+            for a, b in _tiles(n):
+                linked[a:b] &= ~_earlier(names, held, table["leaf"][0].as_py(), a, b)
             nodes, roots = np.asarray(table["node"]), _roots(linked)
             counts = linked.sum(axis=0) + linked.sum(axis=1)
+            seen = np.zeros((6, n), np.int64)
+            for a, b in _tiles(n):
+                met = _runs_met(table, first, held, a, b)
+                family = linked[a:b] & (np.minimum(counts[a:b, None], counts) > options.family)
+                # Pairs stand in the row of their first set.
+                seen[:, a:b] = [(of & how).sum(axis=1) for of in (linked[a:b] & ~family, family) for how in (True, met == 1, met == 2)]
             rows = np.flatnonzero(counts)
-            met = _runs_met(table, first, held)
-            family = linked & (np.minimum(counts[:, None], counts) > options.family)
-            # Pairs stand in the row of their first set.
-            seen = [(of & how).sum(axis=1) for of in (linked & ~family, family) for how in (True, met == 1, met == 2)]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(nodes[rows]), pa.array(nodes[roots[rows]]), pa.array(np.full(len(rows), table["depth"][0].as_py(), np.int32)),
@@ -339,8 +372,8 @@ def _links(options: Paths):
 
 
 def _buckets(frontier: DataFrame) -> DataFrame:
-    """Rows of buckets with company, with the bucket's size."""
-    sizes = frontier.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    """Rows of buckets with company, with the bucket's size, and that of its sets together."""
+    sizes = frontier.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("mass")).where("n > 1")
     return frontier.join(sizes, "path")
 
 
@@ -367,7 +400,7 @@ def _leaves(nodes: DataFrame, options: Paths, first: int, last: int, copy: Copie
     for step in range(options.depth):
         rows = copy(_buckets(frontier))
         whole = (F.col("n") <= options.leaf) | (F.col("n") >= options.alike * F.col("above")) & F.lit(step > 0) | F.lit(step == options.depth - 1)
-        done.append(_near_in_size(rows.where(whole), options).select(F.col("path").alias("leaf"), "node", "n", F.lit(step).alias("depth")))
+        done.append(_near_in_size(rows.where(whole), options).select(F.col("path").alias("leaf"), "node", "n", "mass", F.lit(step).alias("depth")))
         large = rows.where(~whole).select("path", "node", "size", "n")
         if large.isEmpty():
             break
@@ -399,7 +432,7 @@ def _different(leaves: DataFrame) -> DataFrame:
 
 def _in_blocks(leaves: DataFrame, options: Paths) -> DataFrame:
     """One row for every pair of blocks of a bucket that a node's block is in; one for small buckets."""
-    blocks = F.ceil(F.col("n") / options.block).cast("int")
+    blocks = F.ceil(F.greatest(F.col("n") / options.block, F.col("mass") / options.block_shingles)).cast("int")
     cut = leaves.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     return cut.withColumn("other", other).select(

@@ -140,3 +140,26 @@ def test_run_numbers_beyond_a_byte():
     for number in (0, 127, 160, C._MOST_RUNS - 1):
         _, paths = C.chosen(np.repeat(tokens, 20, axis=0), np.full(20, number << C._RUN_BITS, np.int64), 0.8)
         assert (paths >> C._RUN_BITS == number).all() and (paths >= 0).all()
+
+
+def test_large_families_in_tiles_and_blocks(table, monkeypatch):
+    """A family in which a part of all pairs is linked, compared in one block, in tiles, or in several blocks."""
+    rng = random.Random(21)
+    base = [f"b{k}" for k in range(60)]
+    rows = []
+    for k in range(420):
+        words = list(base)
+        for _ in range(rng.randrange(3)):
+            words[rng.randrange(60)] = f"x{rng.randrange(4)}"
+        rows.append((k, " ".join(words)))
+    want = brute(rows)
+    for options in (C.Paths(), C.Paths(block=100), C.Paths(block_shingles=6000)):
+        assert got(C.near_duplicates(table(rows), options=options)) == want
+
+
+def test_overlaps_equal_brute_force():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 3000, rng.integers(1, 400))).astype(np.uint64) for _ in range(300)]
+    found = C.Overlaps(sets)
+    whole = np.concatenate([found.of(a, b) for a, b in C._tiles(300)])
+    assert all(whole[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(0, 300, 7) for j in range(0, 300, 11))

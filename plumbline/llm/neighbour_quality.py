@@ -12,19 +12,19 @@ block by block, and the nearest vote with their similarity.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm.characters import END, fold, mix, word_hashes
 from plumbline.llm.common import id_and_text, one_thread, picked, place_of, positioned, text_batches
-from plumbline.session import ship_package
+from plumbline.session import materialize, ship_package
 
 
 @dataclass(frozen=True)
@@ -154,7 +154,7 @@ def train(
     """
     one_thread()
     source = id_and_text(docs, id_col, text_col)
-    agreed = (
+    agreed = materialize(
         picked(labels, doc_id=id_col, label=label_col)
         .select("doc_id", F.col("label").cast("double").alias("label"))
         .where("doc_id IS NOT NULL AND label IS NOT NULL")
@@ -164,8 +164,7 @@ def train(
         .select("doc_id", (F.col("label") > 0.5).cast("int").alias("label"))
     )
     sizes = {r.label: r["count"] for r in agreed.groupBy("label").count().collect()}
-    lowest = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    sample = agreed.withColumn("__rank", F.row_number().over(lowest)).where(F.col("__rank") <= space.per_class).drop("__rank")
+    sample = _lowest(agreed, sizes, space.per_class)
     counted = source.join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi").mapInArrow(
         _count_rows(space), T.StructType([T.StructField("doc_id", source.schema["doc_id"].dataType), T.StructField("counts", T.BinaryType())])
     )
@@ -188,6 +187,23 @@ def train(
     return Model(space, idf, axes, _unit(weighted @ axes).astype(np.float32), label, weights, float((weights * label).sum() / weights.sum()))
 
 
+def _lowest(agreed: DataFrame, sizes: dict[int, int], most: int) -> DataFrame:
+    """The ``most`` rows of each label whose ids hash lowest, ties by id.
+
+    Hashes are even, so a bound on them that leaves some more than ``most`` of a label's rows
+    is known from its size. Only rows below it are sorted, so no task sees a whole label.
+    """
+    hashed, parts = F.xxhash64("doc_id"), [agreed.where(F.lit(False))]
+    for label, n in sizes.items():
+        mine = agreed.where(F.col("label") == label)
+        share = (most + 10 * most**0.5 + 100) / n
+        if share < 1:
+            below = mine.where(hashed < int(share * 2**64) - 2**63)
+            mine = below if below.count() >= most else mine
+        parts.append(mine.orderBy(hashed, "doc_id").limit(most))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def vote(model: Model, texts: list[str]) -> np.ndarray:
     """The score of each text: the weighted share of label 1 among its nearest labelled texts.
 

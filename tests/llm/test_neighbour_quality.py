@@ -72,3 +72,17 @@ def test_empty_tables(nothing, table):
     model = Q.train(nothing, table([], "doc_id bigint, quality int"), space=SMALL)
     assert Q.vote(model, ["any text"]).tolist() == [0.5]
     assert Q.score(nothing, model).count() == 0
+
+
+def test_the_lowest_hashes_of_each_label_are_taken(spark):
+    """With a bound on the hashes (many rows), without one (few), and with more asked for than there are."""
+    agreed = spark.range(40_000).select(F.col("id").alias("doc_id"), (F.col("id") % 10 == 0).cast("int").alias("label"))
+    sizes = {0: 36_000, 1: 4_000}
+    hashed = sorted((r.h, r.doc_id, r.label) for r in agreed.withColumn("h", F.xxhash64("doc_id")).collect())
+    for most in (200, 3000, 5000):
+        want = {i for label in (0, 1) for _, i, _ in [x for x in hashed if x[2] == label][:most]}
+        got = Q._lowest(agreed, sizes, most)
+        assert got.columns == ["doc_id", "label"] and {r.doc_id for r in got.collect()} == want
+    plan = Q._lowest(agreed, sizes, 200)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+    assert Q._lowest(agreed.where("false"), {}, 5).count() == 0

@@ -44,12 +44,27 @@ CLOSE_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr "
     "main menu nav ol p pre section table ul".split()
 )
-#: Words of class, id and role that declare something besides the article.
-_DECLARED = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|promotion|comment|comments|disqus|replies|respond|"
-    r"sidebar|side|widget|widgets|related|recommended|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|pagination|pager|footer|masthead|topbar|"
-    r"cookie|cookies|consent|gdpr|notice|notices|notification|popup|modal|overlay|alert|share|sharing|social|subscribe|newsletter|signup|login|search|"
-    r"toolbar|skip|copyright|legal|complementary|contentinfo|dialog)(?:$|[\s_-]|\d)",
+# Words of class and id that declare something besides the article.
+_WORDS = frozenset(
+    "ad ads adv advert adverts advertisement advertisements advertising banner sponsor sponsored promo promotion sidebar side widget widgets related "
+    "recommended menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead topbar cookie cookies consent gdpr notice notices "
+    "notification notifications popup modal overlay alert share sharing social subscribe newsletter signup login search toolbar skip copyright legal "
+    "complementary contentinfo dialog".split()
+)
+_COMMENTS = frozenset("comment comments commentlist commentsection disqus replies reply respond responses reactions guestbook talkback".split())
+#: Words that may stand beside them in one name. Other words, such as has, no, with, free, enabled or results, make it a name of something else.
+_NEUTRAL = frozenset(
+    "area article bar block bottom box btn button buttons card cell col column container content desktop entry fixed float form group header icon icons "
+    "inner item items js left link links list main mobile outer page panel post primary reader region right row secondary section site small sticky "
+    "text title top user widget wrap wrapper".split()
+)
+#: Not said of a part inside the declared article, which may be about them.
+_TOPICS = frozenset("legal search side".split())
+_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
+_READERS_NOTES = frozenset(f"{who}-{what}" for who in ("user", "users", "reader", "readers", "visitor", "guest") for what in ("notes", "reviews", "opinions", "posts"))
+_COMMENT_HEADING = re.compile(
+    r"(?:\d+\s+(?:comments?|replies|responses|kommentare?|commentaires?|comentarios?)|(?:comments?|replies|kommentare|commentaires|comentarios)\s*\(\d+\)|"
+    r"(?:reader|user)s?['’]?s?\s+comments?|leave a (?:comment|reply))",
     re.I,
 )
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|![^>]*(?:>|\Z)|\?[^>]*(?:>|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z))", re.S)
@@ -76,10 +91,31 @@ class Run:
     chain: tuple[int, ...]
     text: str
     linked: int
+    named: tuple[int, ...] = ()  # the open elements whose class or id names them side matter
+
 
+#: How an element's attributes can declare it side matter: by what it is or does, by a name, by a name of reader comments.
+_SURE, _NAMED, _NAMED_COMMENTS = 3, 1, 2
 
-def _declared(attributes: str, ids: bool) -> bool:
-    """Whether an element's own attributes name it side matter; its id only counts with ``ids``."""
+
+def _name_says(value: str, inside: bool) -> int:
+    """What a class or id says: a name counts if all its words do, so ``has-sidebar`` or ``ad-free`` say nothing."""
+    said = 0
+    for name in re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower().split():
+        words = [w for w in (part.rstrip("0123456789") for part in re.split(r"[-_:]+", name)) if w]
+        known = (_WORDS - _TOPICS if inside else _WORDS) if name not in _READERS_NOTES else set(words)
+        if not all(w in known or w in _COMMENTS or w in _NEUTRAL for w in words):
+            continue
+        if name in _READERS_NOTES or any(w in _COMMENTS for w in words):
+            return _NAMED_COMMENTS
+        if any(w in known for w in words):
+            said = _NAMED
+    return said
+
+
+def _declared(attributes: str, ids: bool, inside: bool = False) -> int:
+    """Whether, and how, an element's own attributes name it side matter; its id only counts with ``ids``."""
+    said = 0
     seen = set()
     for name, *values in _ATTRIBUTE.findall(attributes):
         name = name.lower()
@@ -88,25 +124,42 @@ def _declared(attributes: str, ids: bool) -> bool:
         seen.add(name)
         value = html.unescape("".join(values))
         if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true":
-            return True
+            return _SURE
         if name == "style" and "display:none" in _WHITE.sub("", value).lower():
-            return True
-        if (name in ("class", "role") or name == "id" and ids) and _DECLARED.search(value):
-            return True
-    return False
+            return _SURE
+        if name == "role" and value.strip().lower() in _ROLES:
+            return _SURE
+        if name == "class" or name == "id" and ids:
+            said = max(said, _name_says(value, inside))
+    return said
+
+
+def _end_of(name: str, page: str, place: int) -> int:
+    """Where the element whose start tag ends at ``place`` ends, elements of its name inside it counted."""
+    depth = 1
+    for tag in re.compile(rf"<(/?){name}(?=[\s/>])", re.I).finditer(page, place):
+        depth += -1 if tag.group(1) else 1
+        if not depth:
+            close = page.find(">", tag.end())
+            return close + 1 if close >= 0 else len(page)
+    return place
 
 
 def text_runs(page: str) -> list[Run]:
     """The page's blocks in order, without declared side matter.
 
-    Side matter is declared by an element's tag or by its class, role, hidden,
-    aria-hidden or style; by its id only outside the declared article, where
-    ids name regions of the page, and never a heading's.
+    Side matter is declared by an element's tag or by its role, hidden,
+    aria-hidden or style, or by the names in its class; by its id only outside
+    the declared article, where ids name regions of the page, and never a
+    heading's. A name is not believed of an element that holds most of the text,
+    unless it is that of reader comments. What follows a heading that counts
+    comments, in the element that has the heading, are comments.
     Markup may be broken: open elements end with the page, end tags without a
     start are skipped, and paragraphs and list items close as HTML has it.
     """
     runs: list[Run] = []
-    stack: list[tuple[str, int, bool]] = []  # tag, number, declared as something else
+    stack: list[tuple[str, int, bool, int]] = []  # tag, number, in something surely besides, what names say
+    comments: set[int] = set()
     parts: list[str] = []
     linked = number = links = 0
     place = 0
@@ -116,7 +169,8 @@ def text_runs(page: str) -> list[Run]:
         text = _WHITE.sub(" ", html.unescape("".join(parts))).strip()
         parts.clear()
         if text and not (stack and stack[-1][2]):
-            runs.append(Run("/".join(s[0] for s in stack), tuple(s[1] for s in stack), text, min(linked, len(text))))
+            named = tuple(s[1] for s in stack if s[3])
+            runs.append(Run("/".join(s[0] for s in stack), tuple(s[1] for s in stack), text, min(linked, len(text)), named))
         linked = 0
 
     def pop_to(depth: int):
@@ -157,9 +211,8 @@ def text_runs(page: str) -> list[Run]:
             parts.append("\n")
             continue
         if name in INLINE:
-            if _declared(tag.group(3), not within()):  # an inline element that declares itself as side matter is cut out
-                close = re.compile(rf"</{name}\s*>", re.I).search(page, place)
-                place = close.end() if close else place
+            if _declared(tag.group(3), not within(), within()):  # an inline element that declares itself as side matter is cut out
+                place = _end_of(name, page, place)
             elif name == "a":
                 links = 1
             continue
@@ -187,11 +240,37 @@ def text_runs(page: str) -> list[Run]:
             pop_to(1 if stack and stack[0][0] == "html" else 0)
             inner = False
         ids = not within() and not _HEADING.fullmatch(f"/{name}")  # ids of parts and headings are their titles
-        side = name in ASIDE and not (name == "header" and within())
-        side = side or name not in ("html", "body", "article", "main") and _declared(tag.group(3), ids)
-        stack.append((name, number, inner or side))
+        said = 0 if name in ("html", "body", "article", "main") else _declared(tag.group(3), ids, within())
+        side = name in ASIDE and not (name == "header" and within()) or said == _SURE
+        stack.append((name, number, inner or side, said))
+        if said == _NAMED_COMMENTS:
+            comments.add(number)
     flush()
-    return runs
+    return _without_named(_before_comments(runs), comments)
+
+
+def _before_comments(runs: list[Run]) -> list[Run]:
+    """``runs`` without what follows a heading that counts comments, up to the end of the element that has it."""
+    kept, ended = [], set()
+    for run in runs:
+        if ended.intersection(run.chain):
+            continue
+        if _HEADING.search(run.path) and _COMMENT_HEADING.fullmatch(run.text) and len(run.chain) > 1:
+            ended.add(run.chain[-2])
+            continue
+        kept.append(run)
+    return kept
+
+
+def _without_named(runs: list[Run], comments: set[int]) -> list[Run]:
+    """``runs`` without the elements that names declare, but for those that hold more than half of the unlinked text."""
+    whole = sum(len(r.text) - r.linked for r in runs)
+    held: dict[int, int] = {}
+    for run in runs:
+        for element in run.named:
+            held[element] = held.get(element, 0) + len(run.text) - run.linked
+    gone = {e for e, n in held.items() if e in comments or 2 * n <= whole}
+    return [run for run in runs if not gone.intersection(run.named)]
 
 
 def _smooth(values: np.ndarray, reach: int) -> np.ndarray:

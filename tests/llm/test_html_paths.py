@@ -82,3 +82,60 @@ def test_nothing_is_taken_for_side_matter_by_accident(part, kept):
 @pytest.mark.parametrize("part", ['<p class="share">x, y</p>', "<p hidden=''>x, y</p>", "<p STYLE='display: NONE'>x, y</p>", '<p aria-hidden="true">x, y</p>', "<p role=dialog>x, y</p>", "<svg><text>x</text></svg>"])
 def test_declared_side_matter_stays_out(part):
     assert H.main_blocks(f"<body><article><p>Some text, and more.</p>{part}<p>The end, at last.</p></article>") == ["Some text, and more.", "The end, at last."]
+
+
+LONG = "<p>A long paragraph, with commas, and more. It says a lot, in many words, again and again.</p><p>Another one, as long as that. It goes on, and on, for a good while, then ends.</p>"
+BOTH = ["A long paragraph, with commas, and more. It says a lot, in many words, again and again.", "Another one, as long as that. It goes on, and on, for a good while, then ends."]
+
+
+@pytest.mark.parametrize(
+    "wrapper",
+    ['class="site has-sidebar"', 'class="container no-sidebar"', 'class="page search-results"', 'class="post social-share-enabled"', 'class="ad-free"', 'id="related-work"',
+     'class="modal"', 'class="layout-with-sidebar"', 'class="sidebar"', 'class="commentary"', 'class="headerless navigable"'],
+)
+def test_the_article_survives_its_wrappers(wrapper):
+    assert H.main_blocks(f"<body><nav><a href=/>Home</a></nav><div {wrapper}><h1>T</h1>{LONG}</div><footer>F</footer></body>") == ["T", *BOTH]
+
+
+@pytest.mark.parametrize("part", ['<p class="legal">The law, as it stands, is old.</p>', '<section class="search"><p>The law, as it stands, is old.</p></section>'])
+def test_topics_stay_in_a_declared_article(part):
+    assert H.main_blocks(f"<body><article>{LONG}{part}</article></body>") == [*BOTH, "The law, as it stands, is old."]
+
+
+@pytest.mark.parametrize(
+    "part",
+    ['<ul class="commentlist"><li>Nice, very nice, I say.</ul>', '<ol class="comment-list"><li>Nice, very nice.</ol>', '<div class="user-notes"><p>Nice, very nice.</p></div>',
+     '<div id="reader-comments"><p>Nice, very nice.</p></div>', '<section><h2>3 Comments</h2><ul><li>Nice, very nice.<li>Yes, indeed, it is.</ul></section>',
+     '<div class="postComments2"><p>Nice.</p></div>', '<div class="share-buttons"><p>Share, now.</p></div>', '<div class="cookieBanner"><p>We use cookies, yes.</p></div>',
+     f'<div class="comments">{LONG}{LONG}{LONG}</div>'.replace("long", "nice")],
+)
+def test_comments_and_notices_go(part):
+    assert H.main_blocks(f"<body><div><h1>T</h1>{LONG}</div>{part}</body>") == ["T", *BOTH]
+
+
+def test_nested_inline_side_matter_ends_at_its_own_tag():
+    page = "<p>Text, and <span class=share><span>x</span> SHARE <b>y</b></span>more, of it.<p>So, <span class=share>open"
+    assert H.main_blocks(page) == ["Text, and more, of it.", "So, open"]
+
+
+def test_choice_equals_a_plain_version():
+    """Scores, threshold and the innermost element that holds the content, step by step on trees of random blocks."""
+    import math
+    import random
+
+    rng = random.Random(4)
+    for _ in range(60):
+        runs = [
+            H.Run(rng.choice(["body/div/p", "body/div/ul/li", "body/p", "body/div/div/p"]), (), "word, " * rng.randrange(1, 30) if rng.random() < 0.6 else "link", 0) for _ in range(12)
+        ]
+        paths = list(dict.fromkeys(r.path for r in runs))
+        mean = {p: [sum(f(r) for r in runs if r.path == p) / sum(r.path == p for r in runs) for f in (lambda r: len(r.text), lambda r: r.text.count(","))] for p in paths}
+        smooth = []
+        for k in range(len(paths)):
+            near = [(math.exp(-((j - k) ** 2) / 2), mean[paths[j]]) for j in (k - 1, k, k + 1) if 0 <= j < len(paths)]
+            weights = sum(w for w, _ in near)
+            smooth.append([sum(w * m[c] for w, m in near) / weights for c in (0, 1)])
+        scores = H.path_scores(runs, H.Ratios())
+        for p, (length, punctuation) in zip(paths, smooth):
+            want = length * math.log1p(punctuation) ** 0.5 * math.log1p(mean[p][0])
+            assert math.isclose(scores[p][2], want, rel_tol=1e-9) and math.isclose(scores[p][0], mean[p][0])

@@ -6,6 +6,8 @@ diagonals (place in the text minus place in the passage). Shared q-grams are
 counted in bands of ``e + 1`` diagonals, two neighbouring bands taken together,
 so that every such run of diagonals lies in one of the overlapping pairs.
 Regions that meet the bound are aligned with the passage in that band.
+Passages too short for the lemma are searched verbatim, between word borders,
+in the same pass.
 
 The passages are the query set. They are packed into blocks of bounded size;
 each block is broadcast and meets all texts in one pass that moves no text.
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 
@@ -31,7 +34,11 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass(frozen=True)
 class Lemma:
-    """q-gram length, edits allowed per passage character, shortest passage that is searched (in characters)."""
+    """q-gram length, edits allowed per passage character, shortest passage that is searched with edits (in characters).
+
+    The budget is the rate's or, for passages of fewer than about q / (1 - q * rate) characters more
+    (below 80 with the defaults), what the lemma can bound: (m - q) // q.
+    """
 
     q: int = 8
     edit_rate: float = 0.10
@@ -64,16 +71,37 @@ def gram_hashes(characters: np.ndarray, q: int) -> np.ndarray:
     return tail[: max(len(characters) - q + 1, 0)]
 
 
+#: Neighbouring bands that are aligned at once; in texts of repeats all of a text's may meet the bound.
+_BANDS = 256
+
+
+def _parts(runs):
+    """``runs``, each in parts of at most ``_BANDS``."""
+    return ((run, run[k : k + _BANDS]) for run in runs for k in range(0, len(run), _BANDS))
+
+
+def _as_text(characters: np.ndarray) -> str:
+    """Folded characters as text, with NUL for the ends."""
+    return np.where(characters == END, np.uint32(0), characters).astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
+
+
 class PassageIndex:
     """The q-grams of a block of passages with their places, and a small table that most other q-grams fail."""
 
     def __init__(self, items: list[tuple], lemma: Lemma):
         self.lemma, self.ids, self.passages = lemma, [], []
+        self.short_ids, self.short = [], ahocorasick.Automaton()
         for item_id, text in items:
             characters = fold([text.strip()])[0][:-1]
             if len(characters) >= max(lemma.min_chars, lemma.q):
                 self.ids.append(item_id)
                 self.passages.append(characters)
+            elif len(characters):
+                word = _as_text(characters)
+                self.short.add_word(word, (*self.short.get(word, ()), len(self.short_ids)))
+                self.short_ids.append(item_id)
+        if len(self.short):
+            self.short.make_automaton()
         sizes = np.array([len(p) for p in self.passages], np.int64)
         self.edits = np.array([lemma.edits(int(m)) for m in sizes], np.int64)
         self.bounds = np.array([lemma.shared(int(m)) for m in sizes], np.int64)
@@ -94,10 +122,37 @@ class PassageIndex:
 
     def search(self, texts: list[str]) -> list[tuple]:
         """(text number, item, start, end, edits, shared q-grams) of every passage found, the best region of each."""
-        if not self.passages:
+        if not self.passages and not self.short_ids:
             return []
         characters, places = fold(texts)
         stops = np.flatnonzero(characters == END)
+        short = self._search_short(characters, places, stops) if self.short_ids else []
+        return short + (self._search_long(characters, places, stops) if self.passages else [])
+
+    def _search_short(self, characters, places, stops) -> list[tuple]:
+        """The first place of every short passage in every text where it stands as it is, its ends no part of longer words."""
+        joined, found = _as_text(characters), {}
+        for last, entries in self.short.iter(joined):
+            for one in entries:
+                length = self._short_sizes()[one]
+                first = last + 1 - length
+                number = int(np.searchsorted(stops, first))
+                inside = last < stops[number]
+                before = joined[first - 1 : first] if first else ""
+                after = joined[last + 1 : last + 2]
+                cut = joined[first].isalnum() and before.isalnum() or joined[last].isalnum() and after.isalnum()
+                if inside and not cut and (number, one) not in found:
+                    start = int(places[stops[number - 1] + 1]) if number else 0
+                    shared = max(0, length - self.lemma.q + 1)
+                    found[number, one] = (number, self.short_ids[one], int(places[first]) - start, int(places[last]) + 1 - start, 0, shared)
+        return list(found.values())
+
+    def _short_sizes(self) -> dict[int, int]:
+        if not hasattr(self, "_sizes"):
+            self._sizes = {one: len(word) for word, entries in self.short.items() for one in entries}
+        return self._sizes
+
+    def _search_long(self, characters, places, stops) -> list[tuple]:
         begins = np.concatenate([[0], stops[:-1] + 1])
         hashes = gram_hashes(characters, self.lemma.q)
         hits = np.flatnonzero(self.table[self._slot(hashes)])
@@ -130,13 +185,13 @@ class PassageIndex:
         paired[:-1] += np.where(keys[1:] == keys[:-1] + 1, sums[1:], 0)
         good = np.flatnonzero(paired >= self.bounds[(keys // width) % len(self.ids)])
         best: dict[tuple[int, int], tuple] = {}
-        for run in np.split(good, np.flatnonzero(np.diff(keys[good]) > 1) + 1) if len(good) else []:
+        for whole, run in _parts(np.split(good, np.flatnonzero(np.diff(keys[good]) > 1) + 1) if len(good) else []):
             key = int(keys[run[0]])
             number, one = divmod(key // width, len(self.ids))
             step = int(self.edits[one]) + 1
             low = (key % width) * step - longest
             high = (int(keys[run[-1]]) % width + 2) * step - 1 - longest
-            shared = int(paired[run].max())
+            shared = int(paired[whole].max())
             start, end = int(begins[number]), int(stops[number])
             hit = self._align(characters, one, low, high, start, end)
             if hit is not None:
@@ -194,8 +249,9 @@ def find_passages(
 
     Letters are compared in lower case and white space runs as one space;
     start and end count code points of the text as given. A passage may have
-    ``lemma.edit_rate`` of its length in edits. Null, empty and shorter
-    passages than ``lemma.min_chars`` are in no text; null and empty texts
+    ``lemma.edit_rate`` of its length in edits (see ``Lemma`` for the lower budget of
+    short ones), one of fewer than ``lemma.min_chars`` none, and its ends must not
+    cut a word. Null, empty and blank passages are in no text; null and empty texts
     hold none. Equal passages and repeated rows are each reported. Rows
     without a passage do not appear.
     """

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 
@@ -86,3 +87,54 @@ def test_blocks_are_read_one_by_one():
     assert next(blocks) == ([0, 1, 2], False) and read == [0, 1, 2, 3]
     assert list(blocks) == [([3, 4, 5], False), ([6, 7, 8], False), ([9], True)]
     assert list(blocks_of([], 3, len)) == []
+
+
+def test_passages_of_every_length_against_brute_force():
+    """Lengths 1 to 60: below the shortest of the lemma verbatim at word borders, else within the budget."""
+    rng = random.Random(11)
+    lemma = D.Lemma()
+    source = " ".join("".join(rng.choice("abcdé4") for _ in range(rng.randint(1, 6))) for _ in range(60))
+    items = []
+    for m in range(1, 61):
+        start = rng.randrange(len(source) - m)
+        items.append((m, source[start : start + m]))
+    texts = [source, source[: len(source) // 2], "x" + items[27][1] + "x", items[27][1], "before: " + items[4][1] + "!", "", "zz"]
+    texts += [edited(rng, p, 1) for _, p in items[::3]]
+    found = {(n, i): (a, b, e) for n, i, a, b, e, _ in D.PassageIndex(items, lemma).search(texts)}
+    for n, text in enumerate(texts):
+        for i, passage in items:
+            plain = " ".join(passage.split())
+            low = re.sub(r"\s+", " ", text)
+            if not plain:
+                want = False
+            elif len(plain) < lemma.min_chars:
+                at = [k for k in range(len(low) - len(plain) + 1) if low[k : k + len(plain)] == plain]
+
+                def whole(k, plain=plain, low=low):
+                    left = k and low[k - 1].isalnum() and plain[0].isalnum()
+                    right = low[k + len(plain) : k + len(plain) + 1].isalnum() and plain[-1].isalnum()
+                    return not left and not right
+
+                want = any(map(whole, at))
+            else:
+                want = distance(plain, low) <= lemma.edits(len(plain))
+            assert ((n, i) in found) == want, (passage, text)
+            if want and len(plain) < lemma.min_chars:
+                a, b, edits = found[n, i]
+                assert edits == 0 and " ".join(text[a:b].split()) == plain
+
+
+def test_short_passages_in_a_job(table):
+    docs = table([(1, "Say  ABC d\nnow"), (2, "xabc d"), (3, "the answer is twenty-eight ok"), (4, None), (5, "\0abc d")])
+    passages = table([(1, "abc D"), (2, "the answer is twenty-eight o"), (3, "the answer is twenty-eight"), (4, "abc D")], "item_id int, text string")
+    rows = sorted((r.doc_id, r.item_id, r.start, r.end) for r in D.find_passages(docs, passages).collect())
+    assert rows == [(1, 1, 5, 10), (1, 4, 5, 10), (3, 3, 0, 26), (5, 1, 1, 6), (5, 4, 1, 6)]
+
+
+def test_repeats_are_aligned_in_parts(monkeypatch):
+    passage = "ab" * 60
+    text = "x " + "ba" * 3000 + " y"
+    (whole,) = D.PassageIndex([(1, passage)], D.Lemma()).search([text])
+    monkeypatch.setattr(D, "_BANDS", 3)
+    (parts,) = D.PassageIndex([(1, passage)], D.Lemma()).search([text])
+    assert whole == parts and whole[4] == 0 and text[whole[2] : whole[3]] == passage

@@ -32,6 +32,9 @@ INT64, FLOAT64, BOOLEAN, DATE, DATETIME, UTF8, STRING = (
     "String",
 )
 
+#: Numbers with a zero before another digit.
+PADDED = r"^\s*[+-]*0[0-9]"
+
 RATES_SCHEMA = (
     "position int, column_name string, non_null bigint, integers bigint, numbers bigint, booleans bigint, "
     "blanks bigint, dates bigint, timestamps bigint"
@@ -45,14 +48,14 @@ def cast_rates(df: DataFrame) -> DataFrame:
     blanks, dates, timestamps. Every value is looked at: a distributed table
     has no "first rows", so shares are over all non-null values.
     """
-    return _rates(df).drop("whole", "finite")
+    return _rates(df).drop("whole", "finite", "padded")
 
 
 def _rates(df: DataFrame) -> DataFrame:
-    """The counts of ``cast_rates`` and how many values convert to a 64-bit integer and to a finite number."""
+    """The counts of ``cast_rates``, how many values convert to a 64-bit integer and to a finite number, and how many are padded with zeros."""
     columns = string_columns(df)
     if not columns:
-        return small_table(df.sparkSession, [], f"{RATES_SCHEMA}, whole bigint, finite bigint")
+        return small_table(df.sparkSession, [], f"{RATES_SCHEMA}, whole bigint, finite bigint, padded bigint")
     value = F.col("value")
     number = P.to_number(value)
     too_long = F.coalesce(F.abs(P.to_integer(value)) > EXACT_INTEGER, F.lit(True))
@@ -69,6 +72,7 @@ def _rates(df: DataFrame) -> DataFrame:
         F.count(P.to_timestamp(value)).alias("timestamps"),
         F.count(P.to_integer(value)).alias("whole"),
         F.count_if((F.abs(number) < F.lit(float("inf"))) & ~(P.is_integer_text(value) & too_long)).alias("finite"),
+        F.count_if(value.rlike(PADDED)).alias("padded"),
     )
 
 
@@ -107,12 +111,13 @@ def infer_casts(df: DataFrame) -> dict[str, str]:
     A text that only looks like a number counts for neither kind: integers
     beyond 64 bits and texts like "--5" do not convert, numbers beyond a
     double's range become infinite, and integers beyond 2**53 would be rounded
-    in a column of fractions.
+    in a column of fractions. Numbers padded with zeros, such as 00123, are
+    codes that would lose them, so a column with one stays text.
     """
     n = F.col("non_null")
     exact = (
-        F.when(F.col("whole") == n, INT64)
-        .when(F.col("finite") == n, FLOAT64)
+        F.when((F.col("whole") == n) & (F.col("padded") == 0), INT64)
+        .when((F.col("finite") == n) & (F.col("padded") == 0), FLOAT64)
         .when((F.col("booleans") == n), BOOLEAN)
         .when(F.col("dates") == n, DATE)
         .when(F.col("timestamps") == n, DATETIME)

@@ -288,3 +288,11 @@ def test_apply_casts(spark, texts, rows):
 def test_inferred_casts_lose_nothing(spark):
     df = spark.createDataFrame([("1", "2024-01-01 10:00:00")] * 19 + [("x", "2024-01-01T11:30:00")], "a string, t string")
     assert infer_casts(df) == {"t": "Datetime"}
+
+
+def test_codes_with_leading_zeros_stay_text(spark, tmp_path):
+    path = tmp_path / "codes.csv"
+    path.write_text("zip,share,plain\n00123,0.5,0\n10115,0.75,10\n")
+    frame = read_file(spark, str(path))
+    assert [dict(frame.dtypes)[c] for c in ("zip", "share", "plain")] == ["string", "double", "bigint"]
+    assert sorted(r.zip for r in frame.collect()) == ["00123", "10115"]

@@ -117,7 +117,7 @@ def op5_boosted_pii(spark, sf_dir):
     base = F.filter("findings", lambda s: s["kind"].isin(*personal_data.KINDS))
     return found.select(
         "doc_id",
-        *map(count_of, personal_data.KINDS),
+        *map(count_of, personal_data.KINDS + personal_data.ADDED),
         F.sha2(secrets.as_text(base).cast("binary"), 256).alias("base_sha256"),
         secrets.as_text(F.col("findings")).alias("spans"),
     )

@@ -4,9 +4,11 @@ Terms are character trigrams, once of the folded text and once of its shape
 (letters by case, digits, line ends, punctuation as it is), hashed into fixed
 numbers of slots, and counts of words that repeat the word before or an earlier
 one. Term weights (log counts times inverse document frequency) of a bounded
-sample of labelled texts are reduced by a singular value decomposition. The
-sample's vectors are broadcast; every text gets exact cosines with all of them,
-block by block, and the nearest vote with their similarity.
+sample of labelled texts are reduced by a singular value decomposition: tasks
+sum the products of terms, and the driver holds one matrix of slots by slots,
+never the sample's terms. The sample's vectors are broadcast; every text gets
+exact cosines with all of them, block by block, and the nearest vote with their
+similarity.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import types as T
 
 from plumbline.llm.characters import END, fold, mix, word_hashes
 from plumbline.llm.common import id_and_text, one_thread, picked, place_of, positioned, text_batches
-from plumbline.session import materialize, ship_package
+from plumbline.session import materialize, release, ship_package
 
 
 @dataclass(frozen=True)
@@ -136,6 +138,54 @@ def _count_rows(space: Space):
     return run
 
 
+#: Tasks that the bounded sample is dealt to; each sends a matrix of slots by slots to the driver, one after the other.
+FIT_TASKS = 4
+
+
+def _matrices(batches, space: Space):
+    """The counts of a few hundred rows at a time, with the rows."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, 512):
+            part = batch.slice(start, 512)
+            yield part, np.frombuffer(b"".join(part.column("counts").to_pylist()), np.float32).reshape(-1, space.slots)
+
+
+def _held(space: Space):
+    """How many texts a task has, and how many of them hold each term."""
+
+    def run(batches):
+        total = np.zeros(1 + space.slots, np.int64)
+        for _, counts in _matrices(batches, space):
+            total += np.r_[len(counts), (counts > 0).sum(axis=0)]
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+    return run
+
+
+def _products(space: Space, idf: np.ndarray):
+    """The sums of the products of every two terms' weights over a task's texts, a row for each term."""
+
+    def run(batches):
+        total = np.zeros((space.slots, space.slots))
+        for _, counts in _matrices(batches, space):
+            weighted = _weighted(counts, idf, space).astype(np.float64)
+            total += weighted.T @ weighted
+        slots = pa.array(np.arange(space.slots, dtype=np.int32))
+        yield pa.RecordBatch.from_arrays([slots, pa.array([row.tobytes() for row in total], pa.binary())], ["slot", "sums"])
+
+    return run
+
+
+def _projected(space: Space, idf: np.ndarray, axes: np.ndarray):
+    def run(batches):
+        for batch, counts in _matrices(batches, space):
+            vectors = _unit(_weighted(counts, idf, space) @ axes).astype(np.float32)
+            columns = [batch.column("doc_id"), batch.column("label"), pa.array([v.tobytes() for v in vectors], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "label", "vector"])
+
+    return run
+
+
 def train(
     docs: DataFrame,
     labels: DataFrame,
@@ -168,23 +218,31 @@ def train(
     counted = source.join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi").mapInArrow(
         _count_rows(space), T.StructType([T.StructField("doc_id", source.schema["doc_id"].dataType), T.StructField("counts", T.BinaryType())])
     )
-    # Bounded: 2 * per_class rows of slots numbers .
     once = counted.groupBy("doc_id").agg(F.min("counts").alias("counts"))  # an id with several texts counts once
-    rows = once.join(F.broadcast(sample), "doc_id").toArrow().sort_by("doc_id")
-    n = len(rows)
+    stored = materialize(once.join(F.broadcast(sample), "doc_id"))  # bounded: 2 * per_class rows of slots numbers
+    rows = stored.coalesce(FIT_TASKS)
+    held = np.zeros(1 + space.slots, np.int64)
+    for row in rows.mapInArrow(_held(space), "sums binary").toLocalIterator():
+        held += np.frombuffer(row.sums, np.int64)
+    n = int(held[0])
     if not n:
         zero = np.zeros((0, space.dimensions), np.float32)
         return Model(space, np.zeros(space.slots, np.float32), np.zeros((space.slots, space.dimensions), np.float32), zero, np.zeros(0), np.zeros(0), 0.5)
-    counts = np.frombuffer(b"".join(rows["counts"].to_pylist()), np.float32).reshape(n, space.slots)
-    label = np.asarray(rows["label"]).astype(np.float64)
-    idf = np.log((n + 1) / ((counts > 0).sum(axis=0) + 1)).astype(np.float32) + 0.1
-    weighted = _weighted(counts, idf, space)
-    _, axes = np.linalg.eigh(weighted.T.astype(np.float64) @ weighted)
+    idf = np.log((n + 1) / (held[1:] + 1)).astype(np.float32) + 0.1
+    products = np.zeros((space.slots, space.slots))
+    for row in rows.mapInArrow(_products(space, idf), "slot int, sums binary").toLocalIterator():
+        products[row.slot] += np.frombuffer(row.sums)
+    _, axes = np.linalg.eigh(products)
     axes = np.ascontiguousarray(axes[:, ::-1][:, : space.dimensions]).astype(np.float32)
+    fields = [T.StructField("doc_id", source.schema["doc_id"].dataType), T.StructField("label", T.IntegerType()), T.StructField("vector", T.BinaryType())]
+    short = rows.mapInArrow(_projected(space, idf, axes), T.StructType(fields)).toArrow().sort_by("doc_id")
+    release(stored)
+    vectors = np.frombuffer(b"".join(short["vector"].to_pylist()), np.float32).reshape(n, -1)
+    label = np.asarray(short["label"]).astype(np.float64)
     taken = np.bincount(label.astype(int), minlength=2)
     share = np.array([sizes.get(k, 0) / max(taken[k], 1) for k in (0, 1)])
     weights = share[label.astype(int)]
-    return Model(space, idf, axes, _unit(weighted @ axes).astype(np.float32), label, weights, float((weights * label).sum() / weights.sum()))
+    return Model(space, idf, axes, vectors, label, weights, float((weights * label).sum() / weights.sum()))
 
 
 def _lowest(agreed: DataFrame, sizes: dict[int, int], most: int) -> DataFrame:

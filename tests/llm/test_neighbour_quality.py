@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -86,3 +87,27 @@ def test_the_lowest_hashes_of_each_label_are_taken(spark):
     plan = Q._lowest(agreed, sizes, 200)._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan
     assert Q._lowest(agreed.where("false"), {}, 5).count() == 0
+
+
+def test_the_fit_equals_that_of_the_whole_matrix(table):
+    model = model_of(table)
+    counts = Q.term_counts([t for _, t in corpus()], SMALL)
+    idf = np.log((len(counts) + 1) / ((counts > 0).sum(axis=0) + 1)).astype(np.float32) + 0.1
+    weighted = Q._weighted(counts, idf, SMALL).astype(np.float64)
+    axes = np.linalg.eigh(weighted.T @ weighted)[1][:, ::-1][:, : SMALL.dimensions]
+    vectors = Q._unit(weighted @ axes)
+    assert np.allclose(model.idf, idf) and model.labels.tolist() == [1.0] * 40 + [0.0] * 40
+    assert np.allclose(model.vectors @ model.vectors.T, vectors @ vectors.T, atol=1e-4)
+
+
+def test_the_driver_never_holds_the_terms_of_the_sample(table):
+    space = Q.Space(folded=64, shapes=64, dimensions=8, per_class=2000, voters=3)
+    rows = [(k, f"Plain words number {k}, with commas." if k % 2 else f"### {k} $$$ !!! ### %%%") for k in range(4000)]
+    docs, labels = table(rows), table([(k, k % 2) for k, _ in rows], "doc_id bigint, quality int")
+    tracemalloc.start()
+    try:
+        model = Q.train(docs, labels, space=space)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(model.labels) == 4000 and peak < 4000 * space.slots * 4, peak

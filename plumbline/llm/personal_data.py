@@ -11,6 +11,10 @@ in the ways people write it around such patterns (``a (at) b (dot) c``, dots
 in a card number, a phone without its country), in its place with its context,
 and what the generators propose there is learned. Each kind of proposal has
 its own threshold, set on such proposals of other values.
+
+All labelled spans are learned from and calibrate: equal ones are counted in
+the tasks, features by fixed intervals, so the trees get each kind of row once
+with its weight, and thresholds come from running totals over the scores.
 """
 
 from __future__ import annotations
@@ -18,10 +22,12 @@ from __future__ import annotations
 import re
 import zlib
 from bisect import bisect_right
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector
@@ -29,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import id_and_text, text_batches
+from plumbline.operators.scans import Measures, segmented_scan
 from plumbline.session import materialize
 
 # The kinds in their order, and the pieces of the base forms.
@@ -218,9 +225,8 @@ class Taken:
 
 @dataclass(frozen=True)
 class Boosting:
-    """Labelled spans used at most (those that hash lowest), those of a fifth of the values to calibrate; trees, depth, precision asked for."""
+    """Trees, their depth, and the precision asked for."""
 
-    sample: int = 20_000
     trees: int = 15
     depth: int = 4
     precision: float = 0.98
@@ -305,38 +311,63 @@ def examples(text: str):
                 yield a, -1, name, not failed, text[a:b], features(text, a, b)
 
 
+#: Where trees may split a feature. The limits are fixed, so they depend on no sample and bound the different rows.
+LIMITS = np.r_[np.arange(-0.5, 24), 27.5, 31.5, 39.5, 47.5, 63.5, 95.5, 127.5, 255.5, 511.5, 1023.5, 9999.5, 99999.5, 999999.5]
+
+ROWS_A_TASK = 100_000  # different rows that a task of the fit has
+
+
+def kept_apart(value: str) -> bool:
+    """Whether a value only calibrates: a fifth does, by Spark's xxhash64 of its checksum."""
+    digest = xxhash.xxh64_intdigest(zlib.crc32(value.encode("utf-8", "replace")).to_bytes(8, "little"), 42)
+    return (digest - (digest >> 63 << 64)) % 5 == 0
+
+
 def _labelled(batches):
+    """Labelled spans as (apart, kind, label, interval of each feature) and how many there are of each."""
     for batch in text_batches(batches, chars=1_000_000):
-        rows, found = [], []
-        for row, text in enumerate(batch.column("text").to_pylist()):
-            if _ANY.search(text):
-                own = list(examples(text))
-                found += own
-                rows += [row] * len(own)
-        ids = batch.column("doc_id").take(pa.array(rows, pa.int64()))
-        place, form, kind, label, value, values = zip(*found) if found else ((),) * 6
-        columns = [pa.array(place, pa.int32()), pa.array(form, pa.int32()), pa.array(kind, pa.string()), pa.array(map(float, label), pa.float64())]
-        columns += [pa.array([zlib.crc32(v.encode("utf-8", "replace")) for v in value], pa.int64()), pa.array(values, pa.list_(pa.float64()))]
-        yield pa.RecordBatch.from_arrays([ids, *columns], ["doc_id", "place", "form", "kind", "label", "value", "features"])
-
-
-def _least(scores: np.ndarray, label: np.ndarray, precision: float) -> float | None:
-    """The least score selected: from the lowest one with the precision above it, half way to the next one below.
-
-    Scores between the two were never seen, so neither side owns them. None if no score has the precision.
+        found = [x for text in batch.column("text").to_pylist() if _ANY.search(text) for x in examples(text)]
+        if not found:
+            continue
+        _, _, kinds, labels, values, rows = zip(*found)
+        intervals = np.searchsorted(LIMITS, np.array(rows)).astype(np.int8)
+        equal = Counter(zip(map(kept_apart, values), kinds, map(float, labels), (x.tobytes() for x in intervals)))
+        away, kind, label, own = zip(*equal)
+        columns = [pa.array(away), pa.array(kind), pa.array(label), pa.array([list(x) for x in own], pa.list_(pa.int8())), pa.array(equal.values(), pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["apart", "kind", "label", "intervals", "n"])
+
+
+def _scored(trees: Trees):
+    """Calibration rows with their scores, by trees over intervals."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                scores = trees.score(np.array(batch.column("intervals").to_pylist(), np.float64))
+                yield pa.RecordBatch.from_arrays([batch.column("kind"), pa.array(scores), batch.column("n"), batch.column("positive")], ["kind", "score", "n", "positive"])
+
+    return run
+
+
+def _least(scored: DataFrame, precision: float) -> dict[str, float | None]:
+    """The least score selected, by ``kind``: from the lowest one with the precision above it, half way to the next one below.
+
+    ``scored`` has kind, score, n and positive. Scores between the two were never
+    seen, so neither side owns them. None if no score has the precision; kinds
+    without a positive one are left out.
     """
-    order = np.argsort(-scores, kind="stable")
-    ranked = scores[order]
-    precise = np.cumsum(label[order]) / np.arange(1, len(label) + 1) >= precision
-    whole = np.flatnonzero(np.r_[np.diff(ranked) != 0, True] & precise)
-    if not len(whole):
-        return None
-    last = whole[-1]
-    return float((ranked[last] + ranked[min(last + 1, len(ranked) - 1)]) / 2)
+    sums = scored.groupBy("kind", "score").agg(F.sum("n").alias("n"), F.sum("positive").alias("positive"))
+    measures = Measures(running_sum={"above": "n", "right": "positive"})
+    totals = segmented_scan(materialize(sums), ["kind"], [F.col("score").desc()], measures)
+    last = totals.where(F.col("right") / F.col("above") >= precision).groupBy("kind").agg(F.min("score").alias("last"))
+    below = F.max(F.when(F.col("score") < F.col("last"), F.col("score")))
+    rows = totals.join(F.broadcast(last), "kind", "left").groupBy("kind").agg(F.sum("positive").alias("positive"), F.max("last").alias("last"), below.alias("below"))
+    found = [r for r in rows.collect() if r.positive]  # one row for each kind
+    return {r.kind: None if r.last is None else r.last if r.below is None else (r.last + r.below) / 2 for r in found}
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", boosting: Boosting = Boosting()) -> Trees:
-    """Fit trees to labelled spans and their rewritten versions, and calibrate thresholds on values kept apart.
+    """Fit trees to all labelled spans and their rewritten versions, and calibrate thresholds on values kept apart.
 
     A fifth of the values (by hash, so no copy of a value is on both sides) is
     never fitted; each kind's threshold is the lowest one with which the
@@ -346,24 +377,23 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", boost
     labels nothing can be learned, and nothing is selected.
     """
     source = id_and_text(docs, id_col, text_col)
-    kind = source.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, place int, form int, kind string, label double, value bigint, features array<double>"
-    spans = source.mapInArrow(_labelled, schema).withColumn("rank", F.xxhash64("doc_id", "place", "form", "kind"))
-    apart = F.pmod(F.xxhash64("value"), F.lit(5)) == 0
-    sample = materialize(spans.orderBy("rank").limit(boosting.sample).withColumn("apart", apart))
-    fit = sample.where(~F.col("apart")).select("label", array_to_vector("features").alias("features"))
-    if fit.select("label").distinct().count() < 2:
+    counted = source.mapInArrow(_labelled, "apart boolean, kind string, label double, intervals array<tinyint>, n bigint")
+    spans = materialize(counted.groupBy("apart", "kind", "label", "intervals").agg(F.sum("n").alias("n")))
+    fit = materialize(spans.where("NOT apart").groupBy("label", "intervals").agg(F.sum("n").alias("n")))
+    labels, rows = fit.agg(F.count_distinct("label"), F.count("*")).first()
+    if labels < 2:
         return Trees()
-    model = GBTClassifier(maxIter=boosting.trees, maxDepth=boosting.depth, seed=7, cacheNodeIds=False).fit(fit)
-    trees = Trees([_arrays(t) for t in model.trees], tuple(model.treeWeights), None)
-    held = sample.where("apart").select("kind", "label", "features").toArrow()  # at most ``sample`` rows
-    if not len(held):
-        return trees
-    scores = trees.score(np.array(held["features"].to_pylist()))
-    label, kinds = np.asarray(held["label"]), np.array(held["kind"].to_pylist())
-    own = {k: kinds == k for k in ADDED if label[kinds == k].any()}
-    by_kind = {k: _least(scores[of], label[of], boosting.precision) for k, of in own.items()}
-    return Trees(trees.nodes, trees.weights, _least(scores, label, boosting.precision), by_kind)
+    points = fit.coalesce(rows // ROWS_A_TASK + 1).sortWithinPartitions("intervals", "label")
+    points = points.select("label", F.col("n").cast("double").alias("weight"), array_to_vector(F.col("intervals").cast("array<double>")).alias("features"))
+    # Spark looks at the square of maxBins rows for the splits: at all of them with these.
+    bins = max(len(LIMITS) + 1, min(int(rows**0.5) + 1, 46_340))
+    model = GBTClassifier(maxIter=boosting.trees, maxDepth=boosting.depth, maxBins=bins, weightCol="weight", seed=7, cacheNodeIds=False).fit(points)
+    by_interval = Trees([_arrays(t) for t in model.trees], tuple(model.treeWeights), None)
+    nodes = [(split, np.where(split >= 0, LIMITS[np.floor(limit).astype(int)], 0.0), *rest) for split, limit, *rest in by_interval.nodes]
+    apart = spans.where("apart").select("kind", "intervals", "n", (F.col("n") * F.col("label")).cast("bigint").alias("positive"))
+    scored = apart.mapInArrow(_scored(by_interval), "kind string, score double, n bigint, positive bigint")
+    least = _least(scored.withColumn("kind", F.explode(F.array("kind", F.lit("all")))), boosting.precision)
+    return Trees(nodes, by_interval.weights, least.get("all"), {k: least[k] for k in ADDED if k in least})
 
 
 def find_personal_data(

@@ -1,5 +1,6 @@
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -176,3 +177,48 @@ def test_copies_of_a_value_stay_on_one_side():
     assert {x[4] for x in found if x[1] > 0} <= {x[4] for x in found if x[1] == 0}
     assert {x[2] for x in found if x[1] > 0 and x[3]} == {"email_like", "ip_like", "card_like", "phone_like"}
     assert {x[2] for x in found if x[1] > 0 and not x[3]} >= {"email_like", "ip_like", "card_like"}
+
+
+def test_every_labelled_span_counts(table):
+    """More labelled spans than the 20,000 that were used before; those that hash last decide as much as the others."""
+    rows = [(k, " ".join(f"u{k}x{j}@mail.example.com 300.{k % 9}.{j}.1" for j in range(50))) for k in range(220)]
+    seen = []
+    original = P._least
+    P._least = lambda scored, precision: (seen.append(scored.where("kind = 'all'").agg({"n": "sum"}).first()[0]), original(scored, precision))[1]
+    try:
+        trees = P.train(table(rows), boosting=P.Boosting(trees=3, depth=3))
+    finally:
+        P._least = original
+    apart = sum(P.kept_apart(x[4]) for _, text in rows for x in P.examples(text))
+    assert seen == [apart] and apart > 10_000 and len(trees.nodes) == 3
+
+
+def test_thresholds_equal_brute_force(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice("ab"), rng.randrange(40) / 40, n := rng.randrange(1, 5), rng.randrange(n + 1)) for _ in range(200)]
+    rows += [("none", 0.5, 3, 0), ("never", 0.9, 10, 0), ("never", 0.1, 1, 1), ("one", 0.7, 2, 2)]
+    got = P._least(spark.createDataFrame(rows, "kind string, score double, n long, positive long"), 0.6)
+    want = {}
+    for kind in {r[0] for r in rows}:
+        scores = sorted({r[1] for r in rows if r[0] == kind}, reverse=True)
+        if not any(r[3] for r in rows if r[0] == kind):
+            continue
+        share = [[sum(r[k] for r in rows if r[0] == kind and r[1] >= s) for k in (3, 2)] for s in scores]
+        whole = [k for k, (right, above) in enumerate(share) if right / above >= 0.6]
+        want[kind] = (scores[whole[-1]] + scores[min(whole[-1] + 1, len(scores) - 1)]) / 2 if whole else None
+    assert got == want and got["never"] is None and got["one"] == 0.7 and "none" not in got
+
+
+def test_intervals_and_limits_score_alike(fitted):
+    rng = np.random.default_rng(2)
+    rows = rng.choice(np.r_[np.arange(-1, 30), 64, 255, 256, 10_000_000], (500, len(P.FEATURES))).astype(float)
+    own = [(s, np.where(s >= 0, np.searchsorted(P.LIMITS, limit) + 0.5, 0), *rest) for s, limit, *rest in fitted.nodes]
+    by_interval = P.Trees(own, fitted.weights).score(np.searchsorted(P.LIMITS, rows).astype(float))
+    assert np.array_equal(by_interval, fitted.score(rows))
+
+
+def test_the_fifth_kept_apart_is_that_of_spark(spark):
+    values = [f"value {k}" for k in range(300)] + ["é\ud800", ""]
+    checks = [(k, zlib.crc32(v.encode("utf-8", "replace"))) for k, v in enumerate(values)]
+    rows = spark.createDataFrame(checks, "k int, value long").selectExpr("k", "pmod(xxhash64(value), 5L) = 0 AS apart").collect()
+    assert {r.k: r.apart for r in rows} == {k: P.kept_apart(v) for k, v in enumerate(values)}
